@@ -272,7 +272,88 @@ def _orders_sql() -> dict[str, str]:
     return q
 
 
+INVENTORY_BASE = """with inv as (
+ select concat('P-', cast(l_partkey as varchar)) product_id, p_name product_name, p_type category, n_name warehouse,
+  case when l_suppkey % 11 = 0 then '  ' else s_name end supplier,
+  case when l_orderkey % 47 = 0 then 'n/a-qty' else cast(cast(l_quantity as int) as varchar) end stock_quantity,
+  cast(p_size as int) safety_stock, cast(p_retailprice as decimal(12,2)) unit_cost,
+  cast(l_linenumber * 3 as int) inbound_quantity, cast(l_quantity as int) outbound_quantity,
+  l_shipdate inventory_date
+ from lineitem join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey
+      join nation on s_nationkey = n_nationkey),
+iv as (select *, try_cast(trim(stock_quantity) as double) st from inv)
+"""
+
+X = "cast({} as decimal(38,8))"
+
+
+def _inventory_sql() -> dict[str, str]:
+    q: dict[str, str] = {}
+    b = INVENTORY_BASE
+
+    def dist(c: str) -> str:
+        return f"count(distinct case when nullif(trim({c}), '') is not null then trim({c}) end)"
+    q["inventory_count"] = b + f"""select case when {dist('product_id')} > 0 then {dist('product_id')}
+ else {dist('product_name')} end inventory_count from iv"""
+    q["stock_summary"] = b + f"""select count(st) count, {M(X.format('sum(st)'))} total,
+ {M('avg(' + X.format('st') + ')')} average, {M('max(st)')} maximum, {M('min(st)')} minimum,
+ {M('median(st)')} median from iv having count(st) > 0"""
+    q["low_stock"] = b + f"""select nullif(trim(product_id), '') product_id, nullif(trim(product_name), '') product_name,
+ {M('st')} stock_quantity, {M('safety_stock')} safety_stock, {M('safety_stock - st')} shortage
+ from iv where st is not null and safety_stock is not null and st < safety_stock"""
+    val = X.format("st * cast(unit_cost as double)")
+    q["inventory_value"] = b + f"""select count({val}) count, {M('sum(' + val + ')')} total,
+ {M('avg(' + val + ')')} average from iv where st is not null and unit_cost is not null having count(*) > 0"""
+    for key, col in (("category_stock", "category"), ("warehouse_stock", "warehouse"), ("supplier_stock", "supplier")):
+        q[key] = b + f"""select trim({col}) name, {M('sum(' + X.format('st') + ')')} value from iv
+ where st is not null and nullif(trim({col}), '') is not null group by 1"""
+    q["inventory_flow"] = b + f"""select cast(i as double) total_inbound, cast(o as double) total_outbound,
+ {M('i - o')} net_change from (select count(*) n, round(sum({X.format('inbound_quantity')}), 2) i,
+ round(sum({X.format('outbound_quantity')}), 2) o from iv
+ where inbound_quantity is not null and outbound_quantity is not null) where n > 0"""
+    q["inventory_trend"] = b + f"""select strftime(inventory_date, '%Y-%m-%d') name,
+ {M('sum(' + X.format('st') + ')')} value from iv where st is not null and inventory_date is not null group by 1"""
+    return q
+
+
+SCORES_BASE = """with ss as (
+ select concat('S-', cast(user_id as varchar)) student_id, concat('Student ', cast(user_id as varchar)) student_name,
+  event_type subject,
+  case when event_id % 53 = 0 then 'absent' else cast(cast(value as decimal(10,2)) as varchar) end score,
+  case when user_id % 17 = 0 then null else concat('Class ', cast(user_id % 10 as varchar)) end class_name,
+  concat('Week ', cast(extract(week from ts) as varchar)) exam_name, cast(ts as date) exam_date
+ from events),
+sc as (select *, try_cast(trim(score) as double) s from ss)
+"""
+
+
+def _scores_sql() -> dict[str, str]:
+    q: dict[str, str] = {}
+    b = SCORES_BASE
+    stats = f"{M('avg(' + X.format('s') + ')')} average, {M('max(s)')} maximum, {M('min(s)')} minimum"
+    q["student_count"] = b + """select count(distinct case when nullif(trim(student_id), '') is not null
+ then student_id end) student_count from sc"""
+    q["score_summary"] = b + f"select count(s) count, {stats}, {M('median(s)')} median from sc having count(s) > 0"
+    for key, col in (("subject_score", "subject"), ("class_score", "class_name")):
+        q[key] = b + f"""select trim({col}) name, count(s) count, {stats} from sc
+ where s is not null and nullif(trim({col}), '') is not null group by 1"""
+    q["student_rollup"] = b + f"""select trim(student_id) student_id, count(s) score_count, {stats},
+ min(nullif(trim(student_name), '')) student_name from sc
+ where s is not null and nullif(trim(student_id), '') is not null group by 1"""
+    avg = M('avg(' + X.format('s') + ')')
+    q["exam_trend"] = b + f"""select strftime(exam_date, '%Y-%m-%d') name, {avg} average, count(s) count
+ from sc where s is not null and exam_date is not null group by 1
+ having (select count(*) from sc where s is not null and exam_date is not null) > 0
+ union all
+ select trim(exam_name) name, {avg} average, count(s) count
+ from sc where s is not null and nullif(trim(exam_name), '') is not null group by 1
+ having (select count(*) from sc where s is not null and exam_date is not null) = 0"""
+    return q
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(_orders_sql())
+    out.update(_inventory_sql())
+    out.update(_scores_sql())
     return out

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from sheetwise.functions.columns import clean_text
 from sheetwise.functions.normalize import normalize_status, valid_email, valid_phone, with_region
+from sheetwise.operators import inventory as I
 from sheetwise.operators import orders as O
-from sheetwise.sources.fixtures import order_lines
+from sheetwise.operators import scores as S
+from sheetwise.sources.fixtures import inventory_rows, order_lines, student_scores
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -94,7 +96,39 @@ ORDER_QUERIES: dict[str, Query] = {
 }
 
 
+def _inv(fn: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: fn(inventory_rows(spark, sf_dir))
+
+
+def _stu(fn: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: fn(student_scores(spark, sf_dir))
+
+
+INVENTORY_QUERIES: dict[str, Query] = {
+    "inventory_count": _inv(I.inventory_count),
+    "stock_summary": _inv(I.stock_summary),
+    "low_stock": _inv(I.low_stock),
+    "inventory_value": _inv(I.inventory_value),
+    "category_stock": _inv(I.category_stock),
+    "warehouse_stock": _inv(I.warehouse_stock),
+    "supplier_stock": _inv(I.supplier_stock),
+    "inventory_flow": _inv(I.inventory_flow),
+    "inventory_trend": _inv(I.inventory_trend),
+}
+
+SCORE_QUERIES: dict[str, Query] = {
+    "student_count": _stu(S.student_count),
+    "score_summary": _stu(S.score_summary),
+    "subject_score": _stu(S.subject_score),
+    "class_score": _stu(S.class_score),
+    "student_rollup": _stu(S.student_rollup),
+    "exam_trend": _stu(S.exam_trend),
+}
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     out.update(ORDER_QUERIES)
+    out.update(INVENTORY_QUERIES)
+    out.update(SCORE_QUERIES)
     return out
