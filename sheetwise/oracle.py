@@ -351,8 +351,137 @@ def _scores_sql() -> dict[str, str]:
     return q
 
 
+PROFILE_BASE = """with gp as (select d.doc_id, lang, source, n_chars, text, quality, toxic
+ from documents d left join labels l on d.doc_id = l.doc_id)
+"""
+PROFILE_COLS = [("doc_id", "int64", "number"), ("lang", "object", "text"), ("source", "object", "text"),
+                ("n_chars", "int64", "number"), ("text", "object", "text"), ("quality", "int64", "number"),
+                ("toxic", "int64", "number")]
+NUMBER_RE = r"[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)"
+
+
+def _profile_sql() -> dict[str, str]:
+    q: dict[str, str] = {}
+    b = PROFILE_BASE
+
+    def per_col(fn) -> str:
+        return " union all ".join(fn(i, c, dt, lab) for i, (c, dt, lab) in enumerate(PROFILE_COLS))
+    q["generic_profile"] = b + per_col(lambda i, c, dt, lab: (
+        f"select {i} position, '{c}' name, "
+        + (f"case when count(*) - count({c}) > 0 then 'float64' else 'int64' end" if dt == "int64" else f"'{dt}'")
+        + f" dtype, count({c}) non_null_count, count(*) - count({c}) null_count from gp"))
+    rate = lambda c: f"coalesce(case when count(*) > 0 then {M(f'(count(*) - count({c})) / count(*) * 100')} end, 0.0)"
+    q["missing_rate"] = b + per_col(lambda i, c, dt, lab: (
+        f"select '{c}' column_name, count(*) - count({c}) missing_count, {rate(c)} missing_rate from gp"))
+    q["available_fields"] = b + "select * from (" + per_col(lambda i, c, dt, lab: (
+        f"select {i} position, '{c}' name, count({c}) n from gp")) + ") where n > 0"
+    q["available_fields"] = q["available_fields"].replace("select * from (", "select position, name from (")
+    q["column_profile"] = b + per_col(lambda i, c, dt, lab: (
+        f"select {i} position, '{c}' name, '{lab}' data_type, count(*) - count({c}) missing_count, "
+        f"count(distinct {c}) unique_count from gp"))
+    q["table_shape"] = b + "select count(*) row_count, cast(7 as bigint) column_count from gp"
+    q["generic_findings"] = b + "select * from (" + per_col(lambda i, c, dt, lab: (
+        f"select 'missing_values' code, '{c}' subject, cast(count(*) - count({c}) as double) value, "
+        f"{rate(c)} missing_rate from gp")) + ") where value > 0"
+    text_cols = [c for c, _, _ in PROFILE_COLS] + ["is_long"]
+    tf = ("with gp as (select d.doc_id, lang, source, n_chars, text, quality, toxic from documents d "
+          "left join labels l on d.doc_id = l.doc_id), tf as (select " +
+          ", ".join(f"cast({c} as varchar) {c}" for c, _, _ in PROFILE_COLS) +
+          ", case when n_chars > 1000 then 'true' else 'false' end is_long from gp)\n")
+    bools = "('True', 'False', 'TRUE', 'FALSE', 'true', 'false')"
+    q["infer_types"] = tf + " union all ".join(
+        f"""select {i} position, '{c}' name, case when count_if({c} in {bools}) = count(*) and count(*) > 0
+ then 'boolean' when count_if(regexp_full_match(trim({c}), '{NUMBER_RE}')) = count({c}) then 'number'
+ else 'text' end data_type from tf""" for i, c in enumerate(text_cols))
+    return q
+
+
+TOKENS_SQL = ("('', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', '1.#QNAN', "
+              "'<NA>', 'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null')")
+
+
+def _tok(c: str) -> str:
+    return f"case when {c} not in {TOKENS_SQL} then {c} end"
+
+
+def _date_parse(c: str) -> str:
+    t = f"trim(regexp_replace(replace(translate({c}, '年月/.', '----'), '日', ' '), '\\s+', ' ', 'g'))"
+    return (f"try_strptime({t}, ['%Y-%m-%d %H:%M:%S', '%Y-%m-%d %H:%M', '%Y-%m-%d', '%Y-%m-%dT%H:%M:%S', "
+            f"'%Y%m%d'])")
+
+
+RAW_SALES = f"""with rs0 as (
+ select l_orderkey ok, l_suppkey sk, l_linenumber ln, l_quantity, cast(l_extendedprice as decimal(12,2)) price,
+  l_shipdate, n_name
+ from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey),
+raw as (
+ select case when ok % 61 = 0 then null when ln = 6 then 'not a date'
+   when ln = 1 then strftime(l_shipdate, '%Y-%m-%d') when ln = 2 then strftime(l_shipdate, '%Y/%m/%d')
+   when ln = 3 then strftime(l_shipdate, '%Y.%-m.%-d') when ln = 4 then strftime(l_shipdate, '%Y年%-m月%-d日')
+   when ln = 5 then strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') end d_txt,
+  case when ok % 61 = 0 then null when sk % 13 = 0 then 'N/A' when sk % 17 = 0 then 'NULL' else n_name end reg,
+  case when ok % 61 = 0 then null when ok % 29 = 0 then 'n/a' when ok % 3 = 0 then format('{{:,.2f}}', price)
+   when ok % 3 = 1 then concat('¥', cast(price as varchar)) else cast(price as varchar) end sales,
+  case when ok % 61 = 0 then null else cast(price + 100 as varchar) end tgt,
+  case when ok % 61 = 0 then null else cast(cast(l_quantity as int) as varchar) end cust,
+  case when ok % 61 = 0 then null when sk % 7 = 0 then n_name end big,
+  case when ok % 61 = 0 then null else cast(ok as varchar) end no
+ from rs0),
+rs as (select * from raw union all select * from raw where cast(no as bigint) % 50 = 0),
+tok as (select {_tok('d_txt')} d_txt, {_tok('reg')} reg, {_tok('sales')} sales, {_tok('tgt')} tgt,
+ {_tok('cust')} cust, {_tok('big')} big, {_tok('no')} no from rs),
+std as (select d_txt, coalesce(reg, big) region, sales, tgt, cust, no from tok),
+g as (select *, count(*) copies, d_txt is null and region is null and sales is null and tgt is null
+  and cust is null and no is null empty from std group by all),
+pg as (select *, {_date_parse('d_txt')} dp,
+  try_cast(trim(replace(replace(sales, ',', ''), '¥', '')) as double) sp,
+  try_cast(trim(replace(replace(tgt, ',', ''), '¥', '')) as double) tp,
+  try_cast(trim(replace(replace(cust, ',', ''), '¥', '')) as double) cp from g),
+cl as (select *, strftime(dp, '%Y-%m-%d') date,
+  cast(d_txt is not null and dp is null as int) + cast(sales is not null and sp is null as int)
+  + cast(tgt is not null and tp is null as int) + cast(cust is not null and cp is null as int) inv,
+  cast(dp is null as int) + cast(region is null as int) + cast(sp is null as int) + cast(tp is null as int)
+  + cast(cp is null as int) + cast(no is null as int) miss from pg)
+"""
+
+
+def _cleaning_sql() -> dict[str, str]:
+    q: dict[str, str] = {}
+    b = RAW_SALES
+    summary = """select sum(copies) original_row_count, count_if(not empty) cleaned_row_count,
+ coalesce(sum(case when empty then copies end), 0) removed_empty_rows,
+ coalesce(sum(case when not empty then copies - 1 end), 0) removed_duplicate_rows,
+ cast(coalesce(sum(case when not empty then inv end), 0) as bigint) invalid_value_count,
+ coalesce(sum(case when not empty then miss end), 0) missing_value_count, cast(6 as bigint) column_count from cl"""
+    q["clean_summary"] = b + summary
+    q["invalid_values"] = b + "select invalid_value_count from (" + summary + ")"
+    q["missing_cells"] = b + "select missing_value_count from (" + summary + ")"
+    q["drop_empty_rows"] = b + """select sum(case when not empty then copies else 0 end) row_count,
+ sum(case when empty then copies else 0 end) removed_empty_rows from g"""
+    q["drop_duplicate_rows"] = b + """select count(*) row_count, sum(copies) - count(*) removed_duplicate_rows
+ from g where not empty"""
+    q["clean_table"] = b + """select date, region, sp sales_amount, tp target_amount, cp customer_count, no "单号"
+ from cl where not empty"""
+    q["clean_date"] = b + "select date, count(*) row_count from cl where not empty group by 1"
+    x = lambda c: f"sum(cast({c} as decimal(38,8)))"
+    q["clean_number"] = b + f"""select count(sp) sales_count, {M(x('sp'))} sales_total, count(tp) target_count,
+ {M(x('tp'))} target_total, count(cp) customer_count, {M(x('cp'))} customer_total from cl where not empty"""
+    q["coalesce_columns"] = b + "select region, count(*) row_count from std group by 1"
+    q["missing_tokens"] = b + " union all ".join(
+        f"select '{n}' column_name, count(*) - count({c}) missing_count from tok"
+        for n, c in (("日期", "d_txt"), (" 区域 ", "reg"), ("销售额", "sales"), ("目标额", "tgt"),
+                     ("Customers ", "cust"), ("大区", "big"), ("单号", "no")))
+    q["to_number"] = b + f"""select count(sn) parsed_count, count_if(sales is not null and sn is null) invalid_count,
+ {M(x('sn'))} total from (select sales, try_cast(trim(sales) as double) sn from tok)"""
+    q["parse_dates"] = b + f"""select strftime({_date_parse('d_txt')}, '%Y-%m-%d') day_key, count(*) row_count
+ from tok group by 1"""
+    return q
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
+    out.update(_profile_sql())
+    out.update(_cleaning_sql())
     out.update(_orders_sql())
     out.update(_inventory_sql())
     out.update(_scores_sql())

@@ -45,7 +45,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-        builder = builder.config("spark.ui.enabled", "false")
+        builder = builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         builder = builder.config("spark.driver.memory", os.environ.get("SHEETWISE_DRIVER_MEMORY", "16g"))
     for key, value in {**SEMANTIC_CONF, **SCALE_CONF}.items():
         builder = builder.config(key, value)

@@ -121,3 +121,54 @@ def student_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("Week "), F.weekofyear("ts").cast("string")).alias("exam_name"),
         F.to_date("ts").alias("exam_date"),
     )
+
+
+def document_profile_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generic table: documents left join labels (real NULLs in quality / toxic)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    return docs.join(labels, "doc_id", "left")
+
+
+def document_text_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The generic table rendered as text (as a CSV upload is read), plus a flag column."""
+    d = document_profile_frame(spark, sf_dir)
+    return d.select(*[F.col(c).cast("string").alias(c) for c in d.columns],
+                    (F.col("n_chars") > 1000).cast("string").alias("is_long"))
+
+
+# Date renderings used by the raw sales table, chosen by line number.
+_DATE_FORMS = {1: "yyyy-MM-dd", 2: "yyyy/MM/dd", 3: "yyyy.M.d", 4: "yyyy年M月d日", 5: "yyyy-MM-dd HH:mm:ss"}
+
+
+def raw_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An uploaded sales sheet as text: Chinese headers, thousands separators,
+    currency marks, five date forms, missing-value tokens, empty and duplicate rows.
+    """
+    t = lambda n: table(spark, sf_dir, n)
+    supplier = (t("supplier").select("s_suppkey", "s_nationkey")
+                .join(t("nation").select("n_nationkey", "n_name"), F.col("s_nationkey") == F.col("n_nationkey")))
+    li = t("lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                              "l_shipdate")
+    b = li.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    ok, sk, ln = F.col("l_orderkey"), F.col("l_suppkey"), F.col("l_linenumber")
+    price = _dec("l_extendedprice", 12, 2)
+    date = F.when(ln == 6, F.lit("not a date"))
+    for k, fmt in _DATE_FORMS.items():
+        date = date.when(ln == k, F.date_format("l_shipdate", fmt))
+    sales = (F.when(ok % 29 == 0, F.lit("n/a"))
+             .when(ok % 3 == 0, F.format_number(price, 2))
+             .when(ok % 3 == 1, F.concat(F.lit("¥"), price.cast("string")))
+             .otherwise(price.cast("string")))
+    region = F.when(sk % 13 == 0, F.lit("N/A")).when(sk % 17 == 0, F.lit("NULL")).otherwise(F.col("n_name"))
+    empty = ok % 61 == 0
+    v = b.select(
+        F.when(~empty, date).alias("日期"),
+        F.when(~empty, region).alias(" 区域 "),
+        F.when(~empty, sales).alias("销售额"),
+        F.when(~empty, (price + 100).cast("string")).alias("目标额"),
+        F.when(~empty, F.col("l_quantity").cast("int").cast("string")).alias("Customers "),
+        F.when(~empty & (sk % 7 == 0), F.col("n_name")).alias("大区"),
+        F.when(~empty, ok.cast("string")).alias("单号"),
+    )
+    return v.unionByName(v.where(F.col("单号").cast("long") % 50 == 0))

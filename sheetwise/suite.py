@@ -13,10 +13,16 @@ from pyspark.sql import functions as F
 
 from sheetwise.functions.columns import clean_text
 from sheetwise.functions.normalize import normalize_status, valid_email, valid_phone, with_region
+from sheetwise.functions.columns import MONEY_WORK, money, to_number
+from sheetwise.functions.normalize import day_key, order_date_text, parse_date_text
+from sheetwise.operators import cleaning as C
 from sheetwise.operators import inventory as I
+from sheetwise.operators import profile as P
 from sheetwise.operators import orders as O
 from sheetwise.operators import scores as S
-from sheetwise.sources.fixtures import inventory_rows, order_lines, student_scores
+from sheetwise.sources.fixtures import (
+    document_profile_frame, document_text_frame, inventory_rows, order_lines, raw_sales, student_scores,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -126,8 +132,80 @@ SCORE_QUERIES: dict[str, Query] = {
 }
 
 
+def _docs(fn: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: fn(document_profile_frame(spark, sf_dir))
+
+
+PROFILE_QUERIES: dict[str, Query] = {
+    "generic_profile": _docs(P.generic_profile),
+    "missing_rate": _docs(P.missing_rate),
+    "available_fields": _docs(P.available_fields),
+    "column_profile": _docs(P.column_profile),
+    "table_shape": _docs(P.table_shape),
+    "generic_findings": _docs(P.generic_findings),
+    "infer_types": lambda spark, sf_dir: P.infer_types(document_text_frame(spark, sf_dir)),
+}
+
+
+def _sales(fn: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: fn(raw_sales(spark, sf_dir))
+
+
+def _clean_date(df: DataFrame) -> DataFrame:
+    return C.cleaned(df).groupBy("date").agg(F.count(F.lit(1)).alias("row_count"))
+
+
+def _clean_number(df: DataFrame) -> DataFrame:
+    c = C.cleaned(df)
+    aggs = []
+    for col, name in (("sales_amount", "sales"), ("target_amount", "target"), ("customer_count", "customer")):
+        aggs += [F.count(col).alias(f"{name}_count"), money(F.sum(F.col(col).cast(MONEY_WORK))).alias(f"{name}_total")]
+    return c.agg(*aggs)
+
+
+def _coalesce_columns(df: DataFrame) -> DataFrame:
+    std = C.standardize_headers(C.with_missing_tokens(df))
+    return std.groupBy("region").agg(F.count(F.lit(1)).alias("row_count"))
+
+
+def _missing_tokens(df: DataFrame) -> DataFrame:
+    t = C.with_missing_tokens(df)
+    return P.missing_rate(t).select("column_name", "missing_count")
+
+
+def _to_number(df: DataFrame) -> DataFrame:
+    t = C.with_missing_tokens(df)
+    n = to_number(t, "销售额")
+    return t.agg(F.count(n).alias("parsed_count"), F.count_if(F.col("销售额").isNotNull() & n.isNull()).alias("invalid_count"),
+                 money(F.sum(n.cast(MONEY_WORK))).alias("total"))
+
+
+def _parse_dates(df: DataFrame) -> DataFrame:
+    t = C.with_missing_tokens(df)
+    d = parse_date_text(order_date_text(F.col("日期")))
+    return t.groupBy(day_key(d).alias("day_key")).agg(F.count(F.lit(1)).alias("row_count"))
+
+
+CLEANING_QUERIES: dict[str, Query] = {
+    "clean_summary": _sales(C.clean_summary),
+    "invalid_values": _sales(C.invalid_values),
+    "missing_cells": _sales(C.missing_cells),
+    "drop_empty_rows": _sales(C.drop_empty_rows),
+    "drop_duplicate_rows": _sales(C.drop_duplicate_rows),
+    "clean_table": _sales(C.cleaned),
+    "clean_date": _sales(_clean_date),
+    "clean_number": _sales(_clean_number),
+    "coalesce_columns": _sales(_coalesce_columns),
+    "missing_tokens": _sales(_missing_tokens),
+    "to_number": _sales(_to_number),
+    "parse_dates": _sales(_parse_dates),
+}
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
+    out.update(PROFILE_QUERIES)
+    out.update(CLEANING_QUERIES)
     out.update(ORDER_QUERIES)
     out.update(INVENTORY_QUERIES)
     out.update(SCORE_QUERIES)
