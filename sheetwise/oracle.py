@@ -478,8 +478,170 @@ def _cleaning_sql() -> dict[str, str]:
     return q
 
 
+def _q(v: str) -> str:
+    return "'" + v.replace("'", "''") + "'"
+
+
+def _catalog_base() -> str:
+    from sheetwise.plans.vocab import CAPABILITIES, DOMAINS, INVENTORY_CONTEXT, ORDER_CONTEXT, all_aliases
+    from sheetwise.sources.catalog import EXTRA_SALES, SEGMENT_KIND, TEMPLATES
+    tpl = ", ".join(f"({_q(k)}, {i}, {_q(zh)}, {_q(en)}, {_q(sn)}, {_q(rule)})"
+                    for k, rows in TEMPLATES.items() for i, (zh, en, sn, rule) in enumerate(rows))
+    seg = " ".join(f"when {_q(a)} then {_q(b)}" for a, b in SEGMENT_KIND.items())
+    aliases = ", ".join(f"({_q(t)}, {_q(a)})" for t, al in all_aliases().items() for a in (t, *al))
+    sig = ", ".join(f"({_q(d)}, {o}, {b}, {st}, {si}, {len(sg)}, {_q(f)})"
+                    for o, (d, _n, b, st, sigs) in enumerate(DOMAINS) for si, sg in enumerate(sigs) for f in sg)
+
+    def lst(xs):
+        return "[" + ", ".join(_q(x) for x in xs) + "]"
+    caps = ", ".join(f"({_q(d)}, {o}, {_q(cid)}, {_q(name)}, {lst(a) if a else '[]::varchar[]'}, "
+                     f"{'[' + ', '.join(lst(x) for x in y) + ']' if y else '[]::varchar[][]'})"
+                     for d, cs in CAPABILITIES.items() for o, (cid, name, a, y) in enumerate(cs))
+    zh, en, sn, rule = EXTRA_SALES
+    key = "lower(regexp_replace(trim({}), '[\\s_-]+', '', 'g'))"
+    inv = ", ".join(_q(x) for x in INVENTORY_CONTEXT)
+    ordc = ", ".join(_q(x) for x in ORDER_CONTEXT)
+    canon = ", ".join(_q(x) for x in all_aliases())
+    ck = "dataset_id"
+    remark = "case lang when 0 then '备注' when 1 then 'Remark' else 'remark' end"
+    first = ("case kind " + " ".join(
+        f"when {_q(k)} then case lang when 0 then {_q(r[0][0])} when 1 then {_q(r[0][1])} else {_q(r[0][2])} end"
+        for k, r in TEMPLATES.items()) + " end")
+    return f"""with ostat as (select o_custkey, count(*) n_all, count_if(o_orderpriority = '1-URGENT') n_urgent,
+  count_if(o_orderstatus = 'F') n_done from orders group by o_custkey),
+ds as (select c_custkey dataset_id, c_nationkey owner_id, c_name file_name,
+  coalesce(case c_mktsegment {seg} end, 'notes') kind, c_nationkey % 3 lang,
+  coalesce(n_all, 0) n_all, coalesce(n_urgent, 0) n_urgent, coalesce(n_done, 0) n_done
+ from customer left join ostat on c_custkey = o_custkey),
+tpl(kind, pos, zh, en, sn, rule) as (values {tpl}),
+cols as (
+ select dataset_id, pos, case lang when 0 then zh when 1 then en else sn end name,
+  cast(case rule when 'all' then n_all when 'urgent' then n_urgent when 'done' then n_done else 0 end as bigint) non_null
+ from ds join tpl using (kind)
+ union all
+ select dataset_id, {len(TEMPLATES['order'])}, case lang when 0 then {_q(zh)} when 1 then {_q(en)} else {_q(sn)} end, n_all
+ from ds where kind = 'order' and dataset_id % 7 = 0),
+al(target, alias) as (values {aliases}),
+ak as (select {key.format('alias')} key, target from al),
+kidx as (select key, min(target) target, count(distinct target) nt, list(distinct target) cands from ak group by key),
+rc as (
+ select c.*, {key.format('c.name')} key,
+  case when k.nt = 1 then k.target end alias_target, case when k.nt > 1 then k.cands end candidates
+ from cols c left join kidx k on {key.format('c.name')} = k.key),
+rc2 as (
+ select *, max(case when alias_target in ({inv}) then 1 else 0 end) over (partition by dataset_id) = 1 invc,
+  max(case when alias_target in ({ordc}) then 1 else 0 end) over (partition by dataset_id) = 1 ordc from rc),
+res as (
+ select dataset_id, pos, name, non_null, key, coalesce(alias_target,
+   case when candidates is null then null
+        when invc and not ordc and list_contains(candidates, 'product_name') then 'product_name'
+        when list_contains(candidates, 'product') then 'product' end) target from rc2),
+ovr as (
+ select {ck} dataset_id, 0 seq, {remark} source, 'customer_name' target from ds where {ck} % 11 = 0
+ union all select {ck}, 1, '不存在的列', 'order_id' from ds where {ck} % 13 = 0
+ union all select {ck}, 2, {remark}, 'bogus_field' from ds where {ck} % 17 = 0
+ union all select {ck}, 3, {first}, 'customer_name' from ds where {ck} % 19 = 0
+ union all select {ck}, 4, {remark}, 'order_id' from ds where {ck} % 23 = 0
+ union all select {ck}, 5, {remark}, 'phone' from ds where {ck} % 29 = 0
+ union all select {ck}, 6, {first}, 'phone' from ds where {ck} % 29 = 0),
+oerr as (
+ select o.*, case
+   when not exists (select 1 from cols c where c.dataset_id = o.dataset_id and c.name = o.source) then 'unknown_source'
+   when o.target not in ({canon}) then 'unknown_target'
+   when o.source in ({canon}) and o.source <> o.target then 'source_is_canonical'
+   when exists (select 1 from cols c where c.dataset_id = o.dataset_id and c.name = o.target)
+        and o.source <> o.target then 'target_exists'
+   when count(*) over (partition by o.dataset_id, o.target) > 1 then 'duplicate_target' end error_code
+ from ovr o),
+vov as (select dataset_id, seq, source, target from oerr
+ where dataset_id not in (select dataset_id from oerr where error_code is not null)),
+cand as (
+ select r.* from res r where r.target is not null and r.name <> r.target
+  and not exists (select 1 from vov v where v.dataset_id = r.dataset_id and v.source = r.name)),
+cg as (select dataset_id, target, string_agg(name, ',' order by pos) cn, count(*) n from cand group by all),
+og as (select dataset_id, target, string_agg(source, ',' order by seq) os from vov group by all),
+pres as (select distinct dataset_id, name target from cols where name in ({canon})),
+cmap as (
+ select cg.dataset_id, cg.target,
+  case when og.os is not null then og.os || ',' || cg.cn when p.target is not null then cg.target || ',' || cg.cn
+       else cg.cn end sources,
+  case when og.os is not null then 'conflict_override' when p.target is not null then 'conflict_canonical'
+       when cg.n = 1 then 'automatic' else 'conflict_multiple' end outcome
+ from cg left join og on cg.dataset_id = og.dataset_id and cg.target = og.target
+  left join pres p on cg.dataset_id = p.dataset_id and cg.target = p.target
+ union all select dataset_id, target, source, 'override' from vov),
+mcols as (
+ select c.dataset_id, c.pos, coalesce(m.target, c.name) name, c.non_null, c.name source from cols c
+ left join (select * from cmap where outcome in ('override', 'automatic')) m
+  on c.dataset_id = m.dataset_id and c.name = m.sources),
+sig(domain, reg_order, base, step, signal, size, field) as (values {sig}),
+hits as (select m.dataset_id, s.domain, s.reg_order, s.base, s.step, s.signal, s.size, count(distinct s.field) n
+ from (select distinct dataset_id, name from mcols) m join sig s on m.name = s.field group by all),
+dscore as (select dataset_id, domain, reg_order, count(*) matched_signals,
+  cast(least(cast(1 as decimal(6,2)), cast(any_value(base) as decimal(6,2))
+   + cast(any_value(step) as decimal(6,2)) * (count(*) - 1)) as double) score
+ from hits where n = size group by dataset_id, domain, reg_order),
+best as (select * from (select *, row_number() over (partition by dataset_id order by score desc, reg_order) rn
+ from dscore where score > 0.5) where rn = 1),
+choice as (select t.dataset_id, coalesce(b.domain, 'generic') domain, coalesce(b.score, 0.0) score
+ from (select distinct dataset_id from mcols) t left join best b on t.dataset_id = b.dataset_id),
+caps(domain, cap_order, capability_id, capability_name, all_of, any_of) as (values {caps}),
+avail as (select dataset_id, list(distinct name) filter (where non_null > 0) av from mcols group by dataset_id)
+"""
+
+
+def _catalog_sql() -> dict[str, str]:
+    from sheetwise.plans.vocab import DOMAINS, GENERIC, MISSING_REASON
+    b = _catalog_base()
+    q: dict[str, str] = {}
+    q["normalize_header"] = b + "select distinct name, key from res"
+    q["ambiguous_alias"] = b + """select r.dataset_id, r.pos, r.name, r.target from res r
+ join kidx k on r.key = k.key where k.nt > 1"""
+    q["canonical_mapping"] = b + "select * from cmap"
+    q["unmapped_columns"] = b + f"""select dataset_id, pos, name from res r
+ where r.target is null and r.name not in (select target from al)
+ and not exists (select 1 from vov v where v.dataset_id = r.dataset_id and v.source = r.name)"""
+    q["override_errors"] = b + "select dataset_id, seq, source, target, error_code from oerr where error_code is not null"
+    q["domain_score"] = b + "select dataset_id, domain, reg_order, matched_signals, score from dscore"
+    names = " ".join(f"when {_q(d)} then {_q(n)}" for d, n, *_ in DOMAINS)
+    q["domain_choice"] = b + f"""select dataset_id, domain, coalesce(case domain {names} end, {_q(GENERIC[1])}) domain_name,
+ score from choice"""
+    miss = "list_filter({}, lambda f: not list_contains(av, f))"
+    q["capability_plan"] = b + f""", pl as (
+ select ch.dataset_id, ch.domain, c.cap_order, c.capability_id, c.capability_name, c.all_of, c.any_of,
+  {miss.format('c.all_of')} am,
+  list_transform(c.any_of, lambda alt: list_filter(alt, lambda f: not list_contains(av, f))) alts
+ from choice ch join caps c on ch.domain = c.domain join avail a on ch.dataset_id = a.dataset_id),
+pl2 as (select *, coalesce(list_position(list_transform(alts, lambda m: len(m) = 0), true), 0) fo,
+  list_min(list_transform(alts, lambda m, i: {{'n': len(m), 'i': i}})) fw from pl),
+pl3 as (select *, list_concat(am, case when len(any_of) = 0 or fo > 0 then []::varchar[] else alts[fw.i] end) miss,
+  case when len(any_of) > 0 and fo > 0 then any_of[fo] else []::varchar[] end malt from pl2)
+ select dataset_id, domain, cap_order, capability_id, capability_name, len(miss) = 0 supported,
+ array_to_string(miss, ',') missing_fields,
+ case when len(miss) = 0 then array_to_string(list_concat(all_of, malt), ',') end matched_fields,
+ case when len(miss) > 0 then {_q(MISSING_REASON)} end reason from pl3"""
+    q["clean_headers"] = b + """, ch(key, target) as (values """ + ", ".join(
+        f"({_q(''.join(a.strip().lower().split()))}, {_q(t)})"
+        for t, al in __import__('sheetwise.operators.cleaning', fromlist=['x']).CLEAN_HEADER_ALIASES.items() for a in al
+    ) + """)
+ select c.dataset_id, c.pos, c.name, coalesce(ch.target, trim(c.name)) clean_name from cols c
+ left join ch on lower(regexp_replace(trim(c.name), '\\s', '', 'g')) = ch.key"""
+    q["latest_run"] = """select o_custkey dataset_id, max(o_orderkey) run_id,
+ arg_max(concat('cleaned/', cast(o_custkey as varchar), '/', cast(o_orderkey as varchar), '.parquet'), o_orderkey)
+ cleaned_storage_path from orders group by o_custkey"""
+    q["datasets_by_owner"] = b + """select dataset_id, owner_id, file_name, kind,
+ row_number() over (partition by owner_id order by dataset_id desc) position from ds"""
+    q["audit_page"] = """select id, user_id, action, total, cast(ceil(total / 20.0) as bigint) total_pages from (
+ select event_id id, user_id, event_type action, count(*) over () total from events)
+ order by id desc limit 20 offset 40"""
+    q["override_map"] = b + """select dataset_id, string_agg(source || '=' || target, ',' order by source) overrides
+ from vov group by dataset_id"""
+    return q
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
+    out.update(_catalog_sql())
     out.update(_profile_sql())
     out.update(_cleaning_sql())
     out.update(_orders_sql())

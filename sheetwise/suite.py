@@ -202,8 +202,69 @@ CLEANING_QUERIES: dict[str, Query] = {
 }
 
 
+def _catalog_queries() -> dict[str, Query]:
+    from pyspark.sql import Window
+
+    from sheetwise.plans import domains as D
+    from sheetwise.plans import mapping as MP
+    from sheetwise.sources import catalog as CT
+
+    def cols(spark, sf_dir):
+        return CT.table_columns(spark, sf_dir)
+
+    def mapped(spark, sf_dir):
+        return MP.mapped_columns(cols(spark, sf_dir), CT.overrides(spark, sf_dir))
+
+    def ambiguous(spark, sf_dir):
+        _, amb = MP.alias_index()
+        r = MP.resolved_columns(cols(spark, sf_dir))
+        return r.where(F.col("key").isin(*amb)).select("dataset_id", "pos", "name", "target")
+
+    def latest_run(spark, sf_dir):
+        runs = CT.cleaning_runs(spark, sf_dir)
+        return runs.groupBy("dataset_id").agg(F.max("run_id").alias("run_id"),
+                                              F.max_by("cleaned_storage_path", "run_id").alias("cleaned_storage_path"))
+
+    def by_owner(spark, sf_dir):
+        d = CT.datasets(spark, sf_dir)
+        w = Window.partitionBy("owner_id").orderBy(F.desc("dataset_id"))
+        return d.select("dataset_id", "owner_id", "file_name", "kind", F.row_number().over(w).alias("position"))
+
+    def audit_page(spark, sf_dir, page: int = 3, size: int = 20):
+        log = CT.audit_log(spark, sf_dir)
+        total = log.agg(F.count(F.lit(1))).scalar()
+        return (log.orderBy(F.desc("id")).offset((page - 1) * size).limit(size)
+                .select("id", "user_id", "action", total.alias("total"),
+                        F.ceil(total / F.lit(size)).cast("long").alias("total_pages")))
+
+    def override_map(spark, sf_dir):
+        ov = MP.valid_overrides(cols(spark, sf_dir), CT.overrides(spark, sf_dir))
+        entries = F.array_sort(F.collect_list(F.struct("source", "target")))
+        return ov.groupBy("dataset_id").agg(
+            F.array_join(F.transform(entries, lambda e: F.concat(e["source"], F.lit("="), e["target"])), ",")
+            .alias("overrides"))
+
+    return {
+        "normalize_header": lambda s, d: MP.header_key(cols(s, d).select("name").distinct()).select("name", "key"),
+        "clean_headers": lambda s, d: MP.clean_header_catalog(cols(s, d)),
+        "ambiguous_alias": ambiguous,
+        "canonical_mapping": lambda s, d: MP.canonical_mapping(cols(s, d), CT.overrides(s, d)),
+        "unmapped_columns": lambda s, d: MP.unmapped_columns(cols(s, d), CT.overrides(s, d)),
+        "override_errors": lambda s, d: MP.override_errors(cols(s, d), CT.overrides(s, d))
+        .where(F.col("error_code").isNotNull()),
+        "domain_score": lambda s, d: D.domain_score(mapped(s, d)),
+        "domain_choice": lambda s, d: D.domain_choice(mapped(s, d)),
+        "capability_plan": lambda s, d: D.capability_plan(mapped(s, d)),
+        "latest_run": latest_run,
+        "datasets_by_owner": by_owner,
+        "audit_page": audit_page,
+        "override_map": override_map,
+    }
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
+    out.update(_catalog_queries())
     out.update(PROFILE_QUERIES)
     out.update(CLEANING_QUERIES)
     out.update(ORDER_QUERIES)
