@@ -526,7 +526,8 @@ def data_quality(rows: DataFrame) -> DataFrame:
         F.count_if(F.col("has_unverified_amount")).alias("unverified_order_count"),
         money(F.sum("unverified_amount")).alias("unverified_amount_total"),
     )
-    return row_part.select("*", *[o.select(c).scalar().alias(c) for c in o.columns])
+    order_part = o.select(F.struct(*o.columns)).scalar()
+    return row_part.select("*", *[order_part[c].alias(c) for c in o.columns])
 
 
 def missing_summary(df: DataFrame) -> DataFrame:

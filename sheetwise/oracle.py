@@ -639,12 +639,168 @@ pl3 as (select *, list_concat(am, case when len(any_of) = 0 or fo > 0 then []::v
     return q
 
 
+def _report_sql(base: dict[str, str]) -> dict[str, str]:
+    """Findings and report tables, composed from the metric SQL above."""
+    from sheetwise.operators.findings import QUALITY_COUNTERS, UNNAMED_PRODUCT
+    from sheetwise.operators.report import (
+        BASIS_LABEL, BASIS_TEXT, INVENTORY_OVERVIEW_LABELS, KPI_ORDER, ORDER_OVERVIEW_LABELS, ORDER_SECTIONS,
+        QUALITY_LABELS, QUALITY_WARNINGS, STUDENT_OVERVIEW_LABELS,
+    )
+
+    def sub(key: str) -> str:
+        return f"({base[key]})"
+
+    def F(code, subject="null", value="null", ref="null", ref_value="null"):
+        return (f"select cast({code} as varchar) code, cast({subject} as varchar) subject, cast({value} as double) value,"
+                f" cast({ref} as varchar) reference, cast({ref_value} as double) reference_value")
+
+    def ends(key: str, order: str, value: str, name: str = "name") -> str:
+        return (f"(select {name} nm, {value} val, row_number() over (order by {order}) r, count(*) over () n "
+                f"from {sub(key)})")
+
+    def trend(key: str, prefix: str, value: str = "value") -> str:
+        e = ends(key, "name", value)
+        ch = M("l.val - f.val")
+        return (F(f"'{prefix}' || case when {ch} > 0 then '_up' when {ch} < 0 then '_down' else '_flat' end",
+                  "f.nm", f"abs({ch})", "l.nm") + f" from {e} f, {e} l where f.r = 1 and l.r = l.n and f.n >= 2")
+
+    q: dict[str, str] = {}
+    quality = " union all ".join(F("'data_quality'", f"'{c}'", c) + f" from {sub('data_quality')} where {c} > 0"
+                                 for c in QUALITY_COUNTERS)
+    re_ = ends("region_sales", "-coalesce(region_sales, 0), name", "region_sales")
+    q["order_findings"] = " union all ".join([
+        F("'low_target_completion'", "null", "completion_rate", "null", "80.0")
+        + f" from {sub('target_completion')} where completion_rate < 80",
+        F("'region_gap'", "f.nm", "f.val", "l.nm", "l.val")
+        + f" from {re_} f, {re_} l where f.r = 1 and l.r = l.n and f.n >= 2 and f.val is not null and l.val is not null",
+        F("'refund_orders'", "null", "refund_order_count") + f" from {sub('status_summary')} where refund_order_count > 0",
+        quality, trend("daily_sales", "sales_trend")])
+    perf = sub("region_performance")
+    rk = sub("region_ranking")
+    q["sales_findings"] = " union all ".join([
+        F("'low_target_completion'", "null", "completion_rate", "null", "80.0")
+        + f" from {sub('target_completion')} where completion_rate < 80",
+        F("'sales_decline'", "null", "abs(growth_rate)") + f" from {sub('growth_rate')} where growth_rate < 0",
+        F("'low_completion_regions'", "string_agg(name, '、' order by -coalesce(sales_amount, 0), name)", "count(*)",
+          "null", "80.0") + f" from {perf} where completion_rate < 80 having count(*) > 0",
+        F("'region_imbalance'", "h.name", "h.value", "l.name", "l.value")
+        + f" from {rk} h, {rk} l where h.is_highest and l.is_lowest and h.value > 0 and h.value >= l.value * 2",
+        F("'high_volatility'", "null", "coefficient_of_variation", "null", "30.0")
+        + f" from {sub('sales_volatility')} where coefficient_of_variation >= 30"
+        + f" and (select count(*) from {sub('sales_summary')}) > 0"])
+    parts = []
+    for code, key in (("subject_gap", "subject_score"), ("class_gap", "class_score")):
+        e = ends(key, "-coalesce(average, 0), name", "average")
+        parts.append(F(f"'{code}'", "f.nm", "f.val", "l.nm", "l.val")
+                     + f" from {e} f, {e} l where f.r = 1 and l.r = l.n and f.nm <> l.nm")
+    st = (f"(select coalesce(student_name, student_id) nm, average val, "
+          f"row_number() over (order by -average, student_id) r from {sub('student_rollup')})")
+    parts.append(F("'top_student'", "nm", "val") + f" from {st} where r = 1")
+    parts.append(trend("exam_trend", "exam_trend", "average"))
+    q["score_findings"] = " union all ".join(parts)
+    low = sub("low_stock")
+    first5 = (f"(select coalesce(product_name, product_id, '{UNNAMED_PRODUCT}') label, "
+              f"row_number() over (order by -shortage, coalesce(product_id, product_name, '')) r from {low})")
+    wh = ends("warehouse_stock", "-coalesce(value, 0), name", "value")
+    q["inventory_findings"] = " union all ".join([
+        F("'low_stock'", f"(select string_agg(label, '、' order by r) from {first5} where r <= 5)", "count(*)")
+        + f" from {low} having count(*) > 0",
+        trend("inventory_trend", "stock_trend"),
+        F("'leading_warehouse'", "nm", "val") + f" from {wh} where r = 1"])
+
+    def metric_rows(key: str, labels, section: str = "overview", start: int = 0) -> str:
+        return " union all ".join(
+            f"select '{section}' section, '{section}' row_key, {i + start} col_no, '{label}' header, "
+            f"cast(null as varchar) value_text, cast({k} as double) value_num from {sub(key)} where {k} is not null"
+            for i, (k, label) in enumerate(labels))
+    q["report_overview"] = metric_rows("order_overview", [(k, lab) for k, lab in ORDER_OVERVIEW_LABELS]) + (
+        f" union all select 'overview', 'overview', {len(ORDER_OVERVIEW_LABELS)}, '{BASIS_LABEL}', '{BASIS_TEXT}', null")
+    q["student_overview"] = (metric_rows("student_count", [("student_count", "学生数量")]) + " union all "
+                             + metric_rows("score_summary", [(k, lab) for k, lab in STUDENT_OVERVIEW_LABELS]))
+    q["inventory_overview"] = " union all ".join([
+        metric_rows("inventory_count", [("inventory_count", "商品数量")]),
+        metric_rows("stock_summary", [(k, lab) for k, lab in INVENTORY_OVERVIEW_LABELS]),
+        metric_rows("inventory_value", [("total", "库存价值总计"), ("average", "平均库存价值")])])
+    text_cols = {"name", "category", "customer_id", "student_id", "student_name", "product_id", "product_name"}
+
+    def long(src: str, section: str, key: str, cols) -> str:
+        return " union all ".join(
+            f"select '{section}' section, cast({key} as varchar) row_key, {i} col_no, '{h}' header, "
+            + (f"cast({c} as varchar) value_text, cast(null as double) value_num" if c in text_cols else
+               f"cast(null as varchar) value_text, cast({c} as double) value_num") + f" from {src}"
+            for i, (h, c) in enumerate(cols))
+    disc_cols = ["valid_discount_count", "discounted_order_count", "discounted_order_rate", "average_discount",
+                 "average_discounted_order_value", "estimated_discount_amount"]
+    dq_cols = ["row_count", "duplicate_row_count", "duplicate_order_id_count", "invalid_date_count",
+               "invalid_unit_price_count", "zero_unit_price_count", "invalid_quantity_count", "zero_quantity_count",
+               "invalid_discount_count", "invalid_age_count", "invalid_status_count", "unverified_amount_count",
+               "invalid_amount_count", "phone_present_count", "phone_missing_count", "phone_valid_count",
+               "phone_invalid_count", "email_present_count", "email_missing_count", "email_valid_count",
+               "email_invalid_count", "contact_complete_count", "contact_complete_rate", "amount_mismatch_count",
+               "amount_comparable_count", "amount_mismatch_rate", "unverified_order_count", "unverified_amount_total"]
+    q["report_order_tables"] = " union all ".join(
+        [long(sub(key), title, k, cols) for key, title, k, cols in ORDER_SECTIONS]
+        + [long(sub("discount_analysis"), "折扣分析", "'1'", [(c, c) for c in disc_cols]),
+           long(sub("data_quality"), "数据质量检查", "'1'", [(QUALITY_LABELS.get(c, c), c) for c in dq_cols])])
+    stats = [("有效成绩数", "count"), ("平均分", "average"), ("最高分", "maximum"), ("最低分", "minimum")]
+    q["report_student_tables"] = " union all ".join([
+        long(sub("subject_score"), "学科成绩统计", "name", [("学科", "name")] + stats),
+        long(sub("class_score"), "班级成绩统计", "name", [("班级", "name")] + stats),
+        long(sub("student_rollup"), "学生成绩汇总", "student_id",
+             [("学生编号", "student_id"), ("学生姓名", "student_name"), ("有效成绩数", "score_count"),
+              ("平均分", "average"), ("最高分", "maximum"), ("最低分", "minimum")]),
+        long(sub("exam_trend"), "考试趋势", "name", [("考试", "name"), ("平均分", "average"), ("有效成绩数", "count")])])
+    lowk = f"(select *, concat_ws('|', coalesce(product_id, ''), coalesce(product_name, '')) k from {low})"
+    q["report_inventory_tables"] = " union all ".join([
+        long(lowk, "低库存明细", "k", [("商品编号", "product_id"), ("商品名称", "product_name"),
+                                    ("当前库存", "stock_quantity"), ("安全库存", "safety_stock"), ("库存缺口", "shortage")]),
+        long(sub("category_stock"), "分类库存统计", "name", [("分类", "name"), ("库存数量", "value")]),
+        long(sub("warehouse_stock"), "仓库库存统计", "name", [("仓库", "name"), ("库存数量", "value")]),
+        long(sub("supplier_stock"), "供应商库存统计", "name", [("供应商", "name"), ("库存数量", "value")]),
+        long(sub("inventory_flow"), "库存流动统计", "'1'", [("入库总量", "total_inbound"), ("出库总量", "total_outbound"),
+                                                        ("净变化", "net_change")]),
+        long(sub("inventory_trend"), "库存趋势", "name", [("日期", "name"), ("库存总量", "value")])])
+    q["report_skipped"] = f"""select dataset_id, capability_id, capability_name || '：' ||
+ case when length(coalesce(missing_fields, '')) > 0 then '缺少 ' || replace(missing_fields, ',', '、') || ' 字段'
+ else coalesce(reason, '未生成可用计算结果') end notice from {sub('capability_plan')} where not supported"""
+    q["region_chart_series"] = f"select rank, name, value from {rk} where in_top10"
+    kpi = " union all ".join([
+        metric_rows("order_overview", [(k, lab) for k, lab, _ in KPI_ORDER], "kpi"),
+        metric_rows("customer_summary", [("unique_customer_count", "客户数量"), ("repeat_customer_rate", "复购率")], "kpi"),
+        metric_rows("status_summary", [("refund_rate", "退款率")], "kpi")])
+    warn = " union all ".join(
+        f"select 'quality_warning' section, 'quality' row_key, {i} col_no, '{lab}' header, "
+        f"cast(null as varchar) value_text, cast({k} as double) value_num from {sub('data_quality')} where {k} > 0"
+        for i, (k, lab) in enumerate(QUALITY_WARNINGS))
+    q["kpi_rows"] = kpi + " union all " + warn
+    checks = {
+        "order_count": f"(select order_count is not null from {sub('order_overview')})",
+        "product_quantity": f"(select count(*) > 0 from {sub('product_quantity')})",
+        "sales_total": f"(select verified_sales_total is not null from {sub('order_overview')})",
+        "product_sales": f"(select count(*) > 0 from {sub('product_sales')})",
+        "category_analysis": f"(select count(*) > 0 from {sub('category_sales')})",
+        "region_sales": f"(select count(*) > 0 from {sub('region_sales')})",
+        "sales_trend": f"(select count(*) > 0 from {sub('daily_sales')})",
+        "target_completion": f"(select completion_rate is not null from {sub('target_completion')})",
+        "customer_analysis": "true", "status_analysis": f"(select count(*) > 0 from {sub('status_analysis')})",
+        "payment_method_analysis": f"(select count(*) > 0 from {sub('payment_analysis')})",
+        "discount_analysis": "true", "demographic_analysis": "true", "data_quality_analysis": "true",
+    }
+    from sheetwise.plans.vocab import CAPABILITIES
+    q["analysis_coverage"] = "select capability_id, capability_name, covered, case when not covered then '' end " \
+        "missing_fields, case when not covered then '未产生可用计算结果' end reason from (" + " union all ".join(
+            f"select '{cid}' capability_id, '{name}' capability_name, {checks.get(cid, 'false')} covered"
+            for cid, name, _a, _b in CAPABILITIES["order"]) + ")"
+    return q
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(_catalog_sql())
-    out.update(_profile_sql())
-    out.update(_cleaning_sql())
     out.update(_orders_sql())
     out.update(_inventory_sql())
     out.update(_scores_sql())
+    out.update(_report_sql(dict(out)))
+    out.update(_profile_sql())
+    out.update(_cleaning_sql())
     return out

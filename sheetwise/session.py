@@ -66,6 +66,17 @@ def apply_conf(spark: SparkSession) -> None:
             pass
 
 
+def materialize(df):
+    """Cut lineage with a reliable checkpoint in the shared checkpoint folder.
+
+    Used where one prepared frame feeds many metric subqueries (findings,
+    reports): it is computed once, and a lost executor re-reads the
+    checkpoint instead of recomputing the joins.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
@@ -76,9 +87,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         spark.sparkContext.setCheckpointDir(configured)
         return configured
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
+    # tests / local runs only: no shared folder configured
     local = tempfile.mkdtemp(prefix="sheetwise-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)

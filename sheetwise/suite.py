@@ -35,6 +35,12 @@ def _on_rows(fn: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: fn(_rows(spark, sf_dir))
 
 
+def _on_saved_rows(fn: Callable[[DataFrame], DataFrame]) -> Query:
+    """For outputs built from many metrics of the same rows: prepare them once."""
+    from sheetwise.session import materialize
+    return lambda spark, sf_dir: fn(materialize(_rows(spark, sf_dir)))
+
+
 def _on_raw(fn: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: fn(order_lines(spark, sf_dir))
 
@@ -262,8 +268,39 @@ def _catalog_queries() -> dict[str, Query]:
     }
 
 
+def _report_queries() -> dict[str, Query]:
+    from sheetwise.operators import findings as FD
+    from sheetwise.operators import report as R
+    from sheetwise.plans import domains as D
+    from sheetwise.plans import mapping as MP
+    from sheetwise.sources import catalog as CT
+
+    def skipped(spark, sf_dir):
+        cols = CT.table_columns(spark, sf_dir)
+        return R.report_skipped(D.capability_plan(MP.mapped_columns(cols, CT.overrides(spark, sf_dir))))
+
+    return {
+        "order_findings": _on_saved_rows(FD.order_findings),
+        "sales_findings": _on_saved_rows(FD.sales_findings),
+        "score_findings": _stu(FD.score_findings),
+        "inventory_findings": _inv(FD.inventory_findings),
+        "safe_payload": _on_saved_rows(FD.safe_payload),
+        "report_overview": _on_saved_rows(R.report_overview),
+        "student_overview": _stu(R.student_overview),
+        "inventory_overview": _inv(R.inventory_overview),
+        "report_order_tables": _on_saved_rows(R.report_order_tables),
+        "report_student_tables": _stu(R.report_student_tables),
+        "report_inventory_tables": _inv(R.report_inventory_tables),
+        "report_skipped": skipped,
+        "region_chart_series": _on_rows(R.region_chart_series),
+        "kpi_rows": _on_saved_rows(R.kpi_rows),
+        "analysis_coverage": _on_raw(R.analysis_coverage),
+    }
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
+    out.update(_report_queries())
     out.update(_catalog_queries())
     out.update(PROFILE_QUERIES)
     out.update(CLEANING_QUERIES)
