@@ -220,7 +220,8 @@ def analysis_coverage(raw: DataFrame) -> DataFrame:
     """CTX-1 for an order table: a capability is covered when it is planned as
     supported *and* its result is neither missing nor empty."""
     from sheetwise.plans.domains import capability_plan
-    rows = O.order_rows(raw)
+    from sheetwise.session import materialize
+    rows = materialize(O.order_rows(raw))
     plan = capability_plan(single_table_catalog(raw))
     ov = O.order_overview(rows)
 
