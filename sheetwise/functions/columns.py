@@ -19,10 +19,13 @@ from pyspark.sql import types as T
 # ties are broken the same way (half up) on every engine.
 MONEY_WORK = "decimal(38,8)"
 
-# Whitespace that Python's str.strip() removes but Spark's trim() does not
-# (ideographic space U+3000, no-break space, other separators, control chars).
-_WS = r"[\s\p{Z}\x{1C}-\x{1F}\x{85}\x{FEFF}]"
-_STRIP = rf"^{_WS}+|{_WS}+$"
+# The characters Python's str.strip() removes (str.isspace()),
+# many of which Spark's trim() keeps (ideographic space U+3000, no-break space...).
+WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+              "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+              "\u2028\u2029\u202f\u205f\u3000")
+# The same set as a regular-expression class.
+_WS = r"[\s\p{Z}\x{1C}-\x{1F}\x{85}]"
 
 # Numbers accepted as text: optional sign, digits with an optional fraction,
 # optional exponent, or infinity.  Spark would also take "1d", "1f" and "nan".
@@ -34,8 +37,8 @@ def has(df: DataFrame, name: str) -> bool:
 
 
 def strip(c: Column) -> Column:
-    """Remove leading/trailing Unicode whitespace (Python ``str.strip``)."""
-    return F.regexp_replace(c, _STRIP, "")
+    """Remove leading/trailing Unicode whitespace (Python ``str.strip``), no regex."""
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def clean_text(df: DataFrame, name: str) -> Column:

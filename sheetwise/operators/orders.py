@@ -136,30 +136,30 @@ def order_level_aggs() -> list[Column]:
     ]
 
 
-def order_level_row_cols() -> list[Column]:
-    return [
-        money_dec(F.col("_verified")).alias("verified_amount"),
-        money_dec(F.col("_unverified")).alias("unverified_amount"),
-        F.col("_verified").isNotNull().alias("has_verified_amount"),
-        F.col("_unverified").isNotNull().alias("has_unverified_amount"),
-        F.col("_comparable").alias("has_comparable_amount"),
-        F.col("_mismatch").cast("long").alias("conflict_count"),
-        F.col(COPIES).alias("record_count"),
-    ]
+def order_key(rows: DataFrame) -> Column:
+    """Grouping key of the order roll-up.
+
+    Rows with an order id group by it; a row without one is an order of its
+    own and gets a unique per-row key, so missing ids never form a hot key.
+    The per-row id only has to be unique (any unique assignment gives the same
+    result), which ``monotonically_increasing_id`` guarantees also when a task
+    is re-run.
+    """
+    oid = F.col("_order_id")
+    return F.struct(oid.isNull().alias("no_id"),
+                    F.coalesce(oid, F.monotonically_increasing_id().cast("string")).alias("id"))
 
 
 def order_level(rows: DataFrame, extra_sums: tuple[str, ...] = ()) -> DataFrame:
     """AGG-4: one row per order.  Values are rounded per order (exact decimals).
 
+    One hash aggregate (partial + final), so hot orders are combined map-side.
     ``extra_sums`` are row columns summed per order as well (exact partial sums).
     """
     sums = [F.sum(c).alias(c) for c in extra_sums]
-    with_id = rows.where(F.col("_order_id").isNotNull()) \
-        .groupBy(F.col("_order_id").alias("order_id")).agg(*order_level_aggs(), *sums)
-    # rows without an order id are orders of their own: no grouping, no hot null key
-    without_id = rows.where(F.col("_order_id").isNull()).select(
-        F.lit(None).cast("string").alias("order_id"), *order_level_row_cols(), *[F.col(c) for c in extra_sums])
-    return with_id.unionByName(without_id)
+    g = rows.groupBy(order_key(rows).alias("_key")).agg(*order_level_aggs(), *sums)
+    return g.select(F.when(~F.col("_key.no_id"), F.col("_key.id")).alias("order_id"),
+                    *[c for c in g.columns if c != "_key"])
 
 
 def order_rollup(rows: DataFrame) -> DataFrame:
