@@ -803,4 +803,8 @@ def oracle_sql() -> dict[str, str]:
     out.update(_report_sql(dict(out)))
     out.update(_profile_sql())
     out.update(_cleaning_sql())
+    out["csv_scan"] = """select cast(c_custkey as varchar) c_custkey, '客户' || c_name name_cn, c_name,
+ cast(c_nationkey as varchar) c_nationkey, c_mktsegment from customer"""
+    out["xlsx_batch_scan"] = """select cast(s_suppkey as varchar) s_suppkey, s_name,
+ cast(s_nationkey as varchar) s_nationkey from supplier"""
     return out

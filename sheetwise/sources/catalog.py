@@ -124,3 +124,24 @@ def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("id"), F.col("user_id").alias("user_id"),
                     F.col("event_type").alias("action"), F.col("ts").alias("created_at"),
                     F.col("props").alias("detail"))
+
+
+def landing_folder(spark: SparkSession, sf_dir: str) -> str:
+    """Export upload files derived from the driver tables into the shared folder.
+
+    ``csv/utf8`` and ``csv/gbk`` hold the customer table (with a Chinese name
+    column) in two charsets; ``xlsx`` holds the supplier table as workbooks.
+    The export is idempotent (overwrite), so a re-run after a failure is safe.
+    """
+    from sheetwise.session import checkpoint_dir
+    from sheetwise.sources.sinks import export_csv, export_workbooks
+    root = f"{checkpoint_dir(spark)}/landing/{abs(hash(sf_dir)) % 10**8}"
+    c = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").cast("string").alias("c_custkey"), F.concat(F.lit("客户"), F.col("c_name")).alias("name_cn"),
+        "c_name", F.col("c_nationkey").cast("string").alias("c_nationkey"), "c_mktsegment")
+    export_csv(c.where(F.col("c_custkey") % 2 == 0).repartition(4), f"{root}/csv/utf8", "UTF-8")
+    export_csv(c.where(F.col("c_custkey") % 2 == 1).repartition(4), f"{root}/csv/gbk", "GBK")
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("s_suppkey"), "s_name",
+                                                F.col("s_nationkey").cast("string").alias("s_nationkey"))
+    export_workbooks(s.repartition(3), f"{root}/xlsx")
+    return root

@@ -298,8 +298,43 @@ def _report_queries() -> dict[str, Query]:
     }
 
 
+def _file_queries() -> dict[str, Query]:
+    from sheetwise.sources import catalog as CT
+    from sheetwise.sources import files as FS
+    from sheetwise.sources.sinks import preview
+
+    def csv_scan(spark, sf_dir):
+        root = CT.landing_folder(spark, sf_dir)
+        return FS.read_csv_folder(spark, f"{root}/csv/*/*.csv").drop("_file", "_pos")
+
+    def xlsx_scan(spark, sf_dir):
+        root = CT.landing_folder(spark, sf_dir)
+        return FS.workbook_frame(FS.read_workbooks(spark, f"{root}/xlsx"),
+                                 ["s_suppkey", "s_name", "s_nationkey"]).drop("_pos")
+
+    def manifest(spark, sf_dir):
+        root = CT.landing_folder(spark, sf_dir)
+        return FS.landing_manifest(spark, f"{root}/*/*").drop("path")
+
+    def file_charsets(spark, sf_dir):
+        root = CT.landing_folder(spark, sf_dir)
+        cs = FS.file_charsets(spark, f"{root}/csv/*/*.csv")
+        return cs.groupBy(F.regexp_extract("file", r"/csv/([^/]+)/", 1).alias("folder"), "charset").agg(
+            F.count(F.lit(1)).alias("files"))
+
+    return {
+        "csv_scan": csv_scan,
+        "xlsx_batch_scan": xlsx_scan,
+        "landing_manifest": manifest,
+        "csv_charsets": file_charsets,
+        "preview": lambda spark, sf_dir: preview(raw_sales(spark, sf_dir).withColumn(
+            "_pos", F.col("单号").cast("long")).where(F.col("单号").isNotNull())),
+    }
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
+    out.update(_file_queries())
     out.update(_report_queries())
     out.update(_catalog_queries())
     out.update(PROFILE_QUERIES)
