@@ -41,7 +41,9 @@ def _process(spark: SparkSession, root: str):
 def start_ingest(spark: SparkSession, landing: str, root: str, available_now: bool = True) -> StreamingQuery:
     """Start the ingest stream; ``available_now`` processes what is there and stops."""
     ckpt = f"{checkpoint_dir(spark)}/ingest-{abs(hash(landing)) % 10**8}"
-    stream = (spark.readStream.format("binaryFile").option("pathGlobFilter", "*.csv")
+    stream = (spark.readStream.format("binaryFile")
+              .schema("path string, modificationTime timestamp, length long, content binary")
+              .option("pathGlobFilter", "*.csv")
               .option("maxFilesPerTrigger", 100).load(landing))
     writer = stream.select("path", "length").writeStream.foreachBatch(_process(spark, root)) \
         .option("checkpointLocation", ckpt)
