@@ -606,6 +606,13 @@ def amount_status(rows: DataFrame) -> DataFrame:
     )
 
 
+def amount_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """NUM-5 .. NUM-7 per deduplicated row: verified, unverified, comparable, mismatch."""
+    return rows.select(*keys, money(F.col("_verified")).alias("verified_amount"),
+                       money(F.col("_unverified")).alias("unverified_amount"),
+                       F.col("_comparable").alias("amount_comparable"), F.col("_mismatch").alias("amount_mismatch"))
+
+
 def order_dedup(df: DataFrame) -> DataFrame:
     """FLT-3: row count, distinct rows and removed duplicates."""
     d = dedup_with_copies(df)

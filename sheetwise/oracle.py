@@ -259,6 +259,10 @@ def _orders_sql() -> dict[str, str]:
  from r where prod is not null group by prod having sum(case when qt >= 0 then qt end) is not null"""
     q["amount_status"] = _with() + f"""select amount_status, count(*) row_count, {M('sum(ver)')} verified_total,
  {M('sum(unver)')} unverified_total from r group by amount_status"""
+    q["verified_amount"] = _with() + f"select ok, pk, sk, ln, copies _copies, {M('ver')} verified_amount from r"
+    q["unverified_amount"] = _with() + f"select ok, pk, sk, ln, copies _copies, {M('unver')} unverified_amount from r"
+    q["amount_mismatch"] = _with() + """select ok, pk, sk, ln, copies _copies, cmp amount_comparable,
+ mis amount_mismatch from r"""
     q["order_dedup"] = _with() + """select sum(copies) row_count, count(*) distinct_row_count,
  sum(copies) - count(*) duplicate_row_count from dd"""
     q["normalize_status"] = _with() + f"""select status raw_status, {STATUS_SQL} status_code, count(*) row_count

@@ -99,6 +99,12 @@ ORDER_QUERIES: dict[str, Query] = {
     "region_performance": _on_rows(O.region_performance),
     "product_quantity": _on_rows(O.product_quantity),
     "amount_status": _on_rows(O.amount_status),
+    "verified_amount": _on_rows(lambda r: O.amount_rows(r, ["ok", "pk", "sk", "ln", "_copies"]).drop(
+        "unverified_amount", "amount_comparable", "amount_mismatch")),
+    "unverified_amount": _on_rows(lambda r: O.amount_rows(r, ["ok", "pk", "sk", "ln", "_copies"]).select(
+        "ok", "pk", "sk", "ln", "_copies", "unverified_amount")),
+    "amount_mismatch": _on_rows(lambda r: O.amount_rows(r, ["ok", "pk", "sk", "ln", "_copies"]).select(
+        "ok", "pk", "sk", "ln", "_copies", "amount_comparable", "amount_mismatch")),
     "order_dedup": _on_raw(O.order_dedup),
     "normalize_status": _on_raw(_status_words),
     "normalize_region": _on_raw(_regions),
