@@ -93,6 +93,21 @@ def _nfkc_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch
 
 
+# Text NFKC leaves unchanged for sure: ASCII and CJK unified ideographs.
+NFKC_STABLE = r"^[\x00-\x7F\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}]*$"
+
+
+@F.pandas_udf(T.StringType())
+def _nfkc_udf(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: unicodedata.normalize("NFKC", v) if isinstance(v, str) else None)
+
+
+def nfkc(text: Column) -> Column:
+    """NFKC of a text column.  Only values outside ASCII / CJK ideographs reach Python
+    (Arrow batches, no shuffle); all other values pass through unchanged."""
+    return F.coalesce(_nfkc_udf(F.when(~text.rlike(NFKC_STABLE), text)), text)
+
+
 def nfkc_lookup(df: DataFrame, text_col: str) -> DataFrame:
     """(raw, nfkc) for the distinct *non-ASCII* values of a column.
 
@@ -106,22 +121,16 @@ def nfkc_lookup(df: DataFrame, text_col: str) -> DataFrame:
     return distinct.mapInPandas(_nfkc_batches, "raw string, nfkc string")
 
 
-def with_region(df: DataFrame, source: str = "region", out: str = "_region") -> DataFrame:
-    """STR-2: add the normalised region: NFKC, collapse blanks, casefold lookup.
-
-    Unknown names are kept as written (after NFKC and blank collapsing).
-    """
-    text = clean_text(df, source)
-    if not has(df, source):
-        return df.withColumn(out, text)
-    base = df.withColumn("__region_raw", text)
-    lookup = nfkc_lookup(base, "__region_raw")
-    joined = base.join(lookup, base["__region_raw"] == lookup["raw"], "left")
-    normal = F.coalesce(F.col("nfkc"), F.col("__region_raw"))
-    normal = F.regexp_replace(F.regexp_replace(normal, rf"^{_WS}+|{_WS}+$", ""), rf"{_WS}+", " ")
+def normalize_region(text: Column) -> Column:
+    """STR-2 on cleaned text: NFKC, collapse blanks, casefold lookup; unknown kept."""
+    normal = F.regexp_replace(F.regexp_replace(nfkc(text), rf"^{_WS}+|{_WS}+$", ""), rf"{_WS}+", " ")
     normal = F.nullif(normal, F.lit(""))
-    region = F.coalesce(_literal_map(REGION_NAMES)[F.lower(normal)], normal)
-    return joined.withColumn(out, region).drop("__region_raw", "raw", "nfkc")
+    return F.coalesce(_literal_map(REGION_NAMES)[F.lower(normal)], normal)
+
+
+def with_region(df: DataFrame, source: str = "region", out: str = "_region") -> DataFrame:
+    """Add the normalised region column (a projection, no join, no shuffle)."""
+    return df.withColumn(out, normalize_region(clean_text(df, source)))
 
 
 def order_date_text(c: Column) -> Column:
@@ -132,10 +141,33 @@ def order_date_text(c: Column) -> Column:
     return F.regexp_replace(t, rf"^{_WS}+|{_WS}+$", "")
 
 
+# Shape of the text -> the ladder formats that can parse that shape (in ladder order).
+# Every ladder format only accepts its own shape, so testing the shape first and
+# parsing once gives the ladder's first-match result without failed parses.
+_N, _Y, _MON = r"\d+", r"\d{4,}", r"[A-Za-z]{3}"
+DATE_SHAPES = (
+    (rf"^{_Y}-{_N}-{_N} {_N}:{_N}:{_N}$", ("yyyy-M-d H:m:s",)),
+    (rf"^{_Y}-{_N}-{_N} {_N}:{_N}$", ("yyyy-M-d H:m",)),
+    (rf"^{_Y}-{_N}-{_N}$", ("yyyy-M-d",)),
+    (rf"^{_Y}-{_N}-{_N}T{_N}:{_N}:{_N}$", ("yyyy-M-d'T'H:m:s",)),
+    (r"^\d+$", ("yyyyMMdd", "yyyy")),
+    (rf"^{_N}-{_N}-{_Y}$", ("M-d-yyyy", "d-M-yyyy")),
+    (rf"^{_MON} {_N} {_Y}$", ("MMM d yyyy",)),
+    (rf"^{_MON} {_N}, {_Y}$", ("MMM d, yyyy",)),
+    (rf"^{_N} {_MON} {_Y} {_N}:{_N}$", ("d MMM yyyy H:m",)),
+    (rf"^{_N} {_MON} {_Y}$", ("d MMM yyyy",)),
+    (rf"^{_Y}-{_N}$", ("yyyy-M",)),
+)
+
+
 def parse_date_text(text: Column) -> Column:
-    """Mixed-format parse of normalised date text; unparsable -> NULL."""
-    attempts = [F.try_to_timestamp(text, F.lit(fmt)) for fmt in DATE_LADDER]
-    return F.coalesce(*attempts).cast("timestamp_ntz")
+    """Mixed-format parse of normalised date text (the DATE_LADDER); unparsable -> NULL."""
+    expr = None
+    for shape, fmts in DATE_SHAPES:
+        parsed = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in fmts]) if len(fmts) > 1 else \
+            F.try_to_timestamp(text, F.lit(fmts[0]))
+        expr = F.when(text.rlike(shape), parsed) if expr is None else expr.when(text.rlike(shape), parsed)
+    return expr.cast("timestamp_ntz")
 
 
 def parse_dates(df: DataFrame, name: str) -> Column:

@@ -263,7 +263,7 @@ def product_sales(rows: DataFrame) -> DataFrame:
 def category_sales(rows: DataFrame) -> DataFrame:
     """AGG-10: AGG-8 by category plus the share of the sum of rounded category sales."""
     g = rows.groupBy(F.col("_category").alias("category")).agg(*_business_aggs())
-    total = g.agg(F.sum("sales_amount")).scalar()
+    total = F.sum("sales_amount").over(Window.partitionBy())  # over the aggregated categories
     return g.select(
         "category", "order_count", F.col("quantity").cast("double").alias("quantity"),
         F.col("sales_amount").cast("double").alias("sales_amount"),
@@ -295,7 +295,10 @@ def _dated(rows: DataFrame) -> DataFrame:
 
 
 def _at_least_two(g: DataFrame) -> DataFrame:
-    return g.where(g.agg(F.count(F.lit(1))).scalar() >= 2)
+    """Keep a trend only when it has two or more points (window over the aggregated
+    points only: one row per day / month)."""
+    n = F.count(F.lit(1)).over(Window.partitionBy())
+    return g.withColumn("_n", n).where(F.col("_n") >= 2).drop("_n")
 
 
 def daily_sales(rows: DataFrame) -> DataFrame:
@@ -347,13 +350,22 @@ def customer_summary(rows: DataFrame) -> DataFrame:
     )
 
 
+def _with_total(rows: DataFrame, key: Column, aggs: list[Column]) -> DataFrame:
+    """Group rows by ``key`` and also over all rows in the *same* pass (rollup);
+    the grand total row is returned as ``_total_<col>`` columns next to every group."""
+    g = rows.rollup(key.alias("name")).agg(*aggs, F.grouping_id().alias("_gid"))
+    tot = Window.partitionBy()  # over the aggregated groups only
+    names = [c for c in g.columns if c not in ("name", "_gid")]
+    g = g.select("*", *[F.max(F.when(F.col("_gid") == 1, F.col(c))).over(tot).alias(f"_total_{c}") for c in names])
+    return g.where(F.col("_gid") == 0).drop("_gid")
+
+
 def status_analysis(rows: DataFrame) -> DataFrame:
     """AGG-14: distribution over normalised statuses (incl. 'unknown')."""
-    total = rows.agg(hybrid_order_count(F.col("_order_id"))).scalar()
-    g = rows.groupBy(F.col("_status").alias("name")).agg(
-        hybrid_order_count(F.col("_order_id")).alias("order_count"),
-        money(F.sum("_verified")).alias("sales_amount"))
-    return g.withColumn("share", pct(F.col("order_count"), total))
+    g = _with_total(rows, F.col("_status"), [hybrid_order_count(F.col("_order_id")).alias("order_count"),
+                                            money(F.sum("_verified")).alias("sales_amount")])
+    return g.select("name", "order_count", "sales_amount",
+                    pct(F.col("order_count"), F.col("_total_order_count")).alias("share"))
 
 
 def status_summary(rows: DataFrame) -> DataFrame:
@@ -378,12 +390,10 @@ def status_summary(rows: DataFrame) -> DataFrame:
 def payment_analysis(rows: DataFrame) -> DataFrame:
     """AGG-15: orders and sales per payment method, with order and sales shares."""
     r = rows.withColumn("_payment", clean_text(rows, "payment_method")).where(F.col("_payment").isNotNull())
-    totals = r.agg(hybrid_order_count(F.col("_order_id")).alias("n"), F.sum("_verified").alias("s"))
-    g = r.groupBy(F.col("_payment").alias("name")).agg(
-        hybrid_order_count(F.col("_order_id")).alias("order_count"),
-        money_dec(F.sum("_verified")).alias("sales_amount"))
-    total_orders = totals.select("n").scalar()
-    total_sales = totals.select("s").scalar()
+    g = _with_total(r, F.col("_payment"), [hybrid_order_count(F.col("_order_id")).alias("order_count"),
+                                          money_dec(F.sum("_verified")).alias("sales_amount"),
+                                          F.sum("_verified").alias("_s")])
+    total_orders, total_sales = F.col("_total_order_count"), F.col("_total__s")
     return g.select(
         "name", "order_count", F.col("sales_amount").cast("double").alias("sales_amount"),
         pct(F.col("order_count"), total_orders).alias("order_share"),

@@ -42,3 +42,17 @@ def test_profile_empty_and_all_null(spark):
     types = {r["name"]: r["data_type"] for r in rows(P.infer_types(spark.createDataFrame(
         [("1", "true", "a"), ("2.5", "false", None)], "n string, b string, t string")))}
     assert types == {"n": "number", "b": "boolean", "t": "text"}
+
+
+def test_date_shapes_equal_ladder(spark):
+    from pyspark.sql import functions as F
+
+    from sheetwise.functions.normalize import DATE_LADDER, order_date_text, parse_date_text
+    values = ["2026-07-01", "2026/7/1", "2026.07.01 08:05", "2026年7月1日", "2026-7-1T1:2:3", "20260701", "2026",
+              "01/02/2026", "13/02/2026", "Mar 5 2026", "Mar 5, 2026", "5 Mar 2026 10:30", "5 Mar 2026", "2026-07",
+              "2026-13-01", "bad", "", "2026-001-01", "09:45:30.5", "2026-02-30", "12026-1-1", None]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    t = order_date_text(F.col("v"))
+    ladder = F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in DATE_LADDER]).cast("timestamp_ntz")
+    got = df.select(ladder.alias("a"), parse_date_text(t).alias("b")).collect()
+    assert [r["a"] for r in got] == [r["b"] for r in got]
