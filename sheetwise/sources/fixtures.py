@@ -4,11 +4,10 @@ The driver tables have no defects, so defects are injected by key arithmetic;
 these are *derivations of the given tables* and grow with them.  The same
 views are written as SQL text for the DuckDB oracle (``sheetwise.oracle``).
 
-Join order is chosen for scale: the small dimension chain
-(customer -> nation -> region) is joined first, so the only wide shuffles are
-the two equi-joins of lineitem with orders (on the order key) and with part
-(on the part key).  Nation and region are tiny by definition (25 and 5 rows);
-Spark's size-checked auto broadcast picks them up, nothing is forced.
+Joins are star joins: the fact table is streamed and each dimension is joined
+on its own key, so Spark's size check decides per dimension between a
+broadcast (small dimension) and a sort-merge join (large one); nothing is
+forced.  Nation and region are tiny by definition (25 and 5 rows).
 """
 
 from __future__ import annotations
@@ -17,8 +16,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# Fact tables: large enough that per-row work should use every core.
+FACT_TABLES = ("lineitem", "orders", "events", "documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table.  A fact table whose scan has fewer splits than the cluster
+    has cores (e.g. one file with one row group) is spread round-robin over the
+    cores before the per-row work; a large input keeps its natural splits and is
+    not shuffled."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in FACT_TABLES:
+        cores = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:
+            df = df.repartition(cores)
+    return df
 
 
 def _dec(c: Column | str, p: int, s: int) -> Column:
@@ -29,20 +41,22 @@ def _dec(c: Column | str, p: int, s: int) -> Column:
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical order view (one row per line, plus exact duplicate lines)."""
     t = lambda n: table(spark, sf_dir, n)
-    region = t("region").select("r_regionkey", "r_name")
-    nation = t("nation").select("n_nationkey", "n_regionkey")
-    customer = (t("customer").select("c_custkey", "c_name", "c_nationkey")
-                .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-                .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-                .select("c_custkey", "c_name", "r_name"))
-    orders = (t("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus",
-                                 "o_orderpriority", "o_totalprice")
-              .join(customer, F.col("o_custkey") == F.col("c_custkey")))
-    part = t("part").select("p_partkey", "p_name", "p_type", "p_retailprice")
+    # Star join: the fact table is streamed and every dimension is joined on its
+    # own, so each broadcast decision is Spark's size check on one dimension
+    # (without statistics a pre-joined dimension chain would look huge).
     lines = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                                  "l_quantity", "l_discount", "l_returnflag")
+    orders = t("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus",
+                                "o_orderpriority", "o_totalprice")
+    part = t("part").select("p_partkey", "p_name", "p_type", "p_retailprice")
+    customer = t("customer").select("c_custkey", "c_name", "c_nationkey")
+    nation = t("nation").select("n_nationkey", "n_regionkey")
+    region = t("region").select("r_regionkey", "r_name")
     b = (lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-         .join(part, F.col("l_partkey") == F.col("p_partkey")))
+         .join(part, F.col("l_partkey") == F.col("p_partkey"))
+         .join(customer, F.col("o_custkey") == F.col("c_custkey"))
+         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+         .join(region, F.col("n_regionkey") == F.col("r_regionkey")))
 
     ok, pk, sk, ln, ck = (F.col(c) for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "o_custkey"))
     p = _dec("p_retailprice", 12, 2)
@@ -85,12 +99,13 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def inventory_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical inventory view: blank suppliers and non-numeric stock injected."""
     t = lambda n: table(spark, sf_dir, n)
-    supplier = (t("supplier").select("s_suppkey", "s_name", "s_nationkey")
-                .join(t("nation").select("n_nationkey", "n_name"), F.col("s_nationkey") == F.col("n_nationkey")))
+    supplier = t("supplier").select("s_suppkey", "s_name", "s_nationkey")
+    nation = t("nation").select("n_nationkey", "n_name")
     lines = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_shipdate")
     part = t("part").select("p_partkey", "p_name", "p_type", "p_size", "p_retailprice")
     b = (lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
-         .join(supplier, F.col("l_suppkey") == F.col("s_suppkey")))
+         .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+         .join(nation, F.col("s_nationkey") == F.col("n_nationkey")))
     return b.select(
         F.concat(F.lit("P-"), F.col("l_partkey").cast("string")).alias("product_id"),
         F.col("p_name").alias("product_name"),
@@ -147,11 +162,12 @@ def raw_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     currency marks, five date forms, missing-value tokens, empty and duplicate rows.
     """
     t = lambda n: table(spark, sf_dir, n)
-    supplier = (t("supplier").select("s_suppkey", "s_nationkey")
-                .join(t("nation").select("n_nationkey", "n_name"), F.col("s_nationkey") == F.col("n_nationkey")))
+    supplier = t("supplier").select("s_suppkey", "s_nationkey")
+    nation = t("nation").select("n_nationkey", "n_name")
     li = t("lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
                               "l_shipdate")
-    b = li.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    b = (li.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+         .join(nation, F.col("s_nationkey") == F.col("n_nationkey")))
     ok, sk, ln = F.col("l_orderkey"), F.col("l_suppkey"), F.col("l_linenumber")
     price = _dec("l_extendedprice", 12, 2)
     date = F.when(ln == 6, F.lit("not a date"))
