@@ -498,46 +498,67 @@ def valid_ranges(rows: DataFrame) -> DataFrame:
 
 
 def data_quality(rows: DataFrame) -> DataFrame:
-    """AGG-20: the data-quality row (scalar counters; missing values: ``missing_summary``)."""
+    """AGG-20: the data-quality row (scalar counters; missing values: ``missing_summary``).
+
+    One pass: every row counter is a per-row indicator (weighted by copies where
+    the reference counts all rows), summed per order inside the order roll-up and
+    then over orders, next to the order-level counters.
+    """
     p, q, d = F.col("_unit_price"), F.col("_quantity"), F.col("_discount")
     age = to_number(rows, "age")
-    dedup_rows = F.count(F.lit(1))
-    all_rows = F.sum(COPIES)
-    ids = F.col("_order_id")
+    copies = F.col(COPIES)
     date_bad = (F.col("date").isNotNull() & F.col("_date").isNull()) if has(rows, "date") else F.lit(False)
-    phone_ok, phone = _contact_cols(rows, "phone", valid_phone)
-    mail_ok, mail = _contact_cols(rows, "email", valid_email)
-    both = _w(phone_ok & mail_ok)
-    row_part = rows.agg(
-        all_rows.alias("row_count"),
-        (all_rows - dedup_rows).alias("duplicate_row_count"),
-        (_w(ids.isNotNull()) - F.count_distinct(ids)).alias("duplicate_order_id_count"),
-        _w(date_bad).alias("invalid_date_count"),
-        _w(p.isNotNull() & (p < 0)).alias("invalid_unit_price_count"),
-        _w(p == 0).alias("zero_unit_price_count"),
-        _w(q.isNotNull() & (q < 0)).alias("invalid_quantity_count"),
-        _w(q == 0).alias("zero_quantity_count"),
-        (_w(d.isNotNull() & ~d.between(0, 1)) if has(rows, "discount") else F.lit(0).cast("long"))
-        .alias("invalid_discount_count"),
-        _w(age.isNotNull() & ~((age > 0) & (age < 120))).alias("invalid_age_count"),
-        (_w(F.col("_status") == "unknown") if has(rows, "status") else F.lit(0).cast("long"))
-        .alias("invalid_status_count"),
-        F.count("_unverified").alias("unverified_amount_count"),
-        F.count_if(F.col("_amount_status") == "invalid_amount").alias("invalid_amount_count"),
-        *phone, *mail,
-        both.alias("contact_complete_count"),
-        pct(both, all_rows).alias("contact_complete_rate"),
-    )
-    o = order_level(rows).agg(
-        F.count_if(F.col("conflict_count") > 0).alias("amount_mismatch_count"),
-        F.count_if(F.col("has_comparable_amount")).alias("amount_comparable_count"),
-        pct(F.count_if(F.col("conflict_count") > 0), F.count_if(F.col("has_comparable_amount")))
-        .alias("amount_mismatch_rate"),
+    phone = clean_text(rows, "phone")
+    mail = clean_text(rows, "email")
+    phone_ok = phone.isNotNull() & valid_phone(phone)
+    mail_ok = mail.isNotNull() & valid_email(mail)
+
+    def w(cond: Column) -> Column:
+        return F.when(cond, copies).otherwise(F.lit(0)).cast("long")
+
+    weighted = {
+        "row_count": copies.cast("long"),
+        "invalid_date_count": w(date_bad),
+        "invalid_unit_price_count": w(p.isNotNull() & (p < 0)),
+        "zero_unit_price_count": w(p == 0),
+        "invalid_quantity_count": w(q.isNotNull() & (q < 0)),
+        "zero_quantity_count": w(q == 0),
+        "invalid_discount_count": w(d.isNotNull() & ~d.between(0, 1)) if has(rows, "discount") else F.lit(0).cast("long"),
+        "invalid_age_count": w(age.isNotNull() & ~((age > 0) & (age < 120))),
+        "invalid_status_count": w(F.col("_status") == "unknown") if has(rows, "status") else F.lit(0).cast("long"),
+        "phone_present_count": w(phone.isNotNull()), "phone_missing_count": w(phone.isNull()),
+        "phone_valid_count": w(phone_ok), "phone_invalid_count": w(phone.isNotNull() & ~phone_ok),
+        "email_present_count": w(mail.isNotNull()), "email_missing_count": w(mail.isNull()),
+        "email_valid_count": w(mail_ok), "email_invalid_count": w(mail.isNotNull() & ~mail_ok),
+        "contact_complete_count": w(phone_ok & mail_ok),
+        "_id_rows": w(F.col("_order_id").isNotNull()),
+        "_dedup_rows": F.lit(1).cast("long"),
+        "unverified_amount_count": F.col("_unverified").isNotNull().cast("long"),
+        "invalid_amount_count": (F.col("_amount_status") == "invalid_amount").cast("long"),
+    }
+    parts = {f"_dq_{k}": v for k, v in weighted.items()}
+    o = order_level(rows.withColumns(parts), tuple(parts))
+    total = {k: F.coalesce(F.sum(f"_dq_{k}"), F.lit(0)).cast("long") for k in weighted}
+    has_mismatch = F.count_if(F.col("conflict_count") > 0)
+    comparable = F.count_if(F.col("has_comparable_amount"))
+    return o.agg(
+        total["row_count"].alias("row_count"),
+        (total["row_count"] - total["_dedup_rows"]).alias("duplicate_row_count"),
+        (total["_id_rows"] - F.count("order_id")).alias("duplicate_order_id_count"),
+        *[total[k].alias(k) for k in ("invalid_date_count", "invalid_unit_price_count", "zero_unit_price_count",
+                                      "invalid_quantity_count", "zero_quantity_count", "invalid_discount_count",
+                                      "invalid_age_count", "invalid_status_count", "unverified_amount_count",
+                                      "invalid_amount_count", "phone_present_count", "phone_missing_count",
+                                      "phone_valid_count", "phone_invalid_count", "email_present_count",
+                                      "email_missing_count", "email_valid_count", "email_invalid_count",
+                                      "contact_complete_count")],
+        pct(total["contact_complete_count"], total["row_count"]).alias("contact_complete_rate"),
+        has_mismatch.alias("amount_mismatch_count"),
+        comparable.alias("amount_comparable_count"),
+        pct(has_mismatch, comparable).alias("amount_mismatch_rate"),
         F.count_if(F.col("has_unverified_amount")).alias("unverified_order_count"),
         money(F.sum("unverified_amount")).alias("unverified_amount_total"),
     )
-    order_part = o.select(F.struct(*o.columns)).scalar()
-    return row_part.select("*", *[order_part[c].alias(c) for c in o.columns])
 
 
 def missing_summary(df: DataFrame) -> DataFrame:
