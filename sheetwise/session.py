@@ -20,6 +20,15 @@ SEMANTIC_CONF = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
+# Runtime settings applied to any session the queries run in.  Generated
+# methods above 8000 bytes of bytecode are never JIT-compiled by the JVM, so a
+# wide fused stage (aggregate + many CASE/regex projections) would run
+# interpreted; with this limit Spark splits such stages instead (measured 4x on
+# the cleaning stage).
+RUNTIME_CONF = {
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+
 # Scale settings.  AQE re-plans joins and coalesces partitions at runtime, splits
 # skewed join partitions, and turns joins whose *measured* build side is below the
 # threshold into broadcast joins; nothing in this package broadcasts data whose
@@ -47,7 +56,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         builder = builder.master(master)
         builder = builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         builder = builder.config("spark.driver.memory", os.environ.get("SHEETWISE_DRIVER_MEMORY", "16g"))
-    for key, value in {**SEMANTIC_CONF, **SCALE_CONF}.items():
+    for key, value in {**SEMANTIC_CONF, **RUNTIME_CONF, **SCALE_CONF}.items():
         builder = builder.config(key, value)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -58,8 +67,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def apply_conf(spark: SparkSession) -> None:
-    """Apply the semantic settings to an existing session (e.g. the driver's)."""
-    for key, value in SEMANTIC_CONF.items():
+    """Apply the semantic and runtime settings to an existing session (e.g. the driver's)."""
+    for key, value in {**SEMANTIC_CONF, **RUNTIME_CONF}.items():
         try:
             spark.conf.set(key, value)
         except Exception:  # static conf on an already running session
