@@ -41,6 +41,9 @@ SCALE_CONF = {
     "spark.sql.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Many analyses per prepared table generate many stage classes; keep their
+    # compiled (and JIT-warmed) code instead of recompiling after eviction.
+    "spark.sql.codegen.cache.maxEntries": "2000",
 }
 
 
