@@ -79,14 +79,17 @@ def apply_conf(spark: SparkSession) -> None:
 
 
 def materialize(df):
-    """Cut lineage with a reliable checkpoint in the shared checkpoint folder.
+    """Cut lineage by writing a Parquet table into the shared checkpoint folder.
 
     Used where one prepared frame feeds many metric subqueries (findings,
-    reports): it is computed once, and a lost executor re-reads the
-    checkpoint instead of recomputing the joins.
+    reports, catalogue plans): it is computed once; every reader then scans
+    only the columns it needs, and a lost executor re-reads the files instead
+    of recomputing the joins.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    import uuid
+    path = f"{checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

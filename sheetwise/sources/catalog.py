@@ -64,9 +64,9 @@ def datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
                     *[F.coalesce(F.col(n), F.lit(0)).cast("long").alias(n) for n in ("n_all", "n_urgent", "n_done")])
 
 
-def table_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+def table_columns(spark: SparkSession, sf_dir: str, d: DataFrame | None = None) -> DataFrame:
     """``(dataset_id, pos, name, non_null)`` for every column of every dataset."""
-    d = datasets(spark, sf_dir)
+    d = d if d is not None else datasets(spark, sf_dir)
     arr = F.lit(None)
     for kind, rows in TEMPLATES.items():
         arr = F.when(F.col("kind") == kind, _template_array(rows)).otherwise(arr)
@@ -82,9 +82,9 @@ def table_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("dataset_id", F.col("t.pos").alias("pos"), name.alias("name"), non_null.cast("long").alias("non_null"))
 
 
-def overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+def overrides(spark: SparkSession, sf_dir: str, d: DataFrame | None = None) -> DataFrame:
     """``(dataset_id, seq, source, target)`` user overrides, some of them invalid on purpose."""
-    d = datasets(spark, sf_dir)
+    d = d if d is not None else datasets(spark, sf_dir)
     ck = F.col("dataset_id")
     remark = F.when(F.col("lang") == 0, REMARK[0]).when(F.col("lang") == 1, REMARK[1]).otherwise(REMARK[2])
     first_by_kind = F.lit(None).cast("string")

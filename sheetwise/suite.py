@@ -221,11 +221,19 @@ def _catalog_queries() -> dict[str, Query]:
     from sheetwise.plans import mapping as MP
     from sheetwise.sources import catalog as CT
 
+    from sheetwise.session import materialize
+
+    def catalog(spark, sf_dir):
+        """The dataset table is derived once (checkpointed); columns and overrides from it."""
+        d = materialize(CT.datasets(spark, sf_dir))
+        return CT.table_columns(spark, sf_dir, d), CT.overrides(spark, sf_dir, d)
+
     def cols(spark, sf_dir):
-        return CT.table_columns(spark, sf_dir)
+        return catalog(spark, sf_dir)[0]
 
     def mapped(spark, sf_dir):
-        return MP.mapped_columns(cols(spark, sf_dir), CT.overrides(spark, sf_dir))
+        # read by both the domain choice and the availability lists: computed once
+        return materialize(MP.mapped_columns(*catalog(spark, sf_dir)))
 
     def ambiguous(spark, sf_dir):
         _, amb = MP.alias_index()
@@ -250,7 +258,7 @@ def _catalog_queries() -> dict[str, Query]:
                         F.ceil(total / F.lit(size)).cast("long").alias("total_pages")))
 
     def override_map(spark, sf_dir):
-        ov = MP.valid_overrides(cols(spark, sf_dir), CT.overrides(spark, sf_dir))
+        ov = MP.valid_overrides(*catalog(spark, sf_dir))
         entries = F.array_sort(F.collect_list(F.struct("source", "target")))
         return ov.groupBy("dataset_id").agg(
             F.array_join(F.transform(entries, lambda e: F.concat(e["source"], F.lit("="), e["target"])), ",")
@@ -260,10 +268,9 @@ def _catalog_queries() -> dict[str, Query]:
         "normalize_header": lambda s, d: MP.header_key(cols(s, d).select("name").distinct()).select("name", "key"),
         "clean_headers": lambda s, d: MP.clean_header_catalog(cols(s, d)),
         "ambiguous_alias": ambiguous,
-        "canonical_mapping": lambda s, d: MP.canonical_mapping(cols(s, d), CT.overrides(s, d)),
-        "unmapped_columns": lambda s, d: MP.unmapped_columns(cols(s, d), CT.overrides(s, d)),
-        "override_errors": lambda s, d: MP.override_errors(cols(s, d), CT.overrides(s, d))
-        .where(F.col("error_code").isNotNull()),
+        "canonical_mapping": lambda s, d: MP.canonical_mapping(*catalog(s, d)),
+        "unmapped_columns": lambda s, d: MP.unmapped_columns(*catalog(s, d)),
+        "override_errors": lambda s, d: MP.override_errors(*catalog(s, d)).where(F.col("error_code").isNotNull()),
         "domain_score": lambda s, d: D.domain_score(mapped(s, d)),
         "domain_choice": lambda s, d: D.domain_choice(mapped(s, d)),
         "capability_plan": lambda s, d: D.capability_plan(mapped(s, d)),
@@ -282,8 +289,10 @@ def _report_queries() -> dict[str, Query]:
     from sheetwise.sources import catalog as CT
 
     def skipped(spark, sf_dir):
-        cols = CT.table_columns(spark, sf_dir)
-        return R.report_skipped(D.capability_plan(MP.mapped_columns(cols, CT.overrides(spark, sf_dir))))
+        from sheetwise.session import materialize
+        d = materialize(CT.datasets(spark, sf_dir))
+        cols = CT.table_columns(spark, sf_dir, d)
+        return R.report_skipped(D.capability_plan(MP.mapped_columns(cols, CT.overrides(spark, sf_dir, d))))
 
     return {
         "order_findings": _on_saved_rows(FD.order_findings),
