@@ -69,8 +69,35 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in executors' Python workers (pandas UDFs,
+    ``mapInPandas``): zip it once per SparkContext and register it with
+    ``addPyFile``, which distributes it to every executor."""
+    import zipfile
+
+    key = id(spark.sparkContext)
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    fd, path = tempfile.mkstemp(prefix="sheetwise-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _dirs, files in os.walk(pkg):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(dirpath, name)
+                    z.write(full, os.path.relpath(full, root))
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(key)
+
+
 def apply_conf(spark: SparkSession) -> None:
     """Apply the semantic and runtime settings to an existing session (e.g. the driver's)."""
+    ship_package(spark)
     for key, value in {**SEMANTIC_CONF, **RUNTIME_CONF}.items():
         try:
             spark.conf.set(key, value)
