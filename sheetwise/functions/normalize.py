@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -86,13 +85,6 @@ def valid_email(text: Column) -> Column:
     return F.coalesce(text.rlike(rf"^(?:{EMAIL_PATTERN})$"), F.lit(False))
 
 
-def _nfkc_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        raw = batch["raw"]
-        batch["nfkc"] = raw.map(lambda v: unicodedata.normalize("NFKC", v) if v is not None else None)
-        yield batch
-
-
 # Text NFKC leaves unchanged for sure: ASCII and CJK unified ideographs.
 NFKC_STABLE = r"^[\x00-\x7F\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}]*$"
 
@@ -108,19 +100,6 @@ def nfkc(text: Column) -> Column:
     return F.coalesce(_nfkc_udf(F.when(~text.rlike(NFKC_STABLE), text)), text)
 
 
-def nfkc_lookup(df: DataFrame, text_col: str) -> DataFrame:
-    """(raw, nfkc) for the distinct *non-ASCII* values of a column.
-
-    NFKC is the identity on ASCII text, so only the (few) distinct non-ASCII
-    values go through Python, in Arrow batches; Spark dedups them first with a
-    partial aggregate, so the Python side never sees a value twice per task.
-    """
-    distinct = (df.select(F.col(text_col).alias("raw"))
-                .where(F.col("raw").rlike(r"[^\x00-\x7F]"))
-                .distinct())
-    return distinct.mapInPandas(_nfkc_batches, "raw string, nfkc string")
-
-
 def normalize_region(text: Column) -> Column:
     """STR-2 on cleaned text: NFKC, collapse blanks, casefold lookup; unknown kept."""
     normal = F.regexp_replace(F.regexp_replace(nfkc(text), rf"^{_WS}+|{_WS}+$", ""), rf"{_WS}+", " ")
