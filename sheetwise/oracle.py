@@ -540,7 +540,7 @@ res as (
    case when candidates is null then null
         when invc and not ordc and list_contains(candidates, 'product_name') then 'product_name'
         when list_contains(candidates, 'product') then 'product' end) target from rc2),
-ovr as (
+ovr0 as (
  select {ck} dataset_id, 0 seq, {remark} source, 'customer_name' target from ds where {ck} % 11 = 0
  union all select {ck}, 1, '不存在的列', 'order_id' from ds where {ck} % 13 = 0
  union all select {ck}, 2, {remark}, 'bogus_field' from ds where {ck} % 17 = 0
@@ -548,6 +548,7 @@ ovr as (
  union all select {ck}, 4, {remark}, 'order_id' from ds where {ck} % 23 = 0
  union all select {ck}, 5, {remark}, 'phone' from ds where {ck} % 29 = 0
  union all select {ck}, 6, {first}, 'phone' from ds where {ck} % 29 = 0),
+ovr as (select dataset_id, max(seq) seq, source, arg_max(target, seq) target from ovr0 group by dataset_id, source),
 oerr as (
  select o.*, case
    when not exists (select 1 from cols c where c.dataset_id = o.dataset_id and c.name = o.source) then 'unknown_source'
@@ -640,6 +641,19 @@ pl3 as (select *, list_concat(am, case when len(any_of) = 0 or fo > 0 then []::v
  order by id desc limit 20 offset 40"""
     q["override_map"] = b + """select dataset_id, string_agg(source || '=' || target, ',' order by source) overrides
  from vov group by dataset_id"""
+    q["mapping_preview"] = b + """, un as (select dataset_id, pos, name from res r
+ where r.target is null and r.name not in (select target from al)
+ and not exists (select 1 from vov v where v.dataset_id = r.dataset_id and v.source = r.name))
+ select t.dataset_id, o.overrides, m.mappings, coalesce(c.conflicts, 0) conflicts, u.unmapped
+ from (select distinct dataset_id from cols) t
+ left join (select dataset_id, string_agg(source || '=' || target, ',' order by source) overrides from vov
+            group by dataset_id) o on t.dataset_id = o.dataset_id
+ left join (select dataset_id, string_agg(sources || '->' || target, ',' order by sources || '->' || target) mappings
+            from cmap where outcome in ('override', 'automatic') group by dataset_id) m on t.dataset_id = m.dataset_id
+ left join (select dataset_id, count(*) conflicts from cmap where outcome like 'conflict%' group by dataset_id) c
+  on t.dataset_id = c.dataset_id
+ left join (select dataset_id, string_agg(name, ',' order by pos) unmapped from un group by dataset_id) u
+  on t.dataset_id = u.dataset_id"""
     return q
 
 

@@ -106,7 +106,8 @@ def overrides(spark: SparkSession, sf_dir: str, d: DataFrame | None = None) -> D
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    # an override set is a map: a later entry for the same source replaces the earlier one
+    return out.groupBy("dataset_id", "source").agg(F.max("seq").alias("seq"), F.max_by("target", "seq").alias("target"))
 
 
 def cleaning_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

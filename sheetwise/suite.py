@@ -278,6 +278,7 @@ def _catalog_queries() -> dict[str, Query]:
         "datasets_by_owner": by_owner,
         "audit_page": audit_page,
         "override_map": override_map,
+        "mapping_preview": lambda s, d: MP.mapping_preview(*catalog(s, d)),
     }
 
 
