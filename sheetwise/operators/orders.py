@@ -139,15 +139,16 @@ def order_level_aggs() -> list[Column]:
 def order_key(rows: DataFrame) -> Column:
     """Grouping key of the order roll-up.
 
-    Rows with an order id group by it; a row without one is an order of its
-    own and gets a unique per-row key, so missing ids never form a hot key.
-    The per-row id only has to be unique (any unique assignment gives the same
-    result), which ``monotonically_increasing_id`` guarantees also when a task
-    is re-run.
+    Rows with an order id group by it.  A row without one is an order of its own:
+    its key is the row itself (rows are distinct after deduplication), built only
+    when the id is missing.  The key is deterministic, so a stage re-run after a
+    lost executor produces the same groups, and missing ids never form a hot key.
     """
     oid = F.col("_order_id")
-    return F.struct(oid.isNull().alias("no_id"),
-                    F.coalesce(oid, F.monotonically_increasing_id().cast("string")).alias("id"))
+    # all columns: derived ones are functions of the row and do not split groups
+    row_cols = [F.col(f"`{c}`") for c in rows.columns]
+    return F.struct(oid.isNull().alias("no_id"), oid.alias("id"),
+                    F.when(oid.isNull(), F.struct(*row_cols)).alias("row"))
 
 
 def order_level(rows: DataFrame, extra_sums: tuple[str, ...] = ()) -> DataFrame:
