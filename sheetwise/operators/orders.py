@@ -136,19 +136,22 @@ def order_level_aggs() -> list[Column]:
     ]
 
 
-def order_key(rows: DataFrame) -> Column:
-    """Grouping key of the order roll-up.
+_ROW_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+             "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
-    Rows with an order id group by it.  A row without one is an order of its own:
-    its key is the row itself (rows are distinct after deduplication), built only
-    when the id is missing.  The key is deterministic, so a stage re-run after a
-    lost executor produces the same groups, and missing ids never form a hot key.
+
+def order_key(rows: DataFrame) -> list[Column]:
+    """Grouping keys of the order roll-up: ``(order id, row key)``.
+
+    Rows with an order id group by it (row key NULL).  A row without one is an
+    order of its own: its row key is the (deduplicated, hence unique) row itself as
+    JSON, computed only when the id is missing.  Both keys are flat and
+    deterministic, so a stage re-run after a lost executor produces the same groups,
+    and missing ids never form a hot key.
     """
     oid = F.col("_order_id")
-    # all columns: derived ones are functions of the row and do not split groups
-    row_cols = [F.col(f"`{c}`") for c in rows.columns]
-    return F.struct(oid.isNull().alias("no_id"), oid.alias("id"),
-                    F.when(oid.isNull(), F.struct(*row_cols)).alias("row"))
+    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), _ROW_JSON)
+    return [oid.alias("order_id"), F.when(oid.isNull(), row).alias("_row_key")]
 
 
 def order_level(rows: DataFrame, extra_sums: tuple[str, ...] = ()) -> DataFrame:
@@ -158,9 +161,8 @@ def order_level(rows: DataFrame, extra_sums: tuple[str, ...] = ()) -> DataFrame:
     ``extra_sums`` are row columns summed per order as well (exact partial sums).
     """
     sums = [F.sum(c).alias(c) for c in extra_sums]
-    g = rows.groupBy(order_key(rows).alias("_key")).agg(*order_level_aggs(), *sums)
-    return g.select(F.when(~F.col("_key.no_id"), F.col("_key.id")).alias("order_id"),
-                    *[c for c in g.columns if c != "_key"])
+    g = rows.groupBy(*order_key(rows)).agg(*order_level_aggs(), *sums)
+    return g.drop("_row_key")
 
 
 def order_rollup(rows: DataFrame) -> DataFrame:
