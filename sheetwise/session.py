@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -119,18 +120,24 @@ def materialize(df):
     return df.sparkSession.read.parquet(path)
 
 
+_LOCAL_CHECKPOINTS: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the session has none (local tests) a scratch folder is created and
-    registered; on a cluster the configured shared folder is always used.
+    Only a session whose driver and executors are one process (tests, local runs) gets a
+    scratch folder when none is set; on a cluster a missing setting is an error, since
+    other machines would not see the driver's disk.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        spark.sparkContext.setCheckpointDir(configured)
-        return configured
-    # tests / local runs only: no shared folder configured
-    local = tempfile.mkdtemp(prefix="sheetwise-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    if not configured:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL_CHECKPOINTS:
+            _LOCAL_CHECKPOINTS[app] = tempfile.mkdtemp(prefix="sheetwise-ckpt-")
+        configured = _LOCAL_CHECKPOINTS[app]
+    spark.sparkContext.setCheckpointDir(configured)
+    return configured
