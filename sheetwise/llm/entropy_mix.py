@@ -14,8 +14,8 @@ per round, with a bracket that halves the interval where a step would leave it.
 
 *Copies.*  A document takes the whole part of its rate, and one copy more if its key - hash /
 (hash + fraction) - is below the source's threshold.  The threshold is found by histograms of that
-key, finer in each round, so that the words taken come within about one document of
-the target.  Hashes come from id and text: reruns agree.
+key, finer in each level.  What is missing then, less than one document, is filled up in
+two rounds with further copies of much smaller documents.  Hashes come from id and text: reruns agree.
 
 All steps are DataFrame functions; the driver sees sums over sources only.
 
@@ -33,6 +33,7 @@ from sheetwise.llm.common import discard, parallelism, save, source_key
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
+FILLS = 2
 _BINS = 1024
 _HASHES = float(1 << 52)
 
@@ -138,26 +139,24 @@ def _key(u: Column, r: Column) -> Column:
     return u / (u + r - F.floor(r))
 
 
-def _bin(key: Column, low: Column, width: Column) -> Column:
-    return F.floor((key - low) / width).cast("long")
+def _again(u: Column, fill: int) -> Column:
+    """A further hash in (0, 1), one for each filling round."""
+    return (F.pmod(F.xxhash64(u, F.lit(fill)), F.lit(1 << 52)) + 0.5) / _HASHES
 
 
-def thresholds(sizes: DataFrame, rates: DataFrame, most: float = 3.0, levels: int = 3) -> DataFrame:
-    """``rates`` with ``threshold``: a document whose key is below it
-    takes one copy more.  Each level looks at one bin of the level before, 1024 times finer."""
-    keyed = save(sizes.filter("size > 0").join(rates.select("src", "lam", "scale"), "src")
-                 .select("src", "size", "u", rate(F.col("size"), F.col("lam"), F.col("scale"), most).alias("r"))
-                 .select("src", "size", F.floor("r").alias("whole"), _key(F.col("u"), F.col("r")).alias("key")))
-    taken = keyed.groupBy("src").agg(F.sum(F.col("whole") * F.col("size")).alias("whole_words"))
-    state = save(rates.join(taken, "src", "left").select(
-        "src", (F.col("target") - F.coalesce("whole_words", F.lit(0))).alias("need"),
-        F.lit(0.0).alias("low"), F.lit(1.0 / _BINS).alias("width")))
+def _prefix(pool: DataFrame, needs: DataFrame, levels: int, nearest: bool = False) -> DataFrame:
+    """Per source the ``threshold`` of ``key`` below which the pool's documents together have at
+    most the ``need``ed words (or come nearest to it), and the words still needed.
+
+    Each level is a histogram over one bin of the level before, 1024 times finer.
+    """
+    state = save(needs.select("src", "need", F.lit(0.0).alias("low"), F.lit(1.0 / _BINS).alias("width")))
     for _ in range(levels):
-        binned = (keyed.join(state, "src").withColumn("bin", _bin(F.col("key"), F.col("low"), F.col("width")))
-                  .filter((F.col("bin") >= 0) & (F.col("bin") < _BINS))
+        bin_ = F.floor((F.col("key") - F.col("low")) / F.col("width")).cast("long")
+        binned = (pool.join(state, "src").withColumn("bin", bin_).filter((F.col("bin") >= 0) & (F.col("bin") < _BINS))
                   .groupBy("src", "bin").agg(F.sum("size").alias("words")))
         upto = F.sum("words").over(Window.partitionBy("src").orderBy("bin"))
-        sums = binned.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("words")).join(state.select("src", "need"), "src")
+        sums = binned.withColumn("before", upto - F.col("words")).join(state.select("src", "need"), "src")
         # the bin in which the need is met; the last one if the bins fall short
         hit = (sums.filter("before <= need").groupBy("src")
                .agg(F.max(F.struct("bin", "before", "words")).alias("h")).select("src", "h.*"))
@@ -167,16 +166,46 @@ def thresholds(sizes: DataFrame, rates: DataFrame, most: float = 3.0, levels: in
             (F.col("width") / _BINS).alias("width"), F.coalesce("words", F.lit(0)).alias("words")))
         discard(state)
         state = after
-    # what is left in the last bin is taken if it brings the sum nearer
-    width = F.col("width") * _BINS
-    last = F.when(F.col("words") - F.col("need") < F.col("need"), F.col("low") + width).otherwise(F.col("low"))
-    return rates.join(state.select("src", last.alias("threshold")), "src")
-
-
-def copies(size: Column, u: Column, lam: Column, scale: Column, threshold: Column, most: float = 3.0) -> Column:
-    r = rate(size, lam, scale, most)
-    more = (r > F.floor(r)) & (_key(u, r) < threshold)
-    return (F.floor(r) + F.when(more, 1).otherwise(0)).cast("long")
+    with_bin = (F.col("words") - F.col("need") < F.col("need")) if nearest else (F.col("words") <= F.col("need"))
+    return state.select("src", F.when(with_bin, F.col("low") + F.col("width") * _BINS).otherwise(F.col("low")).alias("threshold"),
+                        (F.col("need") - F.when(with_bin, F.col("words")).otherwise(0)).alias("need"))
+
+
+def thresholds(sizes: DataFrame, rates: DataFrame, most: float = 3.0, fills: int = FILLS) -> DataFrame:
+    """``rates`` with ``threshold`` and, for each filling round i, ``limit_i`` and ``threshold_i``.
+
+    The first threshold leaves less than one document of the need.  Each filling round
+    gives one copy more to documents of at most a quarter of what is missing.
+    """
+    decided = rates
+    tilted = save(sizes.filter("size > 0").join(rates.select("src", "lam", "scale"), "src")
+                  .withColumn("r", rate(F.col("size"), F.col("lam"), F.col("scale"), most)).select("src", "size", "u", "r"))
+    whole = tilted.groupBy("src").agg(F.sum(F.floor("r") * F.col("size")).alias("whole"))
+    needs = rates.join(whole, "src", "left").select("src", (F.col("target") - F.coalesce("whole", F.lit(0))).alias("need"))
+    found = save(_prefix(tilted.select("src", "size", _key(F.col("u"), F.col("r")).alias("key")), needs, 3))
+    decided = decided.join(found.select("src", "threshold"), "src")
+    for fill in range(1, fills + 1):
+        # a need below zero (rounding of whole rates) fills nothing
+        limits = save(found.select("src", "need", (F.col("need") / 4).alias(f"limit_{fill}")))
+        state = decided.join(limits.drop("need"), "src")
+        pool = (sizes.filter("size > 0").join(state.drop("source", "source_size", "n_docs", "target"), "src")
+                .filter(F.col("size") <= F.col(f"limit_{fill}")).filter(_copies(fill - 1, most) < most)
+                .select("src", "size", _again(F.col("u"), fill).alias("key")))
+        found = save(_prefix(pool, limits, 2, nearest=fill == fills))
+        decided = state.join(found.select("src", F.col("threshold").alias(f"threshold_{fill}")), "src")
+    return decided
+
+
+def _copies(fills: int, most: float) -> Column:
+    """Copies after the given number of filling rounds, from the columns of ``thresholds``."""
+    size, u = F.col("size"), F.col("u")
+    r = rate(size, F.col("lam"), F.col("scale"), most)
+    more = (r > F.floor(r)) & (_key(u, r) < F.col("threshold"))
+    out = (F.floor(r) + F.when(more, 1).otherwise(0)).cast("long")
+    for fill in range(1, fills + 1):
+        more = (size <= F.col(f"limit_{fill}")) & (_again(u, fill) < F.col(f"threshold_{fill}")) & (out < most)
+        out = out + F.when(more, 1).otherwise(0)
+    return out
 
 
 def plan(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0) -> DataFrame:
@@ -188,9 +217,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0
         text: str = "text", source: str = "source") -> DataFrame:
     """Per document ``(doc_id, size, source_size, target, copies, taken)``."""
     sizes = save(measured(docs, id_col, text, source))
-    decided = plan(sizes, weights, most).drop("source")
-    return (sizes.join(decided, "src")
-            .withColumn("copies", copies(F.col("size"), F.col("u"), F.col("lam"), F.col("scale"), F.col("threshold"), most))
+    return (sizes.join(plan(sizes, weights, most).drop("source"), "src").withColumn("copies", _copies(FILLS, most))
             .select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")))
 
 
@@ -199,8 +226,8 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3
     """The documents themselves, each as often as the mix takes it.  Sizes are counted again
     beside the text, so that texts aren't shuffled to meet their copies."""
     sizes = save(measured(docs, id_col, text, source))
-    decided = plan(sizes, weights, most).select(F.col("src").alias("_src"), F.col("lam").alias("_lam"), F.col("scale").alias("_scale"),
-                                                F.col("threshold").alias("_threshold"))
-    times = copies(word_count(F.col(text)), unit_hash(F.col(id_col), F.col(text)), F.col("_lam"), F.col("_scale"), F.col("_threshold"), most)
-    return (docs.withColumn("_src", source_key(source)).join(decided, "_src")
-            .withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*docs.columns))
+    decided = plan(sizes, weights, most).drop("source", "source_size", "n_docs", "target")
+    mine = docs.select(F.struct(*docs.columns).alias("doc"), source_key(source).alias("src"), word_count(F.col(text)).alias("size"),
+                       unit_hash(F.col(id_col), F.col(text)).alias("u"))
+    return (mine.join(decided, "src").withColumn("copies", _copies(FILLS, most).cast("int"))
+            .select("doc", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("doc.*"))
