@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetwise.llm import centroid_lang, entropy_mix, packing, queries, secret_index, simhash_anchor
-from sheetwise.llm.common import apply_conf
+from sheetwise.llm.common import prepare
 from sheetwise.session import checkpoint_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -17,20 +17,20 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest language centroid rejects go."""
-    apply_conf(spark)
+    prepare(spark)
     model = centroid_lang.fit(docs)
     return docs.withColumn("_p", centroid_lang.predicted(F.col("text"), model)).filter("not _p.rejected").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component stays: the one with the smallest id."""
-    apply_conf(spark)
+    prepare(spark)
     return simhash_anchor.keep_one(docs.select(*COLUMNS), queries.SHINGLE, queries.MAX_BITS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked; documents without any stay as they are."""
-    apply_conf(spark)
+    prepare(spark)
     masked = docs.withColumn("_t", secret_index.redacted(F.col("text")))
     return masked.select("doc_id", F.col("_t").alias("text"), "lang", "source",
                          F.when(F.col("_t") == F.col("text"), F.col("n_chars")).otherwise(F.length("_t").cast("long")).alias("n_chars"))
@@ -38,13 +38,13 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix of sources takes it."""
-    apply_conf(spark)
+    prepare(spark)
     return entropy_mix.mixed(docs.select(*COLUMNS))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The training sequences."""
-    apply_conf(spark)
+    prepare(spark)
     return packing.pack(docs, *queries.tokenizer_paths(), max_len=queries.SEQUENCE)
 
 
@@ -57,7 +57,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's rows are written and read again."""
-    apply_conf(spark)
+    prepare(spark)
     folder = f"{checkpoint_dir(spark)}/pipeline/{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):

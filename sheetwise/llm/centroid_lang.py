@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheetwise.llm.common import save
+from sheetwise.llm.common import save, tidy
 
 DIMS = 4096
 UNKNOWN = "und"
@@ -117,6 +117,7 @@ def fit(docs: DataFrame, per_lang: int = 512, clusters: int = 4, reject: float =
     chosen = ids.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_lang).select("id", "lang").distinct()
 
     @F.pandas_udf("binary")
+    @tidy
     def vector(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             counts = (ngram_counts(t) if t else None for t in batch)
@@ -156,6 +157,7 @@ def predicted(text: Column, model: Model) -> Column:
     """Struct ``(lang_pred, score, rejected)`` of a text column."""
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
+    @tidy
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             lang, score, rejected = model.predict(list(batch))

@@ -2,14 +2,51 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetwise.session import apply_conf, checkpoint_dir
 
-__all__ = ["apply_conf", "read_table", "save", "discard", "parallelism", "source_key"]
+__all__ = ["prepare", "tidy", "read_table", "save", "discard", "parallelism", "source_key"]
+
+
+# Whole texts go to Python in batches; a few megabytes of them at a time keep the
+# memory of a worker small beside its largest document.
+BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
+}
+
+
+def prepare(spark: SparkSession) -> None:
+    """Session settings that the corpus operators rely on."""
+    apply_conf(spark)
+    for key, value in BATCHES.items():
+        spark.conf.set(key, value)
+
+
+def tidy(batches_to_batches: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """For a function over the batches of a task: a Python worker that waits for its next
+    task gives the memory of this one back, as several wait beside the JVM."""
+
+    @functools.wraps(batches_to_batches)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from batches_to_batches(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return run
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

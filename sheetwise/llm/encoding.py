@@ -16,6 +16,16 @@ import numpy as np
 _OTHER = re.compile(r"[^\t\n\r -~\xa1-ɏ]|\s{1000}")
 
 
+@functools.lru_cache(maxsize=4)
+def _file(path: str):
+    """The `tokenizers` file, loaded when the first text needs it."""
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(path)
+    found.encode_special_tokens = True
+    return found
+
+
 @functools.lru_cache(maxsize=4)
 def encoder(path: str, ranks_path: str | None = None) -> Callable[[str], np.ndarray]:
     """Function from a whole text to its ids (``add_special_tokens=False``).
@@ -24,13 +34,9 @@ def encoder(path: str, ranks_path: str | None = None) -> Callable[[str], np.ndar
     vocabulary as ranks.  The strings of special tokens are ordinary text.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
 
     def by_file(text: str) -> np.ndarray:
-        return np.array(slow.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
+        return np.array(_file(path).encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
 
     if ranks_path is None:
         return by_file

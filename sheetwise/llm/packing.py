@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheetwise.llm.common import tidy
 from sheetwise.llm.encoding import encoder
 
 _FLUSH_BYTES = 8 << 20
@@ -48,6 +49,7 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, max_len: int
     kind = docs.schema[id_col].dataType
     schema = f"doc_id {kind.simpleString()}, start long, length long, ids binary, doc_tokens long"
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, ranks)
         for batch in batches:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from sheetwise.llm.common import parallelism
+from sheetwise.llm.common import parallelism, tidy
 
 BUCKETS = 512
 WINDOW = 11
@@ -88,6 +88,7 @@ def fingerprint(text: Column) -> Column:
     """Digest of a text column."""
 
     @F.pandas_udf("string")
+    @tidy
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield batch.map(lambda t: digest((t or "").encode())).astype(object)
@@ -150,6 +151,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
     order = sorted(top)
     before = {r: order[i - 1] for i, r in enumerate(order)}
 
+    @tidy
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -166,6 +168,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
             yield _rows(out, (pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.string(), pa.binary()),
                         ["r", "guest", "doc_id", "sha", "fp", "packed"])
 
+    @tidy
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sheetwise.llm import (centroid_lang, entropy_mix, packing, pii_spans, quartile_digest, secret_index,
                            simhash_anchor, token_counts, url_rules, va_file)
-from sheetwise.llm.common import read_table
+from sheetwise.llm.common import prepare, read_table
 
 # Production parameters.
 TOKENIZER_FILE = "byte_bpe_50k.json"
@@ -112,8 +112,14 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_token_counts, op3_simhash, op4_packing, op5_topk, op6_secrets,
-                                    op7_fingerprint, op8_language, op9_pii, op10_mix)}
+    def ready(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            prepare(spark)
+            return f(spark, sf_dir)
+        return run
+
+    return {f.__name__: ready(f) for f in (op1_url_filter, op2_token_counts, op3_simhash, op4_packing, op5_topk, op6_secrets,
+                                           op7_fingerprint, op8_language, op9_pii, op10_mix)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -32,6 +32,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sheetwise.llm.common import tidy
+
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 # Strings multiplied out at most before the trigrams are taken.
@@ -189,6 +191,7 @@ def secret_spans(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     """Spans of the secrets of a text column."""
 
     @F.pandas_udf(SPANS)
+    @tidy
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             spans = scan_segment([t or "" for t in batch], rules)
@@ -201,6 +204,7 @@ def redacted(text: Column, rules: tuple[Rule, ...] = RULES, mark: str = "[secret
     """The text with every secret (overlapping spans together) replaced by ``mark``; null stays null."""
 
     @F.pandas_udf("string")
+    @tidy
     def hide(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             texts = list(batch)

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetwise.llm.common import discard, parallelism, save
+from sheetwise.llm.common import discard, parallelism, save, tidy
 
 BITS = 64
 SEED = 42
@@ -71,6 +71,7 @@ def simhash(text: Column, shingle: int) -> Column:
     """The fingerprint's 64 bits as a (signed) long."""
 
     @F.pandas_udf("long")
+    @tidy
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             yield pd.Series(np.array([fingerprint(t, shingle) for t in batch], dtype=np.uint64).view(np.int64))
@@ -163,6 +164,7 @@ def near_links(fps: DataFrame, max_bits: int, code: tuple[str, ...] = CODE) -> D
     spread = fps.select("fp").repartition(parallelism(fps.sparkSession), "fp")
 
     def at_anchors(extra: int, name: str) -> DataFrame:
+        @tidy
         def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 every = batch.column(0).to_numpy()

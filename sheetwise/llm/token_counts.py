@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheetwise.llm.common import tidy
 from sheetwise.llm.encoding import encoder
 
 # Lengths per block of the two-level suffix sum.
@@ -28,6 +29,7 @@ def encoded_lengths(docs: DataFrame, tokenizer: str, ranks: str | None = None, t
     """One row ``length`` per document."""
 
     @F.pandas_udf("long")
+    @tidy
     def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = encoder(tokenizer, ranks)
         for batch in texts:

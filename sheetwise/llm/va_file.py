@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheetwise.llm.common import parallelism, save
+from sheetwise.llm.common import parallelism, save, tidy
 
 CELLS = 256
 BLOCK = 4096
@@ -50,6 +50,7 @@ def integer_vectors(rows: DataFrame, scale: int, id_col: str, vector: str) -> Da
     good = x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
 
     @F.pandas_udf("binary")
+    @tidy
     def pack(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield batch.map(lambda v: _floor(np.asarray(v, np.float64) * scale).astype("<i8").tobytes())
@@ -80,6 +81,7 @@ def _blocks(classes: DataFrame, size: int, with_cells: bool) -> DataFrame:
     cells of the block's grid, or the exact integers."""
     schema = "dim int, block long, cids binary, data binary, low binary, width binary"
 
+    @tidy
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cids, vecs = batch.column(0).to_numpy(), batch.column(1).to_pylist()
@@ -117,6 +119,7 @@ def _scan(pairs: DataFrame, k: int) -> DataFrame:
     """Bounds ``(qid, cid, lower, upper)`` of the classes of each pair of blocks that the
     block alone cannot rule out."""
 
+    @tidy
     def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
