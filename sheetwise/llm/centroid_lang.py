@@ -114,7 +114,8 @@ def fit(docs: DataFrame, per_lang: int = 512, clusters: int = 4, reject: float =
     """Model of the labelled rows of ``docs``: at most ``per_lang`` documents for each language."""
     ids = docs.filter(F.col(lang).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang).alias("lang"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = ids.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_lang).select("id", "lang").distinct()
+    # written first, so that Spark knows its size and need not shuffle the texts to meet it
+    chosen = save(ids.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_lang).select("id", "lang").distinct())
 
     @F.pandas_udf("binary")
     @tidy
