@@ -113,6 +113,9 @@ def fit(docs: DataFrame, per_lang: int = 512, clusters: int = 4, reject: float =
         text: str = "text", lang: str = "lang") -> Model:
     """Model of the labelled rows of ``docs``: at most ``per_lang`` documents for each language."""
     ids = docs.filter(F.col(lang).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang).alias("lang"))
+    # a share of each language by hash, twice the bound on average, so that no task ranks all of one
+    share = save(ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select("lang", (2.0 * per_lang / F.col("n")).alias("share")))
+    ids = ids.join(share, "lang").filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     # written first, so that Spark knows its size and need not shuffle the texts to meet it
     chosen = save(ids.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_lang).select("id", "lang").distinct())
