@@ -153,8 +153,9 @@ def _prefix(pool: DataFrame, needs: DataFrame, levels: int, nearest: bool = Fals
     state = save(needs.select("src", "need", F.lit(0.0).alias("low"), F.lit(1.0 / _BINS).alias("width")))
     for _ in range(levels):
         bin_ = F.floor((F.col("key") - F.col("low")) / F.col("width")).cast("long")
-        binned = (pool.join(state, "src").withColumn("bin", bin_).filter((F.col("bin") >= 0) & (F.col("bin") < _BINS))
-                  .groupBy("src", "bin").agg(F.sum("size").alias("words")))
+        # written, so that rows meet by source and bin, and by source only when bins are summed up
+        binned = save(pool.join(state, "src").withColumn("bin", bin_).filter((F.col("bin") >= 0) & (F.col("bin") < _BINS))
+                      .groupBy("src", "bin").agg(F.sum("size").alias("words")))
         upto = F.sum("words").over(Window.partitionBy("src").orderBy("bin"))
         sums = binned.withColumn("before", upto - F.col("words")).join(state.select("src", "need"), "src")
         # the bin in which the need is met; the last one if the bins fall short
@@ -165,6 +166,7 @@ def _prefix(pool: DataFrame, needs: DataFrame, levels: int, nearest: bool = Fals
             (F.col("low") + F.coalesce("bin", F.lit(0)) * F.col("width")).alias("low"),
             (F.col("width") / _BINS).alias("width"), F.coalesce("words", F.lit(0)).alias("words")))
         discard(state)
+        discard(binned)
         state = after
     with_bin = (F.col("words") - F.col("need") < F.col("need")) if nearest else (F.col("words") <= F.col("need"))
     return state.select("src", F.when(with_bin, F.col("low") + F.col("width") * _BINS).otherwise(F.col("low")).alias("threshold"),
@@ -187,7 +189,8 @@ def thresholds(sizes: DataFrame, rates: DataFrame, most: float = 3.0, fills: int
     for fill in range(1, fills + 1):
         # a need below zero (rounding of whole rates) fills nothing
         limits = save(found.select("src", "need", (F.col("need") / 4).alias(f"limit_{fill}")))
-        state = decided.join(limits.drop("need"), "src")
+        # written: its small size is then known, and documents need not be shuffled to meet it
+        state = save(decided.join(limits.drop("need"), "src"))
         pool = (sizes.filter("size > 0").join(state.drop("source", "source_size", "n_docs", "target"), "src")
                 .filter(F.col("size") <= F.col(f"limit_{fill}")).filter(_copies(fill - 1, most) < most)
                 .select("src", "size", _again(F.col("u"), fill).alias("key")))
