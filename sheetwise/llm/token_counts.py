@@ -18,11 +18,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheetwise.llm.common import tidy
+from sheetwise.llm.common import save, tidy
 from sheetwise.llm.encoding import encoder
 
 # Lengths per block of the two-level suffix sum.
-BLOCK = 4096
+BLOCK = 256
 
 
 def encoded_lengths(docs: DataFrame, tokenizer: str, ranks: str | None = None, text: str = "text") -> DataFrame:
@@ -47,7 +47,8 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     Suffix sums have two levels: within a block of lengths, and over the totals of
     the blocks, so that no task sees all distinct lengths.
     """
-    hist = (lengths.groupBy("length").agg(F.count(F.lit(1)).alias("n_docs"))
+    # written: both levels read the histogram, and texts are encoded once
+    hist = (save(lengths.groupBy("length").agg(F.count(F.lit(1)).alias("n_docs")))
             .withColumn("n_tokens", F.col("length") * F.col("n_docs"))
             .withColumn("block", F.floor(F.col("length") / BLOCK)))
     blocks = hist.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("n_tokens").alias("t"))
