@@ -1,4 +1,4 @@
-"""The registered queries of the corpus operators, with DuckDB SQL where it can say the same."""
+"""The registered queries of the corpus operators."""
 
 from __future__ import annotations
 
@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from sheetwise.llm import (centroid_lang, entropy_mix, packing, pii_spans, quartile_digest, secret_index,
                            simhash_anchor, token_counts, url_rules, va_file)
 from sheetwise.llm.common import prepare, read_table
+from sheetwise.llm.oracle import oracle_sql
+
+__all__ = ["queries", "oracle_sql"]
 
 # Production parameters.
 TOKENIZER_FILE = "byte_bpe_50k.json"
@@ -121,6 +124,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: ready(f) for f in (op1_url_filter, op2_token_counts, op3_simhash, op4_packing, op5_topk, op6_secrets,
                                            op7_fingerprint, op8_language, op9_pii, op10_mix)}
 
-
-def oracle_sql() -> dict[str, str]:
-    return {}
