@@ -75,8 +75,9 @@ def to_number(df: DataFrame, name: str) -> Column:
 
 
 def money(c: Column) -> Column:
-    """NUM-2: round half up to 2 decimals on an exact decimal, as DOUBLE."""
-    return F.round(c.cast(MONEY_WORK), 2).cast("double")
+    """NUM-2: round half up to 2 decimals on an exact decimal, as DOUBLE.  A number beyond the
+    working decimal (and infinity) has no cents and is kept as it is."""
+    return F.coalesce(F.round(c.try_cast(MONEY_WORK), 2).cast("double"), c.cast("double"))
 
 
 def pct(part: Column, whole: Column) -> Column:

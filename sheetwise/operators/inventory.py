@@ -15,7 +15,7 @@ from sheetwise.functions.normalize import day_key, parse_dates
 
 
 def exact(c: Column) -> Column:
-    return c.cast(MONEY_WORK)
+    return c.try_cast(MONEY_WORK)
 
 
 def _empty(df: DataFrame, schema: str) -> DataFrame:

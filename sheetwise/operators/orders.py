@@ -44,7 +44,7 @@ AGE_BANDS = ((0, 18, "18以下"), (18, 25, "18-24"), (25, 35, "25-34"), (35, 45,
 
 def money_dec(c: Column) -> Column:
     """Half-up rounding to 2 decimals, kept as an exact decimal for later sums."""
-    return F.round(c.cast(MONEY_WORK), 2)
+    return F.round(c.try_cast(MONEY_WORK), 2)
 
 
 def hybrid_count_if(cond: Column, order_id: Column) -> Column:
@@ -326,7 +326,8 @@ def monthly_orders(rows: DataFrame) -> DataFrame:
 def customer_rollup(rows: DataFrame) -> DataFrame:
     """AGG-18a: per customer id: orders, verified sales, first non-empty name."""
     name = clean_text(rows, "customer_name")
-    first_name = F.min_by(name, F.col(POS)) if POS in rows.columns else F.min(name)
+    # the first name that is not blank; without positions the table has no first row
+    first_name = F.min_by(name, F.when(name.isNotNull(), F.col(POS))) if POS in rows.columns else F.min(name)
     return rows.where(F.col("_customer_id").isNotNull()).groupBy(F.col("_customer_id").alias("customer_id")).agg(
         hybrid_order_count(F.col("_order_id")).alias("order_count"),
         money(F.sum("_verified")).alias("sales_amount"),

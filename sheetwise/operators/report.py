@@ -34,7 +34,7 @@ ORDER_OVERVIEW_LABELS = (
 )
 BASIS_LABEL = "统计口径"
 BASIS_TEXT = ("销售金额优先采用单价 × 数量 × 有效折扣计算得到的可验证金额；"
-              "仅存在原始订单金额且无法验证的记录单独列示，不计入已验证销售额。")
+              "仅存在原始订单金额且无法验证的记录不计入已验证销售额。")
 STUDENT_OVERVIEW_LABELS = (("count", "有效成绩数量"), ("average", "平均分"), ("median", "中位数"),
                            ("maximum", "最高分"), ("minimum", "最低分"))
 INVENTORY_OVERVIEW_LABELS = (("count", "有效库存记录数"), ("total", "库存总量"), ("average", "平均库存"),

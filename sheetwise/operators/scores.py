@@ -16,7 +16,7 @@ def _score(df: DataFrame) -> Column:
 
 
 def _stats(s: Column, count_name: str = "count") -> list[Column]:
-    return [F.count(s).alias(count_name), money(F.avg(s.cast(MONEY_WORK))).alias("average"),
+    return [F.count(s).alias(count_name), money(F.avg(s.try_cast(MONEY_WORK))).alias("average"),
             money(F.max(s)).alias("maximum"), money(F.min(s)).alias("minimum")]
 
 
@@ -83,11 +83,11 @@ def exam_trend(df: DataFrame) -> DataFrame:
         dated = scored.where(d.isNotNull())
         has_date = dated.agg(F.count(F.lit(1)) > 0).scalar()
         parts.append(dated.groupBy(day_key(d).alias("name")).agg(
-            money(F.avg(s.cast(MONEY_WORK))).alias("average"), F.count(s).alias("count")).where(has_date))
+            money(F.avg(s.try_cast(MONEY_WORK))).alias("average"), F.count(s).alias("count")).where(has_date))
     if has(df, "exam_name"):
         named = scored.where(non_empty(df, "exam_name"))
         parts.append(named.groupBy(strip(F.col("exam_name").cast("string")).alias("name")).agg(
-            money(F.avg(s.cast(MONEY_WORK))).alias("average"), F.count(s).alias("count")).where(~has_date))
+            money(F.avg(s.try_cast(MONEY_WORK))).alias("average"), F.count(s).alias("count")).where(~has_date))
     if not parts:
         return df.sparkSession.createDataFrame([], "name string, average double, count long")
     out = parts[0]

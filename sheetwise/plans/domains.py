@@ -42,9 +42,10 @@ def signal_frame(spark: SparkSession, domains: list[Domain] | None = None) -> Da
                                        "signal int, signal_size int, field string")
 
 
-def capability_frame(spark: SparkSession) -> DataFrame:
+def capability_frame(spark: SparkSession, domains: list[Domain] | None = None) -> DataFrame:
     rows = []
-    for domain, caps in CAPABILITIES.items():
+    offered = CAPABILITIES | {d.id: d.capabilities for d in domains or []}
+    for domain, caps in offered.items():
         for order, (cid, name, all_of, any_of) in enumerate(caps):
             rows.append((domain, order, cid, name, list(all_of), [list(a) for a in any_of]))
     return spark.createDataFrame(rows, "domain string, cap_order int, capability_id string, capability_name string, "
@@ -85,7 +86,7 @@ def domain_choice(mapped: DataFrame, domains: list[Domain] | None = None) -> Dat
                     F.coalesce(F.col("b.score"), F.lit(0.0)).alias("score"))
 
 
-def capability_plan(mapped: DataFrame, choice: DataFrame | None = None) -> DataFrame:
+def capability_plan(mapped: DataFrame, choice: DataFrame | None = None, domains: list[Domain] | None = None) -> DataFrame:
     """PLN-1: per table and capability of its domain: supported, missing and matched fields.
 
     Availability uses only columns with at least one filled value.  ``all_of``
@@ -94,10 +95,10 @@ def capability_plan(mapped: DataFrame, choice: DataFrame | None = None) -> DataF
     (earliest on ties) is reported.
     """
     spark = mapped.sparkSession
-    choice = choice if choice is not None else domain_choice(mapped)
+    choice = choice if choice is not None else domain_choice(mapped, domains)
     avail = mapped.groupBy("dataset_id").agg(
         F.collect_set(F.when(F.col("non_null") > 0, F.col("name"))).alias("avail"))
-    caps = F.broadcast(capability_frame(spark))
+    caps = F.broadcast(capability_frame(spark, domains))
     j = choice.select("dataset_id", "domain").join(caps, "domain").join(avail, "dataset_id")
     av = F.col("avail")
     missing_of = lambda arr: F.filter(arr, lambda f: ~F.array_contains(av, f))

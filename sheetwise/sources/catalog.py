@@ -12,6 +12,8 @@ cases injected by key arithmetic), cleaning runs and the audit log.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,13 +138,13 @@ def landing_folder(spark: SparkSession, sf_dir: str) -> str:
     """
     from sheetwise.session import checkpoint_dir
     from sheetwise.sources.sinks import export_csv, export_workbooks
-    root = f"{checkpoint_dir(spark)}/landing/{abs(hash(sf_dir)) % 10**8}"
+    root = f"{checkpoint_dir(spark)}/landing/{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
     c = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").cast("string").alias("c_custkey"), F.concat(F.lit("客户"), F.col("c_name")).alias("name_cn"),
         "c_name", F.col("c_nationkey").cast("string").alias("c_nationkey"), "c_mktsegment")
-    export_csv(c.where(F.col("c_custkey") % 2 == 0).repartition(4), f"{root}/csv/utf8", "UTF-8")
-    export_csv(c.where(F.col("c_custkey") % 2 == 1).repartition(4), f"{root}/csv/gbk", "GBK")
+    export_csv(c.where(F.col("c_custkey") % 2 == 0), f"{root}/csv/utf8", "UTF-8")
+    export_csv(c.where(F.col("c_custkey") % 2 == 1), f"{root}/csv/gbk", "GBK")
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("s_suppkey"), "s_name",
                                                 F.col("s_nationkey").cast("string").alias("s_nationkey"))
-    export_workbooks(s.repartition(3), f"{root}/xlsx")
+    export_workbooks(s, f"{root}/xlsx")
     return root

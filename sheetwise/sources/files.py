@@ -1,8 +1,9 @@
 """Uploaded files as DataFrames (SRC-1 .. SRC-4).
 
-* CSV folders: the charset of every file is decided on Spark
-  (``read.text`` + ``is_valid_utf8``), then one CSV scan per charset reads
-  every column as text (``inferSchema`` off: ids keep their leading zeros).
+* CSV folders: charset and header line of every file are decided on Spark
+  (``read.text`` + ``is_valid_utf8``), then one CSV scan per charset and header reads
+  every column as text (``inferSchema`` off: ids keep their leading zeros).  Quoted
+  newlines and doubled quotes are part of a value.
 * Workbooks (.xlsx): ``binaryFile`` + ``mapInPandas``; each task opens its own
   workbooks with the standard library (zip + XML), so workbooks are read in
   parallel and never pass through the driver.
@@ -34,37 +35,49 @@ MAX_UPLOAD_BYTES = 20 * 1024 * 1024
 CHARSETS = ("UTF-8", "GBK")
 
 
-def file_charsets(spark: SparkSession, path: str) -> DataFrame:
-    """(file, charset): UTF-8 when every line of the file is valid UTF-8, else GBK."""
+def file_heads(spark: SparkSession, path: str) -> DataFrame:
+    """(file, charset, head): UTF-8 when every line of the file is valid UTF-8, else GBK; ``head``
+    is the raw first line."""
     lines = spark.read.option("lineSep", "\n").text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.is_valid_utf8(F.col("value").cast("binary")).alias("ok"))
-    per_file = lines.groupBy("file").agg(F.bool_and("ok").alias("utf8"))
-    return per_file.select("file", F.when(F.col("utf8"), CHARSETS[0]).otherwise(CHARSETS[1]).alias("charset"))
+        F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("line"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("place"))
+    first = F.min_by("line", "place")
+    per_file = lines.groupBy("file").agg(F.bool_and(F.is_valid_utf8(F.col("line"))).alias("utf8"), first.alias("head"))
+    return per_file.select("file", F.when(F.col("utf8"), CHARSETS[0]).otherwise(CHARSETS[1]).alias("charset"),
+                           F.rtrim(F.hex("head")).alias("head"))
+
+
+def file_charsets(spark: SparkSession, path: str) -> DataFrame:
+    """(file, charset) of every file."""
+    return file_heads(spark, path).select("file", "charset")
+
 
+def csv_groups(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
+    """Files that one scan may read together: the same charset and header line.  File names
+    are all that reaches the driver, as Spark's own file listing does."""
+    groups = file_heads(spark, path).groupBy("charset", "head").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    return sorted((row["charset"], row["files"]) for row in groups.collect())
 
-def read_csv_folder(spark: SparkSession, path: str, files_by_charset: dict[str, list[str]] | None = None) -> DataFrame:
+
+def read_csv_group(spark: SparkSession, charset: str, files: list[str]) -> DataFrame:
+    """SRC-1 + SRC-3 for files of one charset and header; an empty tail of a file is no row."""
+    df = (spark.read.option("header", True).option("inferSchema", False).option("encoding", charset)
+          .option("multiLine", True).option("quote", '"').option("escape", '"').csv(files))
+    return tokens_to_null(df.withColumns({
+        "_file": F.col("_metadata.file_path"),
+        "_pos": F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id())}))
+
+
+def read_csv_folder(spark: SparkSession, path: str) -> DataFrame:
     """SRC-1 + SRC-3: every CSV file of a folder as text columns, tokens -> NULL.
 
-    The charset table is tiny (one row per file) and is the only thing that
-    reaches the driver; the rows are read by one CSV scan per charset.
+    Files with other headers are read apart and brought together by column name.
     """
-    if files_by_charset is None:
-        files_by_charset = {}
-        for row in file_charsets(spark, path).collect():
-            files_by_charset.setdefault(row["charset"], []).append(row["file"])
-    frames = []
-    for charset, files in sorted(files_by_charset.items()):
-        df = (spark.read.option("header", True).option("inferSchema", False).option("encoding", charset)
-              .option("multiLine", False).csv(files))
-        df = df.withColumns({"_file": F.col("_metadata.file_path"),
-                             "_pos": F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id())})
-        frames.append(df)
-    if not frames:
-        return spark.createDataFrame([], "_file string")
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return tokens_to_null(out)
+    out = None
+    for charset, files in csv_groups(spark, path):
+        part = read_csv_group(spark, charset, files)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return spark.createDataFrame([], "_file string") if out is None else out
 
 
 def tokens_to_null(df: DataFrame) -> DataFrame:
@@ -132,6 +145,20 @@ def parse_first_sheet(content: bytes) -> list[list[str | None]]:
         return rows
 
 
+def unique_headers(cells: list[str | None]) -> list[str]:
+    """Header names: blanks are numbered by column, a repeated name gets .1, .2, ... (the
+    first such name that is free)."""
+    out: list[str] = []
+    for i, cell in enumerate(cells):
+        name = base = cell if cell is not None else f"Unnamed: {i}"
+        n = 0
+        while name in out:
+            n += 1
+            name = f"{base}.{n}"
+        out.append(name)
+    return out
+
+
 def _workbook_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
@@ -139,10 +166,9 @@ def _workbook_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows = parse_first_sheet(bytes(content))
             if not rows:
                 continue
-            header = [h if h is not None else f"Unnamed: {i}" for i, h in enumerate(rows[0])]
+            header = unique_headers(rows[0])
             for pos, r in enumerate(rows[1:]):
-                values = {header[i]: (r[i] if i < len(r) else None) for i in range(len(header))}
-                out.append((path, pos, list(header), [values[h] for h in header]))
+                out.append((path, pos, header, [r[i] if i < len(r) else None for i in range(len(header))]))
         yield pd.DataFrame(out, columns=["file", "pos", "header", "cells"])
 
 
@@ -166,21 +192,21 @@ def workbook_frame(rows: DataFrame, header: list[str]) -> DataFrame:
 # Landing manifest
 
 
-def landing_manifest(spark: SparkSession, path: str) -> DataFrame:
+def landing_manifest(spark: SparkSession, path: str, max_bytes: int = MAX_UPLOAD_BYTES) -> DataFrame:
     """SRC-4: one row per landed file with the acceptance decision.
 
     Rules (first failing wins): extension, empty file, size limit, no data row.
     The data-row check counts non-blank text lines of CSV files (header + 1).
     """
     files = spark.read.format("binaryFile").load(path).select(F.col("path"), F.col("length"))
-    lines = (spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    lines = (spark.read.option("pathGlobFilter", "*.[cC][sS][vV]").text(path).select(F.col("_metadata.file_path").alias("path"), "value")
              .where(F.length(F.trim("value")) > 0).groupBy("path").agg(F.count(F.lit(1)).alias("lines")))
     ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     m = files.join(lines, "path", "left")
     has_rows = F.when(ext == ".csv", F.coalesce(F.col("lines"), F.lit(0)) >= 2).otherwise(F.lit(True))
     reason = (F.when(~ext.isin(*ALLOWED_EXTENSIONS), "unsupported_extension")
               .when(F.col("length") == 0, "empty_file")
-              .when(F.col("length") > MAX_UPLOAD_BYTES, "too_large")
+              .when(F.col("length") > max_bytes, "too_large")
               .when(~has_rows, "no_data_rows"))
     return m.select("path", "length", ext.alias("extension"), reason.isNull().alias("valid"),
                     reason.alias("reject_reason"))

@@ -16,21 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-# Fact tables: large enough that per-row work should use every core.
-FACT_TABLES = ("lineitem", "orders", "events", "documents", "pages", "conversations")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table.  A fact table whose scan has fewer splits than the cluster
-    has cores (e.g. one file with one row group) is spread round-robin over the
-    cores before the per-row work; a large input keeps its natural splits and is
-    not shuffled."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name in FACT_TABLES:
-        cores = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < cores:
-            df = df.repartition(cores)
-    return df
+    """A driver table, read with its natural splits."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _dec(c: Column | str, p: int, s: int) -> Column:

@@ -24,21 +24,45 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Audit detail length and preview size.
+# Length of an audit detail where it is shown, and preview size.
 AUDIT_DETAIL_CHARS = 500
 PREVIEW_ROWS = 20
 
 
+def clean_path(root: str, dataset_id: int, run_id: int) -> str:
+    return f"{root}/cleaned/dataset_id={dataset_id}/run_id={run_id}"
+
+
 def clean_sink(df: DataFrame, root: str, dataset_id: int, run_id: int) -> str:
-    """SNK-1: write the cleaned rows of one run to a new folder; the source is untouched."""
-    path = f"{root}/cleaned/dataset_id={dataset_id}/run_id={run_id}"
+    """SNK-1: write the cleaned rows of one run to a new folder; the source is untouched.
+
+    A run that has been committed (it has a run row) is never written again; a folder that
+    a failed attempt left behind is."""
+    path = clean_path(root, dataset_id, run_id)
+    if _committed(df.sparkSession, root, dataset_id, run_id):
+        raise ValueError(f"run {run_id} of dataset {dataset_id} is committed")
     df.write.mode("overwrite").parquet(path)
     return path
 
 
+def _committed(spark: SparkSession, root: str, dataset_id: int, run_id: int) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/runs")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return False
+    rows = spark.read.parquet(f"{root}/runs").where((F.col("dataset_id") == dataset_id) & (F.col("run_id") == run_id))
+    return not rows.isEmpty()
+
+
 def run_append(spark: SparkSession, root: str, run: dict) -> None:
-    """SNK-3: append the run row (after the data is written): the commit marker."""
-    spark.createDataFrame([run]).write.mode("append").parquet(f"{root}/runs")
+    """SNK-3: write the run row (after the data is written): the commit marker.  A repeated
+    call replaces the row of its (dataset, run)."""
+    write_runs(spark.createDataFrame([run]), root)
+
+
+def write_runs(runs: DataFrame, root: str) -> None:
+    """Run rows in one folder per (dataset, run), so a retried write never doubles a row."""
+    runs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset_id", "run_id") \
+        .parquet(f"{root}/runs")
 
 
 def latest_runs(spark: SparkSession, root: str) -> DataFrame:
@@ -53,7 +77,8 @@ def read_latest(spark: SparkSession, root: str, dataset_id: int) -> DataFrame:
     row = latest_runs(spark, root).where(F.col("dataset_id") == dataset_id).select("cleaned_storage_path").first()
     if row is None:
         raise ValueError("dataset has no cleaning run")
-    return spark.read.parquet(f"{root}/{row[0]}")
+    path = row[0]
+    return spark.read.parquet(path if "/" in path[:1] or ":" in path or path.startswith(root) else f"{root}/{path}")
 
 
 def catalog_append(spark: SparkSession, root: str, dataset: dict, profile: DataFrame) -> None:
@@ -69,8 +94,8 @@ def override_replace(spark: SparkSession, root: str, dataset_id: int, overrides:
     Only that dataset's partition is overwritten (dynamic partition overwrite);
     ``{}`` clears it.  An invalid set raises before anything is written.
     """
-    from sheetwise.plans.mapping import validate_override_map
-    validate_override_map(columns, overrides)
+    from sheetwise.plans.mapping import check_overrides
+    check_overrides(spark, columns, overrides)
     rows = [(dataset_id, s, t) for s, t in sorted(overrides.items())]
     df = spark.createDataFrame(rows, "dataset_id long, source string, target string")
     if not rows:  # clearing: write an empty marker partition
@@ -88,17 +113,23 @@ def read_overrides(spark: SparkSession, root: str, dataset_id: int) -> dict[str,
 
 
 def audit_append(spark: SparkSession, root: str, events: DataFrame) -> None:
-    """SNK-5: append audit events; the free-text detail is cut to 500 characters."""
-    events.withColumn("detail", F.substring("detail", 1, AUDIT_DETAIL_CHARS)) \
-        .write.mode("append").parquet(f"{root}/audit")
+    """SNK-5: append audit events with their whole free-text detail."""
+    events.write.mode("append").parquet(f"{root}/audit")
+
+
+def audit_shown(events: DataFrame, chars: int = AUDIT_DETAIL_CHARS) -> DataFrame:
+    """Audit events as shown in a list: the detail is cut to ``chars`` characters."""
+    return events.withColumn("detail", F.substring("detail", 1, chars))
 
 
 def preview(df: DataFrame, order_by: str = "_pos", n: int = PREVIEW_ROWS) -> DataFrame:
-    """SNK-6: the first rows as JSON records (ISO dates)."""
+    """SNK-6: the first rows as JSON records (ISO dates).  Rows are ordered by position
+    where the table has one, and by their whole record beyond that, so the result is
+    determined."""
     data = [c for c in df.columns if not c.startswith("_")]
-    return df.orderBy(order_by).limit(n).select(
-        F.to_json(F.struct(*[F.col(f"`{c}`") for c in data]), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss"})
-        .alias("record"))
+    record = F.to_json(F.struct(*[F.col(f"`{c}`") for c in data]), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss"})
+    place = [F.col(order_by)] if order_by in df.columns else []
+    return df.select(*place, record.alias("record")).orderBy(*place, "record").limit(n).select("record")
 
 
 # ---------------------------------------------------------------------------

@@ -171,7 +171,7 @@ def _clean_number(df: DataFrame) -> DataFrame:
     c = C.cleaned(df)
     aggs = []
     for col, name in (("sales_amount", "sales"), ("target_amount", "target"), ("customer_count", "customer")):
-        aggs += [F.count(col).alias(f"{name}_count"), money(F.sum(F.col(col).cast(MONEY_WORK))).alias(f"{name}_total")]
+        aggs += [F.count(col).alias(f"{name}_count"), money(F.sum(F.col(col).try_cast(MONEY_WORK))).alias(f"{name}_total")]
     return c.agg(*aggs)
 
 
@@ -189,7 +189,7 @@ def _to_number(df: DataFrame) -> DataFrame:
     t = C.with_missing_tokens(df)
     n = to_number(t, "销售额")
     return t.agg(F.count(n).alias("parsed_count"), F.count_if(F.col("销售额").isNotNull() & n.isNull()).alias("invalid_count"),
-                 money(F.sum(n.cast(MONEY_WORK))).alias("total"))
+                 money(F.sum(n.try_cast(MONEY_WORK))).alias("total"))
 
 
 def _parse_dates(df: DataFrame) -> DataFrame:
@@ -236,9 +236,9 @@ def _catalog_queries() -> dict[str, Query]:
         return materialize(MP.mapped_columns(*catalog(spark, sf_dir)))
 
     def ambiguous(spark, sf_dir):
-        _, amb = MP.alias_index()
+        _, amb = MP.alias_frames(spark)
         r = MP.resolved_columns(cols(spark, sf_dir))
-        return r.where(F.col("key").isin(*amb)).select("dataset_id", "pos", "name", "target")
+        return r.join(F.broadcast(amb), "key", "left_semi").select("dataset_id", "pos", "name", "target")
 
     def latest_run(spark, sf_dir):
         runs = CT.cleaning_runs(spark, sf_dir)
@@ -343,8 +343,7 @@ def _file_queries() -> dict[str, Query]:
         "xlsx_batch_scan": xlsx_scan,
         "landing_manifest": manifest,
         "csv_charsets": file_charsets,
-        "preview": lambda spark, sf_dir: preview(raw_sales(spark, sf_dir).withColumn(
-            "_pos", F.col("单号").cast("long")).where(F.col("单号").isNotNull())),
+        "preview": lambda spark, sf_dir: preview(raw_sales(spark, sf_dir)),
     }
 
 

@@ -40,30 +40,46 @@ def test_scores_zero_kept_and_exam_fallback(spark):
     assert st["s1"]["student_name"] == "Ann" and st["s1"]["score_count"] == 2
 
 
-def test_header_conflicts_and_ambiguous_product():
-    rename, meta = MP.map_headers(["score", "分数", "成绩", "x"])
-    assert rename == {} and meta["conflicts"][0]["reason"] == "canonical field already exists"
-    rename, _ = MP.map_headers(["商品编号", "商品名称", "库存数量"])
-    assert rename["商品名称"] == "product_name"
-    rename, _ = MP.map_headers(["订单编号", "商品名称", "数量"])
-    assert rename["商品名称"] == "product"
-    rename, meta = MP.map_headers(["销售额", "销售金额"])
-    assert rename == {} and meta["conflicts"][0]["sources"] == ["销售额", "销售金额"]
-
-
-def test_overrides_validation():
+def _mapped(spark, names, overrides=None):
+    got = MP.map_table(spark, names, overrides).collect()
+    renames = {r["sources"]: r["target"] for r in got if r["outcome"] in ("override", "automatic")}
+    return renames, {r["target"]: (r["outcome"], r["sources"]) for r in got if r["outcome"].startswith("conflict")}
+
+
+def test_header_conflicts_and_ambiguous_product(spark):
+    renames, conflicts = _mapped(spark, ["score", "分数", "成绩", "x"])
+    assert renames == {} and conflicts["score"][0] == "conflict_canonical"
+    assert _mapped(spark, ["商品编号", "商品名称", "库存数量"])[0]["商品名称"] == "product_name"
+    assert _mapped(spark, ["订单编号", "商品名称", "数量"])[0]["商品名称"] == "product"
+    renames, conflicts = _mapped(spark, ["销售额", "销售金额"])
+    assert renames == {} and conflicts["sales_amount"] == ("conflict_multiple", "销售额,销售金额")
+
+
+def test_overrides_validation(spark):
     import pytest
-    with pytest.raises(ValueError):
-        MP.map_headers(["a", "b"], {"a": "phone", "b": "phone"})
-    with pytest.raises(ValueError):
-        MP.map_headers(["a"], {"a": "nope"})
-    rename, meta = MP.map_headers(["memo", "手机"], {"memo": "phone"})
-    assert rename == {"memo": "phone"} and meta["conflicts"][0]["reason"].startswith("automatic mapping suppressed")
+    with pytest.raises(ValueError, match="duplicate_target"):
+        MP.map_table(spark, ["a", "b"], {"a": "phone", "b": "phone"})
+    with pytest.raises(ValueError, match="unknown_target"):
+        MP.map_table(spark, ["a"], {"a": "nope"})
+    renames, conflicts = _mapped(spark, ["memo", "手机"], {"memo": "phone"})
+    assert renames == {"memo": "phone"} and conflicts["phone"][0] == "conflict_override"
+
+
+def test_canonicalize_is_a_projection(spark):
+    df = spark.createDataFrame([("1", "2", "x")], "`订单编号` string, `数量` string, memo string")
+    assert MP.canonicalize(df, {"memo": "customer_name"}).columns == ["order_id", "quantity", "customer_name"]
+
+
+def test_plug_in_capabilities(spark):
+    own = D.Domain("sensor", "sensor", "0.9", "0.05", (("temperature", "device"),), (("heat", "heat", ("temperature",), ()),))
+    cat = _catalog(spark, {1: [("temperature", 3), ("device", 3)]})
+    plan = D.capability_plan(cat, domains=[*D.registry(), own]).collect()
+    assert [(r["capability_id"], r["supported"]) for r in plan] == [("heat", True)]
 
 
-def test_normalize_header_nfkc():
-    assert MP.normalize_header("ＯＲＤＥＲ＿ＩＤ") == "orderid"
-    assert MP.normalize_header(" Order - Id ") == "orderid"
+def test_normalize_header_nfkc(spark):
+    df = spark.createDataFrame([("ＯＲＤＥＲ＿ＩＤ",), (" Order - Id ",)], "name string")
+    assert {r["key"] for r in MP.header_key(df).collect()} == {"orderid"}
 
 
 def _catalog(spark, tables):
@@ -96,6 +112,6 @@ def test_catalog_mapping_matches_single_table(spark):
     ov = spark.createDataFrame([(7, 0, "memo", "customer_name")], "dataset_id long, seq int, source string, target string")
     mapped = {(r["dataset_id"], r["source"]): r["name"] for r in rows(MP.mapped_columns(cat, ov))}
     for d, cols in tables.items():
-        rename, _ = MP.map_headers(cols, {"memo": "customer_name"} if d == 7 else None)
+        rename, _ = _mapped(spark, cols, {"memo": "customer_name"} if d == 7 else None)
         for c in cols:
             assert mapped[(d, c)] == rename.get(c, c)

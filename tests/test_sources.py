@@ -34,7 +34,7 @@ def test_runs_latest_wins_and_overrides(spark, tmp_path):
     for run in (1, 2):
         path = SK.clean_sink(df.selectExpr(f"'{run}' as v"), root, 5, run)
         SK.run_append(spark, root, {"dataset_id": 5, "run_id": run,
-                                    "cleaned_storage_path": os.path.relpath(path, root)})
+                                    "cleaned_storage_path": path})
     assert SK.read_latest(spark, root, 5).collect()[0]["v"] == "2"
     SK.override_replace(spark, root, 5, {"memo": "phone"}, ["memo", "x"])
     SK.override_replace(spark, root, 6, {"x": "email"}, ["memo", "x"])
@@ -43,3 +43,29 @@ def test_runs_latest_wins_and_overrides(spark, tmp_path):
     assert SK.read_overrides(spark, root, 6) == {"x": "email"}
     SK.override_replace(spark, root, 5, {}, ["memo", "x"])
     assert SK.read_overrides(spark, root, 5) == {}
+    import pytest
+    with pytest.raises(ValueError):
+        SK.clean_sink(df, root, 5, 2)   # committed runs stay
+    SK.run_append(spark, root, {"dataset_id": 5, "run_id": 2, "cleaned_storage_path": path})
+    assert spark.read.parquet(f"{root}/runs").count() == 2
+
+
+def test_csv_of_other_headers_quotes_and_newlines(spark, tmp_path):
+    folder = tmp_path / "c"
+    folder.mkdir()
+    (folder / "a.csv").write_text('region,sales,note\nN,1,"say ""hi"", ok"\nM,3,"two\nlines"\n')
+    (folder / "b.csv").write_text("sales,region\n2,S\n")
+    got = {(r["region"], r["sales"], r["note"]) for r in FS.read_csv_folder(spark, str(folder)).collect()}
+    assert got == {("N", "1", 'say "hi", ok'), ("M", "3", "two\nlines"), ("S", "2", None)}
+
+
+def test_repeated_workbook_headers():
+    assert FS.unique_headers(["a", "a", None, "a.1", "a"]) == ["a", "a.1", "Unnamed: 2", "a.1.1", "a.2"]
+
+
+def test_preview_and_audit_keep_everything(spark, tmp_path):
+    df = spark.createDataFrame([(None, 2), ("a", 1)], "v string, n int")
+    assert [r["record"] for r in SK.preview(df).collect()] == ['{"n":2}', '{"v":"a","n":1}']
+    SK.audit_append(spark, str(tmp_path), spark.createDataFrame([(1, "x" * 900)], "id int, detail string"))
+    log = spark.read.parquet(f"{tmp_path}/audit")
+    assert len(log.first()["detail"]) == 900 and len(SK.audit_shown(log).first()["detail"]) == 500
