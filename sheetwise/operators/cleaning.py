@@ -19,6 +19,7 @@ from sheetwise.functions.normalize import day_key, order_date_text, parse_date_t
 from pyspark.sql import types as T
 
 COPIES = "_copies"
+POS = "_pos"
 
 # ---------------------------------------------------------------------------
 # Fixed values.
@@ -113,12 +114,16 @@ def _standard_value(df: DataFrame, name: str) -> tuple[Column, Column | None]:
 
 
 def clean_groups(df: DataFrame) -> DataFrame:
-    """Distinct rows of the aliased table with copies, empty flag and parsed values."""
+    """Distinct rows of the aliased table with copies, empty flag and parsed values.
+
+    A ``_pos`` column (row position from ingest) is not part of the row: the first
+    position of the copies is kept."""
     std = standardize_headers(with_missing_tokens(df))
-    cols = std.columns
-    g = std.groupBy(*[F.col(f"`{c}`") for c in cols]).agg(F.count(F.lit(1)).alias(COPIES))
+    cols = [c for c in std.columns if c != POS]
+    place = [F.min(POS).alias(POS)] if POS in std.columns else []
+    g = std.groupBy(*[F.col(f"`{c}`") for c in cols]).agg(F.count(F.lit(1)).alias(COPIES), *place)
     empty = reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNull() for c in cols])
-    out = [F.col(COPIES), empty.alias("_empty")]
+    out = [F.col(COPIES), empty.alias("_empty"), *(F.col(POS) for _ in place)]
     invalid = []
     for c in cols:
         value, parsed = _standard_value(std, c)
@@ -138,7 +143,7 @@ def cleaned(df: DataFrame) -> DataFrame:
 def clean_summary(df: DataFrame) -> DataFrame:
     """AGG-3: original, cleaned, removed empty, removed duplicates, invalid, missing, columns."""
     g = clean_groups(df)
-    data_cols = [c for c in g.columns if c not in (COPIES, "_empty", "_invalid")]
+    data_cols = [c for c in g.columns if c not in (COPIES, POS, "_empty", "_invalid")]
     kept = ~F.col("_empty")
     missing = reduce(lambda a, b: a + b, [F.col(f"`{c}`").isNull().cast("long") for c in data_cols])
     return g.agg(

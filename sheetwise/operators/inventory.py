@@ -56,7 +56,7 @@ def low_stock(df: DataFrame) -> DataFrame:
     """INV-3: rows with stock below safety stock and their shortage (all of them)."""
     rows = _paired(df, "stock_quantity", "safety_stock")
     if rows is None:
-        return _empty(df, "stock_quantity double, safety_stock double, shortage double")
+        return _empty(df, "product_id string, product_name string, stock_quantity double, safety_stock double, shortage double")
     low = rows.where(F.col("_left") < F.col("_right"))
     return low.select(
         _label(df, "product_id").alias("product_id"), _label(df, "product_name").alias("product_name"),

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sheetwise.functions.columns import (
     MONEY_WORK, clean_text, has, hybrid_order_count, money, pct, to_number,
@@ -70,6 +71,14 @@ def dedup_with_copies(df: DataFrame) -> DataFrame:
     return df.groupBy(*cols).agg(*aggs)
 
 
+def exact_amount(df: DataFrame, amount: Column) -> Column:
+    """Amounts computed from text are doubles: each becomes an exact decimal before any sum,
+    so totals don't depend on the order of rows.  A number beyond the working decimal, or
+    infinity, is no usable amount (NULL)."""
+    kind = df.select(amount.alias("amount")).schema["amount"].dataType
+    return amount.try_cast(MONEY_WORK) if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType) else amount
+
+
 def prepare(df: DataFrame) -> DataFrame:
     """Derived row columns of the order analyzer (NUM-5..8, STR-1, STR-3, DAT-1).
 
@@ -83,7 +92,8 @@ def prepare(df: DataFrame) -> DataFrame:
     valid_q = q.isNotNull() & (q >= 0)
     valid_d = (d.isNotNull() & d.between(0, 1)) if has_discount else F.lit(True)
     multiplier = d if has_discount else F.lit(1)
-    expected = F.when(valid_p & valid_q & valid_d, p * q * multiplier)
+    expected = exact_amount(df, F.when(valid_p & valid_q & valid_d, p * q * multiplier))
+    raw = exact_amount(df, raw)
     raw_present = F.col("sales_amount").isNotNull() if has(df, "sales_amount") else F.lit(False)
     if COPIES not in df.columns:
         df = df.withColumn(COPIES, F.lit(1).cast("long"))
@@ -408,7 +418,9 @@ def payment_analysis(rows: DataFrame) -> DataFrame:
 def discount_analysis(rows: DataFrame) -> DataFrame:
     """AGG-16: valid discounts, discounted orders and rate, means, estimated discount."""
     if not has(rows, "discount"):
-        return rows.sparkSession.createDataFrame([], "valid_discount_count long")
+        return rows.sparkSession.createDataFrame(
+            [], "valid_discount_count long, discounted_order_count long, discounted_order_rate double, "
+                "average_discount double, average_discounted_order_value double, estimated_discount_amount double")
     d, oid = F.col("_discount"), F.col("_order_id")
     valid = rows.where(d.isNotNull() & d.between(0, 1))
     disc = d < 1
@@ -437,7 +449,7 @@ def _profile_aggs() -> list[Column]:
 def gender_profile(rows: DataFrame) -> DataFrame:
     """AGG-17a: orders, distinct customers and verified sales per gender."""
     if not has(rows, "gender"):
-        return rows.sparkSession.createDataFrame([], "name string")
+        return rows.sparkSession.createDataFrame([], "name string, order_count long, customer_count long, sales_amount double")
     g = F.coalesce(clean_text(rows, "gender"), F.lit(UNKNOWN_GENDER))
     return rows.groupBy(g.alias("name")).agg(*_profile_aggs())
 

@@ -20,6 +20,10 @@ def _stats(s: Column, count_name: str = "count") -> list[Column]:
             money(F.max(s)).alias("maximum"), money(F.min(s)).alias("minimum")]
 
 
+# Columns of ``_stats``, for results of tables without the columns they need.
+_STATS = "count long, average double, maximum double, minimum double"
+
+
 def student_count(df: DataFrame) -> DataFrame:
     """STU-1: distinct non-empty student ids (compared as written, not trimmed)."""
     if not has(df, "student_id"):
@@ -38,7 +42,7 @@ def score_summary(df: DataFrame) -> DataFrame:
 def group_score(df: DataFrame, column: str) -> DataFrame:
     """STU-3/4: score statistics per trimmed, non-empty label."""
     if not (has(df, column) and has(df, "score")):
-        return df.sparkSession.createDataFrame([], "name string, count long, average double")
+        return df.sparkSession.createDataFrame([], f"name string, {_STATS}")
     s = _score(df)
     rows = df.where(s.isNotNull() & non_empty(df, column))
     return rows.groupBy(strip(F.col(column).cast("string")).alias("name")).agg(*_stats(s))
@@ -55,7 +59,7 @@ def class_score(df: DataFrame) -> DataFrame:
 def student_rollup(df: DataFrame) -> DataFrame:
     """STU-5: per trimmed student id: statistics and the first non-empty name."""
     if not (has(df, "student_id") and has(df, "score")):
-        return df.sparkSession.createDataFrame([], "student_id string")
+        return df.sparkSession.createDataFrame([], f"student_id string, score_{_STATS}, student_name string")
     s = _score(df)
     rows = df.where(s.isNotNull() & non_empty(df, "student_id"))
     if has(df, "student_name"):

@@ -821,6 +821,11 @@ def oracle_sql() -> dict[str, str]:
     out.update(_report_sql(dict(out)))
     out.update(_profile_sql())
     out.update(_cleaning_sql())
+    # a table uploaded as text under other headers gives what the typed columns give
+    for key, same in (("uploaded_product_sales", "product_sales"), ("uploaded_region_sales", "region_sales"),
+                      ("uploaded_daily_sales", "daily_sales"), ("uploaded_customers", "customer_rollup"),
+                      ("uploaded_subject_score", "subject_score"), ("uploaded_category_stock", "category_stock")):
+        out[key] = out[same]
     out["csv_scan"] = """select cast(c_custkey as varchar) c_custkey, '客户' || c_name name_cn, c_name,
  cast(c_nationkey as varchar) c_nationkey, c_mktsegment from customer"""
     out["xlsx_batch_scan"] = """select cast(s_suppkey as varchar) s_suppkey, s_name,

@@ -347,8 +347,35 @@ def _file_queries() -> dict[str, Query]:
     }
 
 
+# Headers that users give to canonical columns (others keep their name).
+UPLOAD_HEADERS = {
+    "order_id": "订单编号", "product": "产品", "quantity": "数量", "unit_price": "单价", "sales_amount": "销售额",
+    "customer_id": "客户编号", "customer_name": "客户姓名", "region": "区域", "date": "订单日期", "discount": "折扣率",
+    "target_amount": "目标额", "student_id": "学号", "student_name": "学生姓名", "subject": "科目", "score": "成绩",
+    "class_name": "班级", "exam_name": "考试名称", "exam_date": "考试日期", "product_id": "商品编号", "product_name": "产品名称",
+    "stock_quantity": "库存数量", "safety_stock": "安全库存", "unit_cost": "单位成本", "warehouse": "仓库", "supplier": "供应商",
+    "inbound_quantity": "入库数量", "outbound_quantity": "出库数量", "inventory_date": "盘点日期",
+}
+
+
+def _uploaded(view: Callable[[SparkSession, str], DataFrame], result: str) -> Query:
+    """A view as a user's upload - text cells under Chinese headers - from raw cells to one result."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from sheetwise.plans.analyze import analyze
+        cells = view(spark, sf_dir)
+        return analyze(cells.select(*[F.col(c).cast("string").alias(UPLOAD_HEADERS.get(c, c)) for c in cells.columns])).results[result]
+    return run
+
+
+# key: the query over typed columns whose result it must equal
+UPLOADED = {"uploaded_product_sales": "product_sales", "uploaded_region_sales": "region_sales", "uploaded_daily_sales": "daily_sales",
+            "uploaded_customers": "customer_rollup", "uploaded_subject_score": "subject_score", "uploaded_category_stock": "category_stock"}
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
+    views = {"subject_score": student_scores, "category_stock": inventory_rows}
+    out.update({key: _uploaded(views.get(result, order_lines), result) for key, result in UPLOADED.items()})
     out.update(_file_queries())
     out.update(_report_queries())
     out.update(_catalog_queries())
