@@ -32,8 +32,10 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Star join: the fact table is streamed and every dimension is joined on its
     # own, so each broadcast decision is Spark's size check on one dimension
     # (without statistics a pre-joined dimension chain would look huge).
+    # The fact rows are dealt by the order number (an order has a few lines) at every size: a
+    # shuffled join with the orders uses this partitioning, and one large split is spread.
     lines = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
-                                 "l_quantity", "l_discount", "l_returnflag")
+                                 "l_quantity", "l_discount", "l_returnflag").repartition("l_orderkey")
     orders = t("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus",
                                 "o_orderpriority", "o_totalprice")
     part = t("part").select("p_partkey", "p_name", "p_type", "p_retailprice")
