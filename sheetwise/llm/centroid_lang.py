@@ -11,8 +11,12 @@ into up to ``clusters`` centroids.  Only centroids and document frequencies, a f
 each language, go to the driver.
 
 *Prediction.*  The language of the centroid with the largest cosine; the score is that
-cosine.  A language also has a floor: ``reject`` times the smallest cosine of its training
-documents.  A text below the floor of the predicted language is rejected.
+cosine.  A language also has floors by richness, the number of different n-grams times the
+characters (blanks apart) per letter: short texts and texts of few words reach small cosines
+only, while digits and signs around a few letters don't make them a short text.  The floor of
+a class (powers of two, the last one open) is ``reject`` times the ``LOW`` quantile of the
+cosines of training documents and of pieces cut from their heads, so odd documents don't set
+it and every class has cases.  A text below the floor of the predicted language is rejected.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0 and rejected;
 a model without any training document predicts ``und`` for all; ties go to the language
@@ -33,6 +37,10 @@ from sheetwise.llm.common import save, tidy
 
 DIMS = 4096
 UNKNOWN = "und"
+# Richness classes; from 2 ** (CLASSES - 1) on all texts are one class.
+CLASSES = 9
+LOW = 0.02
+_HEAD = 4096
 _CHUNK = 1 << 20
 _letters: np.ndarray | None = None
 
@@ -46,10 +54,18 @@ def _letter_table() -> np.ndarray:
 
 def ngram_counts(text: str) -> np.ndarray | None:
     """Hashed counts of the letter 1- to 3-grams of a whole text; None if it has no letter."""
+    found = measured(text)
+    return found and found[0]
+
+
+def measured(text: str) -> tuple[np.ndarray, int] | None:
+    """The counts and the richness class of a whole text; None if it has no letter."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
     letter = _letter_table()[points]
-    if not letter.any():
+    letters = int(letter.sum())
+    if not letters:
         return None
+    signs = max(int((points > 32).sum()), letters)
     points = np.concatenate(([32, 32], np.where(letter, points, 32), [32])).astype(np.uint32)
     counts = np.zeros(DIMS, np.int64)
     shift = np.uint32(32 - DIMS.bit_length() + 1)
@@ -60,7 +76,28 @@ def ngram_counts(text: str) -> np.ndarray | None:
             h = (grams ^ (grams >> np.uint32(13))) * np.uint32(0x9E3779B1)
             h ^= h >> np.uint32(15)
             counts += np.bincount(h * np.uint32(0x85EBCA77) >> shift, minlength=DIMS)
-    return counts
+    return counts, min((int(np.count_nonzero(counts)) * signs // letters).bit_length(), CLASSES) - 1
+
+
+def pieces(head: str) -> Iterator[str]:
+    """Pieces of 4, 8, 16, ... characters one after another, cut at words if there are blanks."""
+    at, size = 0, 4
+    while at + size < len(head):
+        words = head[at:at + size].split()
+        yield " ".join(words[1:-1] or words)
+        at, size = at + size, 2 * size
+
+
+def floors(cases: list[tuple[int, float]], reject: float) -> np.ndarray:
+    """Floor of each class from the classes and cosines of a language's cases.  A class without
+    a case has the floor of the next poorer one, or less than that of the first with cases."""
+    group, cosine = (np.array(x) for x in zip(*cases))
+    out = [reject * np.quantile(cosine[group == c], LOW) if (group == c).any() else None for c in range(CLASSES)]
+    first = next(c for c in range(CLASSES) if out[c] is not None)
+    for c in range(CLASSES):
+        if out[c] is None:
+            out[c] = out[c - 1] if c > first else out[first] * 0.5 ** ((first - c) / 2)
+    return np.maximum(np.array(out, float), 0)
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -69,8 +106,8 @@ def _unit(v: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """Centroids (rows, length 1), their languages and those languages' floors, and the inverse
-    document frequencies."""
+    """Centroids (rows, length 1), their languages and those languages' floors (a column for
+    each richness class), and the inverse document frequencies."""
 
     langs: tuple[str, ...]
     floors: np.ndarray
@@ -84,32 +121,32 @@ class Model:
         if not len(self.langs):
             return lang, score, rejected
         for at in range(0, len(texts), 512):
-            found = [(i, c) for i, t in enumerate(texts[at:at + 512], at) if t and (c := ngram_counts(t)) is not None]
+            found = [(i, *m) for i, t in enumerate(texts[at:at + 512], at) if t and (m := measured(t))]
             if not found:
                 continue
-            rows = np.array([i for i, _ in found])
-            cosines = _unit(np.log1p(np.array([c for _, c in found])) * self.idf) @ self.centroids.T
+            rows = np.array([i for i, _, _ in found])
+            cosines = _unit(np.log1p(np.array([c for _, c, _ in found])) * self.idf) @ self.centroids.T
             best = cosines.argmax(axis=1)
             score[rows] = np.clip(cosines[np.arange(len(rows)), best], 0, 1)
-            rejected[rows] = score[rows] < self.floors[best]
+            rejected[rows] = score[rows] < self.floors[best, [r for _, _, r in found]]
             for i, b in zip(rows, best):
                 lang[i] = self.langs[b]
         return lang, score, rejected
 
 
-def cluster(vectors: np.ndarray, clusters: int, rounds: int = 12) -> tuple[np.ndarray, float]:
-    """Spherical k-means of unit vectors: (centroids, smallest cosine of a vector to its
-    nearest centroid).  It starts from the means of equal slices by closeness to the common
+def cluster(vectors: np.ndarray, clusters: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """Spherical k-means of unit vectors: (centroids, cosine of each vector to its nearest
+    centroid).  It starts from the means of equal slices by closeness to the common
     mean, so single odd documents don't become centroids."""
     close = np.argsort(vectors @ _unit(vectors.mean(axis=0)), kind="stable")
     centroids = np.vstack([_unit(vectors[part].mean(axis=0)) for part in np.array_split(close, min(clusters, len(vectors)))])
     for _ in range(rounds):
         member = (vectors @ centroids.T).argmax(axis=1)
         centroids = np.vstack([_unit(vectors[member == k].mean(axis=0)) for k in np.unique(member)])
-    return centroids, float((vectors @ centroids.T).max(axis=1).min())
+    return centroids, (vectors @ centroids.T).max(axis=1)
 
 
-def fit(docs: DataFrame, per_lang: int = 512, clusters: int = 4, reject: float = 0.25, id_col: str = "doc_id",
+def fit(docs: DataFrame, per_lang: int = 512, clusters: int = 4, reject: float = 0.45, id_col: str = "doc_id",
         text: str = "text", lang: str = "lang") -> Model:
     """Model of the labelled rows of ``docs``: at most ``per_lang`` documents for each language."""
     ids = docs.filter(F.col(lang).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang).alias("lang"))
@@ -120,18 +157,20 @@ def fit(docs: DataFrame, per_lang: int = 512, clusters: int = 4, reject: float =
     # written first, so that Spark knows its size and need not shuffle the texts to meet it
     chosen = save(ids.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_lang).select("id", "lang").distinct())
 
-    @F.pandas_udf("binary")
+    @F.pandas_udf("v binary, rich int")
     @tidy
-    def vector(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def vector(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            counts = (ngram_counts(t) if t else None for t in batch)
-            yield pd.Series([None if c is None else np.log1p(c).astype("<f4").tobytes() for c in counts], dtype=object)
+            found = [measured(t) if t else None for t in batch]
+            yield pd.DataFrame({"v": pd.Series([np.log1p(m[0]).astype("<f4").tobytes() if m else None for m in found], dtype=object),
+                                "rich": pd.Series([m[1] if m else 0 for m in found], dtype="int32")})
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     again = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "v")  # rows that share an id
     sample = save(texts.join(chosen, (texts["id"].eqNullSafe(chosen["id"])) & (texts["lang"] == chosen["lang"]), "left_semi")
-                  .select("id", "lang", vector("text").alias("v")).filter("v is not null")
-                  .withColumn("r", F.row_number().over(again)).filter(F.col("r") <= per_lang).select("lang", "v"))
+                  .select("id", "lang", F.substring("text", 1, _HEAD).alias("head"), vector("text").alias("m"))
+                  .select("id", "lang", "head", "m.*").filter("v is not null")
+                  .withColumn("r", F.row_number().over(again)).filter(F.col("r") <= per_lang).select("lang", "v", "rich", "head"))
 
     def frequencies(group: pd.DataFrame) -> pd.DataFrame:
         found = np.zeros(DIMS, "<i8")
@@ -139,20 +178,25 @@ def fit(docs: DataFrame, per_lang: int = 512, clusters: int = 4, reject: float =
             found += np.frombuffer(v, "<f4") > 0
         return pd.DataFrame({"n": [len(group)], "df": [found.tobytes()]})
 
-    per_group = sample.groupBy("lang").applyInPandas(frequencies, "n long, df binary").collect()
+    per_group = sample.select("lang", "v").groupBy("lang").applyInPandas(frequencies, "n long, df binary").collect()
     n = sum(r.n for r in per_group)
     df = sum((np.frombuffer(r.df, "<i8") for r in per_group), np.zeros(DIMS, np.int64))
     idf = np.log((1 + n) / (1 + df)) + 1
 
     def centroids(group: pd.DataFrame) -> pd.DataFrame:
-        vectors = _unit(np.array([np.frombuffer(v, "<f4") for v in group["v"].sort_values()]) * idf)
-        found, least = cluster(vectors, clusters)
-        return pd.DataFrame({"lang": group["lang"].iloc[0], "floor": reject * least,
+        group = group.sort_values("v")
+        vectors = _unit(np.array([np.frombuffer(v, "<f4") for v in group["v"]]) * idf)
+        found, cosines = cluster(vectors, clusters)
+        cases = list(zip(group["rich"], cosines))
+        for head in group["head"]:
+            for m in filter(None, map(measured, pieces(head))):
+                cases.append((m[1], (found @ _unit(np.log1p(m[0]) * idf)).max()))
+        return pd.DataFrame({"lang": group["lang"].iloc[0], "floors": [floors(cases, reject).tolist()] * len(found),
                              "centroid": [c.astype("<f4").tobytes() for c in found]})
 
-    rows = sample.groupBy("lang").applyInPandas(centroids, "lang string, floor double, centroid binary").collect()
+    rows = sample.groupBy("lang").applyInPandas(centroids, "lang string, floors array<double>, centroid binary").collect()
     rows = sorted(rows, key=lambda r: (r.lang, bytes(r.centroid)))
-    return Model(tuple(r.lang for r in rows), np.array([r.floor for r in rows]),
+    return Model(tuple(r.lang for r in rows), np.array([r.floors for r in rows]).reshape(len(rows), CLASSES),
                  np.array([np.frombuffer(r.centroid, "<f4") for r in rows], dtype=np.float32).reshape(len(rows), DIMS),
                  idf.astype(np.float32))
 

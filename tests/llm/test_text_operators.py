@@ -161,6 +161,32 @@ def test_language(llm, documents):
     assert again.langs == model.langs and np.allclose(again.centroids, model.centroids)
 
 
+FOREIGN = {
+    "fi": "Suomen kieli on uralilaisten kielten itämerensuomalaiseen ryhmään kuuluva kieli jota puhuvat pääosin suomalaiset. Se on Suomen toinen virallinen kieli ja yksi Euroopan unionin virallisista kielistä.",
+    "hu": "A magyar nyelv az uráli nyelvcsalád tagja, a finnugor nyelvek közé tartozó ugor nyelvek egyike. Legközelebbi rokonai a manysi és a hanti nyelv, majd utánuk az udmurt, a komi, a mari és a mordvin nyelvek.",
+    "pl": "Język polski należy do grupy języków zachodniosłowiańskich i jest językiem urzędowym w Polsce oraz jednym z języków Unii Europejskiej. Posługuje się nim około czterdziestu milionów ludzi.",
+}
+ENGLISH = "the of and a to in is was he she it for with as his her on be at by had not are but from or have an they which one you were all their there been if more when will would who what up out so said about into them than its time only some could new other two may then do first any my now such like our over man me even most made after also did many before must through back years where much your way well down should because each just those people how too little state good very make world still own see men work long get here between both life being under never day same another know while last might us great old year off come since against go came right used take three".split()
+FRENCH = "le la les de des du un une et est dans que qui pour pas sur au avec il elle nous vous ils elles ce cette ces son sa ses leur plus par mais ou où comme tout tous bien être avoir fait faire dit très peut même sans sous entre après avant aussi encore toujours jamais rien homme femme enfant maison jour nuit temps année monde vie main tête porte rue ville pays eau rivière mer ciel terre arbre fleur cheval chien chat livre lettre parole chose petit grand beau belle bon bonne vieux jeune nouveau premier dernier autre seul trois quatre cinq dix cent heure soir matin été hiver père mère frère soeur ami roi dieu guerre paix".split()
+
+
+def test_unknown_languages_are_rejected(llm, documents):
+    import base64
+
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choices((ENGLISH, FRENCH)[i % 2], k=rng.randint(60, 400))), ("en", "fr")[i % 2]) for i in range(300)]
+    # an odd label of each language, which must not open its floor
+    rows += [(900, "xqzj", "en"), (901, "wkvx", "fr"), (902, FOREIGN["hu"], "en"), (903, FOREIGN["pl"], "fr")]
+    model = centroid_lang.fit(documents(rows))
+    noise = lambda letters: " ".join("".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(300))
+    strange = [*FOREIGN.values(), base64.b64encode(rng.randbytes(1500)).decode(), noise("bcdfghjklmnpqrstvwxz"), noise("abcdefghijklmnopqrstuvwxyz"),
+               " ".join(f"{rng.randrange(10**6)} {u}" for u in ("kg", "%", "a", "€") * 80)]
+    assert model.predict(strange)[2].all()
+    clean = ["House", "people", "water", "the world", "Maison", "la ville", "rivière", "People were here. " * 300,
+             *[" ".join(rng.choices(w, k=k)) for w in (ENGLISH, FRENCH) for k in (3, 10, 30, 100, 1000)]]
+    assert not model.predict(clean)[2].any()
+
+
 def test_held_out_rule(llm):
     rows = llm.createDataFrame([(i,) for i in range(50)] + [(None,)], "doc_id long").select("doc_id", queries.held_out(F.col("doc_id")).alias("h")).collect()
     assert all(r.h == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
