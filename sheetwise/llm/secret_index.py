@@ -55,6 +55,16 @@ class Rule:
         return re.compile(self.pattern, re.ASCII | (re.IGNORECASE if self.any_case else 0))
 
 
+# A PEM key: all up to its END line if no other BEGIN or END line comes first; else header
+# fields and runs of base64, which are long or alone on their lines.
+_PEM = (
+    r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----"
+    r"(?:[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END (?:[A-Z]+ )?PRIVATE KEY-----"
+    r"|(?:(?:\\[nrt]|[\s\"'>#*])*+(?:Proc-Type|DEK-Info):[^\n]*+)*+"
+    r"(?:(?:\\[nrt]|[\s\"'>#*])*+(?:[A-Za-z0-9+/]{16,}+={0,2}|[A-Za-z0-9+/]{1,15}+={1,2})"
+    r"|\s*\n[\x20\t]*[A-Za-z0-9+/]++={0,2}[\x20\t\r]*(?=\n|\Z))*+)"
+)
+
 # The base rules, then well-known public token formats.
 BASE_RULES = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 2, True),
@@ -63,7 +73,7 @@ BASE_RULES = (
     Rule("hex", r"[0-9a-f]{24,}"),
 )
 RULES = BASE_RULES + (
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----"),
+    Rule("private_key", _PEM),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("hub_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
