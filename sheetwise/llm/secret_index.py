@@ -79,7 +79,7 @@ RULES = BASE_RULES + (
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("maps_key", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("pay_key", r"[sr]k_live_[A-Za-z0-9]{16,}"),
-    Rule("url_login", r"[a-z]{3,8}://[A-Za-z0-9._-]{1,64}:[A-Za-z0-9._~!$&*+-]{3,64}@[A-Za-z0-9.-]{3,}"),
+    Rule("url_login", r"[a-z]{3,8}://[A-Za-z0-9._%-]++:[A-Za-z0-9._~!$&*+%-]{3,}+@[A-Za-z0-9.-]{3,}"),
 )
 
 # --- trigram queries: True, a trigram, ("and", ...) or ("or", ...) ---------------------------

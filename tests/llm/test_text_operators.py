@@ -120,6 +120,14 @@ def test_no_part_of_a_private_key_stays(llm, documents):
     assert secret_index.scan_segment([f"The line {begin} is where a key starts."], secret_index.RULES) == [[("private_key", 9, 9 + len(begin))]]
 
 
+def test_logins_of_any_length(llm, documents):
+    logins = ["https://bob:github_pat_" + "aB3" * 40 + "@github.com", "https://" + "u" * 90 + ":secretpw@host.example",
+              "ftp://me:p%40ssw0rd@host.example", "https://a%40b.example:pass@host.example"]
+    got = documents([(i, f"see {x} here") for i, x in enumerate(logins)]).select(secret_index.redacted(F.col("text")).alias("r")).collect()
+    assert [r.r for r in got] == ["see [secret] here"] * len(logins)
+    assert secret_index.scan_segment(["https://host:80/a@b " + "abc://" + "z" * 200_000], secret_index.RULES) == [[]]
+
+
 def test_trigram_queries_never_miss():
     for rule in secret_index.RULES:
         alone = secret_index.scan_segment([t or "" for _, t in SECRETS], (rule,))
