@@ -122,10 +122,23 @@ def _positions(pieces: Column) -> Column:
 
 
 def _proposed(matches: Column, gaps: Column) -> Column:
-    """Matches with the pieces around them; ``gaps`` has one piece more than ``matches``."""
-    return F.transform(matches, lambda m, i: F.struct(
-        F.length(F.get(gaps, i)).alias("before"), F.length(m).alias("long"), m.alias("match"),
-        F.concat(F.right(F.get(gaps, i), F.lit(CONTEXT)), F.lit("\n"), F.left(F.get(gaps, i + 1), F.lit(CONTEXT))).alias("near")))
+    """Matches with the text around them; ``gaps`` has one piece more than ``matches``.
+
+    The text around a match is joined from the short ends of the pieces and matches beside it;
+    as a match has a character at least, ``CONTEXT`` of them on a side reach far enough."""
+    def ends(cut: Callable[[Column, Column], Column]) -> Column:
+        return F.flatten(F.transform(gaps, lambda g, i: F.array(
+            cut(g, F.lit(CONTEXT)), F.coalesce(cut(F.get(matches, i), F.lit(CONTEXT)), F.lit("")))))
+
+    def near(first: Column, last: Column, i: Column) -> Column:
+        # gap i is the element 2 i + 1 of both; match i comes after it
+        count = F.least(2 * i, F.lit(2 * CONTEXT)) + 1
+        before = F.array_join(F.slice(last, 2 * i + 2 - count, count), "")
+        after = F.array_join(F.slice(first, 2 * i + 3, F.lit(2 * CONTEXT + 1)), "")
+        return F.concat(F.right(before, F.lit(CONTEXT)), F.lit("\n"), F.left(after, F.lit(CONTEXT)))
+
+    return _bind(ends(F.left), lambda first: _bind(ends(F.right), lambda last: F.transform(matches, lambda m, i: F.struct(
+        F.length(F.get(gaps, i)).alias("before"), F.length(m).alias("long"), m.alias("match"), near(first, last, i).alias("near")))))
 
 
 def find(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, min_score: float = 0.6, text: str = "text",

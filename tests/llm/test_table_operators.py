@@ -165,6 +165,21 @@ def test_context_and_checksums_decide(llm, documents):
     assert "Python" not in plan and "Exchange" not in plan and "Arrow" not in plan
 
 
+def test_context_reaches_over_other_matches(llm, documents):
+    rng = random.Random(6)
+    listed = "SSN: 123-45-6789, 987-65-4321, 111-22-3333"
+    after = "123-45-6789 987-65-4321 social security"
+    parts = ["123-45-6789", "987-65-4321", " ", ", ", "ssn", " social ", "word word ", "x" * 30, "\n", "é😀"]
+    texts = [listed, after, listed + " " + "x" * 40 + " 222-33-4444"] + ["".join(rng.choices(parts, k=rng.randint(2, 25))) for _ in range(300)]
+    texts += ["ssn " + "123-45-6789 " * 3000]
+    kind = next(k for k in pii_spans.KINDS if k.name == "ssn")
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "ssn"] for r in pii_spans.find(documents(list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        near = lambda m: t[max(m.start() - 40, 0):m.start()] + "\n" + t[m.end():m.end() + 40]
+        assert got[i] == [m.span() for m in re.finditer(kind.pattern, t) if re.search(rf"\b(?:{kind.words})\b", near(m).lower())], t[:200]
+    assert len(got[0]) == 3 and len(got[1]) == 2 and len(got[2]) == 3
+
+
 def test_url_parts_and_listed_rules(llm):
     from sheetwise.llm.queries import URL_RULES
 
