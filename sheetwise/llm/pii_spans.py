@@ -81,6 +81,25 @@ class Kind:
     start: str = ""
 
 
+# Length of an IBAN by country code.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban() -> str:
+    """An IBAN has the length of its country; one of another country is a run that ends
+    before the next known one."""
+    codes = {n: f"(?:{c.replace(' ', '|')})" for n, c in _IBAN_LENGTHS.items()}
+    known = "(?:" + "|".join(codes.values()) + ")[0-9]{2}"
+    exact = "|".join(rf"{c}[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in codes.items())
+    other = rf"(?!{known})[A-Z]{{2}}[0-9]{{2}}(?:(?!\x20{known})\x20?[A-Z0-9]){{11,30}}"
+    return f"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{exact}|{other})(?![A-Za-z0-9])"
+
+
 KINDS = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
          None, True, 0.7, 0.0, "e-?mail|mail|contact|correo|courriel", "@"),
@@ -91,7 +110,7 @@ KINDS = (
          luhn, True, 0.4, 0.4, "card|visa|credit|payment|karte|carte|tarjeta"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]",
          lambda m: _between(m, 10, 15), True, 0.5, 0.1, "phone|tel|call|mobile|fax|telefon", "+"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    Kind("iban", _iban(),
          mod97, False, 0.4, 0.5, "iban|bank|account|konto|compte|cuenta"),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
          None, False, 0.3, 0.0, "ssn|social|security"),

@@ -180,6 +180,17 @@ def test_context_reaches_over_other_matches(llm, documents):
     assert len(got[0]) == 3 and len(got[1]) == 2 and len(got[2]) == 3
 
 
+def test_an_iban_ends_where_its_country_says(llm, documents):
+    iban, other = "DE89 3704 0044 0532 0130 00", "FR14 2004 1010 0505 0001 3M02 606"
+    tails = [" BIC COBADEFFXXX", " EUR now", " 2024", ", ok", "", " AND MORE"]
+    rows = [(i, f"pay {x}{t}") for i, (x, t) in enumerate((x, t) for x in (iban, iban.replace(" ", "")) for t in tails)]
+    got = {r.doc_id: r for r in pii_spans.find(documents([*rows, (90, f"{iban} {other} {iban}"), (91, iban.replace(" ", "") + "EUR"),
+                                                          (92, "XY12 ABCD EFGH IJKL " + iban), (93, "DE89 3704 0044 0532 0130 01 EUR")])).collect()}
+    found = {i: [r.text[s.start:s.end] for s in r.spans if s.kind == "iban"] for i, r in got.items()}
+    assert all(found[i] == [(iban, iban.replace(" ", ""))[i >= len(tails)]] for i, _ in rows)
+    assert found[90] == [iban, other, iban] and found[91] == [] and found[92] == [iban] and found[93] == []
+
+
 def test_url_parts_and_listed_rules(llm):
     from sheetwise.llm.queries import URL_RULES
 
