@@ -1,4 +1,4 @@
-from conftest import one, rows
+from helpers import one, rows
 
 from sheetwise.operators import orders as O
 from sheetwise.plans.analyze import analyze

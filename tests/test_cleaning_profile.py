@@ -1,4 +1,4 @@
-from conftest import one, rows
+from helpers import one, rows
 
 from sheetwise.operators import cleaning as C
 from sheetwise.operators import profile as P

@@ -1,4 +1,4 @@
-from conftest import one, rows
+from helpers import one, rows
 
 from sheetwise.operators import inventory as I
 from sheetwise.operators import scores as S

@@ -1,6 +1,6 @@
 from decimal import Decimal as D
 
-from conftest import one, rows
+from helpers import one, rows
 
 from sheetwise.operators import orders as O
 

@@ -1,6 +1,6 @@
 import os
 
-from conftest import rows
+from helpers import rows
 
 from sheetwise.sources import files as FS
 from sheetwise.sources import sinks as SK
