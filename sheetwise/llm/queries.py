@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetwise.llm import (centroid_lang, entropy_mix, packing, pii_spans, quartile_digest, secret_index,
-                           simhash_anchor, token_counts, url_rules, va_file)
+                           simhash_anchor, spelling, token_counts, url_rules, va_file)
 from sheetwise.llm.common import prepare, read_table
 from sheetwise.llm.oracle import oracle_sql
 
@@ -22,6 +22,9 @@ SHINGLE = 3
 MAX_BITS = 2
 MIN_SUPPORT = 0.0005
 MIN_CONFIDENCE = 0.5
+MIN_WORD = 7
+MIN_COUNT = 2
+FORM_RATIO = 10
 URL_RULES = (
     url_rules.ListedRule("allow", "org/"),
     url_rules.ListedRule("block", "example.org/es/"),
@@ -114,6 +117,19 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entropy_mix.mix(read_table(spark, sf_dir, "documents"))
 
 
+def damaged(doc_id: Column, run: Column) -> Column:
+    """A run without one code point, if 31 divides the checksum of its document and itself."""
+    h = F.crc32(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), run).cast("binary"))
+    at = (h % F.length(run)).cast("int")
+    return F.when(h % 31 == 0, F.concat(F.substr(run, F.lit(1), at), F.substr(run, at + 2))).otherwise(run)
+
+
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spelling.runs(read_table(spark, sf_dir, "documents"), MIN_WORD)
+    words = runs.select(damaged(F.col("doc_id"), F.col("run")).alias("word"))
+    return spelling.group(spelling.counted(words, MIN_WORD, MIN_COUNT), FORM_RATIO)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def ready(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,5 +138,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         return run
 
     return {f.__name__: ready(f) for f in (op1_url_filter, op2_token_counts, op3_simhash, op4_packing, op5_topk, op6_secrets,
-                                           op7_fingerprint, op8_language, op9_pii, op10_mix)}
+                                           op7_fingerprint, op8_language, op9_pii, op10_mix,
+                                           op11_spelling)}
 
