@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetwise.llm import (centroid_lang, entropy_mix, packing, pii_spans, quartile_digest, secret_index,
-                           simhash_anchor, spelling, token_counts, url_rules, va_file)
+                           simhash_anchor, spelling, token_alignment, token_counts, url_rules, va_file)
 from sheetwise.llm.common import prepare, read_table
 from sheetwise.llm.oracle import oracle_sql
 
@@ -17,6 +17,7 @@ __all__ = ["queries", "oracle_sql"]
 # Production parameters.
 TOKENIZER_FILE = "byte_bpe_50k.json"
 RANKS_FILE = "byte_bpe_50k.tiktoken"
+PIECE_FILE = "piece_bpe_32k.model"
 SEQUENCE = 1024
 SHINGLE = 3
 MAX_BITS = 2
@@ -130,6 +131,12 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group(spelling.counted(words, MIN_WORD, MIN_COUNT), FORM_RATIO)
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_alignment.alignment(read_table(spark, sf_dir, "documents"), *tokenizer_paths(), str(public_tokenizers.path(PIECE_FILE)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def ready(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,5 +146,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
     return {f.__name__: ready(f) for f in (op1_url_filter, op2_token_counts, op3_simhash, op4_packing, op5_topk, op6_secrets,
                                            op7_fingerprint, op8_language, op9_pii, op10_mix,
-                                           op11_spelling)}
+                                           op11_spelling, op12_alignment)}
 
