@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetwise.llm import (centroid_lang, entropy_mix, packing, pii_spans, quartile_digest, secret_index,
-                           simhash_anchor, spelling, token_alignment, token_counts, url_rules, va_file)
+                           simhash_anchor, spelling, suffix_dedup, token_alignment, token_counts, url_rules, va_file)
 from sheetwise.llm.common import prepare, read_table
 from sheetwise.llm.oracle import oracle_sql
 
@@ -23,6 +23,7 @@ SHINGLE = 3
 MAX_BITS = 2
 MIN_SUPPORT = 0.0005
 MIN_CONFIDENCE = 0.5
+REPEAT = 400
 MIN_WORD = 7
 MIN_COUNT = 2
 FORM_RATIO = 10
@@ -137,6 +138,10 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.alignment(read_table(spark, sf_dir, "documents"), *tokenizer_paths(), str(public_tokenizers.path(PIECE_FILE)))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(read_table(spark, sf_dir, "documents"), REPEAT)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def ready(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,5 +151,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
     return {f.__name__: ready(f) for f in (op1_url_filter, op2_token_counts, op3_simhash, op4_packing, op5_topk, op6_secrets,
                                            op7_fingerprint, op8_language, op9_pii, op10_mix,
-                                           op11_spelling, op12_alignment)}
+                                           op11_spelling, op12_alignment, op13_suffix_dedup)}
 
