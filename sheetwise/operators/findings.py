@@ -131,7 +131,7 @@ def score_findings(df: DataFrame) -> DataFrame:
                           F.struct(-F.col("average"), F.col("student_id")))).scalar()
     rules.append((top.isNotNull(), _finding("top_student", top["name"], top["value"])))
     trend = S.exam_trend(df)
-    rules.append(_trend_rule(_ends(trend.withColumnRenamed("average", "value"), F.col("name"), "value"), "exam_trend"))
+    rules.append(_trend_rule(_ends(trend.withColumnRenamed("average", "value"), F.struct("_first", "name"), "value"), "exam_trend"))
     return _emit(_one(df), rules)
 
 

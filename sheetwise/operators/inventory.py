@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sheetwise.functions.columns import MONEY_WORK, has, money, non_empty, strip, to_number
 from sheetwise.functions.normalize import day_key, parse_dates
+from sheetwise.operators.ranking import POS, median_of_counts, value_counts
 
 
 def exact(c: Column) -> Column:
@@ -27,17 +28,20 @@ def inventory_count(df: DataFrame) -> DataFrame:
     def distinct(col: str) -> Column:
         if not has(df, col):
             return F.lit(0).cast("long")
-        return F.count_distinct(F.when(non_empty(df, col), strip(F.col(col).cast("string"))))
-    return df.agg(F.when(distinct("product_id") > 0, distinct("product_id"))
-                  .otherwise(distinct("product_name")).alias("inventory_count"))
+        return df.where(non_empty(df, col)).select(strip(F.col(col).cast("string")).alias("v")).distinct().agg(F.count("v")).scalar()
+    ids = distinct("product_id")
+    return df.sparkSession.range(1).select(F.when(ids > 0, ids).otherwise(distinct("product_name")).alias("inventory_count"))
 
 
 def stock_summary(df: DataFrame) -> DataFrame:
     """INV-2: count, total, mean, max, min, median of stock; no row if none parses."""
-    s = to_number(df, "stock_quantity")
-    a = df.agg(F.count(s).alias("count"), money(F.sum(exact(s))).alias("total"), money(F.avg(exact(s))).alias("average"),
-               money(F.max(s)).alias("maximum"), money(F.min(s)).alias("minimum"),
-               money(F.median(s.cast("double"))).alias("median"))
+    # everything follows from the different values and how often they occur
+    counts = value_counts(df, to_number(df, "stock_quantity"))
+    v, n = F.col("value"), F.col("n")
+    total, rows = F.sum(exact(v) * n), F.sum(F.when(exact(v).isNotNull(), n))
+    a = counts.agg(F.sum(n).alias("count"), money(total).alias("total"), money(exact(total) / rows).alias("average"),
+                   money(F.max(v)).alias("maximum"), money(F.min(v)).alias("minimum"),
+                   money(median_of_counts(counts).scalar()).alias("median"))
     return a.where(F.col("count") > 0)
 
 
@@ -62,6 +66,7 @@ def low_stock(df: DataFrame) -> DataFrame:
         _label(df, "product_id").alias("product_id"), _label(df, "product_name").alias("product_name"),
         money(F.col("_left")).alias("stock_quantity"), money(F.col("_right")).alias("safety_stock"),
         money(F.col("_right") - F.col("_left")).alias("shortage"),
+        *([POS] if POS in df.columns else []),
     )
 
 

@@ -11,7 +11,8 @@ aggregate.
 
 ``order_level(rows)`` rolls rows up per order id.  Rows without an id are orders
 of their own: they take a separate, shuffle-free branch instead of a synthetic
-key, so missing ids can never form a hot key.
+key, so missing ids can never form a hot key.  Distinct order counts under several
+conditions come from one row per order id.
 
 Every analysis is one ``DataFrame -> DataFrame`` function; grouped analyses are
 hash aggregates with partial/final split.  Scalars such as "total orders" for a
@@ -32,9 +33,10 @@ from sheetwise.functions.normalize import (
     KNOWN_STATUSES, REFUND_STATUSES, day_key, month_key, normalize_status, parse_dates,
     valid_email, valid_phone, with_region,
 )
+from sheetwise.operators.ranking import POS, first_seen, median
+from sheetwise.session import materialize
 
 COPIES = "_copies"
-POS = "_pos"
 
 # Default labels and age bands (left-closed, 0 < age < 120).
 UNCATEGORISED = "未分类"
@@ -48,10 +50,17 @@ def money_dec(c: Column) -> Column:
     return F.round(c.try_cast(MONEY_WORK), 2)
 
 
-def hybrid_count_if(cond: Column, order_id: Column) -> Column:
-    """AGG-0 on the subset of a group where ``cond`` holds."""
-    return F.when(F.count(F.when(cond, order_id)) > 0, F.count_distinct(F.when(cond, order_id))) \
-        .otherwise(F.count_if(cond))
+def _rows_per_id(rows: DataFrame, conds: dict[str, Column], *more: Column) -> DataFrame:
+    """One row per order id (and one for rows without) with the number of rows that meet each
+    condition, ``_n_<name>``: distinct counts under several conditions then need one pass."""
+    return rows.groupBy("_order_id").agg(*[F.count_if(c).alias(f"_n_{k}") for k, c in conds.items()], *more)
+
+
+def _ids_or_rows(name: str) -> Column:
+    """AGG-0 over ``_rows_per_id``: ids with such a row, or such rows where none has an id."""
+    n = F.col(f"_n_{name}")
+    ids = F.count_if(F.col("_order_id").isNotNull() & (n > 0))
+    return F.when(ids > 0, ids).otherwise(F.coalesce(F.sum(n), F.lit(0)))
 
 
 # ---------------------------------------------------------------------------
@@ -146,33 +155,28 @@ def order_level_aggs() -> list[Column]:
     ]
 
 
-_ROW_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
-             "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
-
-
-def order_key(rows: DataFrame) -> list[Column]:
-    """Grouping keys of the order roll-up: ``(order id, row key)``.
-
-    Rows with an order id group by it (row key NULL).  A row without one is an
-    order of its own: its row key is the (deduplicated, hence unique) row itself as
-    JSON, computed only when the id is missing.  Both keys are flat and
-    deterministic, so a stage re-run after a lost executor produces the same groups,
-    and missing ids never form a hot key.
-    """
-    oid = F.col("_order_id")
-    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), _ROW_JSON)
-    return [oid.alias("order_id"), F.when(oid.isNull(), row).alias("_row_key")]
-
-
 def order_level(rows: DataFrame, extra_sums: tuple[str, ...] = ()) -> DataFrame:
     """AGG-4: one row per order.  Values are rounded per order (exact decimals).
 
-    One hash aggregate (partial + final), so hot orders are combined map-side.
-    ``extra_sums`` are row columns summed per order as well (exact partial sums).
+    Rows with an order id meet in one hash aggregate (partial + final), so hot orders are
+    combined map-side.  A (deduplicated) row without one is an order of its own: its values
+    are computed from the row where it lies.  ``extra_sums`` are row columns summed per order
+    as well (exact partial sums).
     """
+    oid = F.col("_order_id")
     sums = [F.sum(c).alias(c) for c in extra_sums]
-    g = rows.groupBy(*order_key(rows)).agg(*order_level_aggs(), *sums)
-    return g.drop("_row_key")
+    with_id = rows.where(oid.isNotNull()).groupBy(oid.alias("order_id")).agg(*order_level_aggs(), *sums)
+    alone = rows.where(oid.isNull()).select(
+        oid.alias("order_id"),
+        money_dec(F.col("_verified")).alias("verified_amount"),
+        money_dec(F.col("_unverified")).alias("unverified_amount"),
+        F.col("_verified").isNotNull().alias("has_verified_amount"),
+        F.col("_unverified").isNotNull().alias("has_unverified_amount"),
+        F.coalesce("_comparable", F.lit(False)).alias("has_comparable_amount"),
+        F.coalesce(F.col("_mismatch").cast("long"), F.lit(0)).cast("long").alias("conflict_count"),
+        F.col(COPIES).cast("long").alias("record_count"), *extra_sums)
+    # the sum's type may be wider than the row's
+    return with_id.unionByName(alone.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in with_id.schema]))
 
 
 def order_rollup(rows: DataFrame) -> DataFrame:
@@ -183,7 +187,7 @@ def order_rollup(rows: DataFrame) -> DataFrame:
                     "has_verified_amount", "has_unverified_amount", "has_comparable_amount", "conflict_count")
 
 
-def _overview_aggs() -> list[Column]:
+def _overview_aggs(middle: Column) -> list[Column]:
     v = F.col("verified_amount")
     n_v = F.count(v)
     mean = F.avg(v)
@@ -195,7 +199,7 @@ def _overview_aggs() -> list[Column]:
         money(mean).alias("average_verified_order_value"),
         money(F.max(v)).alias("maximum_verified_order_value"),
         money(F.min(v)).alias("minimum_verified_order_value"),
-        money(F.median(v.cast("double"))).alias("median_verified_order_value"),
+        money(middle).alias("median_verified_order_value"),
         F.count_if(F.col("has_unverified_amount")).alias("unverified_order_count"),
         F.count_if(~F.col("has_verified_amount") & ~F.col("has_unverified_amount")).alias("no_usable_amount_order_count"),
         pct(n_v, F.count(F.lit(1))).alias("amount_verification_rate"),
@@ -203,11 +207,17 @@ def _overview_aggs() -> list[Column]:
         F.count_if(F.col("has_comparable_amount")).alias("amount_comparable_count"),
         F.count_if(F.col("conflict_count") > 0).alias("amount_mismatch_count"),
         pct(F.count_if(F.col("conflict_count") > 0), F.count_if(F.col("has_comparable_amount"))).alias("amount_mismatch_rate"),
-        F.when((n_v >= 2) & (mean != 0), money(F.stddev_pop(v))).alias("standard_deviation"),
-        F.when((n_v >= 2) & (mean != 0), pct(F.stddev_pop(v), mean)).alias("coefficient_of_variation"),
+        *_volatility_aggs(),
     ]
 
 
+def _volatility_aggs() -> list[Column]:
+    v = F.col("verified_amount")
+    spread = (F.count(v) >= 2) & (F.avg(v) != 0)
+    return [F.when(spread, money(F.stddev_pop(v))).alias("standard_deviation"),
+            F.when(spread, pct(F.stddev_pop(v), F.avg(v))).alias("coefficient_of_variation")]
+
+
 _STATUS_PARTS = {
     "completed_sales_amount": ("completed",),
     "cancelled_order_amount": ("cancelled",),
@@ -222,8 +232,10 @@ def order_overview(rows: DataFrame) -> DataFrame:
     partial sums, so the whole overview is one pass over the orders.
     """
     parts = {f"_{k}": F.when(F.col("_status").isin(*v), F.col("_verified")) for k, v in _STATUS_PARTS.items()}
-    o = order_level(rows.withColumns(parts), tuple(parts))
-    return o.agg(*_overview_aggs(), *[money(F.sum(f"_{k}")).alias(k) for k in _STATUS_PARTS])
+    # written: the overview, the counted values and their middle read it
+    o = materialize(order_level(rows.withColumns(parts), tuple(parts)))
+    middle = median(o, F.col("verified_amount")).scalar()
+    return o.agg(*_overview_aggs(middle), *[money(F.sum(f"_{k}")).alias(k) for k in _STATUS_PARTS])
 
 
 def status_amounts(rows: DataFrame) -> DataFrame:
@@ -238,7 +250,7 @@ def status_amounts(rows: DataFrame) -> DataFrame:
 
 def sales_volatility(rows: DataFrame) -> DataFrame:
     """AGG-7: population std and CV % of order values; NULL if < 2 values or mean 0."""
-    return order_overview(rows).select("standard_deviation", "coefficient_of_variation")
+    return order_level(rows).agg(*_volatility_aggs())
 
 
 def order_count(rows: DataFrame) -> DataFrame:
@@ -385,12 +397,13 @@ def status_analysis(rows: DataFrame) -> DataFrame:
 def status_summary(rows: DataFrame) -> DataFrame:
     """AGG-13: completed / cancelled / refund counts and rates over known statuses."""
     valid = rows.where(F.col("_status").isin(*KNOWN_STATUSES))
-    oid, s = F.col("_order_id"), F.col("_status")
-    a = valid.agg(
-        hybrid_order_count(oid).alias("_den"),
-        hybrid_count_if(s == "completed", oid).alias("completed_order_count"),
-        hybrid_count_if(s == "cancelled", oid).alias("cancelled_order_count"),
-        (hybrid_count_if(s == "refund_in_progress", oid) + hybrid_count_if(s == "refunded", oid)).alias("refund_order_count"),
+    s = F.col("_status")
+    per_id = _rows_per_id(valid, {"all": F.lit(True), **{w: s == w for w in ("completed", "cancelled", "refund_in_progress", "refunded")}})
+    a = per_id.agg(
+        _ids_or_rows("all").alias("_den"),
+        _ids_or_rows("completed").alias("completed_order_count"),
+        _ids_or_rows("cancelled").alias("cancelled_order_count"),
+        (_ids_or_rows("refund_in_progress") + _ids_or_rows("refunded")).alias("refund_order_count"),
     )
     den = F.col("_den")
     return a.select(
@@ -421,28 +434,32 @@ def discount_analysis(rows: DataFrame) -> DataFrame:
         return rows.sparkSession.createDataFrame(
             [], "valid_discount_count long, discounted_order_count long, discounted_order_rate double, "
                 "average_discount double, average_discounted_order_value double, estimated_discount_amount double")
-    d, oid = F.col("_discount"), F.col("_order_id")
+    d = F.col("_discount")
     valid = rows.where(d.isNotNull() & d.between(0, 1))
     disc = d < 1
     expected = F.col("_expected")
-    n_valid = hybrid_order_count(oid)
-    n_disc = hybrid_count_if(disc, oid)
-    return valid.agg(
-        F.count(F.lit(1)).alias("valid_discount_count"),
+    per_id = _rows_per_id(
+        valid, {"all": F.lit(True), "disc": disc},
+        F.sum(d.try_cast(MONEY_WORK)).alias("_d"), F.sum(F.when(disc, F.col("_verified"))).alias("_v"),
+        F.count(F.when(disc, F.col("_verified"))).alias("_nv"),
+        F.sum(F.when(expected.isNotNull(), F.col("_unit_price") * F.col("_quantity") - expected)).alias("_saved"))
+    n_disc = _ids_or_rows("disc")
+    return per_id.agg(
+        F.coalesce(F.sum("_n_all"), F.lit(0)).alias("valid_discount_count"),
         n_disc.alias("discounted_order_count"),
-        pct(n_disc, n_valid).alias("discounted_order_rate"),
-        money(F.avg(d)).alias("average_discount"),
-        money(F.avg(F.when(disc, F.col("_verified")))).alias("average_discounted_order_value"),
-        money(F.sum(F.when(expected.isNotNull(), F.col("_unit_price") * F.col("_quantity") - expected)))
-        .alias("estimated_discount_amount"),
+        pct(n_disc, _ids_or_rows("all")).alias("discounted_order_rate"),
+        money(F.try_divide(F.sum("_d").try_cast(MONEY_WORK), F.sum("_n_all"))).alias("average_discount"),
+        money(F.try_divide(F.sum("_v").try_cast(MONEY_WORK), F.sum("_nv"))).alias("average_discounted_order_value"),
+        money(F.sum("_saved")).alias("estimated_discount_amount"),
     )
 
 
-def _profile_aggs() -> list[Column]:
+def _profile_aggs(rows: DataFrame) -> list[Column]:
     return [
         hybrid_order_count(F.col("_order_id")).alias("order_count"),
         F.count_distinct("_customer_id").alias("customer_count"),
         money(F.sum("_verified")).alias("sales_amount"),
+        *first_seen(rows),
     ]
 
 
@@ -451,7 +468,7 @@ def gender_profile(rows: DataFrame) -> DataFrame:
     if not has(rows, "gender"):
         return rows.sparkSession.createDataFrame([], "name string, order_count long, customer_count long, sales_amount double")
     g = F.coalesce(clean_text(rows, "gender"), F.lit(UNKNOWN_GENDER))
-    return rows.groupBy(g.alias("name")).agg(*_profile_aggs())
+    return rows.groupBy(g.alias("name")).agg(*_profile_aggs(rows))
 
 
 def age_band(age: Column) -> Column:
@@ -467,7 +484,7 @@ def age_band(age: Column) -> Column:
 def age_profile(rows: DataFrame) -> DataFrame:
     """AGG-17b: the same profile per age band (empty when no valid age)."""
     band = age_band(to_number(rows, "age"))
-    return rows.where(band.isNotNull()).groupBy(band.alias("name")).agg(*_profile_aggs())
+    return rows.where(band.isNotNull()).groupBy(band.alias("name")).agg(*_profile_aggs(rows))
 
 
 # ---------------------------------------------------------------------------
@@ -591,10 +608,10 @@ def missing_summary(df: DataFrame) -> DataFrame:
 
 def sales_summary(rows: DataFrame) -> DataFrame:
     """MET-1: total / average / max / min of order values; no row if nothing verified."""
-    o = order_overview(rows)
-    return o.where(F.col("verified_sales_total").isNotNull()).select(
-        F.col("verified_sales_total").alias("total"), F.col("average_verified_order_value").alias("average"),
-        F.col("maximum_verified_order_value").alias("maximum"), F.col("minimum_verified_order_value").alias("minimum"))
+    v = F.col("verified_amount")
+    o = order_level(rows).agg(money(F.sum(v)).alias("total"), money(F.avg(v)).alias("average"),
+                              money(F.max(v)).alias("maximum"), money(F.min(v)).alias("minimum"))
+    return o.where(F.col("total").isNotNull())
 
 
 def region_ranking(rows: DataFrame) -> DataFrame:
@@ -622,7 +639,7 @@ def growth_rate(rows: DataFrame) -> DataFrame:
 
 def target_completion(rows: DataFrame) -> DataFrame:
     """MET-4: verified total / Σ target; targets over *all* rows (copies included)."""
-    total = order_overview(rows).select("verified_sales_total").scalar()
+    total = order_level(rows).agg(money(F.sum("verified_amount"))).scalar()
     target = to_number(rows, "target_amount")
     t = rows.agg(F.sum(target * F.col(COPIES)).alias("target_total"))
     return t.select(F.when(total.isNotNull(), pct(total, F.col("target_total"))).alias("completion_rate"))

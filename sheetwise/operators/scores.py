@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from sheetwise.functions.columns import MONEY_WORK, has, money, non_empty, strip, to_number
 from sheetwise.functions.normalize import day_key, parse_dates
+from sheetwise.operators.ranking import FIRST, POS, median_of_counts, value_counts
+from sheetwise.session import materialize
 
-POS = "_pos"
 
 
 def _score(df: DataFrame) -> Column:
@@ -34,8 +35,12 @@ def student_count(df: DataFrame) -> DataFrame:
 
 def score_summary(df: DataFrame) -> DataFrame:
     """STU-2: count, mean, max, min, median of parsed scores; no row if none."""
-    s = _score(df)
-    a = df.agg(*_stats(s), money(F.median(s.cast("double"))).alias("median"))
+    counts = value_counts(df, _score(df))  # everything follows from the different values
+    v, n = F.col("value"), F.col("n")
+    exact = v.try_cast(MONEY_WORK)
+    mean = F.sum(exact * n).try_cast(MONEY_WORK) / F.sum(F.when(exact.isNotNull(), n))
+    a = counts.agg(F.sum(n).alias("count"), money(mean).alias("average"), money(F.max(v)).alias("maximum"),
+                   money(F.min(v)).alias("minimum"), money(median_of_counts(counts).scalar()).alias("median"))
     return a.where(F.col("count") > 0)
 
 
@@ -73,28 +78,26 @@ def student_rollup(df: DataFrame) -> DataFrame:
 
 
 def exam_trend(df: DataFrame) -> DataFrame:
-    """STU-6: mean score per exam date; when no date parses, per exam name.
+    """STU-6: mean score per exam date, ascending; when no date parses, per exam name in order
+    of first appearance.  ``_first`` is the sort key.
 
-    Both branches are planned lazily; a scalar subquery picks the branch, so
-    the decision needs no action on the driver.
+    One pass sums the scores by date and name; both branches and the choice between them
+    read these sums.
     """
     s = _score(df)
-    scored = df.where(s.isNotNull())
-    parts = []
-    has_date = F.lit(False)
-    if has(df, "exam_date"):
-        d = parse_dates(df, "exam_date")
-        dated = scored.where(d.isNotNull())
-        has_date = dated.agg(F.count(F.lit(1)) > 0).scalar()
-        parts.append(dated.groupBy(day_key(d).alias("name")).agg(
-            money(F.avg(s.try_cast(MONEY_WORK))).alias("average"), F.count(s).alias("count")).where(has_date))
-    if has(df, "exam_name"):
-        named = scored.where(non_empty(df, "exam_name"))
-        parts.append(named.groupBy(strip(F.col("exam_name").cast("string")).alias("name")).agg(
-            money(F.avg(s.try_cast(MONEY_WORK))).alias("average"), F.count(s).alias("count")).where(~has_date))
-    if not parts:
-        return df.sparkSession.createDataFrame([], "name string, average double, count long")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    exact = s.try_cast(MONEY_WORK)
+    if not (has(df, "exam_date") or has(df, "exam_name")):
+        return df.sparkSession.createDataFrame([], f"name string, average double, count long, {FIRST} long")
+    day = day_key(parse_dates(df, "exam_date")) if has(df, "exam_date") else F.lit(None).cast("string")
+    name = F.when(non_empty(df, "exam_name"), strip(F.col("exam_name").cast("string"))) if has(df, "exam_name") else F.lit(None).cast("string")
+    position = F.col(POS) if has(df, POS) else F.lit(None).cast("long")
+    sums = materialize(df.where(s.isNotNull()).groupBy(day.alias("day"), name.alias("exam"))
+                       .agg(F.sum(exact).alias("total"), F.count(exact).alias("n"), F.count(s).alias("count"), F.min(position).alias("position")))
+    by_date = sums.agg(F.coalesce(F.bool_or(F.col("day").isNotNull()), F.lit(False))).scalar()
+    average = money(F.sum("total").try_cast(MONEY_WORK) / F.sum("n")).alias("average")
+    dated = (sums.where(F.col("day").isNotNull() & by_date).groupBy(F.col("day").alias("name"))
+             .agg(average, F.sum("count").alias("count"))
+             .withColumn(FIRST, F.unix_date(F.to_date("name", "yyyy-MM-dd")).cast("long")))
+    named = (sums.where(F.col("exam").isNotNull() & ~by_date).groupBy(F.col("exam").alias("name"))
+             .agg(average, F.sum("count").alias("count"), F.min("position").cast("long").alias(FIRST)))
+    return dated.unionByName(named)

@@ -192,7 +192,7 @@ def _orders_sql() -> dict[str, str]:
  {M('avg(dc)')} average_discount, {M('avg(case when dc < 1 then ver end)')} average_discounted_order_value,
  {M('sum(case when ver is not null then up * qt - ver end)')} estimated_discount_amount
  from r where dc is not null and dc between 0 and 1"""
-    prof = f"{HYB()} order_count, count(distinct cid) customer_count, {M('sum(ver)')} sales_amount"
+    prof = f"{HYB()} order_count, count(distinct cid) customer_count, {M('sum(ver)')} sales_amount, min(ok * 8 + ln) seen"
     q["gender_profile"] = _with() + f"""select coalesce(nullif(trim(gender), ''), 'unknown') name, {prof}
  from r group by 1"""
     band = """case when age > 0 and age < 120 then case when age < 18 then '18以下' when age < 25 then '18-24'
@@ -282,7 +282,7 @@ INVENTORY_BASE = """with inv as (
   case when l_orderkey % 47 = 0 then 'n/a-qty' else cast(cast(l_quantity as int) as varchar) end stock_quantity,
   cast(p_size as int) safety_stock, cast(p_retailprice as decimal(12,2)) unit_cost,
   cast(l_linenumber * 3 as int) inbound_quantity, cast(l_quantity as int) outbound_quantity,
-  l_shipdate inventory_date
+  l_shipdate inventory_date, l_orderkey * 8 + l_linenumber pos
  from lineitem join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey
       join nation on s_nationkey = n_nationkey),
 iv as (select *, try_cast(trim(stock_quantity) as double) st from inv)
@@ -303,7 +303,7 @@ def _inventory_sql() -> dict[str, str]:
  {M('avg(' + X.format('st') + ')')} average, {M('max(st)')} maximum, {M('min(st)')} minimum,
  {M('median(st)')} median from iv having count(st) > 0"""
     q["low_stock"] = b + f"""select nullif(trim(product_id), '') product_id, nullif(trim(product_name), '') product_name,
- {M('st')} stock_quantity, {M('safety_stock')} safety_stock, {M('safety_stock - st')} shortage
+ {M('st')} stock_quantity, {M('safety_stock')} safety_stock, {M('safety_stock - st')} shortage, pos
  from iv where st is not null and safety_stock is not null and st < safety_stock"""
     val = X.format("st * cast(unit_cost as double)")
     q["inventory_value"] = b + f"""select count({val}) count, {M('sum(' + val + ')')} total,
@@ -325,7 +325,7 @@ SCORES_BASE = """with ss as (
   event_type subject,
   case when event_id % 53 = 0 then 'absent' else cast(cast(value as decimal(10,2)) as varchar) end score,
   case when user_id % 17 = 0 then null else concat('Class ', cast(user_id % 10 as varchar)) end class_name,
-  concat('Week ', cast(extract(week from ts) as varchar)) exam_name, cast(ts as date) exam_date
+  concat('Week ', cast(extract(week from ts) as varchar)) exam_name, cast(ts as date) exam_date, event_id
  from events),
 sc as (select *, try_cast(trim(score) as double) s from ss)
 """
@@ -352,6 +352,8 @@ def _scores_sql() -> dict[str, str]:
  select trim(exam_name) name, {avg} average, count(s) count
  from sc where s is not null and nullif(trim(exam_name), '') is not null group by 1
  having (select count(*) from sc where s is not null and exam_date is not null) = 0"""
+    q["exam_names"] = b + f"""select trim(exam_name) name, {avg} average, count(s) count, min(event_id) seen
+ from sc where s is not null and nullif(trim(exam_name), '') is not null group by 1"""
     return q
 
 
@@ -812,6 +814,27 @@ def _report_sql(base: dict[str, str]) -> dict[str, str]:
     return q
 
 
+# Sort keys of the result lists, as SQL.
+LIST_ORDERS = {
+    "product_sales": "coalesce(sales_amount, 0) desc, name", "category_sales": "coalesce(sales_amount, 0) desc, category",
+    "region_sales": "coalesce(region_sales, 0) desc, name", "region_performance": "coalesce(sales_amount, 0) desc, name",
+    "product_quantity": "value desc, name", "status_analysis": "order_count desc, name",
+    "payment_analysis": "coalesce(sales_amount, 0) desc, name", "customer_rollup": "coalesce(sales_amount, 0) desc, customer_id",
+    "top_customers": "coalesce(sales_amount, 0) desc, customer_id", "gender_profile": "seen", "age_profile": "seen",
+    "daily_sales": "name", "monthly_sales": "name", "monthly_orders": "name",
+    "subject_score": "average desc, name", "class_score": "average desc, name", "student_rollup": "average desc, student_id",
+    "exam_trend": "name", "exam_names": "seen", "low_stock": "shortage desc, coalesce(product_id, product_name, ''), pos",
+    "category_stock": "value desc, name", "warehouse_stock": "value desc, name", "supplier_stock": "value desc, name",
+    "inventory_trend": "name",
+}
+
+
+def _ranked(key: str, sql: str) -> str:
+    hidden = {"low_stock": "pos", "gender_profile": "seen", "age_profile": "seen", "exam_names": "seen"}.get(key)
+    cols = f"l.* exclude ({hidden})" if hidden else "l.*"
+    return f"select cast(row_number() over (order by {LIST_ORDERS[key]}) as bigint) rank, {cols} from ({sql}) l"
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(_catalog_sql())
@@ -819,6 +842,7 @@ def oracle_sql() -> dict[str, str]:
     out.update(_inventory_sql())
     out.update(_scores_sql())
     out.update(_report_sql(dict(out)))
+    out.update({key: _ranked(key, out[key]) for key in LIST_ORDERS})
     out.update(_profile_sql())
     out.update(_cleaning_sql())
     # a table uploaded as text under other headers gives what the typed columns give

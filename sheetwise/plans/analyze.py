@@ -8,7 +8,7 @@ DataFrame over the written canonical table.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Row
@@ -21,6 +21,7 @@ from sheetwise.operators import scores as S
 from sheetwise.operators.cleaning import POS, cleaned
 from sheetwise.plans.domains import Domain, capability_plan, domain_choice
 from sheetwise.plans.mapping import canonicalize
+from sheetwise.plans.results import in_order
 from sheetwise.session import materialize
 
 Analysis = Callable[[DataFrame], DataFrame]
@@ -71,16 +72,38 @@ ANALYSES: dict[str, dict[str, dict[str, Analysis]]] = {
 }
 
 
+class Results(Mapping):
+    """Results by name; an analysis is planned (and what it writes is written) at first use."""
+
+    def __init__(self, rows: DataFrame, analyses: dict[str, Analysis]):
+        self._rows, self._analyses, self._done = rows, analyses, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._done:
+            self._done[name] = self._analyses[name](self._rows)
+        return self._done[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._analyses)
+
+    def __len__(self) -> int:
+        return len(self._analyses)
+
+
 @dataclass(frozen=True)
 class Analysed:
     """``table`` is the canonical table; ``plan`` has a row for each capability of the domain;
-    ``results`` holds the supported ones by name."""
+    ``results`` holds the supported ones by name, each computed when it is asked for."""
 
     domain: str
     score: float
     plan: list[Row]
     table: DataFrame
-    results: dict[str, DataFrame]
+    results: Mapping[str, DataFrame]
+
+    def result(self, name: str) -> DataFrame:
+        """A result with the ``rank`` of its rows, if it is a list."""
+        return in_order(name, self.results[name])
 
 
 def _columns(table: DataFrame) -> DataFrame:
@@ -105,5 +128,5 @@ def analyze(df: DataFrame, overrides: dict[str, str] | None = None, domains: lis
     plan = capability_plan(columns, choice, domains).collect()
     rows = materialize(O.order_rows(table)) if chosen["domain"] == "order" else table
     own = analyses.get(chosen["domain"], {})
-    results = {name: run(rows) for item in plan if item["supported"] for name, run in own.get(item["capability_id"], {}).items()}
-    return Analysed(chosen["domain"], chosen["score"], plan, table, results)
+    supported = {name: run for item in plan if item["supported"] for name, run in own.get(item["capability_id"], {}).items()}
+    return Analysed(chosen["domain"], chosen["score"], plan, table, Results(rows, supported))

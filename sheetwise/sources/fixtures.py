@@ -3,6 +3,7 @@
 The driver tables have no defects, so defects are injected by key arithmetic;
 these are *derivations of the given tables* and grow with them.  The same
 views are written as SQL text for the DuckDB oracle (``sheetwise.oracle``).
+``_pos`` is a row's position in its table, taken from the tables' own keys.
 
 Joins are star joins: the fact table is streamed and each dimension is joined
 on its own key, so Spark's size check decides per dimension between a
@@ -80,6 +81,7 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(ck % 8 == 0, F.lit(None)).when(ck % 6 == 0, "bad-email")
          .otherwise(F.concat(F.lit("u"), ck.cast("string"), F.lit("@example.com"))).alias("email"),
         ok.alias("ok"), pk.alias("pk"), sk.alias("sk"), ln.alias("ln"),
+        (ok * 8 + ln).alias("_pos"),
     )
     # exact duplicate rows, injected for every 50th order (one pass, no second join)
     copies = F.when(F.col("ok") % 50 == 0, 2).otherwise(1)
@@ -109,6 +111,7 @@ def inventory_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_linenumber") * 3).cast("int").alias("inbound_quantity"),
         F.col("l_quantity").cast("int").alias("outbound_quantity"),
         F.col("l_shipdate").alias("inventory_date"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("_pos"),
     )
 
 
@@ -126,6 +129,7 @@ def student_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
          .otherwise(F.concat(F.lit("Class "), (uid % 10).cast("string"))).alias("class_name"),
         F.concat(F.lit("Week "), F.weekofyear("ts").cast("string")).alias("exam_name"),
         F.to_date("ts").alias("exam_date"),
+        F.col("event_id").alias("_pos"),
     )
 
 

@@ -20,6 +20,7 @@ from sheetwise.operators import inventory as I
 from sheetwise.operators import profile as P
 from sheetwise.operators import orders as O
 from sheetwise.operators import scores as S
+from sheetwise.plans.results import ORDERS, in_order
 from sheetwise.sources.fixtures import (
     document_profile_frame, document_text_frame, inventory_rows, order_lines, raw_sales, student_scores,
 )
@@ -363,7 +364,8 @@ def _uploaded(view: Callable[[SparkSession, str], DataFrame], result: str) -> Qu
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         from sheetwise.plans.analyze import analyze
         cells = view(spark, sf_dir)
-        return analyze(cells.select(*[F.col(c).cast("string").alias(UPLOAD_HEADERS.get(c, c)) for c in cells.columns])).results[result]
+        text = [F.col(c) if c == O.POS else F.col(c).cast("string").alias(UPLOAD_HEADERS.get(c, c)) for c in cells.columns]
+        return analyze(cells.select(*text)).result(result)
     return run
 
 
@@ -372,6 +374,10 @@ UPLOADED = {"uploaded_product_sales": "product_sales", "uploaded_region_sales":
             "uploaded_customers": "customer_rollup", "uploaded_subject_score": "subject_score", "uploaded_category_stock": "category_stock"}
 
 
+def _listed(query: Query, name: str) -> Query:
+    return lambda spark, sf_dir: in_order(name, query(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     views = {"subject_score": student_scores, "category_stock": inventory_rows}
@@ -384,4 +390,7 @@ def queries() -> dict[str, Query]:
     out.update(ORDER_QUERIES)
     out.update(INVENTORY_QUERIES)
     out.update(SCORE_QUERIES)
+    out["exam_names"] = lambda spark, sf_dir: S.exam_trend(student_scores(spark, sf_dir).drop("exam_date"))
+    lists = {**{name: name for name in ORDERS}, "exam_names": "exam_trend"}
+    out.update({key: _listed(out[key], name) for key, name in lists.items()})
     return out
