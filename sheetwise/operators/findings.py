@@ -10,13 +10,12 @@ are produced by ``explode`` over an array of conditional structs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetwise.functions.columns import money
-from sheetwise.operators import inventory as I
-from sheetwise.operators import orders as O
-from sheetwise.operators import scores as S
 
 FINDING_SCHEMA = "code string, subject string, value double, reference string, reference_value double"
 
@@ -36,15 +35,12 @@ def _finding(code: str | Column, subject=None, value=None, reference=None, refer
                     lit(reference_value, "double").alias("reference_value"))
 
 
-def _emit(anchor: DataFrame, rules: list[tuple[Column, Column]]) -> DataFrame:
+def _emit(spark: SparkSession, rules: list[tuple[Column, Column]]) -> DataFrame:
     """One row per rule whose condition holds (conditions may be NULL = not met)."""
+    if not rules:
+        return spark.createDataFrame([], FINDING_SCHEMA)
     arr = F.array_compact(F.array(*[F.when(F.coalesce(cond, F.lit(False)), f) for cond, f in rules]))
-    return anchor.select(F.explode(arr).alias("f")).select("f.*")
-
-
-def _one(df: DataFrame) -> DataFrame:
-    """A single-row anchor frame (the rules themselves only read scalar subqueries)."""
-    return df.sparkSession.range(1)
+    return spark.range(1).select(F.explode(arr).alias("f")).select("f.*")
 
 
 def _ends(df: DataFrame, key: Column, value: str, name: str = "name") -> DataFrame:
@@ -72,96 +68,116 @@ def _trend_rule(ends: DataFrame, prefix: str) -> tuple[Column, Column]:
     return n >= 2, _finding(code, first["name"], F.abs(change), last["name"], None)
 
 
-def order_findings(rows: DataFrame) -> DataFrame:
-    """FND-1: completion below 80, region gap, refunds, quality counters, trend change."""
-    completion = O.target_completion(rows).select("completion_rate").scalar()
-    regions = _sorted_ends(O.region_sales(rows), "region_sales", "name")
-    rn, rf, rl = _scalars(regions, "n", "first", "last")
-    refunds = O.status_summary(rows).select("refund_order_count").scalar()
-    quality = O.data_quality(rows)
-    rules = [
-        (completion < COMPLETION_WARNING, _finding("low_target_completion", None, completion, None, COMPLETION_WARNING)),
-        ((rn >= 2) & rf["value"].isNotNull() & rl["value"].isNotNull(),
-         _finding("region_gap", rf["name"], rf["value"], rl["name"], rl["value"])),
-        (refunds > 0, _finding("refund_orders", None, refunds)),
-    ]
-    for counter, v in zip(QUALITY_COUNTERS, _scalars(quality, *QUALITY_COUNTERS)):
-        rules.append((v > 0, _finding("data_quality", counter, v)))
-    rules.append(_trend_rule(_ends(O.daily_sales(rows), F.col("name"), "value"), "sales_trend"))
-    return _emit(_one(rows), rules)
-
-
-def sales_findings(rows: DataFrame) -> DataFrame:
+def _results(given: DataFrame | Mapping[str, DataFrame], domain: str) -> Mapping[str, DataFrame]:
+    """Results by name; of rows in canonical form: all of the domain."""
+    if isinstance(given, DataFrame):
+        from sheetwise.plans.outcome import all_results
+        return all_results(given, domain)
+    return given
+
+
+def _session(results: Mapping[str, DataFrame]) -> SparkSession:
+    return next(iter(results.values())).sparkSession if len(results) else SparkSession.active()
+
+
+def order_findings(given: DataFrame | Mapping[str, DataFrame]) -> DataFrame:
+    """FND-1: completion below 80, region gap, refunds, quality counters, trend change.
+
+    Takes rows, or the supported results of an analysed table: rules whose result is not
+    among them don't apply.
+    """
+    r = _results(given, "order")
+    rules: list[tuple[Column, Column]] = []
+    if "target_completion" in r:
+        completion = r["target_completion"].select("completion_rate").scalar()
+        rules.append((completion < COMPLETION_WARNING, _finding("low_target_completion", None, completion, None, COMPLETION_WARNING)))
+    if "region_sales" in r:
+        rn, rf, rl = _scalars(_sorted_ends(r["region_sales"], "region_sales", "name"), "n", "first", "last")
+        rules.append(((rn >= 2) & rf["value"].isNotNull() & rl["value"].isNotNull(),
+                      _finding("region_gap", rf["name"], rf["value"], rl["name"], rl["value"])))
+    if "status_summary" in r:
+        refunds = r["status_summary"].select("refund_order_count").scalar()
+        rules.append((refunds > 0, _finding("refund_orders", None, refunds)))
+    if "data_quality" in r:
+        for counter, v in zip(QUALITY_COUNTERS, _scalars(r["data_quality"], *QUALITY_COUNTERS)):
+            rules.append((v > 0, _finding("data_quality", counter, v)))
+    if "daily_sales" in r:
+        rules.append(_trend_rule(_ends(r["daily_sales"], F.col("name"), "value"), "sales_trend"))
+    return _emit(_session(r), rules)
+
+
+def sales_findings(given: DataFrame | Mapping[str, DataFrame]) -> DataFrame:
     """FND-2: completion, growth, regions below target, region imbalance, volatility."""
-    completion = O.target_completion(rows).select("completion_rate").scalar()
-    growth = O.growth_rate(rows).select("growth_rate").scalar()
-    perf = O.region_performance(rows)
-    key = F.struct(-F.coalesce(F.col("sales_amount"), F.lit(0.0)), F.col("name"))
-    low = perf.where(F.col("completion_rate") < COMPLETION_WARNING).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), F.col("name").alias("n")))),
-                                 lambda x: x["n"]), "、").alias("names"), F.count(F.lit(1)).alias("cnt"))
-    low_names, low_n = _scalars(low, "names", "cnt")
-    ranking = O.region_ranking(rows)
-    hi = ranking.where(F.col("is_highest")).select(F.struct("name", "value")).scalar()
-    lo = ranking.where(F.col("is_lowest")).select(F.struct("name", "value")).scalar()
-    cv = O.sales_volatility(rows).select("coefficient_of_variation").scalar()
-    total = O.sales_summary(rows).select("total").scalar()
-    rules = [
-        (completion < COMPLETION_WARNING, _finding("low_target_completion", None, completion, None, COMPLETION_WARNING)),
-        (growth < 0, _finding("sales_decline", None, F.abs(growth))),
-        (low_n > 0, _finding("low_completion_regions", low_names, low_n, None, COMPLETION_WARNING)),
-        ((hi["value"] > 0) & (hi["value"] >= lo["value"] * 2),
-         _finding("region_imbalance", hi["name"], hi["value"], lo["name"], lo["value"])),
-        (total.isNotNull() & (cv >= VOLATILITY_WARNING), _finding("high_volatility", None, cv, None, VOLATILITY_WARNING)),
-    ]
-    return _emit(_one(rows), rules)
-
-
-def score_findings(df: DataFrame) -> DataFrame:
-    """FND-3: subject gap, class gap, top student, exam trend change."""
+    r = _results(given, "order")
+    rules: list[tuple[Column, Column]] = []
+    if "target_completion" in r:
+        completion = r["target_completion"].select("completion_rate").scalar()
+        rules.append((completion < COMPLETION_WARNING, _finding("low_target_completion", None, completion, None, COMPLETION_WARNING)))
+    if "growth_rate" in r:
+        growth = r["growth_rate"].select("growth_rate").scalar()
+        rules.append((growth < 0, _finding("sales_decline", None, F.abs(growth))))
+    if "region_performance" in r:
+        key = F.struct(-F.coalesce(F.col("sales_amount"), F.lit(0.0)), F.col("name"))
+        low = r["region_performance"].where(F.col("completion_rate") < COMPLETION_WARNING).agg(
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), F.col("name").alias("n")))),
+                                     lambda x: x["n"]), "、").alias("names"), F.count(F.lit(1)).alias("cnt"))
+        low_names, low_n = _scalars(low, "names", "cnt")
+        rules.append((low_n > 0, _finding("low_completion_regions", low_names, low_n, None, COMPLETION_WARNING)))
+    if "region_ranking" in r:
+        hi = r["region_ranking"].where(F.col("is_highest")).select(F.struct("name", "value")).scalar()
+        lo = r["region_ranking"].where(F.col("is_lowest")).select(F.struct("name", "value")).scalar()
+        rules.append(((hi["value"] > 0) & (hi["value"] >= lo["value"] * 2),
+                      _finding("region_imbalance", hi["name"], hi["value"], lo["name"], lo["value"])))
+    if "sales_volatility" in r:
+        cv = r["sales_volatility"].select("coefficient_of_variation").scalar()
+        total = r["sales_summary"].select("total").scalar()
+        rules.append((total.isNotNull() & (cv >= VOLATILITY_WARNING), _finding("high_volatility", None, cv, None, VOLATILITY_WARNING)))
+    return _emit(_session(r), rules)
+
+
+def score_findings(given: DataFrame | Mapping[str, DataFrame]) -> DataFrame:
+    """FND-3: subject gap, class gap, top student, exam trend change (in the order of the exams)."""
+    r = _results(given, "student_score")
     rules = []
-    for code, frame in (("subject_gap", S.subject_score(df)), ("class_gap", S.class_score(df))):
-        e = _sorted_ends(frame, "average", "name")
-        n, first, last = _scalars(e, "n", "first", "last")
-        rules.append(((n >= 1) & (first["name"] != last["name"]),
-                      _finding(code, first["name"], first["value"], last["name"], last["value"])))
-    st = S.student_rollup(df)
-    label = F.coalesce(F.col("student_name"), F.col("student_id")) if "student_name" in st.columns else F.col("student_id")
-    top = st.agg(F.min_by(F.struct(label.alias("name"), F.col("average").alias("value")),
-                          F.struct(-F.col("average"), F.col("student_id")))).scalar()
-    rules.append((top.isNotNull(), _finding("top_student", top["name"], top["value"])))
-    trend = S.exam_trend(df)
-    rules.append(_trend_rule(_ends(trend.withColumnRenamed("average", "value"), F.struct("_first", "name"), "value"), "exam_trend"))
-    return _emit(_one(df), rules)
-
-
-def inventory_findings(df: DataFrame) -> DataFrame:
+    for code, name in (("subject_gap", "subject_score"), ("class_gap", "class_score")):
+        if name in r:
+            n, first, last = _scalars(_sorted_ends(r[name], "average", "name"), "n", "first", "last")
+            rules.append(((n >= 1) & (first["name"] != last["name"]),
+                          _finding(code, first["name"], first["value"], last["name"], last["value"])))
+    if "student_rollup" in r:
+        st = r["student_rollup"]
+        label = F.coalesce(F.col("student_name"), F.col("student_id")) if "student_name" in st.columns else F.col("student_id")
+        top = st.agg(F.min_by(F.struct(label.alias("name"), F.col("average").alias("value")),
+                              F.struct(-F.col("average"), F.col("student_id")))).scalar()
+        rules.append((top.isNotNull(), _finding("top_student", top["name"], top["value"])))
+    if "exam_trend" in r:
+        rules.append(_trend_rule(_ends(r["exam_trend"].withColumnRenamed("average", "value"), F.struct("_first", "name"), "value"), "exam_trend"))
+    return _emit(_session(r), rules)
+
+
+def inventory_findings(given: DataFrame | Mapping[str, DataFrame]) -> DataFrame:
     """FND-4: low-stock count with the first five names, stock trend change, leading warehouse."""
-    low = I.low_stock(df)
-    label = F.coalesce(F.col("product_name"), F.col("product_id"), F.lit(UNNAMED_PRODUCT))
-    order = F.struct(-F.col("shortage"), F.coalesce("product_id", "product_name", F.lit("")))
-    first5 = I.low_stock_sorted(df).limit(5).select(order.alias("k"), label.alias("label"))
-    names = first5.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "label"))),
-                                                lambda x: x["label"]), "、")).scalar()
-    count = low.agg(F.count(F.lit(1))).scalar()
-    wh = _sorted_ends(I.warehouse_stock(df), "value", "name").select("first").scalar()
-    rules = [
-        (count > 0, _finding("low_stock", names, count)),
-        _trend_rule(_ends(I.inventory_trend(df), F.col("name"), "value"), "stock_trend"),
-        (wh.isNotNull(), _finding("leading_warehouse", wh["name"], wh["value"])),
-    ]
-    return _emit(_one(df), rules)
+    r = _results(given, "inventory")
+    rules = []
+    if "low_stock" in r:
+        label = F.coalesce(F.col("product_name"), F.col("product_id"), F.lit(UNNAMED_PRODUCT))
+        order = [-F.col("shortage"), F.coalesce("product_id", "product_name", F.lit(""))]
+        low = r["low_stock"].select(F.struct(*order).alias("k"), label.alias("label"))
+        count = low.agg(F.count(F.lit(1))).scalar()
+        first5 = low.orderBy("k").limit(5)
+        names = first5.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "label"))),
+                                                    lambda x: x["label"]), "、")).scalar()
+        rules.append((count > 0, _finding("low_stock", names, count)))
+    if "inventory_trend" in r:
+        rules.append(_trend_rule(_ends(r["inventory_trend"], F.col("name"), "value"), "stock_trend"))
+    if "warehouse_stock" in r:
+        wh = _sorted_ends(r["warehouse_stock"], "value", "name").select("first").scalar()
+        rules.append((wh.isNotNull(), _finding("leading_warehouse", wh["name"], wh["value"])))
+    return _emit(_session(r), rules)
 
 
 def safe_payload(rows: DataFrame) -> DataFrame:
-    """PRJ-3: metrics that may leave the engine: no customer names, no contact
-    counters, no unverified total.  One row of nested structs."""
-    top = O.top_customers(rows).drop("customer_name")
-    quality = O.data_quality(rows)
-    hidden = [c for c in quality.columns if c.startswith(("phone_", "email_", "contact_"))] + ["unverified_amount_total"]
-    q = quality.drop(*hidden)
-    return rows.sparkSession.range(1).select(
-        F.to_json(O.order_overview(rows).select(F.struct("*")).scalar()).alias("overview"),
-        F.to_json(top.agg(F.collect_list(F.struct("*"))).scalar()).alias("top_customers"),
-        F.to_json(q.select(F.struct("*")).scalar()).alias("data_quality"),
-    )
+    """PRJ-3: the order results that may leave the engine, a row for each cell: no customer names,
+    and in the quality part no contact counters and no unverified total (the overview has its own)."""
+    from sheetwise.plans.outcome import all_results, result_payload
+    return result_payload(all_results(rows, "order"), "order", rows.sparkSession)

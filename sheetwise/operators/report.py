@@ -135,12 +135,25 @@ def report_order_tables(rows: DataFrame) -> DataFrame:
     q = O.data_quality(rows)
     parts.append(to_long(q.withColumn("_k", F.lit("1")), "数据质量检查", "_k",
                          [(QUALITY_LABELS.get(c, c), c) for c in q.columns]))
+    parts.append(missing_row(rows, len(q.columns)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def missing_row(rows: DataFrame, col_no: int) -> DataFrame:
+    """The quality table's list of columns with missing values over all rows, ``column:count``;
+    no row if there are none."""
+    def entry(c: str) -> Column:
+        missing = F.sum(F.when(F.col(c).isNull(), F.col(O.COPIES)).otherwise(0))
+        return F.when(missing > 0, F.concat(F.lit(f"{c}:"), missing.cast("string")))
+    text = F.array_join(F.array_compact(F.array(*[entry(c) for c in rows.columns if not c.startswith("_")])), "；")
+    one = rows.agg(F.nullif(text, F.lit("")).alias("missing_value_summary"))
+    row = to_long(one.withColumn("_k", F.lit("1")), "数据质量检查", "_k", [("missing_value_summary", "missing_value_summary")])
+    return row.where(F.col("value_text").isNotNull()).withColumn("col_no", F.lit(col_no))
+
+
 def report_student_tables(df: DataFrame) -> DataFrame:
     """RPT-3: subject, class, student (name column only when some name exists) and exam tables."""
     stats = (("有效成绩数", "count"), ("平均分", "average"), ("最高分", "maximum"), ("最低分", "minimum"))
@@ -201,10 +214,13 @@ def kpi_rows(rows: DataFrame) -> DataFrame:
     cust = _metric_rows(O.customer_summary(rows), "kpi", (("unique_customer_count", "客户数量"),
                                                           ("repeat_customer_rate", "复购率")))
     refund = _metric_rows(O.status_summary(rows), "kpi", (("refund_rate", "退款率"),))
-    q = O.data_quality(rows)
-    warn = to_long(q.withColumn("_k", F.lit("quality")), "quality_warning", "_k",
+    return kpis.unionByName(cust).unionByName(refund).unionByName(quality_warnings(O.data_quality(rows)))
+
+
+def quality_warnings(quality: DataFrame) -> DataFrame:
+    """The quality counters above zero."""
+    return to_long(quality.withColumn("_k", F.lit("quality")), "quality_warning", "_k",
                    [(label, key) for key, label in QUALITY_WARNINGS]).where(F.col("value_num") > 0)
-    return kpis.unionByName(cust).unionByName(refund).unionByName(warn)
 
 
 def single_table_catalog(df: DataFrame, dataset_id: int = 0) -> DataFrame:

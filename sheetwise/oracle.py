@@ -9,6 +9,7 @@ pages ...`` are views over the driver's parquet files.
 from __future__ import annotations
 
 from sheetwise.functions.normalize import REGION_NAMES, STATUS_CODES
+from sheetwise.oracle_outcome import outcome_sql
 
 
 def M(x: str) -> str:
@@ -659,7 +660,7 @@ pl3 as (select *, list_concat(am, case when len(any_of) = 0 or fo > 0 then []::v
     return q
 
 
-def _report_sql(base: dict[str, str]) -> dict[str, str]:
+def _report_sql(base: dict[str, str], exam_order: str = "name") -> dict[str, str]:
     """Findings and report tables, composed from the metric SQL above."""
     from sheetwise.operators.findings import QUALITY_COUNTERS, UNNAMED_PRODUCT
     from sheetwise.operators.report import (
@@ -678,8 +679,8 @@ def _report_sql(base: dict[str, str]) -> dict[str, str]:
         return (f"(select {name} nm, {value} val, row_number() over (order by {order}) r, count(*) over () n "
                 f"from {sub(key)})")
 
-    def trend(key: str, prefix: str, value: str = "value") -> str:
-        e = ends(key, "name", value)
+    def trend(key: str, prefix: str, value: str = "value", order: str = "name") -> str:
+        e = ends(key, order, value)
         ch = M("l.val - f.val")
         return (F(f"'{prefix}' || case when {ch} > 0 then '_up' when {ch} < 0 then '_down' else '_flat' end",
                   "f.nm", f"abs({ch})", "l.nm") + f" from {e} f, {e} l where f.r = 1 and l.r = l.n and f.n >= 2")
@@ -716,7 +717,7 @@ def _report_sql(base: dict[str, str]) -> dict[str, str]:
     st = (f"(select coalesce(student_name, student_id) nm, average val, "
           f"row_number() over (order by -average, student_id) r from {sub('student_rollup')})")
     parts.append(F("'top_student'", "nm", "val") + f" from {st} where r = 1")
-    parts.append(trend("exam_trend", "exam_trend", "average"))
+    parts.append(trend("exam_trend", "exam_trend", "average", exam_order))
     q["score_findings"] = " union all ".join(parts)
     low = sub("low_stock")
     first5 = (f"(select coalesce(product_name, product_id, '{UNNAMED_PRODUCT}') label, "
@@ -761,7 +762,12 @@ def _report_sql(base: dict[str, str]) -> dict[str, str]:
     q["report_order_tables"] = " union all ".join(
         [long(sub(key), title, k, cols) for key, title, k, cols in ORDER_SECTIONS]
         + [long(sub("discount_analysis"), "折扣分析", "'1'", [(c, c) for c in disc_cols]),
-           long(sub("data_quality"), "数据质量检查", "'1'", [(QUALITY_LABELS.get(c, c), c) for c in dq_cols])])
+           long(sub("data_quality"), "数据质量检查", "'1'", [(QUALITY_LABELS.get(c, c), c) for c in dq_cols])]
+        + ["select '数据质量检查' section, '1' row_key, 28 col_no, 'missing_value_summary' header, "
+           "string_agg(column_name || ':' || missing_count, '；' order by list_position(['order_id', 'customer_id', 'customer_name', 'product', "
+           "'category', 'region', 'date', 'unit_price', 'quantity', 'discount', 'sales_amount', 'status', 'payment_method', 'target_amount', "
+           "'gender', 'age', 'phone', 'email'], column_name)) value_text, cast(null as double) value_num "
+           f"from {sub('missing_summary')} having count(*) > 0"])
     stats = [("有效成绩数", "count"), ("平均分", "average"), ("最高分", "maximum"), ("最低分", "minimum")]
     q["report_student_tables"] = " union all ".join([
         long(sub("subject_score"), "学科成绩统计", "name", [("学科", "name")] + stats),
@@ -835,6 +841,13 @@ def _ranked(key: str, sql: str) -> str:
     return f"select cast(row_number() over (order by {LIST_ORDERS[key]}) as bigint) rank, {cols} from ({sql}) l"
 
 
+def _upload_reports(base: dict[str, str]) -> dict[str, str]:
+    """Findings and KPIs over the SQL of an upload without class names and exam dates."""
+    unlisted = "select name, count, average, maximum, minimum from (select '' name, 0 count, 0 average, 0 maximum, 0 minimum) where false"
+    exams = f"select name, average, count, seen from ({base['exam_names']})"
+    return _report_sql({**base, "class_score": unlisted, "exam_trend": exams}, exam_order="seen")
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(_catalog_sql())
@@ -842,6 +855,7 @@ def oracle_sql() -> dict[str, str]:
     out.update(_inventory_sql())
     out.update(_scores_sql())
     out.update(_report_sql(dict(out)))
+    out.update(outcome_sql(dict(out), LIST_ORDERS, _upload_reports))
     out.update({key: _ranked(key, out[key]) for key in LIST_ORDERS})
     out.update(_profile_sql())
     out.update(_cleaning_sql())

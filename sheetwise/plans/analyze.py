@@ -35,7 +35,7 @@ ANALYSES: dict[str, dict[str, dict[str, Analysis]]] = {
         "category_analysis": {"category_sales": O.category_sales},
         "sales_total": {"order_overview": O.order_overview, "sales_summary": O.sales_summary, "sales_volatility": O.sales_volatility},
         "region_sales": {"region_sales": O.region_sales, "region_ranking": O.region_ranking, "region_performance": O.region_performance},
-        "sales_trend": {"daily_sales": O.daily_sales, "monthly_sales": O.monthly_sales, "growth_rate": O.growth_rate},
+        "sales_trend": {"daily_sales": O.daily_sales, "monthly_sales": O.monthly_sales, "monthly_orders": O.monthly_orders, "growth_rate": O.growth_rate},
         "target_completion": {"target_completion": O.target_completion},
         "customer_analysis": {"customer_rollup": O.customer_rollup, "top_customers": O.top_customers, "customer_summary": O.customer_summary},
         "status_analysis": {"status_analysis": O.status_analysis, "status_summary": O.status_summary},
@@ -92,13 +92,15 @@ class Results(Mapping):
 
 @dataclass(frozen=True)
 class Analysed:
-    """``table`` is the canonical table; ``plan`` has a row for each capability of the domain;
+    """``table`` is the canonical table, ``available`` its columns with a filled cell; ``plan`` has
+    a row for each capability of the domain;
     ``results`` holds the supported ones by name, each computed when it is asked for."""
 
     domain: str
     score: float
     plan: list[Row]
     table: DataFrame
+    available: list[str]
     results: Mapping[str, DataFrame]
 
     def result(self, name: str) -> DataFrame:
@@ -106,12 +108,11 @@ class Analysed:
         return in_order(name, self.results[name])
 
 
-def _columns(table: DataFrame) -> DataFrame:
+def _columns(table: DataFrame) -> list[tuple[int, int, str, int]]:
     """The table as a catalogue of dataset 0, with the number of filled cells of each column."""
     names = [c for c in table.columns if c != POS]
     filled = table.agg(*[F.count(F.col(f"`{c}`")) for c in names]).first()
-    return table.sparkSession.createDataFrame([(0, i, c, filled[i]) for i, c in enumerate(names)],
-                                              "dataset_id long, pos int, name string, non_null long")
+    return [(0, i, c, filled[i]) for i, c in enumerate(names)]
 
 
 def analyze(df: DataFrame, overrides: dict[str, str] | None = None, domains: list[Domain] | None = None,
@@ -122,11 +123,13 @@ def analyze(df: DataFrame, overrides: dict[str, str] | None = None, domains: lis
     column (row position) is kept throughout, so first-row rules hold.
     """
     table = materialize(canonicalize(cleaned(df), overrides))
-    columns = _columns(table)
+    counted = _columns(table)
+    columns = table.sparkSession.createDataFrame(counted, "dataset_id long, pos int, name string, non_null long")
     choice = domain_choice(columns, domains)
     chosen = choice.first()
     plan = capability_plan(columns, choice, domains).collect()
     rows = materialize(O.order_rows(table)) if chosen["domain"] == "order" else table
     own = analyses.get(chosen["domain"], {})
     supported = {name: run for item in plan if item["supported"] for name, run in own.get(item["capability_id"], {}).items()}
-    return Analysed(chosen["domain"], chosen["score"], plan, table, Results(rows, supported))
+    return Analysed(chosen["domain"], chosen["score"], plan, table,
+                    [name for _, _, name, filled in counted if filled], Results(rows, supported))

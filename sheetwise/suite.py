@@ -374,6 +374,27 @@ UPLOADED = {"uploaded_product_sales": "product_sales", "uploaded_region_sales":
             "uploaded_customers": "customer_rollup", "uploaded_subject_score": "subject_score", "uploaded_category_stock": "category_stock"}
 
 
+# Uploads that lack columns, so that some analyses of their domain are skipped.
+PARTIAL_UPLOADS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], tuple[str, ...]]] = {
+    "order": (order_lines, ("payment_method", "gender", "age")),
+    "scores": (student_scores, ("class_name", "exam_date")),
+    "stock": (inventory_rows, ("supplier", "outbound_quantity")),
+    "generic": (lambda spark, sf_dir: document_profile_frame(spark, sf_dir).drop("text"), ()),
+}
+
+
+def _outcome(upload: str, part: str) -> Query:
+    """One part of what is made of an upload: coverage, payload, kpis or findings."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from sheetwise.plans import outcome
+        from sheetwise.plans.analyze import analyze
+        view, absent = PARTIAL_UPLOADS[upload]
+        cells = view(spark, sf_dir).drop(*absent)
+        text = [F.col(c) if c == O.POS else F.col(c).cast("string").alias(UPLOAD_HEADERS.get(c, c)) for c in cells.columns]
+        return getattr(outcome, part)(analyze(cells.select(*text)))
+    return run
+
+
 def _listed(query: Query, name: str) -> Query:
     return lambda spark, sf_dir: in_order(name, query(spark, sf_dir))
 
@@ -390,6 +411,8 @@ def queries() -> dict[str, Query]:
     out.update(ORDER_QUERIES)
     out.update(INVENTORY_QUERIES)
     out.update(SCORE_QUERIES)
+    out.update({f"upload_{upload}_{part}": _outcome(upload, part) for upload in PARTIAL_UPLOADS
+                for part in ("coverage", "payload", "kpis", "findings")})
     out["exam_names"] = lambda spark, sf_dir: S.exam_trend(student_scores(spark, sf_dir).drop("exam_date"))
     lists = {**{name: name for name in ORDERS}, "exam_names": "exam_trend"}
     out.update({key: _listed(out[key], name) for key, name in lists.items()})
