@@ -866,6 +866,12 @@ def oracle_sql() -> dict[str, str]:
         out[key] = out[same]
     out["csv_scan"] = """select cast(c_custkey as varchar) c_custkey, '客户' || c_name name_cn, c_name,
  cast(c_nationkey as varchar) c_nationkey, c_mktsegment from customer"""
+    out["csv_headers"] = """select cast(c_custkey as varchar) a, c_name "a.1", c_mktsegment "Unnamed: 2",
+ cast(c_nationkey as varchar) "two lines" from customer"""
+    out["sinks_written_twice"] = """select 'datasets' sink, 1 "rows", cast(7 as bigint) key_total
+ union all select 'dataset_columns', 3, (select count(distinct event_id) + count(distinct user_id) + count(distinct event_type) from events)
+ union all select 'audit', count(*), cast(sum(event_id) as bigint) from events
+ union all select 'runs', count(*), cast(sum(o_orderkey) as bigint) from orders where o_orderkey % 500 = 0"""
     out["xlsx_batch_scan"] = """select cast(s_suppkey as varchar) s_suppkey, s_name,
  cast(s_nationkey as varchar) s_nationkey from supplier"""
     return out

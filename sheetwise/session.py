@@ -18,6 +18,7 @@ SEMANTIC_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
     "spark.sql.legacy.javaCharsets": "true",
+    "spark.sql.legacy.codingErrorAction": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 

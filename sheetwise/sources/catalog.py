@@ -129,6 +129,10 @@ def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("props").alias("detail"))
 
 
+# Repeated and blank names, and a name with a line break.
+ODD_HEADER = 'a,a,,"two\nlines"'
+
+
 def landing_folder(spark: SparkSession, sf_dir: str) -> str:
     """Export upload files derived from the driver tables into the shared folder.
 
@@ -137,7 +141,7 @@ def landing_folder(spark: SparkSession, sf_dir: str) -> str:
     The export is idempotent (overwrite), so a re-run after a failure is safe.
     """
     from sheetwise.session import checkpoint_dir
-    from sheetwise.sources.sinks import export_csv, export_workbooks
+    from sheetwise.sources.sinks import export_csv, export_lines, export_workbooks
     root = f"{checkpoint_dir(spark)}/landing/{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
     c = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").cast("string").alias("c_custkey"), F.concat(F.lit("客户"), F.col("c_name")).alias("name_cn"),
@@ -147,4 +151,7 @@ def landing_folder(spark: SparkSession, sf_dir: str) -> str:
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("s_suppkey"), "s_name",
                                                 F.col("s_nationkey").cast("string").alias("s_nationkey"))
     export_workbooks(s, f"{root}/xlsx")
+    cells = [F.concat(F.lit('"'), F.replace(F.col(c).cast("string"), F.lit('"'), F.lit('""')), F.lit('"')) for c in ("c_custkey", "c_name", "c_mktsegment", "c_nationkey")]
+    lines = table(spark, sf_dir, "customer").select(F.concat_ws(",", *cells).alias("value"))
+    export_lines(lines, f"{root}/odd_headers", ODD_HEADER)
     return root

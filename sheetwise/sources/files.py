@@ -3,7 +3,8 @@
 * CSV folders: charset and header line of every file are decided on Spark
   (``read.text`` + ``is_valid_utf8``), then one CSV scan per charset and header reads
   every column as text (``inferSchema`` off: ids keep their leading zeros).  Quoted
-  newlines and doubled quotes are part of a value.
+  newlines and doubled quotes are part of a value or of a column's name; repeated and blank
+  names are numbered.  A file that no charset decodes is an error.
 * Workbooks (.xlsx): ``binaryFile`` + ``mapInPandas``; each task opens its own
   workbooks with the standard library (zip + XML), so workbooks are read in
   parallel and never pass through the driver.
@@ -16,17 +17,20 @@ Bronze rows carry ``_file`` and ``_pos`` (position inside the file) so that
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 import zipfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sheetwise.operators.cleaning import MISSING_TOKENS, with_missing_tokens
+from sheetwise.operators.cleaning import MISSING_TOKENS
 
 # Accepted extensions and the upload size limit (20 MB).
 ALLOWED_EXTENSIONS = (".csv", ".xlsx")
@@ -35,34 +39,69 @@ MAX_UPLOAD_BYTES = 20 * 1024 * 1024
 CHARSETS = ("UTF-8", "GBK")
 
 
+@dataclass(frozen=True)
+class CsvGroup:
+    """Files that one scan may read together: the same charset and the same header record."""
+
+    charset: str
+    header: tuple[str, ...]
+    files: tuple[str, ...]
+
+
 def file_heads(spark: SparkSession, path: str) -> DataFrame:
-    """(file, charset, head): UTF-8 when every line of the file is valid UTF-8, else GBK; ``head``
-    is the raw first line."""
-    lines = spark.read.option("lineSep", "\n").text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("line"),
-        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("place"))
-    first = F.min_by("line", "place")
-    per_file = lines.groupBy("file").agg(F.bool_and(F.is_valid_utf8(F.col("line"))).alias("utf8"), first.alias("head"))
-    return per_file.select("file", F.when(F.col("utf8"), CHARSETS[0]).otherwise(CHARSETS[1]).alias("charset"),
-                           F.rtrim(F.hex("head")).alias("head"))
+    """(file, charset, head): the first of ``CHARSETS`` that decodes every line of the file, NULL if
+    none does; ``head`` is the raw header record in hexadecimal.
+
+    A header record goes on over further lines while a quote is open: up to the next line with
+    an odd number of quotes.  (An unclosed quote leaves the first line.)
+    """
+    text = F.decode("line", "ISO-8859-1")  # a character for each byte
+    lines = (spark.read.option("lineSep", "\n").option("pathGlobFilter", "*.[cC][sS][vV]").text(path)
+             .select(plain_path(F.col("_metadata.file_path")).alias("file"), F.col("value").cast("binary").alias("line"),
+                     F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("place"))
+             .withColumn("odd", (F.length(text) - F.length(F.replace(text, F.lit('"'), F.lit("")))) % 2 == 1))
+    per_file = lines.groupBy("file").agg(
+        F.bool_and(F.is_valid_utf8(F.col("line"))).alias("utf8"),
+        # a byte that GBK doesn't have comes back as another one
+        F.bool_and(F.encode(F.decode("line", CHARSETS[1]), CHARSETS[1]) == F.col("line")).alias("gbk"),
+        F.min(F.struct("place", "line", "odd")).alias("first"))
+    opened = per_file.where("first.odd").select("file", F.col("first.place").alias("start"))
+    closed = (lines.where("odd").join(opened, "file").where(F.col("place") > F.col("start"))
+              .groupBy("file").agg(F.min("place").alias("end")))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", F.hex("line").alias("hex")))), lambda x: x["hex"]), "0A")
+    records = lines.join(closed, "file").where(F.col("place") <= F.col("end")).groupBy("file").agg(joined.alias("record"))
+    charset = F.when(F.col("utf8"), CHARSETS[0]).when(F.col("gbk"), CHARSETS[1])
+    return per_file.join(records, "file", "left").select("file", charset.alias("charset"), F.coalesce("record", F.hex("first.line")).alias("head"))
 
 
 def file_charsets(spark: SparkSession, path: str) -> DataFrame:
-    """(file, charset) of every file."""
+    """(file, charset) of every file; NULL where no charset decodes it."""
     return file_heads(spark, path).select("file", "charset")
 
 
-def csv_groups(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
-    """Files that one scan may read together: the same charset and header line.  File names
-    are all that reaches the driver, as Spark's own file listing does."""
-    groups = file_heads(spark, path).groupBy("charset", "head").agg(F.sort_array(F.collect_list("file")).alias("files"))
-    return sorted((row["charset"], row["files"]) for row in groups.collect())
+def header_names(head: str, charset: str) -> tuple[str, ...]:
+    """Column names of a raw header record: blanks and repeats as in ``unique_headers``."""
+    record = bytes.fromhex(head).decode(charset).removeprefix("\ufeff").rstrip("\r")
+    cells = next(csv.reader(io.StringIO(record, newline="")), [])
+    return tuple(unique_headers([cell or None for cell in cells]))
 
 
-def read_csv_group(spark: SparkSession, charset: str, files: list[str]) -> DataFrame:
+def csv_groups(spark: SparkSession, path: str) -> list[CsvGroup]:
+    """The groups of files that are read together, with their header names.  File names and
+    header records are all that reaches the driver.  A file that no charset decodes is an error."""
+    groups = file_heads(spark, path).groupBy("charset", "head").agg(F.sort_array(F.collect_list("file")).alias("files")).collect()
+    unknown = sorted(f for row in groups if row["charset"] is None for f in row["files"])
+    if unknown:
+        raise ValueError(f"no charset of {', '.join(CHARSETS)} decodes {', '.join(unknown)}")
+    return sorted((CsvGroup(row["charset"], header_names(row["head"], row["charset"]), tuple(row["files"])) for row in groups),
+                  key=lambda g: (g.charset, g.files))
+
+
+def read_csv_group(spark: SparkSession, group: CsvGroup) -> DataFrame:
     """SRC-1 + SRC-3 for files of one charset and header; an empty tail of a file is no row."""
-    df = (spark.read.option("header", True).option("inferSchema", False).option("encoding", charset)
-          .option("multiLine", True).option("quote", '"').option("escape", '"').csv(files))
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in group.header])
+    df = (spark.read.schema(schema).option("header", True).option("encoding", group.charset)
+          .option("multiLine", True).option("quote", '"').option("escape", '"').csv(list(group.files)))
     return tokens_to_null(df.withColumns({
         "_file": F.col("_metadata.file_path"),
         "_pos": F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id())}))
@@ -74,8 +113,8 @@ def read_csv_folder(spark: SparkSession, path: str) -> DataFrame:
     Files with other headers are read apart and brought together by column name.
     """
     out = None
-    for charset, files in csv_groups(spark, path):
-        part = read_csv_group(spark, charset, files)
+    for group in csv_groups(spark, path):
+        part = read_csv_group(spark, group)
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return spark.createDataFrame([], "_file string") if out is None else out
 
@@ -83,10 +122,9 @@ def read_csv_folder(spark: SparkSession, path: str) -> DataFrame:
 def tokens_to_null(df: DataFrame) -> DataFrame:
     """SRC-3 on the text columns of a bronze frame (``_file`` / ``_pos`` untouched)."""
     meta = [c for c in ("_file", "_pos") if c in df.columns]
-    data = with_missing_tokens(df.select(*[F.col(f"`{c}`") for c in df.columns if c not in meta]))
-    return df.select(*meta, *[F.col(f"`{c}`") for c in data.columns]).select(*meta, *[
-        F.when(~F.col(f"`{c}`").isin(*MISSING_TOKENS), F.col(f"`{c}`")).alias(c)
-        if dict(df.dtypes)[c] == "string" else F.col(f"`{c}`") for c in data.columns])
+    return df.select(*meta, *[
+        F.when(~F.col(f"`{c}`").isin(*MISSING_TOKENS), F.col(f"`{c}`")).alias(c) if kind == "string" else F.col(f"`{c}`")
+        for c, kind in df.dtypes if c not in meta])
 
 
 # ---------------------------------------------------------------------------
@@ -192,21 +230,30 @@ def workbook_frame(rows: DataFrame, header: list[str]) -> DataFrame:
 # Landing manifest
 
 
+def plain_path(path: Column, encoded: bool = True) -> Column:
+    """A path in one form: scan metadata has URL-encoded paths, ``binaryFile`` plain ones, and they
+    may differ in the slashes behind the scheme."""
+    plain = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))) if encoded else path
+    return F.regexp_replace(plain, "^([A-Za-z0-9]+):/+", "$1:/")
+
+
 def landing_manifest(spark: SparkSession, path: str, max_bytes: int = MAX_UPLOAD_BYTES) -> DataFrame:
     """SRC-4: one row per landed file with the acceptance decision.
 
-    Rules (first failing wins): extension, empty file, size limit, no data row.
-    The data-row check counts non-blank text lines of CSV files (header + 1).
+    Rules (first failing wins): extension, empty file, size limit, charset, no data row.
+    The charset and data-row checks (non-blank text lines: header + 1) are for CSV files.
     """
-    files = spark.read.format("binaryFile").load(path).select(F.col("path"), F.col("length"))
-    lines = (spark.read.option("pathGlobFilter", "*.[cC][sS][vV]").text(path).select(F.col("_metadata.file_path").alias("path"), "value")
-             .where(F.length(F.trim("value")) > 0).groupBy("path").agg(F.count(F.lit(1)).alias("lines")))
+    files = spark.read.format("binaryFile").load(path).select("path", plain_path(F.col("path"), encoded=False).alias("_plain"), "length")
+    lines = (spark.read.option("pathGlobFilter", "*.[cC][sS][vV]").text(path).select(plain_path(F.col("_metadata.file_path")).alias("_plain"), "value")
+             .where(F.length(F.trim("value")) > 0).groupBy("_plain").agg(F.count(F.lit(1)).alias("lines")))
     ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
-    m = files.join(lines, "path", "left")
+    charsets = file_charsets(spark, path).select(F.col("file").alias("_plain"), "charset")
+    m = files.join(lines, "_plain", "left").join(charsets, "_plain", "left")
     has_rows = F.when(ext == ".csv", F.coalesce(F.col("lines"), F.lit(0)) >= 2).otherwise(F.lit(True))
     reason = (F.when(~ext.isin(*ALLOWED_EXTENSIONS), "unsupported_extension")
               .when(F.col("length") == 0, "empty_file")
               .when(F.col("length") > max_bytes, "too_large")
+              .when((ext == ".csv") & F.col("charset").isNull(), "undecodable")
               .when(~has_rows, "no_data_rows"))
     return m.select("path", "length", ext.alias("extension"), reason.isNull().alias("valid"),
                     reason.alias("reject_reason"))

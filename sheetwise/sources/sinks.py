@@ -61,8 +61,7 @@ def run_append(spark: SparkSession, root: str, run: dict) -> None:
 
 def write_runs(runs: DataFrame, root: str) -> None:
     """Run rows in one folder per (dataset, run), so a retried write never doubles a row."""
-    runs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset_id", "run_id") \
-        .parquet(f"{root}/runs")
+    write_parts(runs, f"{root}/runs", "dataset_id", "run_id")
 
 
 def latest_runs(spark: SparkSession, root: str) -> DataFrame:
@@ -81,10 +80,16 @@ def read_latest(spark: SparkSession, root: str, dataset_id: int) -> DataFrame:
     return spark.read.parquet(path if "/" in path[:1] or ":" in path or path.startswith(root) else f"{root}/{path}")
 
 
+def write_parts(df: DataFrame, path: str, *by: str) -> None:
+    """Rows in one folder per value of ``by``.  A folder is replaced as a whole, so writing the same
+    rows again changes nothing, and other folders stay as they are."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
 def catalog_append(spark: SparkSession, root: str, dataset: dict, profile: DataFrame) -> None:
-    """SNK-2: append the dataset row and one row per column profile."""
-    spark.createDataFrame([dataset]).write.mode("append").parquet(f"{root}/datasets")
-    profile.withColumn("dataset_id", F.lit(dataset["dataset_id"])).write.mode("append").parquet(f"{root}/dataset_columns")
+    """SNK-2: the dataset row and one row per column profile; a repeated call replaces them."""
+    write_parts(spark.createDataFrame([dataset]), f"{root}/datasets", "dataset_id")
+    write_parts(profile.withColumn("dataset_id", F.lit(dataset["dataset_id"])), f"{root}/dataset_columns", "dataset_id")
 
 
 def override_replace(spark: SparkSession, root: str, dataset_id: int, overrides: dict[str, str],
@@ -112,9 +117,14 @@ def read_overrides(spark: SparkSession, root: str, dataset_id: int) -> dict[str,
     return dict(row[0] or {})
 
 
-def audit_append(spark: SparkSession, root: str, events: DataFrame) -> None:
-    """SNK-5: append audit events with their whole free-text detail."""
-    events.write.mode("append").parquet(f"{root}/audit")
+def audit_append(spark: SparkSession, root: str, events: DataFrame, batch: str | None = None) -> None:
+    """SNK-5: append a batch of audit events with their whole free-text detail.  ``batch`` names
+    the call (by default a checksum of the events): a repeated one, as in a retried job,
+    replaces its own events only."""
+    if batch is None:
+        row = F.xxhash64(*[F.col(f"`{c}`") for c in events.columns]).cast("decimal(38,0)")
+        batch = "events-" + "-".join(map(str, events.agg(F.count(F.lit(1)), F.sum(row)).first()))
+    write_parts(events.withColumn("batch", F.lit(batch)), f"{root}/audit", "batch")
 
 
 def audit_shown(events: DataFrame, chars: int = AUDIT_DETAIL_CHARS) -> DataFrame:
@@ -182,6 +192,25 @@ def _xlsx_bytes(header: list[str], rows: list[list]) -> bytes:
     return buf.getvalue()
 
 
+def export_lines(lines: DataFrame, folder: str, header: str) -> None:
+    """Write text lines (column ``value``) as .csv files that each begin with ``header``."""
+    def with_header(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"value": [header]})
+        yield from batches
+
+    staged = f"{folder}.txt"
+    lines.mapInPandas(with_header, "value string").write.mode("overwrite").text(staged)
+    jvm, conf = lines.sparkSession._jvm, lines.sparkSession._jsc.hadoopConfiguration()
+    source, target = (jvm.org.apache.hadoop.fs.Path(p) for p in (staged, folder))
+    fs = source.getFileSystem(conf)
+    fs.delete(target, True)
+    fs.rename(source, target)
+    for status in fs.listStatus(target):
+        name = status.getPath().getName()
+        if name.endswith(".txt"):
+            fs.rename(status.getPath(), jvm.org.apache.hadoop.fs.Path(target, name.removesuffix(".txt") + ".csv"))
+
+
 def export_workbooks(df: DataFrame, path: str) -> None:
     """Write one .xlsx workbook per partition (bounded by the partition size).
 

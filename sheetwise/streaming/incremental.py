@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sheetwise.operators.cleaning import clean_summary, cleaned
-from sheetwise.session import checkpoint_dir
-from sheetwise.sources.files import ALLOWED_EXTENSIONS, csv_groups, read_csv_group
+from sheetwise.session import checkpoint_dir, materialize
+from sheetwise.sources.files import ALLOWED_EXTENSIONS, csv_groups, file_charsets, plain_path, read_csv_group
 from sheetwise.sources.sinks import clean_path, write_runs
 
 
@@ -55,12 +55,17 @@ def empty_files(spark: SparkSession, landing: str, root: str, batch_id: int) ->
 def _process(spark: SparkSession, landing: str, root: str, max_bytes: int | None):
     def run(batch: DataFrame, batch_id: int) -> None:
         files = decided(batch.select("path", "length").unionByName(empty_files(spark, landing, root, batch_id)), max_bytes)
-        files.withColumns({"batch_id": F.lit(batch_id), "decision": F.coalesce("reason", F.lit("ingested"))}).drop("reason") \
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{root}/manifest")
+        names = [r["path"] for r in files.where("reason is null").select("path").collect()]
+        if names:
+            charsets = file_charsets(spark, names).select(F.col("file").alias("_plain"), F.col("charset").isNull().alias("_unknown"))
+            files = (files.withColumn("_plain", plain_path(F.col("path"), encoded=False)).join(charsets, "_plain", "left")
+                     .withColumn("reason", F.coalesce("reason", F.when(F.col("_unknown"), "undecodable"))).drop("_plain", "_unknown"))
+        files = materialize(files.withColumns({"batch_id": F.lit(batch_id), "decision": F.coalesce("reason", F.lit("ingested"))}).drop("reason"))
+        files.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{root}/manifest")
         # the names of one batch's files (maxFilesPerTrigger of them); rows stay on the cluster
-        for row in files.where("reason is null").select("path", "dataset_id").collect():
-            for charset, names in csv_groups(spark, row["path"]):
-                raw = read_csv_group(spark, charset, names).drop("_file", "_pos")
+        for row in files.where("decision = 'ingested'").select("path", "dataset_id").collect():
+            for group in csv_groups(spark, row["path"]):
+                raw = read_csv_group(spark, group).drop("_file", "_pos")
                 target = clean_path(root, row["dataset_id"], batch_id)
                 cleaned(raw).write.mode("overwrite").parquet(target)
                 write_runs(clean_summary(raw).withColumns({

@@ -6,6 +6,7 @@ runs one operator of the library over the *whole* view.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -317,7 +318,9 @@ def _report_queries() -> dict[str, Query]:
 
 def _file_queries() -> dict[str, Query]:
     from sheetwise.sources import catalog as CT
+    from sheetwise.session import checkpoint_dir
     from sheetwise.sources import files as FS
+    from sheetwise.sources import sinks as SK
     from sheetwise.sources.sinks import preview
 
     def csv_scan(spark, sf_dir):
@@ -339,7 +342,28 @@ def _file_queries() -> dict[str, Query]:
         return cs.groupBy(F.regexp_extract("file", r"/csv/([^/]+)/", 1).alias("folder"), "charset").agg(
             F.count(F.lit(1)).alias("files"))
 
+    def odd_headers(spark, sf_dir):
+        root = CT.landing_folder(spark, sf_dir)
+        return FS.read_csv_folder(spark, f"{root}/odd_headers/*.csv").drop("_file", "_pos").withColumnRenamed("two\nlines", "two lines")
+
+    def sinks(spark, sf_dir):
+        """Catalogue rows and audit events, each written twice and read back."""
+        root = f"{checkpoint_dir(spark)}/sinks/{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+        log = CT.audit_log(spark, sf_dir)
+        profile = P.column_profile(log.select("id", "user_id", "action"))
+        for _ in range(2):
+            SK.catalog_append(spark, root, {"dataset_id": 7, "file_name": "events.csv"}, profile)
+            SK.audit_append(spark, root, log.where("id % 2 = 0"), "even")
+            SK.audit_append(spark, root, log.where("id % 2 = 1"), "odd")
+            runs = CT.cleaning_runs(spark, sf_dir).where("run_id % 500 = 0")
+            SK.write_runs(runs.select("dataset_id", "run_id", "cleaned_storage_path"), root)
+        counts = [spark.read.parquet(f"{root}/{name}").agg(F.lit(name).alias("sink"), F.count(F.lit(1)).alias("rows"), key.cast("long").alias("key_total"))
+                  for name, key in (("datasets", F.sum("dataset_id")), ("dataset_columns", F.sum("unique_count")), ("audit", F.sum("id")), ("runs", F.sum("run_id")))]
+        return counts[0].union(counts[1]).union(counts[2]).union(counts[3])
+
     return {
+        "csv_headers": odd_headers,
+        "sinks_written_twice": sinks,
         "csv_scan": csv_scan,
         "xlsx_batch_scan": xlsx_scan,
         "landing_manifest": manifest,

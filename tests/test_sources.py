@@ -1,5 +1,7 @@
 import os
 
+import pytest
+
 from helpers import rows
 
 from sheetwise.sources import files as FS
@@ -69,3 +71,35 @@ def test_preview_and_audit_keep_everything(spark, tmp_path):
     SK.audit_append(spark, str(tmp_path), spark.createDataFrame([(1, "x" * 900)], "id int, detail string"))
     log = spark.read.parquet(f"{tmp_path}/audit")
     assert len(log.first()["detail"]) == 900 and len(SK.audit_shown(log).first()["detail"]) == 500
+
+
+def test_csv_headers_and_charsets(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.csv").write_bytes('﻿a,a,,"b\nc"\n1,2,3,"4\n5"\n6,7\n'.encode())
+    (folder / "b.csv").write_bytes('a,a,,"b\nd"\n1,2,3,4\n'.encode())
+    (folder / "g 表+1.csv").write_bytes("名,值\r\n甲,1\r\n".encode("gbk"))
+    groups = FS.csv_groups(spark, str(folder))
+    assert [(g.charset, g.header) for g in groups] == [("GBK", ("名", "值")), ("UTF-8", ("a", "a.1", "Unnamed: 2", "b\nc")),
+                                                       ("UTF-8", ("a", "a.1", "Unnamed: 2", "b\nd"))]
+    got = rows(FS.read_csv_folder(spark, str(folder)).drop("_file", "_pos"))
+    assert len(got) == 4 and {r["b\nc"] for r in got} == {"4\n5", None} and {r["值"] for r in got} == {"1", None}
+    (folder / "x.csv").write_bytes(b"h\n\xff\xfe\x80\n")
+    assert {os.path.basename(r["file"]): r["charset"] for r in rows(FS.file_charsets(spark, str(folder)))}["x.csv"] is None
+    with pytest.raises(ValueError, match="x.csv"):
+        FS.read_csv_folder(spark, str(folder))
+    reasons = {os.path.basename(r["path"]): r["reject_reason"] for r in rows(FS.landing_manifest(spark, str(folder)))}
+    assert reasons == {"a.csv": None, "b.csv": None, "g 表+1.csv": None, "x.csv": "undecodable"}
+
+
+def test_appends_are_idempotent(spark, tmp_path):
+    root = str(tmp_path)
+    profile = spark.createDataFrame([("c", 1)], "name string, unique_count long")
+    events = spark.createDataFrame([(1, "x"), (2, None)], "id int, detail string")
+    for _ in range(2):
+        SK.catalog_append(spark, root, {"dataset_id": 1, "file_name": "f"}, profile)
+        SK.audit_append(spark, root, events)
+    SK.catalog_append(spark, root, {"dataset_id": 2, "file_name": "g"}, profile)
+    SK.audit_append(spark, root, spark.createDataFrame([(3, "y")], events.schema))
+    assert spark.read.parquet(f"{root}/datasets").count() == 2 and spark.read.parquet(f"{root}/dataset_columns").count() == 2
+    assert sorted(r["id"] for r in spark.read.parquet(f"{root}/audit").collect()) == [1, 2, 3]
