@@ -49,10 +49,7 @@ REGION_NAMES = {
 
 # E-mail shape: local part, one "@", host labels of at most 63 characters,
 # at least one dot in the domain.
-EMAIL_PATTERN = (
-    r"[A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]+@[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
-    r"(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?)+"
-)
+EMAIL_PATTERN = r"[A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]+@[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?)+"
 # End of fixed values.
 # ---------------------------------------------------------------------------
 

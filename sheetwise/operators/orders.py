@@ -299,8 +299,11 @@ def category_sales(rows: DataFrame) -> DataFrame:
 def region_sales(rows: DataFrame) -> DataFrame:
     """AGG-11: AGG-8 by normalised region, average order value, targets, completion."""
     r = with_region(rows)
-    g = r.where(F.col("_region").isNotNull()).groupBy(F.col("_region").alias("name")).agg(
-        *_business_aggs(), money_dec(F.sum(to_number(rows, "target_amount"))).alias("target_amount"))
+    # rows without a region are a group that goes afterwards: a filter on the region itself would
+    # move below the aggregate and compute every normal form twice
+    g = r.groupBy(F.col("_region").alias("name")).agg(
+        *_business_aggs(), money_dec(F.sum(to_number(rows, "target_amount"))).alias("target_amount"),
+        F.count("_region").alias("_named")).where(F.col("_named") > 0)
     sales = F.col("sales_amount")
     return g.select(
         "name",

@@ -1,16 +1,46 @@
 """Independent DuckDB SQL for every registered query (the correctness oracle).
 
-The SQL is written separately from the Spark code; only the fixed vocabulary
-(status words, city names) is shared, rendered into CASE expressions.
+The SQL is written separately from the Spark code, with its own copy of status words and city
+names, rendered into CASE expressions.
 Tables ``lineitem orders part customer nation region events documents labels
 pages ...`` are views over the driver's parquet files.
 """
 
 from __future__ import annotations
 
-from sheetwise.functions.normalize import REGION_NAMES, STATUS_CODES
 from sheetwise.oracle_outcome import outcome_sql
 
+# Fixed values, written out again so that a wrong one in the library shows.
+STATUS_CODES = {
+    "待支付": "pending", "pending": "pending", "待付款": "pending",
+    "已支付": "paid", "paid": "paid",
+    "已完成": "completed", "completed": "completed", "complete": "completed",
+    "已取消": "cancelled", "取消": "cancelled", "cancelled": "cancelled", "canceled": "cancelled",
+    "退款中": "refund_in_progress", "refund in progress": "refund_in_progress",
+    "已退款": "refunded", "退款": "refunded", "refunded": "refunded",
+}
+REGION_NAMES = {
+    "郑州市": "郑州", "zhengzhou": "郑州",
+    "洛阳市": "洛阳", "luoyang": "洛阳",
+    "南阳市": "南阳", "nanyang": "南阳",
+    "开封市": "开封", "kaifeng": "开封",
+    "安阳市": "安阳", "anyang": "安阳",
+    "新乡市": "新乡", "xinxiang": "新乡",
+    "焦作市": "焦作", "jiaozuo": "焦作",
+    "许昌市": "许昌", "xuchang": "许昌",
+    "周口市": "周口", "zhoukou": "周口",
+    "平顶山市": "平顶山", "pingdingshan": "平顶山",
+    "三门峡市": "三门峡", "sanmenxia": "三门峡",
+    "商丘市": "商丘", "shangqiu": "商丘",
+    "濮阳市": "濮阳", "puyang": "濮阳",
+    "鹤壁市": "鹤壁", "hebi": "鹤壁",
+    "漯河市": "漯河", "luohe": "漯河",
+    "信阳市": "信阳", "xinyang": "信阳",
+    "驻马店市": "驻马店", "zhumadian": "驻马店",
+    "济源市": "济源", "jiyuan": "济源",
+}
+# End of fixed values.
+
 
 def M(x: str) -> str:
     """Half-up rounding to 2 places on a DECIMAL(38,8), as DOUBLE."""
