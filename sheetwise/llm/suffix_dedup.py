@@ -48,8 +48,8 @@ from sheetwise.llm.common import parallelism, save, tidy
 from sheetwise.session import checkpoint_dir
 
 GRAM = 128
-WIDE = 2_000
-SHARD_BYTES = 2 << 20
+WIDE = 1_000
+SHARD_BYTES = 1 << 19
 RANGE_STRINGS = 1 << 20
 SENTINEL = 0xFF  # no byte of UTF-8
 
