@@ -264,7 +264,8 @@ def repeated(texts: DataFrame, length: int, gram: int = GRAM, wide: int = WIDE,
                                                   pa.array(first), pa.array(last)], ["key", "anchor", "first", "last"])
 
     marks = save(texts.select("key", "body").mapInArrow(cut, "key binary, anchor long, first long, last long"))
-    held = marks.groupBy("anchor").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+    # written, so that the join below has the marks of a frequent anchor split by size
+    held = save(marks.groupBy("anchor").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"))
     wanted = (marks.join(held, "anchor").groupBy("key")
               .agg(F.collect_list(F.struct("anchor", "held", "first", "last")).alias("m")))
 
