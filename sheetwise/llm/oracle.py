@@ -26,7 +26,7 @@ _SECRETS = [
     ("chat_token", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
     ("maps_key", "AIza[A-Za-z0-9_-]{35}", 0, 0),
     ("pay_key", "[sr]k_live_[A-Za-z0-9]{16,}", 0, 0),
-    ("url_login", "[a-z]{3,8}://[A-Za-z0-9._-]{1,64}:[A-Za-z0-9._~!$&*+-]{3,64}@[A-Za-z0-9.-]{3,}", 0, 0),
+    ("url_login", "[a-z]{3,8}://[A-Za-z0-9._%-]+:[A-Za-z0-9._~!$&*+%-]{3,}@[A-Za-z0-9.-]{3,}", 0, 0),
 ]
 
 
