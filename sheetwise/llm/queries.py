@@ -22,7 +22,8 @@ SEQUENCE = 1024
 SHINGLE = 3
 MAX_BITS = 2
 MIN_SUPPORT = 0.0005
-MIN_CONFIDENCE = 0.5
+MIN_CONFIDENCE = 0.0
+MIN_LIFT = 1.5
 REPEAT = 400
 MIN_WORD = 7
 MIN_COUNT = 2
@@ -50,7 +51,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.regexp_extract(F.coalesce("url", F.lit("")), r"://[^/?#]*/[^/?#]*/([0-9]{1,18})", 1)
     labelled = (pages.select("url", number.try_cast("long").alias("doc_id")).join(labels, "doc_id")
                 .select("url", ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("blocked")))
-    mined = url_rules.mine(labelled, MIN_SUPPORT, MIN_CONFIDENCE)
+    mined = url_rules.mine(labelled, MIN_SUPPORT, MIN_CONFIDENCE, min_lift=MIN_LIFT)
     return url_rules.judge(pages, mined, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "mined_rule", "confidence")
 
 

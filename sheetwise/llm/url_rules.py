@@ -1,13 +1,15 @@
 """URL filters: association rules mined from labelled URLs, applied through an inverted index.
 
-*Tokens.*  A URL has at most nine: scheme, whole host, registered name (its last two
-labels), first label below that, the first two path segments (digit runs as ``#``), the file
-extension, the sorted query keys, and whether there is a fragment.  So no transaction has
-more than ten items and mining stays bounded whatever the URL's length.
+*Tokens.*  A URL has at most ten: scheme, whole host, registered name (its last two
+labels), the label just below that, the labels below this one, the first two path segments
+(digit runs as ``#``), the file extension, the sorted query keys, and whether there is a
+fragment.  So no transaction has more than eleven items and mining stays bounded whatever the
+URL's length.
 
 *Mining.*  Spark's FP-growth over the token sets of labelled URLs, blocked ones with one more
-item; rules that conclude this item are kept by ``min_support`` and ``min_confidence``, and
-pruned when a shorter rule with a subset of the tokens is as confident.
+item; rules that conclude this item are kept by support, a share of the rows, and by
+confidence, a bound and a multiple of the share of blocked rows, and pruned when a shorter
+rule with a subset of the tokens is as confident.
 
 *Matching.*  Every rule is posted once, under its rarest token.  The distinct token sets of
 the URLs (far fewer than rows, combined before the shuffle) meet the postings by equi-join
@@ -20,7 +22,7 @@ All of it is DataFrame functions and Spark ML; there is no Python in the tasks.
 
 Defined cases: a null url or one without ``://`` has an empty host, an empty path and no
 tokens, fits no rule and is allowed; repeated rows get equal verdicts; equally confident
-mined rules: the better supported, then the one that sorts first; no labels: no mined rules;
+mined rules: the better supported, then the one whose name sorts first; no labels: no mined rules;
 an empty table gives an empty result; null labels and labels without a url are left out.
 """
 
@@ -35,6 +37,7 @@ from pyspark.sql import functions as F
 from sheetwise.llm.common import save
 
 BLOCKED = "label=block"
+SEPARATOR = "\x1f"  # between tokens in the name of a set or rule
 
 
 @dataclass(frozen=True)
@@ -79,7 +82,8 @@ def tokens(url: Column) -> Column:
     found = F.array(
         named("scheme", F.regexp_extract(u, r"(?s)^(.*?)://", 1)), named("host", host(url)),
         named("name", F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".")),
-        F.when(F.size(labels) > 2, named("below", F.get(labels, F.lit(0)))),
+        F.when(F.size(labels) > 2, named("below", F.get(labels, F.size(labels) - 3))),
+        F.when(F.size(labels) > 3, named("deep", F.array_join(F.slice(labels, F.lit(1), F.size(labels) - 3), "."))),
         named("seg1", F.get(segments, F.lit(0))), named("seg2", F.get(segments, F.lit(1))),
         named("ext", F.lower(extension)), named("keys", keys),
         F.when(F.contains(u, F.lit("#")), F.lit("fragment")))
@@ -87,23 +91,26 @@ def tokens(url: Column) -> Column:
         F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, min_support: float, min_confidence: float, min_count: int = 20) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float, min_confidence: float, min_count: int = 20, min_lift: float = 0.0) -> DataFrame:
     """Rules ``(rule_id, tokens, confidence, support, key)`` from rows ``(url, blocked)``;
     ``key`` is the rule's rarest token.  A rule needs the share ``min_support`` of the rows and
-    at least ``min_count`` blocked rows, so that few labels make no rules."""
+    at least ``min_count`` blocked rows, so that few labels make no rules; it needs
+    ``min_confidence`` and ``min_lift`` times the share of blocked rows."""
     sets = save(labelled.filter("url is not null and blocked is not null")
                 .select(tokens(F.col("url")).alias("tokens"), "blocked"))
     basket = sets.select(F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(BLOCKED))))
                          .otherwise(F.col("tokens")).alias("items"))
-    support = min(1.0, max(min_support, min_count / max(1, basket.count())))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(basket)
+    n, blocked = sets.agg(F.count(F.lit(1)), F.count_if("blocked")).first()
+    support = min(1.0, max(min_support, min_count / max(1, n)))
+    confidence = min(1.0, max(min_confidence, min_lift * blocked / max(1, n)))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(basket)
     rules = save(model.associationRules.filter(F.array_contains("consequent", BLOCKED) & (F.size("antecedent") > 0))
                  .select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
-                 .withColumn("rule_id", F.array_join("tokens", " ")))
+                 .withColumn("rule_id", F.array_join("tokens", SEPARATOR)))
     # shorter rules with one token fewer, through the same index idea: all subsets of a rule
     # that leave out one token are looked up by their name
     parts = rules.select("rule_id", F.col("confidence").alias("own"), F.explode("tokens").alias("left_out"), "tokens")
-    shorter = (parts.select("rule_id", "own", F.array_join(F.array_remove("tokens", F.col("left_out")), " ").alias("sub"))
+    shorter = (parts.select("rule_id", "own", F.array_join(F.array_remove("tokens", F.col("left_out")), SEPARATOR).alias("sub"))
                .join(rules.select(F.col("rule_id").alias("sub"), "confidence"), "sub").filter("confidence >= own")
                .select("rule_id").distinct())
     kept = rules.join(shorter, "rule_id", "left_anti")
@@ -118,9 +125,9 @@ def match(sets: DataFrame, rules: DataFrame) -> DataFrame:
     rules = rules.select(F.col("key").alias("token"), F.col("tokens").alias("needs"), "rule_id", "confidence", "support")
     fits = (sets.select("set", "tokens", F.explode("tokens").alias("token")).join(rules, "token")
             .filter(F.size(F.array_except("needs", "tokens")) == 0))
-    best = F.max(F.struct("confidence", "support", F.col("rule_id")))
-    return fits.groupBy("set").agg(best.alias("b")).select("set", F.col("b.rule_id").alias("mined_rule"),
-                                                           F.col("b.confidence").alias("confidence"))
+    best = F.min(F.struct(-F.col("confidence"), -F.col("support"), F.col("rule_id")))
+    return fits.groupBy("set").agg(best.alias("b")).select("set", F.translate("b.rule_id", SEPARATOR, " ").alias("mined_rule"),
+                                                           (-F.col("b.col1")).alias("confidence"))
 
 
 def listed(host_: Column, path_: Column, rules: tuple[ListedRule, ...]) -> tuple[Column, Column]:
@@ -138,8 +145,8 @@ def judge(urls: DataFrame, mined: DataFrame, rules: tuple[ListedRule, ...], url:
     (columns of these names are replaced)."""
     own = ["host", "path", "rule", "verdict", "mined_rule", "confidence", "set"]
     rows = (urls.drop(*own).withColumn("host", host(F.col(url))).withColumn("path", path(F.col(url)))
-            .withColumn("set", F.array_join(tokens(F.col(url)), " ")))
-    sets = urls.select(tokens(F.col(url)).alias("tokens")).distinct().withColumn("set", F.array_join("tokens", " "))
+            .withColumn("set", F.array_join(tokens(F.col(url)), SEPARATOR)))
+    sets = urls.select(tokens(F.col(url)).alias("tokens")).distinct().withColumn("set", F.array_join("tokens", SEPARATOR))
     rule, verdict = listed(F.col("host"), F.col("path"), rules)
     found = save(match(sets, mined))
     return (rows.join(found, "set", "left").withColumn("rule", rule)
