@@ -33,7 +33,7 @@ from sheetwise.functions.normalize import (
     KNOWN_STATUSES, REFUND_STATUSES, day_key, month_key, normalize_status, parse_dates,
     valid_email, valid_phone, with_region,
 )
-from sheetwise.operators.ranking import POS, first_seen, median
+from sheetwise.operators.ranking import POS, descending, first_seen, median, ranked
 from sheetwise.session import materialize
 
 COPIES = "_copies"
@@ -287,8 +287,8 @@ def product_sales(rows: DataFrame) -> DataFrame:
 
 def category_sales(rows: DataFrame) -> DataFrame:
     """AGG-10: AGG-8 by category plus the share of the sum of rounded category sales."""
-    g = rows.groupBy(F.col("_category").alias("category")).agg(*_business_aggs())
-    total = F.sum("sales_amount").over(Window.partitionBy())  # over the aggregated categories
+    g = materialize(rows.groupBy(F.col("_category").alias("category")).agg(*_business_aggs()))
+    total = g.agg(F.sum("sales_amount")).scalar()
     return g.select(
         "category", "order_count", F.col("quantity").cast("double").alias("quantity"),
         F.col("sales_amount").cast("double").alias("sales_amount"),
@@ -380,13 +380,12 @@ def customer_summary(rows: DataFrame) -> DataFrame:
 
 
 def _with_total(rows: DataFrame, key: Column, aggs: list[Column]) -> DataFrame:
-    """Group rows by ``key`` and also over all rows in the *same* pass (rollup);
+    """Group rows by ``key`` and also over all rows in the *same* pass (rollup, written);
     the grand total row is returned as ``_total_<col>`` columns next to every group."""
-    g = rows.rollup(key.alias("name")).agg(*aggs, F.grouping_id().alias("_gid"))
-    tot = Window.partitionBy()  # over the aggregated groups only
+    g = materialize(rows.rollup(key.alias("name")).agg(*aggs, F.grouping_id().alias("_gid")))
     names = [c for c in g.columns if c not in ("name", "_gid")]
-    g = g.select("*", *[F.max(F.when(F.col("_gid") == 1, F.col(c))).over(tot).alias(f"_total_{c}") for c in names])
-    return g.where(F.col("_gid") == 0).drop("_gid")
+    total = g.where(F.col("_gid") == 1).select(F.struct(*names)).scalar()
+    return g.where(F.col("_gid") == 0).drop("_gid").withColumns({f"_total_{c}": total[c] for c in names})
 
 
 def status_analysis(rows: DataFrame) -> DataFrame:
@@ -618,17 +617,12 @@ def sales_summary(rows: DataFrame) -> DataFrame:
 
 
 def region_ranking(rows: DataFrame) -> DataFrame:
-    """MET-2: regions with sales, ranked (−sales, name), with highest/lowest flags.
-
-    The window runs over the already aggregated regions only.
-    """
-    r = region_sales(rows).where(F.col("region_sales").isNotNull())
-    w = Window.orderBy(F.desc("region_sales"), F.asc("name"))
-    n = Window.partitionBy()
-    ranked = r.select("name", F.col("region_sales").alias("value"), F.row_number().over(w).alias("rank"),
-                      F.count(F.lit(1)).over(n).alias("_n"))
-    return ranked.select("rank", "name", "value", (F.col("rank") == 1).alias("is_highest"),
-                         (F.col("rank") == F.col("_n")).alias("is_lowest"), (F.col("rank") <= 10).alias("in_top10"))
+    """MET-2: regions with sales, ranked (−sales, name), with highest/lowest flags."""
+    r = region_sales(rows).where(F.col("region_sales").isNotNull()).select("name", F.col("region_sales").alias("value"))
+    placed = ranked(r, [descending("value"), F.col("name")])
+    last = placed.agg(F.max("rank")).scalar()
+    return placed.select("rank", "name", "value", (F.col("rank") == 1).alias("is_highest"),
+                         (F.col("rank") == last).alias("is_lowest"), (F.col("rank") <= 10).alias("in_top10"))
 
 
 def growth_rate(rows: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ from sheetwise.operators import inventory as I
 from sheetwise.operators import profile as P
 from sheetwise.operators import orders as O
 from sheetwise.operators import scores as S
+from sheetwise.operators.ranking import ranked
 from sheetwise.plans.results import ORDERS, in_order
 from sheetwise.sources.fixtures import (
     document_profile_frame, document_text_frame, inventory_rows, order_lines, raw_sales, student_scores,
@@ -217,8 +218,6 @@ CLEANING_QUERIES: dict[str, Query] = {
 
 
 def _catalog_queries() -> dict[str, Query]:
-    from pyspark.sql import Window
-
     from sheetwise.plans import domains as D
     from sheetwise.plans import mapping as MP
     from sheetwise.sources import catalog as CT
@@ -248,9 +247,8 @@ def _catalog_queries() -> dict[str, Query]:
                                               F.max_by("cleaned_storage_path", "run_id").alias("cleaned_storage_path"))
 
     def by_owner(spark, sf_dir):
-        d = CT.datasets(spark, sf_dir)
-        w = Window.partitionBy("owner_id").orderBy(F.desc("dataset_id"))
-        return d.select("dataset_id", "owner_id", "file_name", "kind", F.row_number().over(w).alias("position"))
+        d = CT.datasets(spark, sf_dir).select("dataset_id", "owner_id", "file_name", "kind")
+        return ranked(d, [-F.col("dataset_id")], within=["owner_id"], name="position")
 
     def audit_page(spark, sf_dir, page: int = 3, size: int = 20):
         log = CT.audit_log(spark, sf_dir)
