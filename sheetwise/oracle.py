@@ -902,6 +902,9 @@ def oracle_sql() -> dict[str, str]:
  union all select 'dataset_columns', 3, (select count(distinct event_id) + count(distinct user_id) + count(distinct event_type) from events)
  union all select 'audit', count(*), cast(sum(event_id) as bigint) from events
  union all select 'runs', count(*), cast(sum(o_orderkey) as bigint) from orders where o_orderkey % 500 = 0"""
+    out["xlsx_dates"] = """with o as (select cast(o_orderkey as varchar) o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') o_orderdate, o_orderstatus,
+  o_orderkey k from orders where o_orderkey % 10 = 0)
+ select o_orderkey, o_orderdate, null o_orderstatus from o union all select o_orderkey, o_orderdate, o_orderstatus from o where k % 3 = 0"""
     out["xlsx_batch_scan"] = """select cast(s_suppkey as varchar) s_suppkey, s_name,
  cast(s_nationkey as varchar) s_nationkey from supplier"""
     return out

@@ -151,6 +151,9 @@ def landing_folder(spark: SparkSession, sf_dir: str) -> str:
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("s_suppkey"), "s_name",
                                                 F.col("s_nationkey").cast("string").alias("s_nationkey"))
     export_workbooks(s, f"{root}/xlsx")
+    o = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0")
+    export_workbooks(o.select("o_orderkey", "o_orderdate"), f"{root}/dated/a", 2_000)
+    export_workbooks(o.where("o_orderkey % 3 = 0").select("o_orderdate", "o_orderkey", "o_orderstatus"), f"{root}/dated/b", 2_000)
     cells = [F.concat(F.lit('"'), F.replace(F.col(c).cast("string"), F.lit('"'), F.lit('""')), F.lit('"')) for c in ("c_custkey", "c_name", "c_mktsegment", "c_nationkey")]
     lines = table(spark, sf_dir, "customer").select(F.concat_ws(",", *cells).alias("value"))
     export_lines(lines, f"{root}/odd_headers", ODD_HEADER)

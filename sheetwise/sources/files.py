@@ -6,8 +6,8 @@
   newlines and doubled quotes are part of a value or of a column's name; repeated and blank
   names are numbered.  A file that no charset decodes is an error.
 * Workbooks (.xlsx): ``binaryFile`` + ``mapInPandas``; each task opens its own
-  workbooks with the standard library (zip + XML), so workbooks are read in
-  parallel and never pass through the driver.
+  workbooks with the standard library (zip + XML) and hands rows on as they are parsed;
+  workbooks are read in parallel and never pass through the driver.
 * Landing manifest: ``binaryFile`` metadata (path, length) plus a line count,
   with the reference's acceptance rules as predicates.
 
@@ -23,6 +23,7 @@ import re
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -142,15 +143,48 @@ def _col_index(ref: str) -> int:
     return n - 1
 
 
-def parse_first_sheet(content: bytes) -> list[list[str | None]]:
-    """Cells of the first worksheet of an .xlsx file as text (row-major)."""
+# Built-in number formats that show dates or times; others say so by their letters.
+_DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
+
+
+def _is_date_format(code: str) -> bool:
+    """Whether a format code has a date or time part outside of quotes, brackets and escapes."""
+    plain = re.sub(r'"[^"]*"|\\.|_.|\*.', "", code)
+    elapsed = re.search(r"\[[hms]+\]", plain, re.I)
+    return bool(elapsed or re.search("[ymdhs]", re.sub(r"\[[^\]]*\]", "", plain), re.I)) and plain.lower() != "general"
+
+
+def _date_styles(z: zipfile.ZipFile) -> list[bool]:
+    """For each cell style of a workbook: does it show dates?"""
+    if "xl/styles.xml" not in z.namelist():
+        return []
+    root = ElementTree.fromstring(z.read("xl/styles.xml"))
+    own = {int(f.get("numFmtId")): _is_date_format(f.get("formatCode") or "") for f in root.iter(f"{{{_NS['m']}}}numFmt")}
+    formats = [int(xf.get("numFmtId") or 0) for xf in root.findall("m:cellXfs/m:xf", _NS)]
+    return [own.get(n, n in _DATE_FORMATS) for n in formats]
+
+
+def date_text(serial: str, epoch_1904: bool) -> str:
+    """A date cell's serial number as text; a number below one is a time of day."""
+    days = float(serial)
+    start = datetime(1904, 1, 1) if epoch_1904 else datetime(1899, 12, 30 if days >= 60 else 31)
+    moment = start + timedelta(seconds=round(days * 86400))
+    return moment.strftime("%H:%M:%S") if 0 <= days < 1 else moment.strftime("%Y-%m-%d %H:%M:%S")
+
+
+def sheet_rows(content: bytes) -> Iterator[list[str | None]]:
+    """Cells of the first worksheet of an .xlsx file as text, row by row.  Cells with a date
+    format are dates (ISO text), booleans True or False; other numbers are as stored."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         shared: list[str] = []
         if "xl/sharedStrings.xml" in z.namelist():
             root = ElementTree.fromstring(z.read("xl/sharedStrings.xml"))
             for si in root.findall("m:si", _NS):
                 shared.append("".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")))
+        dates = _date_styles(z)
         book = ElementTree.fromstring(z.read("xl/workbook.xml"))
+        properties = book.find("m:workbookPr", _NS)
+        epoch_1904 = properties is not None and properties.get("date1904") in ("1", "true")
         first = book.find("m:sheets/m:sheet", _NS)
         target = "xl/worksheets/sheet1.xml"
         if first is not None and "xl/_rels/workbook.xml.rels" in z.namelist():
@@ -160,9 +194,9 @@ def parse_first_sheet(content: bytes) -> list[list[str | None]]:
                 if rel.get("Id") == rid:
                     t = rel.get("Target").lstrip("/")
                     target = t if t.startswith("xl/") else f"xl/{t}"
-        sheet = ElementTree.fromstring(z.read(target))
-        rows: list[list[str | None]] = []
-        for row in sheet.iter(f"{{{_NS['m']}}}row"):
+        for _, row in ElementTree.iterparse(z.open(target)):
+            if row.tag != f"{{{_NS['m']}}}row":
+                continue
             cells: dict[int, str | None] = {}
             last = -1
             for c in row.findall("m:c", _NS):
@@ -173,14 +207,26 @@ def parse_first_sheet(content: bytes) -> list[list[str | None]]:
                 else:
                     v = c.find("m:v", _NS)
                     value = v.text if v is not None else None
-                    if value is not None and kind == "s":
+                    style = int(c.get("s") or 0)
+                    if value is None:
+                        pass
+                    elif kind == "s":
                         value = shared[int(value)]
+                    elif kind == "b":
+                        value = "True" if value == "1" else "False"
+                    elif kind in (None, "n") and style < len(dates) and dates[style]:
+                        value = date_text(value, epoch_1904)
                 ref = c.get("r")
                 last = _col_index(ref) if ref else last + 1  # the reference is optional
                 cells[last] = value
             width = max(cells) + 1 if cells else 0
-            rows.append([cells.get(i) for i in range(width)])
-        return rows
+            row.clear()
+            yield [cells.get(i) for i in range(width)]
+
+
+def parse_first_sheet(content: bytes) -> list[list[str | None]]:
+    """All rows of ``sheet_rows``."""
+    return list(sheet_rows(content))
 
 
 def unique_headers(cells: list[str | None]) -> list[str]:
@@ -197,17 +243,25 @@ def unique_headers(cells: list[str | None]) -> list[str]:
     return out
 
 
+_SHEET_ROWS = 5_000  # rows handed on at a time
+
+
 def _workbook_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ["file", "pos", "header", "cells"]
     for batch in batches:
         out = []
         for path, content in zip(batch["path"], batch["content"]):
-            rows = parse_first_sheet(bytes(content))
-            if not rows:
+            rows = sheet_rows(bytes(content))
+            first = next(rows, None)
+            if first is None:
                 continue
-            header = unique_headers(rows[0])
-            for pos, r in enumerate(rows[1:]):
+            header = unique_headers(first)
+            for pos, r in enumerate(rows):
                 out.append((path, pos, header, [r[i] if i < len(r) else None for i in range(len(header))]))
-        yield pd.DataFrame(out, columns=["file", "pos", "header", "cells"])
+                if len(out) >= _SHEET_ROWS:
+                    yield pd.DataFrame(out, columns=columns)
+                    out = []
+        yield pd.DataFrame(out, columns=columns)
 
 
 def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
@@ -218,8 +272,17 @@ def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
         _workbook_rows, "file string, pos long, header array<string>, cells array<string>")
 
 
-def workbook_frame(rows: DataFrame, header: list[str]) -> DataFrame:
-    """Long workbook rows -> a wide text frame with the given header (tokens -> NULL)."""
+def workbook_header(rows: DataFrame) -> list[str]:
+    """The header names of all workbooks, in the order of columns where they first appear (by file
+    and column).  Header-sized: one row for each different header reaches the driver."""
+    first = rows.groupBy("header").agg(F.min("file").alias("file")).orderBy("file").collect()
+    return list(dict.fromkeys(name for row in first for name in row["header"]))
+
+
+def workbook_frame(rows: DataFrame, header: list[str] | None = None) -> DataFrame:
+    """Long workbook rows -> a wide text frame with the given header, or with all names of the
+    workbooks' own headers (tokens -> NULL)."""
+    header = workbook_header(rows) if header is None else header
     cells = [F.element_at("cells", F.array_position("header", F.lit(h)).cast("int")) for h in header]
     wide = rows.select(F.struct("file", "pos").alias("_pos"),
                        *[F.when(F.array_contains("header", F.lit(h)), c).alias(h) for h, c in zip(header, cells)])

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Length of an audit detail where it is shown, and preview size.
@@ -151,7 +151,8 @@ def export_csv(df: DataFrame, path: str, charset: str = "UTF-8") -> None:
     df.write.mode("overwrite").option("header", True).option("encoding", charset).csv(path)
 
 
-def _xlsx_bytes(header: list[str], rows: list[list]) -> bytes:
+def _xlsx_bytes(header: list[str], rows: list[list], dates: set[int] = frozenset()) -> bytes:
+    """A workbook of text cells; columns in ``dates`` hold serial numbers with a date format."""
     def ref(i: int, r: int) -> str:
         letters = ""
         i += 1
@@ -163,6 +164,8 @@ def _xlsx_bytes(header: list[str], rows: list[list]) -> bytes:
     def cell(v, i: int, r: int) -> str:
         if v is None or (isinstance(v, float) and pd.isna(v)):
             return ""
+        if i in dates and r > 1:
+            return f'<c r="{ref(i, r)}" s="1"><v>{v}</v></c>'
         return f'<c r="{ref(i, r)}" t="inlineStr"><is><t>{escape(str(v))}</t></is></c>'
     body = "".join(f'<row r="{n}">{"".join(cell(v, i, n) for i, v in enumerate(r))}</row>'
                    for n, r in enumerate([header, *rows], start=1))
@@ -181,6 +184,8 @@ def _xlsx_bytes(header: list[str], rows: list[list]) -> bytes:
                    '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/'
                    'package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/'
                    'officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        z.writestr("xl/styles.xml", f'<?xml version="1.0" encoding="UTF-8"?><styleSheet {ns}><cellXfs count="2"><xf numFmtId="0"/>'
+                                    '<xf numFmtId="14"/></cellXfs></styleSheet>')
         z.writestr("xl/workbook.xml", f'<?xml version="1.0" encoding="UTF-8"?><workbook {ns} {rel_ns}><sheets>'
                                       '<sheet name="Sheet1" sheetId="1" r:id="rId1"/></sheets></workbook>')
         z.writestr("xl/_rels/workbook.xml.rels",
@@ -211,26 +216,48 @@ def export_lines(lines: DataFrame, folder: str, header: str) -> None:
             fs.rename(status.getPath(), jvm.org.apache.hadoop.fs.Path(target, name.removesuffix(".txt") + ".csv"))
 
 
-def export_workbooks(df: DataFrame, path: str) -> None:
-    """Write one .xlsx workbook per partition (bounded by the partition size).
-
-    ``path`` must be a folder every executor can write (the shared folder)."""
+def export_workbooks(df: DataFrame, path: str, rows_per_file: int = 10_000) -> None:
+    """Write .xlsx workbooks of at most ``rows_per_file`` rows into a shared folder (replaced as a
+    whole), a path or URI of any file system that Arrow knows.  Dates are date cells, all else is text."""
     header = df.columns
-    cols = [F.col(f"`{c}`").cast("string").alias(c) for c in header]
+    dates = {i for i, (_, kind) in enumerate(df.dtypes) if kind in ("date", "timestamp", "timestamp_ntz")}
+
+    def serial(c: str) -> Column:
+        moment = F.col(f"`{c}`").cast("timestamp_ntz")
+        seconds = F.hour(moment) * 3600 + F.minute(moment) * 60 + F.second(moment)
+        return (F.datediff(moment, F.lit("1899-12-30").cast("date")) + seconds / 86400).cast("string")
+
+    cols = [(serial(c) if i in dates else F.col(f"`{c}`").cast("string")).alias(c) for i, c in enumerate(header)]
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
+        import re
 
+        from pyarrow import fs
         from pyspark import TaskContext
-        frames = list(batches)
-        if frames:
-            pdf = pd.concat(frames)
-            if len(pdf):
-                os.makedirs(path, exist_ok=True)
-                # one file per partition id: a re-run (or retried task) overwrites, never duplicates
-                name = f"{path}/part-{TaskContext.get().partitionId():05d}.xlsx"
-                rows = [[None if pd.isna(v) else v for v in r] for r in pdf[header].itertuples(index=False)]
-                with open(name, "wb") as fh:
-                    fh.write(_xlsx_bytes(header, rows))
-                yield pd.DataFrame({"file": [name], "rows": [len(pdf)]})
-    df.select(*cols).mapInPandas(write, "file string, rows long").collect()
+        uri = re.sub("^file:/+", "file:///", path)
+        system, folder = fs.FileSystem.from_uri(uri) if ":/" in uri else (fs.LocalFileSystem(), path)
+        system.create_dir(folder, recursive=True)
+        held: list[list] = []
+        done = 0
+
+        def flush() -> pd.DataFrame:
+            nonlocal held, done
+            # named by partition and number: a retried task overwrites its files, never doubles them
+            name = f"{folder}/part-{TaskContext.get().partitionId():05d}-{done:05d}.xlsx"
+            with system.open_output_stream(name) as out:
+                out.write(_xlsx_bytes(header, held, dates))
+            written, held, done = len(held), [], done + 1
+            return pd.DataFrame({"file": [name], "rows": [written]})
+
+        for pdf in batches:
+            for r in pdf[header].itertuples(index=False):
+                held.append([None if pd.isna(v) else v for v in r])
+                if len(held) >= rows_per_file:
+                    yield flush()
+        if held:
+            yield flush()
+
+    # files of an earlier export go, as in any overwrite
+    target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+    df.select(*cols).mapInPandas(write, "file string, rows long").agg(F.sum("rows")).collect()

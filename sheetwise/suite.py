@@ -340,6 +340,11 @@ def _file_queries() -> dict[str, Query]:
         return cs.groupBy(F.regexp_extract("file", r"/csv/([^/]+)/", 1).alias("folder"), "charset").agg(
             F.count(F.lit(1)).alias("files"))
 
+    def dated_workbooks(spark, sf_dir):
+        root = CT.landing_folder(spark, sf_dir)
+        rows = FS.read_workbooks(spark, f"{root}/dated/a").unionByName(FS.read_workbooks(spark, f"{root}/dated/b"))
+        return FS.workbook_frame(rows).drop("_pos")
+
     def odd_headers(spark, sf_dir):
         root = CT.landing_folder(spark, sf_dir)
         return FS.read_csv_folder(spark, f"{root}/odd_headers/*.csv").drop("_file", "_pos").withColumnRenamed("two\nlines", "two lines")
@@ -361,6 +366,7 @@ def _file_queries() -> dict[str, Query]:
 
     return {
         "csv_headers": odd_headers,
+        "xlsx_dates": dated_workbooks,
         "sinks_written_twice": sinks,
         "csv_scan": csv_scan,
         "xlsx_batch_scan": xlsx_scan,

@@ -103,3 +103,15 @@ def test_appends_are_idempotent(spark, tmp_path):
     SK.audit_append(spark, root, spark.createDataFrame([(3, "y")], events.schema))
     assert spark.read.parquet(f"{root}/datasets").count() == 2 and spark.read.parquet(f"{root}/dataset_columns").count() == 2
     assert sorted(r["id"] for r in spark.read.parquet(f"{root}/audit").collect()) == [1, 2, 3]
+
+
+def test_typed_cells_and_header_union(spark, tmp_path):
+    df = spark.sql("select 'x' as name, date'2024-01-05' as day, timestamp_ntz'1999-12-31 23:59:30' as at union all select null, null, null")
+    SK.export_workbooks(df.repartition(1), f"file:{tmp_path}/wb", 1)
+    SK.export_workbooks(spark.sql("select 'y' as name, 'z' as more"), f"{tmp_path}/wc")
+    read = FS.read_workbooks(spark, f"{tmp_path}/wb").unionByName(FS.read_workbooks(spark, f"{tmp_path}/wc"))
+    got = FS.workbook_frame(read).drop("_pos")
+    assert got.columns == ["name", "day", "at", "more"]
+    assert sorted(map(tuple, got.collect()), key=repr) == [("x", "2024-01-05 00:00:00", "1999-12-31 23:59:30", None), ("y", None, None, "z"), (None,) * 4]
+    assert FS.date_text("0.75", False) == "18:00:00" and FS.date_text("59", False) == "1900-02-28 00:00:00" and FS.date_text("1", True) == "1904-01-02 00:00:00"
+    assert [FS._is_date_format(f) for f in ("yyyy/m/d", "[h]:mm", "0.00", "General", '"day" 0', "[Red]0", "#,##0\\ d")] == [True, True, False, False, False, False, True]
