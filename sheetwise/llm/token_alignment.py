@@ -42,6 +42,7 @@ from sheetwise.llm.encoding import encoder
 
 BLOCK_BYTES = 8 << 20
 BLOCK_DOCS = 20_000
+_CHECKED = 1 << 20  # ids checked at a time
 
 Groups = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
@@ -87,16 +88,21 @@ def piece_bytes(path: str) -> list[bytes]:
 # --- alignment -----------------------------------------------------------------------
 
 def run_length(a: list[int], b: list[int], i: int, j: int) -> int:
-    """How many ends from ``a[i]`` on equal those from ``b[j]`` on, by doubling slices and halving."""
+    """How many ends from ``a[i]`` on equal those from ``b[j]`` on, by doubling slices and halving.
+    A slice's last end is looked at first."""
     m, step = 0, 1
     left = min(len(a) - i, len(b) - j)
-    while m + step <= left and a[i + m:i + m + step] == b[j + m:j + m + step]:
-        m += step
+    while True:
+        end = m + step
+        if end > left or a[i + end - 1] != b[j + end - 1] or (step > 1 and a[i + m:i + end] != b[j + m:j + end]):
+            break
+        m = end
         step *= 2
-    while step:
-        if m + step <= left and a[i + m:i + m + step] == b[j + m:j + m + step]:
-            m += step
+    while step > 1:
         step //= 2
+        end = m + step
+        if end <= left and a[i + end - 1] == b[j + end - 1] and a[i + m:i + end] == b[j + m:j + end]:
+            m = end
     return m
 
 
@@ -137,10 +143,8 @@ def align(ends_a: np.ndarray, ends_b: np.ndarray) -> Groups:
         j += 1
 
     def ends_group(size: int, first: list[int], last: list[int]) -> np.ndarray:
-        inside = np.zeros(size + 1, np.int32)
-        np.add.at(inside, first, 1)
-        np.add.at(inside, last, -1)
-        return np.cumsum(inside[:-1]) == 0
+        first, last = np.array(first, np.int64), np.array(last, np.int64)
+        return np.cumsum(np.bincount(first, minlength=size) - np.bincount(last, minlength=size)) == 0
 
     run = np.array(runs, np.int64).reshape(-1, 3)
     along = np.arange(run[:, 2].sum()) - np.repeat(np.cumsum(run[:, 2]) - run[:, 2], run[:, 2])
@@ -149,13 +153,35 @@ def align(ends_a: np.ndarray, ends_b: np.ndarray) -> Groups:
             np.concatenate([np.repeat(run[:, 1], run[:, 2]) + along, np.array(link_b, np.int64)]))
 
 
+class _Table:
+    """Bytes of all ids in one array."""
+
+    def __init__(self, entries: list[bytes]):
+        self.sizes = np.array([len(t) for t in entries])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(entries), np.uint8)
+
+    def spells(self, ids: np.ndarray, wanted: np.ndarray) -> bool:
+        """Whether the joined bytes of the ids are ``wanted``."""
+        done = 0
+        for at in range(0, len(ids), _CHECKED):
+            some = ids[at:at + _CHECKED]
+            sizes = self.sizes[some]
+            n = int(sizes.sum())
+            place = np.repeat(self.starts[some] - (np.cumsum(sizes) - sizes), sizes) + np.arange(n)
+            if done + n > len(wanted) or not np.array_equal(self.flat[place], wanted[done:done + n]):
+                return False
+            done += n
+        return done == len(wanted)
+
+
 class Aligner:
     """Both tokenizers, and the alignment of a whole text."""
 
     def __init__(self, a_path: str, a_ranks: str | None, b_path: str):
         self.encode_a, self.encode_b = encoder(a_path, a_ranks), _pieces(b_path).encode
         self.bytes_a, self.bytes_b = byte_level_bytes(a_path), piece_bytes(b_path)
-        self.size_a, self.size_b = (np.array([len(t) for t in table]) for table in (self.bytes_a, self.bytes_b))
+        self.table_a, self.table_b = _Table(self.bytes_a), _Table(self.bytes_b)
         # each id with what follows it in the written groups, inside a group and at its end
         self.written = [b"%d%s" % (i, sep) for table, seps in ((self.bytes_a, (b",", b"|")), (self.bytes_b, (b",", b";")))
                         for i in range(len(table)) for sep in seps]
@@ -165,13 +191,12 @@ class Aligner:
         if not text:
             return None
         data = b" " + text.encode()
-        a, b = self.encode_a(" " + text).tolist(), self.encode_b(text)
-        if b"".join(map(self.bytes_a.__getitem__, a)) != data or b"".join(map(self.bytes_b.__getitem__, b)) != data:
-            return None
-        return np.array(a, np.int64), np.array(b, np.int64)
+        a, b = self.encode_a(" " + text).astype(np.int64), np.array(self.encode_b(text), np.int64)
+        wanted = np.frombuffer(data, np.uint8)
+        return (a, b) if self.table_a.spells(a, wanted) and self.table_b.spells(b, wanted) else None
 
     def groups(self, a: np.ndarray, b: np.ndarray) -> Groups:
-        return align(np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b]))
+        return align(np.cumsum(self.table_a.sizes[a]), np.cumsum(self.table_b.sizes[b]))
 
     def digest(self, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> str:
         """SHA-256 of the groups, written as ``a1,a2|b1;a3|b2,b3``."""
