@@ -13,8 +13,10 @@ def _plan(df, capsys) -> str:
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
 def test_order_scan_is_pruned_and_region_needs_no_join(spark, capsys):
-    from sheetwise.suite import queries
-    plan = _plan(queries()["region_sales"](spark, SF), capsys)
+    # the operator's own plan: the registered key writes its rows for the rank
+    from sheetwise.operators import orders as O
+    from sheetwise.sources.fixtures import order_lines
+    plan = _plan(O.region_sales(O.order_rows(order_lines(spark, SF))), capsys)
     lineitem_schema = [ln for ln in plan.splitlines() if "ReadSchema" in ln and "l_orderkey" in ln][0]
     for unused in ("l_extendedprice", "l_tax", "l_linestatus", "l_shipdate"):
         assert unused not in lineitem_schema
