@@ -50,7 +50,7 @@ from sheetwise.session import checkpoint_dir
 GRAM = 128
 WIDE = 1_000
 SHARD_BYTES = 1 << 19
-RANGE_STRINGS = 1 << 20
+RANGE_STRINGS = 1 << 17
 SENTINEL = 0xFF  # no byte of UTF-8
 
 _CHUNK = 1 << 22
