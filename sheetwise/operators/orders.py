@@ -164,6 +164,9 @@ def order_level(rows: DataFrame, extra_sums: tuple[str, ...] = ()) -> DataFrame:
     as well (exact partial sums).
     """
     oid = F.col("_order_id")
+    # the columns in use, written: the filters of two branches over one plan would each move
+    # below the deduplication and compute it twice
+    rows = materialize(rows.select("_order_id", "_verified", "_unverified", "_comparable", "_mismatch", COPIES, *extra_sums))
     sums = [F.sum(c).alias(c) for c in extra_sums]
     with_id = rows.where(oid.isNotNull()).groupBy(oid.alias("order_id")).agg(*order_level_aggs(), *sums)
     alone = rows.where(oid.isNull()).select(
