@@ -5,10 +5,9 @@ these are *derivations of the given tables* and grow with them.  The same
 views are written as SQL text for the DuckDB oracle (``sheetwise.oracle``).
 ``_pos`` is a row's position in its table, taken from the tables' own keys.
 
-Joins are star joins: the fact table is streamed and each dimension is joined
-on its own key, so Spark's size check decides per dimension between a
-broadcast (small dimension) and a sort-merge join (large one); nothing is
-forced.  Nation and region are tiny by definition (25 and 5 rows).
+Each dimension is joined on its own key, so Spark's size check decides per
+dimension between a broadcast (small dimension) and a sort-merge join (large
+one); nothing is forced.  Nation and region are tiny by definition (25 and 5 rows).
 """
 
 from __future__ import annotations
@@ -16,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheetwise.session import tasks_for
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table, read with its natural splits."""
@@ -30,24 +31,24 @@ def _dec(c: Column | str, p: int, s: int) -> Column:
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical order view (one row per line, plus exact duplicate lines)."""
     t = lambda n: table(spark, sf_dir, n)
-    # Star join: the fact table is streamed and every dimension is joined on its
-    # own, so each broadcast decision is Spark's size check on one dimension
-    # (without statistics a pre-joined dimension chain would look huge).
-    # The fact rows are dealt by the order number (an order has a few lines) at every size: a
-    # shuffled join with the orders uses this partitioning, and one large split is spread.
+    # The lines meet their parts first, while they are narrow, and the orders their customers (an
+    # order has a few lines); each dimension is joined on its own key, so each broadcast decision is
+    # Spark's size check.  The join by order number comes last: the rows stay dealt by it, and a
+    # grouping that holds the order number among its keys needs no further shuffle.
     lines = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
-                                 "l_quantity", "l_discount", "l_returnflag").repartition("l_orderkey")
+                                 "l_quantity", "l_discount", "l_returnflag")
     orders = t("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus",
                                 "o_orderpriority", "o_totalprice")
     part = t("part").select("p_partkey", "p_name", "p_type", "p_retailprice")
     customer = t("customer").select("c_custkey", "c_name", "c_nationkey")
     nation = t("nation").select("n_nationkey", "n_regionkey")
     region = t("region").select("r_regionkey", "r_name")
-    b = (lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-         .join(part, F.col("l_partkey") == F.col("p_partkey"))
-         .join(customer, F.col("o_custkey") == F.col("c_custkey"))
-         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-         .join(region, F.col("n_regionkey") == F.col("r_regionkey")))
+    sold = (orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+            .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+            .join(region, F.col("n_regionkey") == F.col("r_regionkey")))
+    b = (lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
+         .repartition(tasks_for(lines), "l_orderkey")
+         .join(sold, F.col("l_orderkey") == F.col("o_orderkey")))
 
     ok, pk, sk, ln, ck = (F.col(c) for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "o_custkey"))
     p = _dec("p_retailprice", 12, 2)
