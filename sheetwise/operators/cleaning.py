@@ -113,20 +113,31 @@ def _standard_value(df: DataFrame, name: str) -> tuple[Column, Column | None]:
     return c, None
 
 
-def clean_groups(df: DataFrame) -> DataFrame:
+def clean_groups(df: DataFrame, tasks: int | None = None) -> DataFrame:
     """Distinct rows of the aliased table with copies, empty flag and parsed values.
 
     A ``_pos`` column (row position from ingest) is not part of the row: the first
-    position of the copies is kept."""
+    position of the copies is kept.  With ``tasks`` the rows are dealt into so many ranges
+    of their standardised cells: like rows lie beside each other, and rows that are equal once
+    standardised lie in one task, so a later grouping by all cells moves nothing."""
     std = standardize_headers(with_missing_tokens(df))
     cols = [c for c in std.columns if c != POS]
     place = [F.min(POS).alias(POS)] if POS in std.columns else []
-    g = std.groupBy(*[F.col(f"`{c}`") for c in cols]).agg(F.count(F.lit(1)).alias(COPIES), *place)
+    values = {c: _standard_value(std, c) for c in cols}
+    standard = {}
+    if tasks:
+        standard = {c: f"_standard{i}" for i, c in enumerate(cols) if values[c][1] is not None}
+        std = std.select("*", *[values[c][0].alias(name) for c, name in standard.items()])
+        std = std.repartitionByRange(tasks, *[F.col(f"`{standard.get(c, c)}`") for c in cols])
+    g = std.groupBy(*[F.col(f"`{c}`") for c in [*cols, *standard.values()]]).agg(F.count(F.lit(1)).alias(COPIES), *place)
     empty = reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNull() for c in cols])
     out = [F.col(COPIES), empty.alias("_empty"), *(F.col(POS) for _ in place)]
     invalid = []
     for c in cols:
-        value, parsed = _standard_value(std, c)
+        value, parsed = values[c]
+        if c in standard:
+            # the parsed value is null where its standard form is
+            value = parsed = F.col(standard[c])
         out.append(value.alias(c))
         if parsed is not None:
             invalid.append((F.col(f"`{c}`").isNotNull() & parsed.isNull()).cast("int"))
@@ -134,9 +145,9 @@ def clean_groups(df: DataFrame) -> DataFrame:
     return g.select(*out, inv.alias("_invalid"))
 
 
-def cleaned(df: DataFrame) -> DataFrame:
+def cleaned(df: DataFrame, tasks: int | None = None) -> DataFrame:
     """The cleaned table: non-empty distinct rows with standardised values."""
-    g = clean_groups(df)
+    g = clean_groups(df, tasks)
     return g.where(~F.col("_empty")).drop(COPIES, "_empty", "_invalid")
 
 

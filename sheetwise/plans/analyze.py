@@ -3,7 +3,7 @@
 Missing tokens and cleaning, canonical headers (with the user's overrides), the table's
 domain, its capability plan, and then only the supported analyses.  Only header-sized
 facts reach the driver (names, counts of filled cells, the plan); every result is a lazy
-DataFrame over the written canonical table.
+DataFrame over the written canonical rows.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from sheetwise.operators.cleaning import POS, cleaned
 from sheetwise.plans.domains import Domain, capability_plan, domain_choice
 from sheetwise.plans.mapping import canonicalize
 from sheetwise.plans.results import in_order
-from sheetwise.session import materialize
+from sheetwise.session import materialize, tasks_for
 
 Analysis = Callable[[DataFrame], DataFrame]
 
@@ -92,7 +92,7 @@ class Results(Mapping):
 
 @dataclass(frozen=True)
 class Analysed:
-    """``table`` is the canonical table, ``available`` its columns with a filled cell; ``plan`` has
+    """``table`` is the canonical table (of orders: not written, its deduplicated rows are), ``available`` its columns with a filled cell; ``plan`` has
     a row for each capability of the domain;
     ``results`` holds the supported ones by name, each computed when it is asked for."""
 
@@ -108,27 +108,31 @@ class Analysed:
         return in_order(name, self.results[name])
 
 
-def _columns(table: DataFrame) -> list[tuple[int, int, str, int]]:
+def _columns(names: list[str], filled: Row | None = None) -> list[tuple[int, int, str, int]]:
     """The table as a catalogue of dataset 0, with the number of filled cells of each column."""
-    names = [c for c in table.columns if c != POS]
-    filled = table.agg(*[F.count(F.col(f"`{c}`")) for c in names]).first()
-    return [(0, i, c, filled[i]) for i, c in enumerate(names)]
+    return [(0, i, c, filled[i] if filled else 0) for i, c in enumerate(names)]
 
 
 def analyze(df: DataFrame, overrides: dict[str, str] | None = None, domains: list[Domain] | None = None,
-            analyses: dict[str, dict[str, dict[str, Analysis]]] = ANALYSES) -> Analysed:
+            analyses: dict[str, dict[str, dict[str, Analysis]]] = ANALYSES, tasks: int | None = None) -> Analysed:
     """Clean, map, choose, plan and analyse one table.
 
     ``domains`` (with capabilities) and ``analyses`` take a plug-in's entries.  A ``_pos``
-    column (row position) is kept throughout, so first-row rules hold.
+    column (row position) is kept throughout, so first-row rules hold.  The rows are dealt over
+    ``tasks`` once (by default as many as their number asks for) and written once: the domain
+    follows from the headers, so an order table is deduplicated where cleaning left its rows.
     """
-    table = materialize(canonicalize(cleaned(df), overrides))
-    counted = _columns(table)
-    columns = table.sparkSession.createDataFrame(counted, "dataset_id long, pos int, name string, non_null long")
-    choice = domain_choice(columns, domains)
+    spark, schema = df.sparkSession, "dataset_id long, pos int, name string, non_null long"
+    table = canonicalize(cleaned(df, tasks or tasks_for(df)), overrides)
+    names = [c for c in table.columns if c != POS]
+    choice = materialize(domain_choice(spark.createDataFrame(_columns(names), schema), domains))
     chosen = choice.first()
-    plan = capability_plan(columns, choice, domains).collect()
-    rows = materialize(O.order_rows(table)) if chosen["domain"] == "order" else table
+    if chosen["domain"] == "order":
+        rows = materialize(O.order_rows(table))
+    else:
+        rows = table = materialize(table)
+    counted = _columns(names, rows.agg(*[F.count(F.col(f"`{c}`")) for c in names]).first())
+    plan = capability_plan(spark.createDataFrame(counted, schema), choice, domains).collect()
     own = analyses.get(chosen["domain"], {})
     supported = {name: run for item in plan if item["supported"] for name, run in own.get(item["capability_id"], {}).items()}
     return Analysed(chosen["domain"], chosen["score"], plan, table,

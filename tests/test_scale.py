@@ -38,3 +38,26 @@ def test_order_rows_are_dealt_by_their_number_and_move_no_more(spark, tmp_path,
         assert sorted(r["_copies"] for r in rows(found, "_copies")) == [1] * 78 + [2] * 2
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+
+
+def test_cleaning_and_deduplication_share_one_shuffle(spark, capsys):
+    from sheetwise.operators.cleaning import cleaned
+    data = [(0, "O1", "2024-01-02", "1,000"), (1, "O1", "2024/1/2", "1000"), (2, "O1", "2024-01-02", "1,000"),
+            (3, "O2", None, "x"), (4, "O2", "bad", "NA"), (5, None, "NA", ""), (6, None, "2024-01-03", "-0")]
+    cells = spark.createDataFrame(data, "_pos long, order_id string, date string, sales_amount string")
+    dealt, plain = O.dedup_with_copies(cleaned(cells, 3)), O.dedup_with_copies(cleaned(cells))
+    assert rows(dealt) == rows(plain)
+    assert rows(dealt.where("order_id = 'O1'")) == [
+        {"order_id": "O1", "date": "2024-01-02", "sales_amount": 1000.0, "_copies": 2, "_pos": 0}]
+    dealt.explain()
+    plan = capsys.readouterr().out.split("== Initial Plan ==")[0]
+    assert plan.count("Exchange") == 1 and "rangepartitioning" in plan   # equal once standardised: in one task already
+
+
+def test_an_order_upload_is_written_once(spark, monkeypatch):
+    from sheetwise.plans import analyze as A
+    written = []
+    monkeypatch.setattr(A, "materialize", lambda df: written.append(df.columns) or session.materialize(df))
+    cells = spark.createDataFrame([("O1", "茶", "2", "10"), ("O2", "书", "1", "5")], "`订单编号` string, `产品` string, `数量` string, `单价` string")
+    assert A.analyze(cells).domain == "order"
+    assert sum("order_id" in columns for columns in written) == 1
