@@ -118,17 +118,18 @@ def analyze(df: DataFrame, overrides: dict[str, str] | None = None, domains: lis
     """Clean, map, choose, plan and analyse one table.
 
     ``domains`` (with capabilities) and ``analyses`` take a plug-in's entries.  A ``_pos``
-    column (row position) is kept throughout, so first-row rules hold.  The rows are dealt over
-    ``tasks`` once (by default as many as their number asks for) and written once: the domain
-    follows from the headers, so an order table is deduplicated where cleaning left its rows.
+    column (row position) is kept throughout, so first-row rules hold.  The domain follows from the
+    headers; the rows of an order table are dealt over ``tasks`` once (by default as many as their
+    number asks for), deduplicated where cleaning left them, and written once.
     """
     spark, schema = df.sparkSession, "dataset_id long, pos int, name string, non_null long"
-    table = canonicalize(cleaned(df, tasks or tasks_for(df)), overrides)
+    table = canonicalize(cleaned(df), overrides)
     names = [c for c in table.columns if c != POS]
     choice = materialize(domain_choice(spark.createDataFrame(_columns(names), schema), domains))
     chosen = choice.first()
     if chosen["domain"] == "order":
-        rows = materialize(O.order_rows(table))
+        dealt = cleaned(df, tasks or tasks_for(df)).toDF(*table.columns)
+        rows = materialize(O.order_rows(dealt))
     else:
         rows = table = materialize(table)
     counted = _columns(names, rows.agg(*[F.count(F.col(f"`{c}`")) for c in names]).first())
