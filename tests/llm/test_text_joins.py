@@ -193,6 +193,19 @@ def test_repeats_go_and_nothing_else(llm, documents, sizes):
     assert suffix_dedup.without_repeats(documents([]), 400).count() == 0
 
 
+def test_a_repeated_piece_is_one_row_of_few_stretches(llm, monkeypatch):
+    passage = "".join(chr(97 + i * i % 23) for i in range(3000)) + "".join(chr(97 + i * 7 % 26) for i in range(300))
+    rows = [(i, f"{i:03d}" * 40 + passage + f"{i * 7:03d}" * 40) for i in range(30)]
+    seen, made = [], suffix_dedup._repeated_pieces
+    monkeypatch.setattr(suffix_dedup, "_repeated_pieces", lambda *a: seen.append(made(*a)) or seen[-1])
+    docs = llm.createDataFrame(rows, "doc_id long, text string")
+    found = suffix_dedup.without_repeats(docs, 400, wide=3, shard_bytes=2_000, range_strings=40)
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found.collect()) == plain_removal(rows, 400)
+    pieces = seen[0].collect()
+    assert pieces and len({bytes(r.piece) for r in pieces}) == len(pieces)   # not one for each range that holds its strings
+    assert all(b > a + 1 for r in pieces for a, b in zip(r.stops, r.starts[1:]))
+
+
 def test_url_query_blocks_a_labelled_host_family(llm, tmp_path):
     path = str(tmp_path)
     pages, labels = [], []
