@@ -88,22 +88,19 @@ def piece_bytes(path: str) -> list[bytes]:
 # --- alignment -----------------------------------------------------------------------
 
 def run_length(a: list[int], b: list[int], i: int, j: int) -> int:
-    """How many ends from ``a[i]`` on equal those from ``b[j]`` on, by doubling slices and halving.
-    A slice's last end is looked at first."""
-    m, step = 0, 1
-    left = min(len(a) - i, len(b) - j)
-    while True:
-        end = m + step
-        if end > left or a[i + end - 1] != b[j + end - 1] or (step > 1 and a[i + m:i + end] != b[j + m:j + end]):
-            break
-        m = end
+    """How many ends from ``a[i]`` on equal those from ``b[j]`` on, by doubling slices and halving."""
+    start, step = i, 1
+    stop = i + min(len(a) - i, len(b) - j)
+    while i + step <= stop and a[i:i + step] == b[j:j + step]:
+        i += step
+        j += step
         step *= 2
     while step > 1:
         step //= 2
-        end = m + step
-        if end <= left and a[i + end - 1] == b[j + end - 1] and a[i + m:i + end] == b[j + m:j + end]:
-            m = end
-    return m
+        if i + step <= stop and a[i:i + step] == b[j:j + step]:
+            i += step
+            j += step
+    return i - start
 
 
 def align(ends_a: np.ndarray, ends_b: np.ndarray) -> Groups:
@@ -111,21 +108,24 @@ def align(ends_a: np.ndarray, ends_b: np.ndarray) -> Groups:
     group, and the linked tokens as two arrays of places (grouped by kind, not in order)."""
     a, b = ends_a.tolist(), ends_b.tolist()
     n = len(a)
-    runs: list[tuple[int, int, int]] = []
+    run_a, run_b, run_n = [], [], []
     first_a, last_a, first_b, last_b = [], [], [], []
     link_a, link_b = [], []
     i = j = 0
     while i < n:
-        if a[i] == b[j]:
+        x, y = a[i], b[j]
+        if x == y:
             m = run_length(a, b, i, j)
-            runs.append((i, j, m))
+            run_a.append(i)
+            run_b.append(j)
+            run_n.append(m)
             i += m
             j += m
             if i == n:
                 break
+            x, y = a[i], b[j]
         first_a.append(i)
         first_b.append(j)
-        x, y = a[i], b[j]
         while x != y:
             link_a.append(i)
             link_b.append(j)
@@ -146,11 +146,11 @@ def align(ends_a: np.ndarray, ends_b: np.ndarray) -> Groups:
         first, last = np.array(first, np.int64), np.array(last, np.int64)
         return np.cumsum(np.bincount(first, minlength=size) - np.bincount(last, minlength=size)) == 0
 
-    run = np.array(runs, np.int64).reshape(-1, 3)
-    along = np.arange(run[:, 2].sum()) - np.repeat(np.cumsum(run[:, 2]) - run[:, 2], run[:, 2])
+    at_a, at_b, size = (np.array(x, np.int64) for x in (run_a, run_b, run_n))
+    along = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
     return (ends_group(n, first_a, last_a), ends_group(len(b), first_b, last_b),
-            np.concatenate([np.repeat(run[:, 0], run[:, 2]) + along, np.array(link_a, np.int64)]),
-            np.concatenate([np.repeat(run[:, 1], run[:, 2]) + along, np.array(link_b, np.int64)]))
+            np.concatenate([np.repeat(at_a, size) + along, np.array(link_a, np.int64)]),
+            np.concatenate([np.repeat(at_b, size) + along, np.array(link_b, np.int64)]))
 
 
 class _Table:
@@ -182,9 +182,9 @@ class Aligner:
         self.encode_a, self.encode_b = encoder(a_path, a_ranks), _pieces(b_path).encode
         self.bytes_a, self.bytes_b = byte_level_bytes(a_path), piece_bytes(b_path)
         self.table_a, self.table_b = _Table(self.bytes_a), _Table(self.bytes_b)
-        # each id with what follows it in the written groups, inside a group and at its end
-        self.written = [b"%d%s" % (i, sep) for table, seps in ((self.bytes_a, (b",", b"|")), (self.bytes_b, (b",", b";")))
-                        for i in range(len(table)) for sep in seps]
+        # each id with what follows it in the written groups, inside a group and at its end, filled up with NUL
+        self.written = np.array([b"%d%s" % (i, sep) for table, seps in ((self.bytes_a, (b",", b"|")), (self.bytes_b, (b",", b";")))
+                                 for i in range(len(table)) for sep in seps])
 
     def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of both, or None if there are none or one doesn't reproduce the text."""
@@ -205,7 +205,7 @@ class Aligner:
         order = np.empty(len(a) + len(b), np.int64)
         order[np.arange(len(a)) + np.append(0, behind_b)[group_a]] = 2 * a + last_a
         order[np.arange(len(b)) + behind_a[group_b]] = 2 * (len(self.bytes_a) + b) + last_b
-        return hashlib.sha256(b"".join(map(self.written.__getitem__, order.tolist()))[:-1]).hexdigest()
+        return hashlib.sha256(self.written[order].tobytes().translate(None, b"\0")[:-1]).hexdigest()
 
 
 # --- over a corpus ---------------------------------------------------------------------

@@ -146,6 +146,19 @@ def test_runs_are_found_by_probing():
                 assert token_alignment.run_length(a, b, i, j) == k
 
 
+def test_written_groups_keep_ids_of_any_width(monkeypatch):
+    aligner = object.__new__(token_alignment.Aligner)
+    monkeypatch.setattr(token_alignment, "encoder", lambda *a: None)
+    monkeypatch.setattr(token_alignment, "_pieces", lambda path: type("Model", (), {"encode": None}))
+    monkeypatch.setattr(token_alignment, "byte_level_bytes", lambda path: [b"x"] * 12_000)
+    monkeypatch.setattr(token_alignment, "piece_bytes", lambda path: [b"x"] * 150)
+    aligner.__init__("a", None, "b")
+    assert isinstance(aligner.written, np.ndarray)   # looked up for all tokens at once
+    a, b = np.array([0, 11_999, 7]), np.array([149, 0, 10])
+    got = aligner.digest(a, b, np.array([False, True, True]), np.array([True, False, True]))
+    assert got == hashlib.sha256(b"0,11999|149;7|0,10").hexdigest()
+
+
 def test_suffix_arrays():
     rng = random.Random(9)
     for _ in range(30):
