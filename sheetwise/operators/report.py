@@ -238,7 +238,8 @@ def analysis_coverage(raw: DataFrame) -> DataFrame:
     from sheetwise.plans.domains import capability_plan
     from sheetwise.session import materialize
     rows = materialize(O.order_rows(raw))
-    plan = capability_plan(single_table_catalog(raw))
+    # a column has a filled cell in the written rows if it has one in the raw table, which is computed once
+    plan = capability_plan(single_table_catalog(rows.select(*raw.columns)))
     ov = O.order_overview(rows)
 
     def nonempty(df: DataFrame) -> Column:

@@ -61,3 +61,13 @@ def test_an_order_upload_is_written_once(spark, monkeypatch):
     cells = spark.createDataFrame([("O1", "茶", "2", "10"), ("O2", "书", "1", "5")], "`订单编号` string, `产品` string, `数量` string, `单价` string")
     assert A.analyze(cells).domain == "order"
     assert sum("order_id" in columns for columns in written) == 1
+
+
+def test_coverage_computes_the_raw_table_once(spark, tmp_path):
+    from sheetwise.operators.report import analysis_coverage
+    folder = _tables(spark, tmp_path / "in")
+    order_lines(spark, folder).write.parquet(f"{tmp_path}/raw")
+    found = analysis_coverage(spark.read.parquet(f"{tmp_path}/raw"))
+    assert not [f for f in found.inputFiles() if "/raw/" in f]   # the plan follows from the rows that are written anyway
+    covered = {r["capability_id"] for r in rows(found) if r["covered"]}
+    assert {"order_count", "product_sales", "region_sales", "demographic_analysis"} <= covered
