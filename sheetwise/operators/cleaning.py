@@ -113,23 +113,26 @@ def _standard_value(df: DataFrame, name: str) -> tuple[Column, Column | None]:
     return c, None
 
 
-def clean_groups(df: DataFrame, tasks: int | None = None) -> DataFrame:
+def clean_groups(df: DataFrame, tasks: int | None = None, lot: str | None = None) -> DataFrame:
     """Distinct rows of the aliased table with copies, empty flag and parsed values.
 
     A ``_pos`` column (row position from ingest) is not part of the row: the first
     position of the copies is kept.  With ``tasks`` the rows are dealt into so many ranges
     of their standardised cells: like rows lie beside each other, and rows that are equal once
-    standardised lie in one task, so a later grouping by all cells moves nothing."""
+    standardised lie in one task, so a later grouping by all cells moves nothing.
+    ``lot`` names a column that is no cell, the same in rows that are equal once standardised: where
+    rows lie by it already (a join left them so) they stay there.  It is kept as the last column."""
     std = standardize_headers(with_missing_tokens(df))
-    cols = [c for c in std.columns if c != POS]
+    cols = [c for c in std.columns if c not in (POS, lot)]
     place = [F.min(POS).alias(POS)] if POS in std.columns else []
     values = {c: _standard_value(std, c) for c in cols}
     standard = {}
-    if tasks:
+    if tasks and not lot:
         standard = {c: f"_standard{i}" for i, c in enumerate(cols) if values[c][1] is not None}
         std = std.select("*", *[values[c][0].alias(name) for c, name in standard.items()])
         std = std.repartitionByRange(tasks, *[F.col(f"`{standard.get(c, c)}`") for c in cols])
-    g = std.groupBy(*[F.col(f"`{c}`") for c in [*cols, *standard.values()]]).agg(F.count(F.lit(1)).alias(COPIES), *place)
+    lots = [F.col(f"`{lot}`")] if lot else []
+    g = std.groupBy(*[F.col(f"`{c}`") for c in [*cols, *standard.values()]], *lots).agg(F.count(F.lit(1)).alias(COPIES), *place)
     empty = reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNull() for c in cols])
     out = [F.col(COPIES), empty.alias("_empty"), *(F.col(POS) for _ in place)]
     invalid = []
@@ -142,12 +145,12 @@ def clean_groups(df: DataFrame, tasks: int | None = None) -> DataFrame:
         if parsed is not None:
             invalid.append((F.col(f"`{c}`").isNotNull() & parsed.isNull()).cast("int"))
     inv = reduce(lambda a, b: a + b, invalid) if invalid else F.lit(0)
-    return g.select(*out, inv.alias("_invalid"))
+    return g.select(*out, inv.alias("_invalid"), *lots)
 
 
-def cleaned(df: DataFrame, tasks: int | None = None) -> DataFrame:
+def cleaned(df: DataFrame, tasks: int | None = None, lot: str | None = None) -> DataFrame:
     """The cleaned table: non-empty distinct rows with standardised values."""
-    g = clean_groups(df, tasks)
+    g = clean_groups(df, tasks, lot)
     return g.where(~F.col("_empty")).drop(COPIES, "_empty", "_invalid")
 
 

@@ -135,7 +135,7 @@ def prepare(df: DataFrame) -> DataFrame:
               .when(verified.isNotNull() & ~valid_raw, "verified")
               .when(F.col("_unverified").isNotNull(), "unverified")
               .otherwise("missing"))
-    return out.withColumn("_amount_status", status)
+    return out.withColumn("_amount_status", status).drop("_expected")  # it is the verified amount
 
 
 def order_rows(df: DataFrame) -> DataFrame:
@@ -442,7 +442,7 @@ def discount_analysis(rows: DataFrame) -> DataFrame:
     d = F.col("_discount")
     valid = rows.where(d.isNotNull() & d.between(0, 1))
     disc = d < 1
-    expected = F.col("_expected")
+    expected = F.col("_verified")
     per_id = _rows_per_id(
         valid, {"all": F.lit(True), "disc": disc},
         F.sum(d.try_cast(MONEY_WORK)).alias("_d"), F.sum(F.when(disc, F.col("_verified"))).alias("_v"),

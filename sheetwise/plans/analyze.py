@@ -114,22 +114,29 @@ def _columns(names: list[str], filled: Row | None = None) -> list[tuple[int, int
 
 
 def analyze(df: DataFrame, overrides: dict[str, str] | None = None, domains: list[Domain] | None = None,
-            analyses: dict[str, dict[str, dict[str, Analysis]]] = ANALYSES, tasks: int | None = None) -> Analysed:
+            analyses: dict[str, dict[str, dict[str, Analysis]]] = ANALYSES, tasks: int | None = None,
+            lot: str | None = None) -> Analysed:
     """Clean, map, choose, plan and analyse one table.
 
     ``domains`` (with capabilities) and ``analyses`` take a plug-in's entries.  A ``_pos``
     column (row position) is kept throughout, so first-row rules hold.  The domain follows from the
     headers; the rows of an order table are dealt over ``tasks`` once (by default as many as their
-    number asks for), deduplicated where cleaning left them, and written once.
+    number asks for), deduplicated where cleaning left them, and written once.  ``lot`` names a
+    column beside the cells by which the rows are dealt already, the same for rows that are equal
+    once cleaned: such rows aren't dealt again.
     """
+    deal, df = df, df.drop(lot) if lot else df
     spark, schema = df.sparkSession, "dataset_id long, pos int, name string, non_null long"
     table = canonicalize(cleaned(df), overrides)
     names = [c for c in table.columns if c != POS]
     choice = materialize(domain_choice(spark.createDataFrame(_columns(names), schema), domains))
     chosen = choice.first()
     if chosen["domain"] == "order":
-        dealt = cleaned(df, tasks or tasks_for(df)).toDF(*table.columns)
-        rows = materialize(O.order_rows(dealt))
+        if lot:
+            dealt = cleaned(deal, lot=lot).toDF(*table.columns, lot)
+        else:
+            dealt = cleaned(df, tasks or tasks_for(df)).toDF(*table.columns)
+        rows = materialize(O.order_rows(dealt).drop(*([lot] if lot else [])))
     else:
         rows = table = materialize(table)
     counted = _columns(names, rows.agg(*[F.count(F.col(f"`{c}`")) for c in names]).first())

@@ -24,9 +24,8 @@ from sheetwise.operators import scores as S
 from sheetwise.operators.ranking import ranked
 from sheetwise.plans.results import ORDERS, in_order
 from sheetwise.sources.fixtures import (
-    document_profile_frame, document_text_frame, inventory_rows, order_lines, raw_sales, student_scores, table,
+    document_profile_frame, document_text_frame, inventory_rows, order_lines, raw_sales, student_scores,
 )
-from sheetwise.session import tasks_for
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -388,19 +387,25 @@ UPLOAD_HEADERS = {
 }
 
 
-def _upload_tasks(spark: SparkSession, sf_dir: str, view: Callable[[SparkSession, str], DataFrame]) -> int | None:
-    """Tasks for a view of one row a line, from the lines' footers: counting the view would join first."""
-    return tasks_for(table(spark, sf_dir, "lineitem")) if view in (order_lines, inventory_rows) else None
+LOT = "_lot"
+
+
+def _analyzed(cells: DataFrame, by: str | None = None):
+    """A view as a user's upload - text cells under Chinese headers - analysed.  ``by`` names the cell by
+    which the view's rows are dealt: equal rows lie in one task already."""
+    from sheetwise.plans.analyze import analyze
+    text = [F.col(c) if c == O.POS else F.col(c).cast("string").alias(UPLOAD_HEADERS.get(c, c)) for c in cells.columns]
+    return analyze(cells.select(*text, F.col(by).alias(LOT)), lot=LOT) if by else analyze(cells.select(*text))
+
+
+def _dealt_by(view: Callable[[SparkSession, str], DataFrame]) -> str | None:
+    """The order view's rows lie by order number, since its last join is by it."""
+    return "ok" if view is order_lines else None
 
 
 def _uploaded(view: Callable[[SparkSession, str], DataFrame], result: str) -> Query:
-    """A view as a user's upload - text cells under Chinese headers - from raw cells to one result."""
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        from sheetwise.plans.analyze import analyze
-        cells = view(spark, sf_dir)
-        text = [F.col(c) if c == O.POS else F.col(c).cast("string").alias(UPLOAD_HEADERS.get(c, c)) for c in cells.columns]
-        return analyze(cells.select(*text), tasks=_upload_tasks(spark, sf_dir, view)).result(result)
-    return run
+    """A view as a user's upload, from raw cells to one result."""
+    return lambda spark, sf_dir: _analyzed(view(spark, sf_dir), _dealt_by(view)).result(result)
 
 
 # key: the query over typed columns whose result it must equal
@@ -421,11 +426,8 @@ def _outcome(upload: str, part: str) -> Query:
     """One part of what is made of an upload: coverage, payload, kpis or findings."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         from sheetwise.plans import outcome
-        from sheetwise.plans.analyze import analyze
         view, absent = PARTIAL_UPLOADS[upload]
-        cells = view(spark, sf_dir).drop(*absent)
-        text = [F.col(c) if c == O.POS else F.col(c).cast("string").alias(UPLOAD_HEADERS.get(c, c)) for c in cells.columns]
-        return getattr(outcome, part)(analyze(cells.select(*text), tasks=_upload_tasks(spark, sf_dir, view)))
+        return getattr(outcome, part)(_analyzed(view(spark, sf_dir).drop(*absent), _dealt_by(view)))
     return run
 
 

@@ -63,6 +63,36 @@ def test_an_order_upload_is_written_once(spark, monkeypatch):
     assert sum("order_id" in columns for columns in written) == 1
 
 
+def test_an_upload_of_the_order_view_stays_where_its_last_join_left_it(spark, tmp_path, monkeypatch, capsys):
+    from sheetwise import suite
+    from sheetwise.plans import analyze as A
+    folder, written = _tables(spark, tmp_path / "in"), []
+    monkeypatch.setattr(A, "materialize", lambda df: written.append(df) or session.materialize(df))
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")   # as with large tables
+    try:
+        found = rows(suite.queries()["uploaded_customers"](spark, folder))
+        table = next(df for df in written if "_copies" in df.columns)
+        table.explain()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    plan = capsys.readouterr().out
+    assert "rangepartitioning" not in plan and "hashpartitioning(order_id" not in plan   # both deduplications move nothing
+    assert "_lot" not in table.columns and "_expected" not in table.columns
+    plain = suite._analyzed(order_lines(spark, folder))   # dealt by its cells
+    assert found == rows(plain.result("customer_rollup"))
+    assert rows(table) == rows(O.order_rows(A.cleaned(plain.table)).select(table.columns))
+
+
+def test_rows_with_a_lot_are_cleaned_like_others(spark):
+    from sheetwise.operators.cleaning import cleaned
+    data = [(7, 0, "O1", "2024-01-02", "1,000"), (7, 1, "O1", "2024/1/2", "1000"), (7, 2, "O1", "2024-01-02", "1,000"),
+            (8, 3, "O2", None, "x"), (8, 4, "O2", "bad", "NA"), (None, 5, None, "NA", ""), (None, 6, None, "2024-01-03", "-0")]
+    cells = spark.createDataFrame(data, "_lot long, _pos long, order_id string, date string, sales_amount string")
+    lots = O.dedup_with_copies(cleaned(cells, lot="_lot")).drop("_lot")
+    assert rows(lots) == rows(O.dedup_with_copies(cleaned(cells.drop("_lot"))))
+
+
 def test_coverage_computes_the_raw_table_once(spark, tmp_path):
     from sheetwise.operators.report import analysis_coverage
     folder = _tables(spark, tmp_path / "in")
