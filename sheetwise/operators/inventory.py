@@ -90,9 +90,13 @@ def group_stock(df: DataFrame, column: str) -> DataFrame:
     """INV-5..7: stock per trimmed, non-empty group label."""
     if not (has(df, column) and has(df, "stock_quantity")):
         return _empty(df, "name string, value double")
+    # summed by the cell as it stands first: a label is stripped once for each different text
     s = to_number(df, "stock_quantity")
-    rows = df.where(s.isNotNull() & non_empty(df, column))
-    return rows.groupBy(strip(F.col(column).cast("string")).alias("name")).agg(money(F.sum(exact(s))).alias("value"))
+    cells = df.where(s.isNotNull()).groupBy(column).agg(F.sum(exact(s)).alias("_sum"))
+    # a filter on the label itself would move below the first sum and strip every row's
+    g = cells.groupBy(strip(F.col(column).cast("string")).alias("name")).agg(
+        money(F.sum("_sum")).alias("value"), F.count_if(non_empty(cells, column)).alias("_named"))
+    return g.where(F.col("_named") > 0).drop("_named")
 
 
 def category_stock(df: DataFrame) -> DataFrame:
@@ -123,7 +127,10 @@ def inventory_trend(df: DataFrame) -> DataFrame:
     """INV-9: stock per day, ascending (days from the mixed-format date parse)."""
     if not (has(df, "inventory_date") and has(df, "stock_quantity")):
         return _empty(df, "name string, value double")
-    d = parse_dates(df, "inventory_date")
+    # summed by the cell as it stands first: a date is parsed once for each different text
     s = to_number(df, "stock_quantity")
-    rows = df.where(d.isNotNull() & s.isNotNull())
-    return rows.groupBy(day_key(d).alias("name")).agg(money(F.sum(exact(s))).alias("value"))
+    cells = df.where(s.isNotNull()).groupBy("inventory_date").agg(F.sum(exact(s)).alias("_sum"))
+    d = parse_dates(cells, "inventory_date")
+    # a filter on the date itself would move below the first sum and parse every row
+    g = cells.groupBy(day_key(d).alias("name")).agg(money(F.sum("_sum")).alias("value"), F.count(d).alias("_dated"))
+    return g.where(F.col("_dated") > 0).drop("_dated")

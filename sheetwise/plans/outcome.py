@@ -81,13 +81,12 @@ def all_results(rows: DataFrame, domain: str) -> Results:
     return Results(rows, {name: run for own in ANALYSES[domain].values() for name, run in own.items()})
 
 
-def _cells(df: DataFrame, columns: list[tuple[str, str]]) -> Column:
-    def cell(i: int, field: str, name: str) -> Column:
-        numeric = isinstance(df.schema[name].dataType, T.NumericType)
-        return F.struct(F.lit(i).alias("col_no"), F.lit(field).alias("field"),
-                        (F.lit(None).cast("string") if numeric else F.col(name).cast("string")).alias("value_text"),
-                        (F.col(name).cast("double") if numeric else F.lit(None).cast("double")).alias("value_num"))
-    return F.array(*[cell(i, field, name) for i, (field, name) in enumerate(columns)])
+def _values(df: DataFrame, columns: list[tuple[str, str]]) -> list[Column]:
+    """A row's cells as two arrays in column order, texts and numbers: a cell is null in the other one."""
+    numeric = [isinstance(df.schema[name].dataType, T.NumericType) for _, name in columns]
+    texts = [F.lit(None).cast("string") if n else F.col(name).cast("string") for n, (_, name) in zip(numeric, columns)]
+    numbers = [F.col(name).cast("double") if n else F.lit(None).cast("double") for n, (_, name) in zip(numeric, columns)]
+    return [F.array(*texts).alias("texts"), F.array(*numbers).alias("numbers")]
 
 
 def _sort_key(df: DataFrame, keys: list[Column]) -> list[Column]:
@@ -102,18 +101,21 @@ def _sort_key(df: DataFrame, keys: list[Column]) -> list[Column]:
 
 def ordered_sections(parts: list[tuple[str, str, DataFrame, list[tuple[str, str]]]], spark: SparkSession) -> DataFrame:
     """Lists ``(section, result name, rows, [(field, column)])`` as one table of cells, one row each,
-    with the rank of their row in its section."""
+    with the rank of their row in its section.  Rows are sorted with their values only; the names of
+    the fields, the same for all rows of a part, come afterwards."""
     shaped = []
-    for section, name, df, columns in parts:
+    for i, (section, name, df, columns) in enumerate(parts):
         keys = ORDERS[name](df) if name in ORDERS else [F.lit(0)]
-        shaped.append(df.select(F.lit(section).alias("section"), *_sort_key(df, keys), _cells(df, columns).alias("cells")))
+        shaped.append(df.select(F.lit(section).alias("section"), F.lit(i).alias("_part"), *_sort_key(df, keys), *_values(df, columns)))
     if not shaped:
         return spark.createDataFrame([], LONG)
     every = shaped[0]
     for part in shaped[1:]:
         every = every.unionByName(part)
     placed = ranked(every, [F.col("_k0"), F.col("_k1"), F.col("_k2")], within=["section"])
-    return placed.select("section", "rank", F.explode("cells").alias("c")).select("section", "rank", "c.*")
+    fields = F.array(*[F.array(*[F.lit(field) for field, _ in columns]) for _, _, _, columns in parts])
+    cells = F.arrays_zip(fields[F.col("_part")].alias("field"), F.col("texts").alias("value_text"), F.col("numbers").alias("value_num"))
+    return placed.select("section", "rank", F.posexplode(cells).alias("col_no", "c")).select("section", "rank", "col_no", "c.*")
 
 
 def _public(name: str, df: DataFrame) -> list[tuple[str, str]]:

@@ -115,3 +115,25 @@ def test_catalog_mapping_matches_single_table(spark):
         rename, _ = _mapped(spark, cols, {"memo": "customer_name"} if d == 7 else None)
         for c in cols:
             assert mapped[(d, c)] == rename.get(c, c)
+
+
+def test_stock_dates_and_labels_are_read_once_for_each_text(spark, capsys):
+    data = [("2024-01-02", " a ", "1"), ("2024/1/2", "a", "2"), ("bad", "  ", "4"), (None, None, "8"), ("2024-01-03", "b", "x"), ("2024-01-03", "b", "inf")]
+    df = spark.createDataFrame(data, "inventory_date string, warehouse string, stock_quantity string")
+    trend, stock = I.inventory_trend(df), I.warehouse_stock(df)
+    assert rows(trend) == [{"name": "2024-01-02", "value": 3.0}, {"name": "2024-01-03", "value": None}]
+    assert rows(stock) == [{"name": "a", "value": 3.0}, {"name": "b", "value": None}]
+    for found, read in ((trend, "gettimestamp"), (stock, "warehouse, Some")):
+        found.explain()
+        plan = capsys.readouterr().out
+        assert plan.count("HashAggregate") >= 4 and read not in plan.split("Exchange")[-1].lower()   # after the first sum
+
+
+def test_payload_cells_are_named_after_the_sort(spark):
+    from sheetwise.plans.outcome import ordered_sections
+    a = spark.createDataFrame([("x", 1.0), ("y", 3.0)], "name string, value double")
+    b = spark.createDataFrame([(5, None)], "n int, word string")
+    found = ordered_sections([("s", "warehouse_stock", a, [("label", "name"), ("amount", "value")]), ("t", "other", b, [("count", "n"), ("word", "word")])], spark)
+    assert {tuple(r) for r in found.collect()} == {
+        ("s", 1, 0, "label", "y", None), ("s", 1, 1, "amount", None, 3.0), ("s", 2, 0, "label", "x", None), ("s", 2, 1, "amount", None, 1.0),
+        ("t", 1, 0, "count", None, 5.0), ("t", 1, 1, "word", None, None)}
