@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheetwise.llm.common import save, tidy
+from sheetwise.llm.common import save, tidy, tidy_group
 
 DIMS = 4096
 UNKNOWN = "und"
@@ -42,6 +42,8 @@ CLASSES = 9
 LOW = 0.02
 _HEAD = 4096
 _CHUNK = 1 << 20
+# Texts whose counts are in memory at once, 32 KB each and as much for every step.
+_ROWS = 32
 _letters: np.ndarray | None = None
 
 
@@ -120,12 +122,13 @@ class Model:
         score, rejected = np.zeros(len(texts)), np.ones(len(texts), bool)
         if not len(self.langs):
             return lang, score, rejected
-        for at in range(0, len(texts), 512):
-            found = [(i, *m) for i, t in enumerate(texts[at:at + 512], at) if t and (m := measured(t))]
+        columns = self.centroids.T.astype(float)
+        for at in range(0, len(texts), _ROWS):
+            found = [(i, *m) for i, t in enumerate(texts[at:at + _ROWS], at) if t and (m := measured(t))]
             if not found:
                 continue
             rows = np.array([i for i, _, _ in found])
-            cosines = _unit(np.log1p(np.array([c for _, c, _ in found])) * self.idf) @ self.centroids.T
+            cosines = _unit(np.log1p(np.array([c for _, c, _ in found])) * self.idf) @ columns
             best = cosines.argmax(axis=1)
             score[rows] = np.clip(cosines[np.arange(len(rows)), best], 0, 1)
             rejected[rows] = score[rows] < self.floors[best, [r for _, _, r in found]]
@@ -146,6 +149,27 @@ def cluster(vectors: np.ndarray, clusters: int, rounds: int = 12) -> tuple[np.nd
     return centroids, (vectors @ centroids.T).max(axis=1)
 
 
+def profiles(texts: pd.Series) -> Iterator[pd.DataFrame]:
+    """Rows ``(v, rich)`` in parts: log(1 + count) as float32 and the richness class, null and 0 without a letter."""
+    for at in range(0, len(texts), _ROWS):
+        found = [measured(t) if t else None for t in texts[at:at + _ROWS]]
+        yield pd.DataFrame({"v": pd.Series([np.log1p(m[0]).astype("<f4").tobytes() if m else None for m in found], dtype=object),
+                            "rich": pd.Series([m[1] if m else 0 for m in found], dtype="int32")})
+
+
+def profile(text: Column) -> Column:
+    """Struct ``(v, rich)`` of a text column.  Called nondeterministic, so that a filter on it
+    isn't pushed down to compute it a second time in a further Python worker."""
+
+    @F.pandas_udf("v binary, rich int")
+    @tidy
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield from profiles(batch)
+
+    return of.asNondeterministic()(text)
+
+
 def fit(docs: DataFrame, per_lang: int = 512, clusters: int = 4, reject: float = 0.45, id_col: str = "doc_id",
         text: str = "text", lang: str = "lang") -> Model:
     """Model of the labelled rows of ``docs``: at most ``per_lang`` documents for each language."""
@@ -157,21 +181,14 @@ def fit(docs: DataFrame, per_lang: int = 512, clusters: int = 4, reject: float =
     # written first, so that Spark knows its size and need not shuffle the texts to meet it
     chosen = save(ids.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_lang).select("id", "lang").distinct())
 
-    @F.pandas_udf("v binary, rich int")
-    @tidy
-    def vector(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [measured(t) if t else None for t in batch]
-            yield pd.DataFrame({"v": pd.Series([np.log1p(m[0]).astype("<f4").tobytes() if m else None for m in found], dtype=object),
-                                "rich": pd.Series([m[1] if m else 0 for m in found], dtype="int32")})
-
     texts = docs.select(F.col(id_col).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     again = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "v")  # rows that share an id
     sample = save(texts.join(chosen, (texts["id"].eqNullSafe(chosen["id"])) & (texts["lang"] == chosen["lang"]), "left_semi")
-                  .select("id", "lang", F.substring("text", 1, _HEAD).alias("head"), vector("text").alias("m"))
+                  .select("id", "lang", F.substring("text", 1, _HEAD).alias("head"), profile(F.col("text")).alias("m"))
                   .select("id", "lang", "head", "m.*").filter("v is not null")
                   .withColumn("r", F.row_number().over(again)).filter(F.col("r") <= per_lang).select("lang", "v", "rich", "head"))
 
+    @tidy_group
     def frequencies(group: pd.DataFrame) -> pd.DataFrame:
         found = np.zeros(DIMS, "<i8")
         for v in group["v"]:
@@ -183,9 +200,12 @@ def fit(docs: DataFrame, per_lang: int = 512, clusters: int = 4, reject: float =
     df = sum((np.frombuffer(r.df, "<i8") for r in per_group), np.zeros(DIMS, np.int64))
     idf = np.log((1 + n) / (1 + df)) + 1
 
+    @tidy_group
     def centroids(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("v")
-        vectors = _unit(np.array([np.frombuffer(v, "<f4") for v in group["v"]]) * idf)
+        vectors = np.empty((len(group), DIMS))
+        for at in range(0, len(group), _ROWS):
+            vectors[at:at + _ROWS] = _unit(np.array([np.frombuffer(v, "<f4") for v in group["v"][at:at + _ROWS]]) * idf)
         found, cosines = cluster(vectors, clusters)
         cases = list(zip(group["rich"], cosines))
         for head in group["head"]:

@@ -187,6 +187,37 @@ def test_language(llm, documents):
     assert again.langs == model.langs and np.allclose(again.centroids, model.centroids)
 
 
+def test_language_holds_few_counts_at_once(llm, documents):
+    import tracemalloc
+
+    import pandas as pd
+
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices(ENGLISH, k=40)) for _ in range(600)] + [None, "12 34"]
+    rows = [(i, t, "en") for i, t in enumerate(texts[:60])] + [(i, t[::-1], "fr") for i, t in enumerate(texts[60:120], 100)]
+    model = centroid_lang.fit(documents(rows), per_lang=40)
+
+    def peak(f):
+        f()  # tables that stay
+        tracemalloc.start()
+        f()
+        found = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return found
+
+    assert peak(lambda: model.predict(texts)) < 16 << 20
+    parts = list(centroid_lang.profiles(pd.Series(texts)))
+    assert max(map(len, parts)) <= 64 and sum(map(len, parts)) == len(texts)
+    assert [v is None for part in parts for v in part["v"]] == [False] * 600 + [True] * 2
+    # a filter on the counts doesn't compute them twice
+    found = documents(rows).select("doc_id", centroid_lang.profile(F.col("text")).alias("m")).select("doc_id", "m.*").filter("v is not null")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    # one by one or together: the same predictions
+    alone = [model.predict([t]) for t in texts[::50]]
+    together = model.predict(texts)
+    assert [a[0][0] for a in alone] == together[0][::50] and np.allclose([a[1][0] for a in alone], together[1][::50])
+
+
 FOREIGN = {
     "fi": "Suomen kieli on uralilaisten kielten itämerensuomalaiseen ryhmään kuuluva kieli jota puhuvat pääosin suomalaiset. Se on Suomen toinen virallinen kieli ja yksi Euroopan unionin virallisista kielistä.",
     "hu": "A magyar nyelv az uráli nyelvcsalád tagja, a finnugor nyelvek közé tartozó ugor nyelvek egyike. Legközelebbi rokonai a manysi és a hanti nyelv, majd utánuk az udmurt, a komi, a mari és a mordvin nyelvek.",
