@@ -175,8 +175,9 @@ def near_links(fps: DataFrame, max_bits: int, code: tuple[str, ...] = CODE) -> D
 
         return spread.mapInArrow(replicate, f"anchor long, {name} long")
 
-    # a pair meets once at the home of a: b visits an anchor at most once
-    return (at_anchors(0, "a").join(at_anchors(max_bits, "b"), "anchor")
+    # a pair meets once at the home of a: b visits an anchor at most once.  Spark takes the visits for as
+    # many as the fingerprints and would broadcast either side by that, so the join is told to shuffle.
+    return (at_anchors(0, "a").hint("merge").join(at_anchors(max_bits, "b").hint("merge"), "anchor")
             .filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits))
             .select("a", "b"))
 

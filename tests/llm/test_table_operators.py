@@ -82,6 +82,12 @@ def test_long_chains_are_one_component(llm):
     assert len(roots) == 1
 
 
+def test_visits_are_never_broadcast(llm, capsys):
+    simhash_anchor.near_links(llm.range(50).select(F.xxhash64("id").alias("fp")), 2).explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan  # though Spark thinks either side small
+
+
 def test_keep_one(llm, documents, near_rows):
     want, group = _components(near_rows, 3, 2)
     kept = simhash_anchor.keep_one(documents(near_rows), 3, 2).collect()
