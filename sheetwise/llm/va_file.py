@@ -9,10 +9,13 @@ as copies is one class with the few smallest ids that can ever be ranked).
 query the grid bounds every score of the block from below and above.
 
 *Scan.*  Query classes come in blocks as well; every pair of a query block and an
-approximation block is one bounded unit of work that meets in an equi-join over salted
-block numbers (no driver, no broadcast).  A unit keeps the classes whose upper bound
-reaches the k-th best lower bound in the block; the k-th best lower bound over all
-blocks then cuts again.
+approximation block is one bounded unit of work.  A task has a part of the approximation
+file, block by block, and a bounded number of query blocks: a product of partitions, in
+which nothing is copied for the shuffle or broadcast.  A unit keeps the classes whose upper
+bound reaches the k-th best lower bound in the block.  As many blocks as the square root of
+their number are scanned first; the k-th best lower bound in them is a floor for all others, so
+that a query keeps that many times k classes and not k of each block.  The k-th best lower
+bound over all blocks then cuts again.
 
 *Exact reads.*  In the order of the bounds: first the exact vectors of the k+1 best upper
 bounds, whose k-th exact score is a new threshold; then every class whose upper bound
@@ -40,6 +43,10 @@ from sheetwise.llm.common import parallelism, save, tidy
 CELLS = 256
 BLOCK = 4096
 QUERY_BLOCK = 256
+# Query blocks that a task of the scan holds at once.
+HELD = 64
+# Up to so many approximation blocks are scanned without a floor.
+FEW = 8
 _LONG = np.iinfo(np.int64)
 
 
@@ -77,14 +84,14 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _blocks(classes: DataFrame, size: int, with_cells: bool) -> DataFrame:
-    """Classes ``(cid, vec)`` packed into blocks ``(dim, block, cids, data[, low, width])``:
-    cells of the block's grid, or the exact integers."""
-    schema = "dim int, block long, cids binary, data binary, low binary, width binary"
+    """Classes ``(cid, vec, floor)`` packed into blocks ``(dim, block, cids, data, low, width, floors)``:
+    cells of the block's grid, or the exact integers without a grid."""
+    schema = "dim int, block long, cids binary, data binary, low binary, width binary, floors binary"
 
     @tidy
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cids, vecs = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            cids, vecs, floors = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_numpy()
             dims = np.array([len(v) // 8 for v in vecs])
             out = []
             for dim in np.unique(dims):
@@ -97,13 +104,14 @@ def _blocks(classes: DataFrame, size: int, with_cells: bool) -> DataFrame:
                     if with_cells:
                         grid = _grid(m)
                         low, width, data = grid[0].astype("<i8").tobytes(), grid[1].astype("<i8").tobytes(), grid[2].tobytes()
-                    out.append((int(dim), int(cids[part[0]]), cids[part].astype("<i8").tobytes(), data, low, width))
+                    out.append((int(dim), int(cids[part[0]]), cids[part].astype("<i8").tobytes(), data, low, width,
+                                floors[part].astype("<f8").tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), *[pa.binary()] * 4))],
-                    ["dim", "block", "cids", "data", "low", "width"])
+                    [pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), *[pa.binary()] * 5))],
+                    ["dim", "block", "cids", "data", "low", "width", "floors"])
 
-    return classes.select("cid", "vec").mapInArrow(pack, schema)
+    return classes.select("cid", "vec", F.coalesce("floor", F.lit(float("-inf"))).alias("floor")).mapInArrow(pack, schema)
 
 
 def _grid(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,15 +123,25 @@ def _grid(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return low, width, cell.astype(np.uint8)
 
 
+def _pairs(file: DataFrame, queries: DataFrame) -> DataFrame:
+    """Every block of the approximation file beside every block of queries of the same dimension.
+    The hint keeps Spark from broadcasting either side, however small it takes it for."""
+    n = parallelism(file.sparkSession)
+    return (file.repartition(max(1, min(n, file.count())))
+            .join(queries.select("dim", F.col("cids").alias("qcids"), F.col("data").alias("queries"), F.col("floors").alias("qfloors"))
+                  .repartition(max(1, -(-queries.count() // HELD))).hint("shuffle_replicate_nl"), "dim")
+            .select("dim", "qcids", "queries", "qfloors", "cids", "data", "low", "width"))
+
+
 def _scan(pairs: DataFrame, k: int) -> DataFrame:
-    """Bounds ``(qid, cid, lower, upper)`` of the classes of each pair of blocks that the
-    block alone cannot rule out."""
+    """Bounds ``(qid, cid, lower, upper)`` of the classes of each pair of blocks that neither the
+    block alone nor the query's floor can rule out."""
 
     @tidy
     def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                dim, qcids, queries, cids, data, low, width = (batch.column(i)[r].as_py() for i in range(7))
+                dim, qcids, queries, qfloors, cids, data, low, width = (batch.column(i)[r].as_py() for i in range(8))
                 q, c = np.frombuffer(qcids, "<i8"), np.frombuffer(cids, "<i8")
                 qs = np.frombuffer(queries, "<i8").reshape(len(q), dim)
                 w = np.frombuffer(width, "<i8")
@@ -134,18 +152,28 @@ def _scan(pairs: DataFrame, k: int) -> DataFrame:
                 rise = (np.where(big > 0, big, 0) * (w - 1)).sum(axis=1)
                 fall = (np.where(big < 0, big, 0) * (w - 1)).sum(axis=1)
                 # upper - lower is the same for all classes, so one threshold serves both
-                best = np.sort(base, axis=1)[:, -min(k, len(c))] if base.size else np.zeros(len(q))
+                at = len(c) - min(k, len(c))
+                best = np.partition(base, at, axis=1)[:, at] if base.size else np.zeros(len(q))
                 i, j = np.nonzero(base + (rise - fall)[:, None] >= best[:, None])
                 lower = (base[i, j] + fall[i]).astype(np.float64)
                 upper = (base[i, j] + rise[i]).astype(np.float64)
                 if base.dtype == object:  # rounding to doubles must not cut a bound
                     lower, upper = np.nextafter(lower, -np.inf), np.nextafter(upper, np.inf)
+                may = upper >= np.frombuffer(qfloors, "<f8")[i]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(q[i]), pa.array(c[j]), pa.array(lower), pa.array(upper)], ["qid", "cid", "lower", "upper"])
+                    [pa.array(q[i[may]]), pa.array(c[j[may]]), pa.array(lower[may]), pa.array(upper[may])], ["qid", "cid", "lower", "upper"])
 
     return pairs.mapInArrow(bounds, "qid long, cid long, lower double, upper double")
 
 
+def _floors(seen: DataFrame, k: int) -> DataFrame:
+    """Per query the k-th best lower bound seen, ``(qid, floor)``; null where fewer are seen."""
+    by_lower = Window.partitionBy("qid").orderBy(F.desc("lower"), "cid")
+    return save(seen.withColumn("r", F.row_number().over(by_lower)).filter(F.col("r") <= k)
+                .groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.min("lower").alias("floor"))
+                .select("qid", F.when(F.col("n") == k, F.col("floor")).alias("floor")))
+
+
 def _score(a: Column, b: Column) -> Column:
     """Exact inner product of two packed vectors, as text of an integer (any size)."""
 
@@ -172,19 +200,21 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, id_
     members = save(of_class)
 
     n_classes, n_asking = classes.agg(F.count(F.lit(1)), F.count_if("is_query")).first()
-    file = save(_blocks(classes.repartition(max(1, min(n, n_classes // BLOCK)), "cid"), BLOCK, True))
-    queries = save(_blocks(classes.filter("is_query").repartition(max(1, min(n, n_asking // QUERY_BLOCK)), "cid"),
-                           QUERY_BLOCK, False))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("salt")
-    pairs = (queries.select("dim", F.col("cids").alias("qcids"), F.col("data").alias("queries"), salts)
-             .join(file.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")), ["dim", "salt"])
-             .select("dim", "qcids", "queries", "cids", "data", "low", "width"))
+    unbounded = classes.withColumn("floor", F.lit(None).cast("double"))
+    file = save(_blocks(unbounded.repartition(max(1, min(n, n_classes // BLOCK)), "cid"), BLOCK, True))
+
+    def in_blocks(asking: DataFrame) -> DataFrame:
+        return save(_blocks(asking.repartition(max(1, min(n, n_asking // QUERY_BLOCK)), "cid"), QUERY_BLOCK, False))
+
     # one more than k: the query's own row is among the candidates until the end
-    by_lower = Window.partitionBy("qid").orderBy(F.desc("lower"), "cid")
-    seen = save(_scan(pairs, k + 1))
-    floor = save(seen.withColumn("r", F.row_number().over(by_lower)).filter(F.col("r") <= k + 1)
-                 .groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.min("lower").alias("floor"))
-                 .select("qid", F.when(F.col("n") > k, F.col("floor")).alias("floor")))
+    queries = in_blocks(unbounded.filter("is_query"))
+    n_blocks = file.count()
+    if n_blocks > FEW:
+        some = file.filter(F.pmod(F.xxhash64("block"), F.lit(n_blocks)) < n_blocks ** 0.5)
+        at_first = _floors(save(_scan(_pairs(some, queries), k + 1)), k + 1)
+        queries = in_blocks(classes.filter("is_query").join(at_first.withColumnRenamed("qid", "cid"), "cid", "left"))
+    seen = save(_scan(_pairs(file, queries), k + 1))
+    floor = _floors(seen, k + 1)
     left = save(seen.join(floor, "qid").filter("floor is null or upper >= floor").select("qid", "cid", "upper"))
 
     exact = classes.select("cid", F.col("vec").alias("cvec"), "least")

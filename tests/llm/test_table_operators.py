@@ -124,6 +124,28 @@ def test_top_k(llm):
     assert va_file.top_k(few.limit(0), F.col("id") % 100 == 0).count() == 0
 
 
+def test_blocks_meet_without_broadcast(llm, monkeypatch, capsys):
+    scan, seen = va_file._scan, []
+    monkeypatch.setattr(va_file, "BLOCK", 20)
+    monkeypatch.setattr(va_file, "QUERY_BLOCK", 2)
+
+    def watched(pairs, k):
+        pairs.explain()
+        seen.append(scan(pairs, k).cache())
+        return seen[-1]
+
+    monkeypatch.setattr(va_file, "_scan", watched)
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.integers(-9, 9, 6).astype(float).tolist()) for i in range(700)] + [(9000 + i, [1.0, 2.0]) for i in range(3)]
+    got = [tuple(r) for r in va_file.top_k(llm.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 100 == 0, k=3).collect()]
+    assert sorted(got, key=repr) == sorted(_top(rows, 3, 1024), key=repr)
+    assert "Broadcast" not in capsys.readouterr().out
+    blocks = 35  # of 20 vectors; a query keeps k + 1 classes of some blocks, not of each
+    assert seen[-1].filter("qid >= 0").count() < 8 * blocks * 4
+    for s in seen:
+        s.unpersist()
+
+
 def test_top_k_of_huge_components_is_exact(llm):
     rng = np.random.default_rng(8)
     rows = [(i, (rng.normal(size=4) * 10.0 ** rng.integers(0, 6)).tolist()) for i in range(120)]
