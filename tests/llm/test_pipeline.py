@@ -53,6 +53,13 @@ def test_stages(llm, corpus):
     assert all(len(np.frombuffer(r.ids, "<u4")) == r.length for r in out["pack"])
 
 
+def test_near_dedup_broadcasts_no_visits(llm, corpus, monkeypatch, capsys):
+    stars = simhash_anchor.stars
+    monkeypatch.setattr(simhash_anchor, "stars", lambda links: (links.explain(), stars(links))[1])
+    assert corpus_pipeline.near_dedup(llm, corpus, "").count() == 123  # 200 has the text of 0
+    assert "Broadcast" not in capsys.readouterr().out
+
+
 def test_run_on_an_empty_table(llm, corpus, tmp_path):
     corpus.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(llm, str(tmp_path)).count() == 0
