@@ -71,10 +71,9 @@ def normalize_status(text: Column) -> Column:
 
 
 def valid_phone(text: Column) -> Column:
-    """STR-4: drop blanks, '-', '(' and ')', one leading '+', then 7 to 15 digits."""
-    digits = F.regexp_replace(text, rf"{_WS}|[-()]", "")
-    digits = F.regexp_replace(digits, r"^\+", "")
-    return F.coalesce(digits.rlike(r"^\p{Nd}{7,15}$"), F.lit(False))
+    """STR-4: 7 to 15 digits after one '+' or none, with any blanks, '-', '(' and ')' between."""
+    noise = rf"[{_WS}()\-]*+"
+    return F.coalesce(text.rlike(rf"^{noise}(?:\+{noise})?(?:\p{{Nd}}{noise}){{7,15}}$"), F.lit(False))
 
 
 def valid_email(text: Column) -> Column:
@@ -114,7 +113,8 @@ def order_date_text(c: Column) -> Column:
     t = F.translate(c, "年月/.", "----")
     t = F.regexp_replace(t, "日", " ")
     t = F.regexp_replace(t, rf"{_WS}+", " ")
-    return F.regexp_replace(t, rf"^{_WS}+|{_WS}+$", "")
+    # digits with '-' and ':' and single blanks between them: no step would change them
+    return F.when(c.rlike(r"^[0-9:-]++(?: [0-9:-]++)*+\z"), c).otherwise(F.regexp_replace(t, rf"^{_WS}+|{_WS}+$", ""))
 
 
 # Shape of the text -> the ladder formats that can parse that shape (in ladder order).

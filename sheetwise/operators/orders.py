@@ -30,8 +30,8 @@ from sheetwise.functions.columns import (
     MONEY_WORK, clean_text, has, hybrid_order_count, money, pct, to_number,
 )
 from sheetwise.functions.normalize import (
-    KNOWN_STATUSES, REFUND_STATUSES, day_key, month_key, normalize_status, parse_dates,
-    valid_email, valid_phone, with_region,
+    KNOWN_STATUSES, REFUND_STATUSES, day_key, month_key, normalize_region, normalize_status, parse_dates,
+    valid_email, valid_phone,
 )
 from sheetwise.operators.ranking import POS, descending, first_seen, median, ranked
 from sheetwise.session import materialize
@@ -92,7 +92,7 @@ def prepare(df: DataFrame) -> DataFrame:
     """Derived row columns of the order analyzer (NUM-5..8, STR-1, STR-3, DAT-1).
 
     Adds ``_``-prefixed columns and keeps the canonical ones.  The region is
-    added separately (``with_region``) because it needs a lookup.
+    added separately (``region_sales``) because it needs a lookup.
     """
     p, q, d = to_number(df, "unit_price"), to_number(df, "quantity"), to_number(df, "discount")
     raw = to_number(df, "sales_amount")
@@ -301,12 +301,18 @@ def category_sales(rows: DataFrame) -> DataFrame:
 
 def region_sales(rows: DataFrame) -> DataFrame:
     """AGG-11: AGG-8 by normalised region, average order value, targets, completion."""
-    r = with_region(rows)
+    # summed by spelling and order first, so that a spelling's normal form is looked up once for each order
+    q = F.col("_quantity")
+    per_id = rows.groupBy(clean_text(rows, "region").alias("_text"), "_order_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(F.when(q >= 0, q)).alias("_q"), F.sum("_verified").alias("_v"),
+        F.sum(to_number(rows, "target_amount")).alias("_t"))
+    oid = F.col("_order_id")
     # rows without a region are a group that goes afterwards: a filter on the region itself would
     # move below the aggregate and compute every normal form twice
-    g = r.groupBy(F.col("_region").alias("name")).agg(
-        *_business_aggs(), money_dec(F.sum(to_number(rows, "target_amount"))).alias("target_amount"),
-        F.count("_region").alias("_named")).where(F.col("_named") > 0)
+    g = per_id.withColumn("_region", normalize_region(F.col("_text"))).groupBy(F.col("_region").alias("name")).agg(
+        F.when(F.count(oid) > 0, F.count_distinct(oid)).otherwise(F.sum("_n")).alias("order_count"),
+        money_dec(F.sum("_q")).alias("quantity"), money_dec(F.sum("_v")).alias("sales_amount"),
+        money_dec(F.sum("_t")).alias("target_amount"), F.count("_region").alias("_named")).where(F.col("_named") > 0)
     sales = F.col("sales_amount")
     return g.select(
         "name",
@@ -539,8 +545,9 @@ def data_quality(rows: DataFrame) -> DataFrame:
     """AGG-20: the data-quality row (scalar counters; missing values: ``missing_summary``).
 
     One pass: every row counter is a per-row indicator (weighted by copies where
-    the reference counts all rows), summed per order inside the order roll-up and
-    then over orders, next to the order-level counters.
+    the reference counts all rows), summed per order id and then over the ids, next to the
+    order-level counters.  Rows without an id are orders of their own: in their one group
+    the order-level counters are sums over rows.
     """
     p, q, d = F.col("_unit_price"), F.col("_quantity"), F.col("_discount")
     age = to_number(rows, "age")
@@ -574,15 +581,24 @@ def data_quality(rows: DataFrame) -> DataFrame:
         "unverified_amount_count": F.col("_unverified").isNotNull().cast("long"),
         "invalid_amount_count": (F.col("_amount_status") == "invalid_amount").cast("long"),
     }
-    parts = {f"_dq_{k}": v for k, v in weighted.items()}
-    o = order_level(rows.withColumns(parts), tuple(parts))
+    o = rows.groupBy("_order_id").agg(
+        *[F.sum(v).alias(f"_dq_{k}") for k, v in weighted.items()],
+        F.count_if(F.col("_mismatch")).alias("_conflicts"), F.count_if(F.col("_comparable")).alias("_comparables"),
+        F.count("_unverified").alias("_unverifieds"), F.sum("_unverified").alias("_of_order"),
+        F.sum(F.when(F.col("_order_id").isNull(), money_dec(F.col("_unverified")))).alias("_of_rows"))
     total = {k: F.coalesce(F.sum(f"_dq_{k}"), F.lit(0)).cast("long") for k in weighted}
-    has_mismatch = F.count_if(F.col("conflict_count") > 0)
-    comparable = F.count_if(F.col("has_comparable_amount"))
+    named = F.col("_order_id").isNotNull()
+
+    def orders_with(rows_with: str) -> Column:
+        n = F.col(rows_with)
+        return F.coalesce(F.sum(F.when(named, (n > 0).cast("long")).otherwise(n)), F.lit(0))
+
+    has_mismatch, comparable = orders_with("_conflicts"), orders_with("_comparables")
+    unverified = F.sum(F.when(named, money_dec(F.col("_of_order"))).otherwise(F.col("_of_rows")))
     return o.agg(
         total["row_count"].alias("row_count"),
         (total["row_count"] - total["_dedup_rows"]).alias("duplicate_row_count"),
-        (total["_id_rows"] - F.count("order_id")).alias("duplicate_order_id_count"),
+        (total["_id_rows"] - F.count("_order_id")).alias("duplicate_order_id_count"),
         *[total[k].alias(k) for k in ("invalid_date_count", "invalid_unit_price_count", "zero_unit_price_count",
                                       "invalid_quantity_count", "zero_quantity_count", "invalid_discount_count",
                                       "invalid_age_count", "invalid_status_count", "unverified_amount_count",
@@ -594,8 +610,8 @@ def data_quality(rows: DataFrame) -> DataFrame:
         has_mismatch.alias("amount_mismatch_count"),
         comparable.alias("amount_comparable_count"),
         pct(has_mismatch, comparable).alias("amount_mismatch_rate"),
-        F.count_if(F.col("has_unverified_amount")).alias("unverified_order_count"),
-        money(F.sum("unverified_amount")).alias("unverified_amount_total"),
+        orders_with("_unverifieds").alias("unverified_order_count"),
+        money(unverified).alias("unverified_amount_total"),
     )
 
 

@@ -101,3 +101,51 @@ def test_coverage_computes_the_raw_table_once(spark, tmp_path):
     assert not [f for f in found.inputFiles() if "/raw/" in f]   # the plan follows from the rows that are written anyway
     covered = {r["capability_id"] for r in rows(found) if r["covered"]}
     assert {"order_count", "product_sales", "region_sales", "demographic_analysis"} <= covered
+
+
+_ORDERS = [("A", "Luoyang", "2", "1.005", "1.005", "+86 138-0000", 1), ("A", "洛阳市", "3", "2", "9", "12-3", 2), ("A", "ＬＵＯＹＡＮＧ", None, None, "4", None, 1),
+           ("B", "Ｘ1", "-1", "5", "-3", "(0571) 8888-9999", 1), (None, "luoyang", "1", "7", "8", "+1+2345678", 3), (None, None, "1", None, "0.005", "++12345678", 1),
+           (None, "X1", "x", "1", "0.005", " ", 1), (" ", "Ｘ1", "0", "1", "1", "1234567", 1)]
+
+
+def _order_frame(spark):
+    return O.prepare(spark.createDataFrame(_ORDERS, "order_id string, region string, quantity string, unit_price string, sales_amount string, phone string, _copies long"))
+
+
+def test_quality_is_one_pass_without_a_written_copy(spark, monkeypatch):
+    monkeypatch.setattr(O, "materialize", None)
+    got = rows(O.data_quality(_order_frame(spark)))[0]
+    assert {k: got[k] for k in ("row_count", "duplicate_row_count", "duplicate_order_id_count", "amount_mismatch_count", "amount_comparable_count",
+                                "unverified_order_count", "unverified_amount_total", "invalid_amount_count", "invalid_quantity_count",
+                                "phone_valid_count", "phone_invalid_count", "phone_missing_count")} == {
+        # A (2.01 and 6 against 1.005 and 9) and the first row without an id differ, the blank id's row too; of the
+        # others, A's third row and two rows without an id are unverified: 4 + 0.01 + 0.01
+        "row_count": 11, "duplicate_row_count": 3, "duplicate_order_id_count": 3, "amount_mismatch_count": 3, "amount_comparable_count": 3,
+        "unverified_order_count": 3, "unverified_amount_total": 4.02, "invalid_amount_count": 1, "invalid_quantity_count": 1,
+        "phone_valid_count": 3, "phone_invalid_count": 6, "phone_missing_count": 2}
+    empty = rows(O.data_quality(_order_frame(spark).limit(0)))[0]
+    assert empty["row_count"] == 0 and empty["amount_mismatch_count"] == 0 and empty["unverified_amount_total"] is None
+
+
+def test_spellings_of_regions_are_read_once_an_order(spark, capsys):
+    found = O.region_sales(_order_frame(spark))
+    assert [(r["name"], r["region_order_count"], r["region_sales"], r["region_quantity"]) for r in rows(found)] == [
+        ("X1", 1, 0.0, 0.0), ("洛阳", 1, 15.01, 6.0)]   # rows without an id count only where none has one
+    found.explain()
+    plan = capsys.readouterr().out.split("== Initial Plan ==")[0]
+    assert "HashAggregate" in plan.split("ArrowEvalPython")[-1]   # summed by spelling and order below the Python node
+
+
+def test_phones_and_dates_in_one_step_are_those_of_all_steps(spark):
+    from sheetwise.functions.normalize import order_date_text, valid_phone
+    from pyspark.sql import functions as F
+    ws = r"[\s\p{Z}\x{1C}-\x{1F}\x{85}]"
+    blank = ["", " ", "-", "(", ")", "\n", "\u3000", "\x85", "+", "x", "/", "年"]
+    texts = [a + core + b for a in blank for b in blank for core in ("1234567", "123 4567", "+1234567", "1+234567", "123456", "1" * 16, "2024-01-02", "2024-1-2  3:4:5", "2024-01-02 03:04:05")]
+    c = F.col("t")
+    digits = F.regexp_replace(F.regexp_replace(c, rf"{ws}|[-()]", ""), r"^\+", "")
+    steps = F.regexp_replace(F.regexp_replace(F.translate(c, "年月/.", "----"), "日", " "), rf"{ws}+", " ")
+    odd = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").where(
+        ~(valid_phone(c).eqNullSafe(F.coalesce(digits.rlike(r"^\p{Nd}{7,15}$"), F.lit(False))))
+        | ~(order_date_text(c).eqNullSafe(F.regexp_replace(steps, rf"^{ws}+|{ws}+$", ""))))
+    assert odd.count() == 0
